@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import bpe, licenses, media, mixing, sharding, simhash, suffix_dedup
+from tidewatch.llm import bpe, caps, licenses, media, mixing, sharding, simhash, suffix_dedup
 from tidewatch.llm.common import read_table
 from tidewatch.llm.oracles import ORACLES
 
@@ -18,6 +18,10 @@ RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
 
 
+def op1_spherical_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return caps.near_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
 def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(read_table(spark, sf_dir, "documents"))
 
