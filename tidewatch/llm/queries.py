@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import bpe, caps, licenses, media, mixing, sharding, simhash, suffix_dedup
+from tidewatch.llm import bpe, caps, licenses, media, mixing, sharding, simhash, suffix_dedup, toxicity
 from tidewatch.llm.common import read_table
 from tidewatch.llm.oracles import ORACLES
 
@@ -26,6 +26,13 @@ def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(read_table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = toxicity.fit(toxicity.training_rows(docs, read_table(spark, sf_dir, "labels")))
+    held_out = F.crc32(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "UTF-8")) % 5 == 0
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     grouped = simhash.near_groups(read_table(spark, sf_dir, "documents"))
     return grouped.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
