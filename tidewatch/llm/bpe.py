@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -74,7 +75,7 @@ class Bpe:
         self.bytes = np.array([ranks.get(bytes([b]), -1) for b in range(256)], dtype=np.int64)
         if (self.bytes < 0).any():
             raise ValueError("every byte needs a rank")
-        self.known: dict[str, tuple[int, str, bytes]] = {}
+        self.known: dict[str, tuple[int, str, bytes, bytes]] = {}
 
     def merge(self, pieces: list[bytes]) -> list[list[int]]:
         """Token ids of each piece (none empty)."""
@@ -131,13 +132,13 @@ class Bpe:
         return b"".join(map(self.tokens.__getitem__, ids))
 
     def learn(self, pieces: Iterable[str]) -> None:
-        """Remember the count, joined ids and decoded bytes of pieces not yet known."""
+        """Remember the count, joined ids, decoded bytes and packed ids of pieces not yet known."""
         fresh = [p for p in dict.fromkeys(pieces) if p not in self.known]
         for p, ids in zip(fresh, self.merge([p.encode("utf-8", "surrogatepass") for p in fresh])):
-            self.known[p] = len(ids), ",".join(map(str, ids)), self.decode(ids)
+            self.known[p] = len(ids), ",".join(map(str, ids)), self.decode(ids), array("i", ids).tobytes()
 
-    def encode(self, texts: list[str | None], chars: int = 1 << 22) -> Iterator[list[tuple[int, str, bytes]]]:
-        """For each text its pieces as (count, joined ids, decoded bytes); texts are taken ``chars`` at a time."""
+    def encode(self, texts: list[str | None], chars: int = 1 << 22) -> Iterator[list[tuple[int, str, bytes, bytes]]]:
+        """For each text its pieces as (count, joined ids, decoded bytes, packed ids); texts are taken ``chars`` at a time."""
         at = 0
         while at < len(texts):
             end, room = at, chars
@@ -190,10 +191,11 @@ def round_trip(docs: DataFrame, path: str, pattern: str, with_ids: bool = False)
                     ids.append(hashlib.sha256(joined.encode()).hexdigest())
                     back.append(hashlib.sha256(b"".join([p[2] for p in parts])).hexdigest())
                     if with_ids:
-                        all_ids.append(np.array(joined.split(",") if joined else [], dtype=np.int32))
+                        all_ids.append(b"".join([p[3] for p in parts]))
                 columns = [keys.slice(start, len(counts)), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())]
                 if with_ids:
-                    columns.append(pa.array(all_ids, pa.list_(pa.int32())))
+                    flat = pa.array(np.frombuffer(b"".join(all_ids), np.int32))
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), flat))
                 yield pa.RecordBatch.from_arrays(columns, names=names + ["ids"] * with_ids)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(kernel, DIGESTS + ", ids array<int>" * with_ids)

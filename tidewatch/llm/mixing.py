@@ -48,8 +48,8 @@ def water_fill(sources: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     )
 
 
-def mix(docs: DataFrame, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
-    """(doc_id, size, source_size, target, taken, source): how many words the mix takes of each document.
+def mix(docs: DataFrame, max_epochs: int = MAX_EPOCHS, seed: str = SEED, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, size, source_size, target, taken, epochs, *carry): how many words the mix takes of each document.
 
     Every document of a source is taken floor(target / source_size) times whole, and a seeded
     systematic sample of the source, in order of size and of a seeded digest, once more, so the
@@ -57,7 +57,7 @@ def mix(docs: DataFrame, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> Data
     form one source that comes last, repeated rows count each, an empty table gives no rows,
     other columns are ignored.
     """
-    slim = cut(docs.select("doc_id", "source", count_words(F.col("text")).alias("size")))
+    slim = cut(docs.select("doc_id", "source", count_words(F.col("text")).alias("size"), *carry))
     sources = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     targets = water_fill(sources, max_epochs)
     keyed = slim.withColumn("_draw", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
@@ -68,10 +68,31 @@ def mix(docs: DataFrame, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> Data
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     start = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}/"), F.coalesce(F.col("p.source"), F.lit("")))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
     return (
-        joined.select("p.doc_id", "p.size", "p.source", "source_size", "target", ratio.alias("_r"), start.alias("_u"), (F.col("rows_before") - F.col("rows_first")).alias("_i"))
+        joined.select("p.doc_id", "p.size", *(f"p.{c}" for c in carry), "source_size", "target", ratio.alias("_r"), start.alias("_u"), (F.col("rows_before") - F.col("rows_first")).alias("_i"))
         .withColumn("_whole", F.floor("_r"))
         .withColumn("_part", F.col("_r") - F.col("_whole"))
         .withColumn("_more", F.floor((F.col("_i") + 1) * F.col("_part") + F.col("_u")) - F.floor(F.col("_i") * F.col("_part") + F.col("_u")))
         .withColumn("epochs", (F.col("_whole") + F.col("_more")).cast("long"))
-        .select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("epochs")).alias("taken"), "source", "epochs")
+        .select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("epochs")).alias("taken"), "epochs", *carry)
+    )
+
+
+def mixed_rows(docs: DataFrame, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
+    """The mix itself: every row of ``docs``, with all its columns, as often as its epochs say.
+
+    Rows with the same id and text are interchangeable, so their epochs are added up and dealt evenly.
+    """
+    columns = docs.columns
+    keyed = docs.withColumn("_h", F.xxhash64("text"))
+    share = mix(keyed, max_epochs, seed, carry=("_h",)).groupBy("doc_id", "_h").agg(F.sum("epochs").alias("_all"), F.count(F.lit(1)).alias("_n"))
+    share = share.withColumnsRenamed({"doc_id": "_id", "_h": "_h2"})
+    nth = F.row_number().over(Window.partitionBy("doc_id", "_h").orderBy("doc_id"))
+    times = F.expr("_all div _n + if(_nth <= _all % _n, 1, 0)").cast("int")
+    return (
+        keyed.withColumn("_nth", nth)
+        .join(share, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_h2")))
+        .withColumn("_times", times)
+        .where("_times > 0")
+        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+        .select(*columns)
     )

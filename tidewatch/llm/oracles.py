@@ -1,5 +1,7 @@
 """DuckDB SQL for the corpus queries that SQL can express."""
 
+from tidewatch.llm.secrets import RULES
+
 OP9 = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size
@@ -32,4 +34,33 @@ SELECT doc_id, size, source_size, target,
 FROM o
 """
 
-ORACLES = {"op9_mixing": OP9}
+
+
+def _op6() -> str:
+    def quoted(x: str) -> str:
+        return "'" + x.replace("'", "''") + "'"
+
+    parts = [
+        f"SELECT doc_id, {k} AS k, '{r.kind}' AS kind, {r.least} AS least, string_split_regex(t, {quoted(r.pattern)}) AS g, "
+        f"regexp_extract_all(t, {quoted(r.pattern)}, 0) AS h, regexp_extract_all(t, {quoted(r.pattern)}, {r.group}) AS v "
+        f"FROM d WHERE regexp_matches(t, {quoted(r.screen or r.pattern)})"
+        for k, r in enumerate(RULES)
+    ]
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS ({" UNION ALL ".join(parts)}),
+i AS (SELECT *, unnest(range(1, len(h) + 1)) AS i FROM m),
+s AS (SELECT doc_id, k, kind, length(h[i]) AS n,
+             list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(h[1:i - 1], lambda x: length(x))), 0) AS a
+      FROM i WHERE length(v[i]) >= least),
+f AS (SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+             string_agg(kind || ':' || CAST(CAST(a AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(a + n AS BIGINT) AS VARCHAR), ',' ORDER BY a, k) FILTER (k < 3) AS base,
+             string_agg(kind || ':' || CAST(CAST(a AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(a + n AS BIGINT) AS VARCHAR), ',' ORDER BY a, k) AS spans
+      FROM s GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN f ON d.doc_id IS NOT DISTINCT FROM f.doc_id
+"""
+
+
+ORACLES = {"op6_secret_scans": _op6(), "op9_mixing": OP9}

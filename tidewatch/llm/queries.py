@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import bpe, caps, licenses, media, mixing, sharding, simhash, suffix_dedup, toxicity
+from tidewatch.llm import bpe, caps, licenses, media, mixing, secrets, sharding, simhash, suffix_dedup, toxicity
 from tidewatch.llm.common import read_table
 from tidewatch.llm.oracles import ORACLES
 
@@ -46,6 +46,10 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(read_table(spark, sf_dir, "documents"))
 
 
+def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_columns(read_table(spark, sf_dir, "documents"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(read_table(spark, sf_dir, "documents"))
 
