@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,16 +28,17 @@ CHARS = 24_000_000
 _WORD = re.compile(r"\w+")
 
 
-def features(word: str) -> tuple[str, ...]:
-    """Of a lower-cased word: itself, three of its beginnings and its end."""
-    return "w" + word, "3" + word[:3], "4" + word[:4], "5" + word[:5], "e" + word[-4:]
+def features(word: str) -> list[int]:
+    """Checksums of a lower-cased word, of three of its beginnings and of its end."""
+    parts = "w" + word, "3" + word[:3], "4" + word[:4], "5" + word[:5], "e" + word[-4:]
+    return [zlib.crc32(p.encode("utf-8", "surrogatepass")) for p in parts]
 
 
 @dataclass
 class Model:
     """Log potentials are those of the toxic state less those of the clean one."""
 
-    weights: dict[str, float] = field(default_factory=dict)
+    weights: dict[int, float] = field(default_factory=dict)
     bias: float = -6.0
     start: float = 0.0
     #: transition[a, b]: from state a to b, clean 0, toxic 1
@@ -97,7 +98,7 @@ def marginals(emissions: np.ndarray, lengths: np.ndarray, model: Model, pairs: b
     return p, expected
 
 
-def _padded(rows: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _padded(rows: list[np.ndarray], cells: int = CELLS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(row numbers, padded matrix, lengths) of rows of similar length."""
     lengths = np.array([len(r) for r in rows])
     order = np.argsort(lengths, kind="stable")
@@ -105,11 +106,11 @@ def _padded(rows: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np
     at = 0
     while at < len(order):
         width = int(lengths[order[at]])
-        most = max(1, CELLS // max(1, int(width * 1.3)))
+        most = max(1, cells // max(1, int(width * 1.3)))
         end = at + int(np.searchsorted(lengths[order[at : at + most]], max(width * 1.3, width + 16), side="right"))
         end = max(end, at + 1)
         members = order[at:end]
-        matrix = np.zeros((len(members), int(lengths[members[-1]])))
+        matrix = np.zeros((len(members), int(lengths[members[-1]])), dtype=rows[members[0]].dtype)
         mask = np.arange(matrix.shape[1]) < lengths[members][:, None]
         matrix[mask] = np.concatenate([rows[i] for i in members])
         yield members, matrix, lengths[members]
@@ -131,6 +132,10 @@ def document_marginals(texts: list[str | None], model: Model, potentials: Potent
     for text in texts:
         words = _WORD.findall(text or "")
         rows.append(np.fromiter(map(potentials.__getitem__, words), np.float64, len(words)))
+    return _row_marginals(rows, model)
+
+
+def _row_marginals(rows: list[np.ndarray], model: Model) -> list[np.ndarray]:
     out = [np.zeros(0)] * len(rows)
     for members, matrix, lengths in _padded(rows):
         p = marginals(matrix, lengths, model)
@@ -157,90 +162,89 @@ def _logistic(x: np.ndarray, y: np.ndarray, penalty: float, rounds: int = 50) ->
     return w
 
 
-def token_labels(docs: list[tuple[list[str], int]]) -> tuple[set[str], Counter]:
-    """Words (lower-case) that count as toxic where a toxic text holds them; in how many texts each feature is.
+def _telling(docs: list[np.ndarray], toxic: np.ndarray, of_type: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which features tell of toxic texts, and in how many texts each is.
+
+    A feature tells if it is found in enough toxic texts (3, and a hundredth of them) and almost no
+    clean ones, by texts and not by occurrences.
+    """
+    counts = np.zeros((2, int(of_type.max(initial=-1)) + 1), dtype=np.int64)
+    for types, y in zip(docs, toxic):
+        counts[int(y), np.unique(of_type[np.unique(types)])] += 1
+    least = max(3, int(toxic.sum()) // 100)
+    return (counts[1] >= least) & (counts[1] >= 9 * counts[0]), counts.sum(axis=0)
+
+
+def fit(labelled: Iterable[tuple[str | None, int]]) -> Model:
+    """Fit the field and the document score to (text, toxic) rows.
 
-    A word counts if one of its features is found in enough toxic texts (3, and a hundredth of
-    them) and almost no clean ones, by texts and not by occurrences.
+    Words of toxic texts are labelled toxic if one of their features tells of toxic texts; all
+    other words, and all words of clean texts, are clean. Texts are held as word numbers.
     """
-    toxic, clean, total = Counter(), Counter(), sum(y for _, y in docs)
-    known: dict[str, tuple[str, ...]] = {}
-    for words, y in docs:
-        found: set[str] = set()
-        for w in set(words):
-            if w not in known:
-                known[w] = features(w)
-            found.update(known[w])
-        (toxic if y else clean).update(found)
-    least = max(3, total // 100)
-    telling = {f for f, n in toxic.items() if n >= least and n >= 9 * clean[f]}
-    return {w for words, y in docs if y for w in set(words) if not telling.isdisjoint(known[w])}, toxic + clean
-
-
-def fit(labelled: list[tuple[str | None, int]]) -> Model:
-    """Fit the field and the document score to (text, toxic) rows."""
-    docs, seen = [], set()
+    types: dict[str, int] = {}
+    docs: list[np.ndarray] = []
+    labels, seen = [], set()
     for text, y in labelled:
         words = [w.lower() for w in _WORD.findall(text or "")]
         key = (_near_key(words), y)
         if key not in seen:  # of near copies one is enough
             seen.add(key)
-            docs.append((words, int(y)))
-    model = Model()
-    if not any(y for _, y in docs) or all(y for _, y in docs):
-        model.document = np.array([0.0, 0.0, 20.0 if docs and docs[0][1] else -20.0])
+            docs.append(np.array([types.setdefault(w, len(types)) for w in words], dtype=np.int32))
+            labels.append(int(y))
+    model, toxic = Model(), np.array(labels, dtype=np.int64)
+    if not toxic.any() or toxic.all():
+        model.document = np.array([0.0, 0.0, 20.0 if toxic.any() else -20.0])
         return model
-    trained = [d for k, d in enumerate(docs) if k % HELD] or docs
-    if not any(y for _, y in trained):
-        trained = docs
-    toxic_words, often = token_labels(trained)
-    kinds = {f: i for i, f in enumerate(f for f, n in often.items() if n >= 3)}
-    if not kinds:
-        kinds = {f: i for i, f in enumerate(often)}
-    trained = [(words[k : k + SEGMENT], y) for words, y in trained for k in range(0, len(words), SEGMENT)]
-    types: dict[str, int] = {}
-    rows = [np.array([types.setdefault(w, len(types)) for w in words], dtype=np.int64) for words, _ in trained]
-    gold = [np.array([float(y and w in toxic_words) for w in words]) for words, y in trained]
-    index = [(i, kinds[f]) for w, i in types.items() for f in features(w) if f in kinds]
-    of_type, of_kind = (np.array(x, dtype=np.int64) for x in zip(*index))
-    weights, bias = np.zeros(len(kinds)), model.bias
-    batches = [(m, matrix.astype(np.int64), n) for m, matrix, n in _padded([r.astype(np.float64) for r in rows])]
-    truth = [np.zeros(b.shape) for _, b, _ in batches]
-    for (members, matrix, lengths), table in zip(batches, truth):
-        for k, i in enumerate(members):
-            table[k, : lengths[k]] = gold[i]
-    masks = [np.arange(m.shape[1]) < n[:, None] for _, m, n in batches]
+    fitted = np.arange(len(docs)) % HELD > 0
+    if not toxic[fitted].any():
+        fitted[:] = True
+    trained, truth_of = [d for d, f in zip(docs, fitted) if f], toxic[fitted]
+    sums = np.array([features(w) for w in types], dtype=np.uint32) if types else np.zeros((0, 5), np.uint32)
+    known, of_type = np.unique(sums, return_inverse=True)
+    of_type = of_type.reshape(sums.shape).astype(np.int32)
+    telling, often = _telling(trained, truth_of, of_type)
+    toxic_type = telling[of_type].any(axis=1)
+    used = often >= (3 if (often >= 3).any() else 1)
+    place = np.where(used, np.cumsum(used) - 1, -1)[of_type]
+    type_of, slot = np.nonzero(place >= 0)
+    kind_of, kinds = place[type_of, slot], int(used.sum())
+    rows, gold = [], []
+    for d, y in zip(trained, truth_of):
+        for k in range(0, len(d), SEGMENT):
+            rows.append(d[k : k + SEGMENT])
+            gold.append(toxic_type[rows[-1]] if y else np.zeros(len(rows[-1]), dtype=bool))
+    batches = []
     observed = np.zeros((2, 2))
-    for table, (_, _, n) in zip(truth, batches):
-        a, b = table[:, :-1], table[:, 1:]
-        live = np.arange(1, table.shape[1]) < n[:, None]
-        for s in (0, 1):
-            for t in (0, 1):
-                observed[s, t] += ((a == s) & (b == t) & live).sum()
-    # Transitions in closed form for a start; their gradient then moves them with the weights.
+    for members, matrix, lengths in _padded(rows, 1 << 17):
+        mask = np.arange(matrix.shape[1]) < lengths[:, None]
+        table = np.zeros(matrix.shape, dtype=bool)
+        table[mask] = np.concatenate([gold[i] for i in members])
+        batches.append((matrix.astype(np.int32), lengths, mask, table))
+        a, b, live = table[:, :-1], table[:, 1:], mask[:, 1:]
+        observed += [[(~a & ~b & live).sum(), (~a & b & live).sum()], [(a & ~b & live).sum(), (a & b & live).sum()]]
+    # Transitions start from their counts; their gradient then moves them with the weights.
     smooth = observed + np.array([[1.0, 0.1], [0.1, 0.1]])
-    base = smooth.sum(axis=0) / smooth.sum()
-    model.transition = 0.5 * np.log(smooth / smooth.sum(axis=1, keepdims=True) / base)
-    rates = np.full(len(kinds), 1e-8), 1e-8, np.full((2, 2), 1e-8)
+    model.transition = 0.5 * np.log(smooth / smooth.sum(axis=1, keepdims=True) / (smooth.sum(axis=0) / smooth.sum()))
+    weights, bias = np.zeros(kinds), model.bias
+    rates = np.full(kinds, 1e-8), 1e-8, np.full((2, 2), 1e-8)
     for _ in range(EPOCHS):
-        emission = bias + np.bincount(of_type, weights[of_kind], len(types))
+        emission = bias + np.bincount(type_of, weights[kind_of], len(types))
         by_type, expected = np.zeros(len(types)), np.zeros((2, 2))
-        for (_, matrix, lengths), table, mask in zip(batches, truth, masks):
+        for matrix, lengths, mask, table in batches:
             p, some = marginals(np.where(mask, emission[matrix], 0.0), lengths, model, pairs=True)
             expected += some
             by_type += np.bincount(matrix[mask], (table - p)[mask], len(types))
-        slope = np.bincount(of_kind, by_type[of_type], len(kinds)) - 0.01 * weights, by_type.sum(), observed - expected
+        slope = np.bincount(kind_of, by_type[type_of], kinds) - 0.01 * weights, by_type.sum(), observed - expected
         rates = tuple(r + g * g for r, g in zip(rates, slope))
         weights = weights + 0.8 * slope[0] / np.sqrt(rates[0])
         bias += 0.2 * slope[1] / np.sqrt(rates[1])
         model.transition = model.transition + 0.05 * slope[2] / np.sqrt(rates[2])
     model.bias = float(bias)
-    model.weights = {f: float(weights[i]) for f, i in kinds.items() if abs(weights[i]) > 1e-3}
-    judged = [d for k, d in enumerate(docs) if k % HELD == 0]
-    judged = judged if len({y for _, y in judged}) == 2 else docs
-    potentials = Potentials(model)
-    x = np.array([summarise(p) for p in document_marginals([" ".join(w) for w, _ in judged], model, potentials)])
-    model.document = _logistic(x, np.array([float(y) for _, y in judged]), 0.1)
+    model.weights = {int(f): float(w) for f, w in zip(known[used], weights) if abs(w) > 1e-3}
+    judged = ~fitted if len(set(toxic[~fitted].tolist())) == 2 else np.ones(len(docs), dtype=bool)
+    emission = model.bias + np.bincount(type_of, weights[kind_of], len(types))
+    x = np.array([summarise(p) for p in _row_marginals([emission[d] for d, j in zip(docs, judged) if j], model)])
+    model.document = _logistic(x, toxic[judged].astype(np.float64), 0.1)
     return model
 
 
@@ -259,6 +263,17 @@ def training_rows(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> li
     return [(r["text"], r["_toxic"]) for r in found.select("text", "_toxic").collect()]
 
 
+def _scored(texts: list[str | None], model: Model, potentials: Potentials) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """(document scores, words' marginals) of the texts, about CHARS characters at a time."""
+    sizes, at = np.cumsum([len(t or "") for t in texts]), 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + CHARS, side="right")))
+        found = document_marginals(texts[at:end], model, potentials)
+        x = np.array([summarise(p) for p in found])
+        yield 1 / (1 + np.exp(-np.clip(x @ model.document, -30, 30))), found
+        at = end
+
+
 _SCORES = "doc_id long, score double, predicted int, spans array<struct<start:int,end:int,score:double>>"
 
 
@@ -275,14 +290,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         model = shared.value
         potentials = Potentials(model)
         for batch in batches:
-            texts = batch["text"].tolist()
-            sizes = np.cumsum([len(t or "") for t in texts])
-            at = 0
-            while at < len(texts):
-                end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + CHARS, side="right")))
-                found = document_marginals(texts[at:end], model, potentials)
-                x = np.array([summarise(p) for p in found])
-                scores = 1 / (1 + np.exp(-np.clip(x @ model.document, -30, 30)))
+            texts, at = batch["text"].tolist(), 0
+            for scores, found in _scored(texts, model, potentials):
+                end = at + len(scores)
                 spans = [toxic_spans(t, p) for t, p in zip(texts[at:end], found)]
                 yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[at:end].to_numpy(), "score": scores, "predicted": (scores >= 0.5).astype(np.int32), "spans": spans})
                 at = end
@@ -290,6 +300,21 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(kernel, _SCORES)
 
 
+def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text scores below 0.5."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    names = docs.columns
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        potentials = Potentials(shared.value)
+        for batch in batches:
+            texts = batch.column(names.index("text")).to_pylist()
+            clean = [scores < 0.5 for scores, _ in _scored(texts, shared.value, potentials)]
+            yield batch.filter(pa.array(np.concatenate(clean) if clean else [], pa.bool_()))
+
+    return docs.mapInArrow(kernel, docs.schema)
+
+
 def toxic_spans(text: str | None, p: np.ndarray) -> list[dict]:
     hot = np.flatnonzero(p >= 0.5)
     if not len(hot):
