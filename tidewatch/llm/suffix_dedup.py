@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -122,6 +123,23 @@ def _raw(column: pa.Array) -> list[bytes]:
     return [b if b is not None else b"" for b in column.cast(pa.large_binary()).to_pylist()]
 
 
+def packed(keyed: DataFrame) -> DataFrame:
+    """(doc_id, h, packed binary): the texts compressed, before they are shuffled."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compress = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            texts = pa.array([compress(t) for t in _raw(batch.column("text"))], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), texts], names=["doc_id", "h", "packed"])
+
+    return keyed.mapInArrow(kernel, "doc_id long, h long, packed binary")
+
+
+def _unpacked(column: pa.Array) -> list[bytes]:
+    expand = zstandard.ZstdDecompressor().decompress
+    return [expand(b) for b in column.to_pylist()]
+
+
 _ANCHORS = "doc_id long, h long, gram long, context long, spot long"
 
 
@@ -320,7 +338,7 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
     for batch in batches:
         rows: list[tuple] = []
-        texts = _raw(batch.column("text"))
+        texts = _unpacked(batch.column("packed"))
         for text, wanted in zip(texts, batch.column("wanted").to_pylist()):
             for w in wanted:
                 anchor, first, last = unpack(w["spot"])
@@ -381,10 +399,10 @@ def repeated_spans(keyed: DataFrame) -> DataFrame:
         .groupBy(F.col("one.doc_id").alias("_id"), F.col("one.h").alias("_h"))
         .agg(F.collect_list(F.struct("gram", "context", F.col("one.spot").alias("spot"), (F.col("rivals") > GROUP).alias("split"))).alias("wanted"))
     )
-    # Repeated rows have equal bytes; one of them is enough here.
+    texts = packed(keyed)
     fetched = cut(
-        keyed.join(wanted, keyed["doc_id"].eqNullSafe(wanted["_id"]) & (keyed["h"] == wanted["_h"]))
-        .select("text", "wanted")
+        texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["_id"]) & (texts["h"] == wanted["_h"]))
+        .select("packed", "wanted")
         .mapInArrow(_fetch, _CONTEXTS)
     )
     spread = shuffle_width(keyed.sparkSession)
@@ -434,12 +452,13 @@ def remove_repeats(docs: DataFrame, with_kept: bool = False) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")
     ).select("doc_id", F.xxhash64("text").alias("h"), "text")
     marks = repeated_spans(keyed).withColumnsRenamed({"doc_id": "_id", "h": "_h"})
-    joined = keyed.join(marks, keyed["doc_id"].eqNullSafe(marks["_id"]) & (keyed["h"] == marks["_h"]), "left").select("doc_id", "text", "marks")
+    texts = packed(keyed)
+    joined = texts.join(marks, texts["doc_id"].eqNullSafe(marks["_id"]) & (texts["h"] == marks["_h"]), "left").select("doc_id", "packed", "marks")
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text, found in zip(_raw(batch.column("text")), batch.column("marks").to_pylist()):
+            for text, found in zip(_unpacked(batch.column("packed")), batch.column("marks").to_pylist()):
                 kept, removed, spans = text, 0, 0
                 if found:
                     gone = covered(len(text), found)
