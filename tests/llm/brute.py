@@ -20,3 +20,30 @@ def remove_repeats(texts, length=200):
         kept = bytes(b for b, g in zip(r, gone) if not g)
         out.append((len(r), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
     return out
+
+
+def simhash(text, words=3):
+    import re
+
+    import xxhash
+
+    w = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())
+    shingles = [b" ".join(w[i : i + words]) for i in range(len(w) - words + 1)] if len(w) >= words else [b" ".join(w)] if w else []
+    hashes = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def components(n, linked):
+    parent = list(range(n))
+
+    def find(a):
+        while parent[a] != a:
+            a = parent[a]
+        return a
+
+    for a in range(n):
+        for b in range(a):
+            if linked(a, b):
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    return [find(a) for a in range(n)]
