@@ -85,28 +85,28 @@ def cox_stuart(values: np.ndarray, side: str = "positive", alpha: float | None =
     return bool((side in ("positive", "both") and up > down and slope > 0) or (side in ("negative", "both") and down > up and slope < 0))
 
 
+def _critical(n: int, alpha: float) -> float:
+    """How far one of n normal values may lie from their mean, in deviations."""
+    t = t_ppf(1 - alpha / (2 * n), n - 2)
+    return (n - 1) * t / math.sqrt((n - 2 + t * t) * n)
+
+
 def esd(values: np.ndarray, alpha: float = 0.05) -> np.ndarray:
-    """Rosner's test: remove the most deviating value again and again, keep as many as the last significant one."""
-    out = np.zeros(len(values), dtype=bool)
-    left = np.flatnonzero(np.isfinite(values))
-    order, last, n = [], 0, len(left)
-    for i in range(1, max(1, n // 2) + 1):
-        if len(left) < 3:
+    """The most deviating value is removed as long as it is significant; then each is tested against what is left."""
+    left = values[np.isfinite(values)]
+    while len(left) > 2:
+        worst = int(np.abs(left - left.mean()).argmax())
+        spread = left.std(ddof=1)
+        if spread == 0 or abs(left[worst] - left.mean()) / spread <= _critical(len(left), alpha):
             break
-        x = values[left]
-        std = x.std(ddof=1)
-        if std == 0:
-            break
-        worst = int(np.abs(x - x.mean()).argmax())
-        r = abs(x[worst] - x.mean()) / std
-        df = n - i - 1
-        t = t_ppf(1 - alpha / (2 * (n - i + 1)), df)
-        order.append(left[worst])
-        if r > (n - i) * t / math.sqrt((df + t * t) * (n - i + 1)):
-            last = i
         left = np.delete(left, worst)
-    out[order[:last]] = True
-    return out
+    n = len(left) + 1
+    if n < 3:
+        return np.zeros(len(values), dtype=bool)
+    mean = (values + left.sum()) / n
+    spread = np.sqrt(np.maximum((values**2 + (left**2).sum() - n * mean**2) / (n - 1), 0))
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return np.nan_to_num(np.abs(values - mean) / spread, nan=0.0) > _critical(n, alpha)
 
 
 def rolling_mean(values: np.ndarray, width: int) -> np.ndarray:
