@@ -113,7 +113,7 @@ def x08(spark, d):
 
 @query("x10_early_warning", f"""WITH {HR}, f AS (SELECT name, regr_slope(value, CAST(ts_ms AS DOUBLE)) AS a, regr_intercept(value, CAST(ts_ms AS DOUBLE)) AS b, max(ts_ms) AS l, arg_max(value, ts_ms) AS v FROM hr GROUP BY name)
  SELECT name, CASE WHEN v >= 50 THEN 'upper' WHEN v <= 10 THEN 'lower' WHEN b + a * (l + 3600000) >= 50 THEN 'future upper' ELSE 'normal' END AS status,
- CASE WHEN v > 10 AND v < 50 AND b + a * (l + 3600000) >= 50 THEN 1.0 END AS hours FROM f""")
+ CASE WHEN v > 10 AND v < 50 AND b + a * (l + 3600000) >= 50 THEN CAST(1 AS DOUBLE) END AS hours FROM f""")
 def x10(spark, d):
     h = hourly(spark, d)
     return K.early_warning(h, K.linear_forecast(h, KEY, 3_600_000, 1), KEY, 10.0, 50.0)

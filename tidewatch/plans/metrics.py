@@ -476,3 +476,30 @@ def d18(spark, d):
 def u08(spark, d):
     h = _hr(spark, d)
     return D.combine([D.threshold(h, KEY, 70.0), D.quantile(h, KEY, 0.95, 0.05)], KEY, "or").where("is_anomaly").select("name", "ts_ms")
+
+
+# --- expressions of the language ----------------------------------------------------------------
+
+_EXPR = f"""WITH {CNT}, g AS (SELECT unnest(range({START + 5 * DAY}, {START + 6 * DAY} + 1, 1800000)) AS t),
+ l AS (SELECT instance, ts_ms, CASE WHEN lag(value) OVER w IS NULL THEN 0 WHEN value < lag(value) OVER w THEN value ELSE value - lag(value) OVER w END AS d FROM cnt WHERE ts_ms BETWEEN {START + 5 * DAY - 7200000} AND {START + 6 * DAY} WINDOW w AS (PARTITION BY instance ORDER BY ts_ms)),
+ j AS (SELECT t, instance, ts_ms, d FROM g JOIN l ON ts_ms > t - 7200000 AND ts_ms <= t), i AS (SELECT t, instance, sum(d) - arg_min(d, ts_ms) AS v FROM j GROUP BY ALL HAVING count(*) > 1)"""
+
+
+def _counters(spark, d):
+    c = S.counter(spark, d)
+    return c.select("name", F.create_map(F.lit("instance"), "instance", F.lit("job"), F.lit("j")).alias("labels"), "ts_ms", "value")
+
+
+@query("s06_custom_query", _EXPR + " SELECT t AS ts_ms, CAST(ceil(sum(v)) AS DOUBLE) AS value FROM i WHERE regexp_full_match(instance, '[0-4]') GROUP BY t")
+def s06(spark, d):
+    from tidewatch.plans.language import evaluate
+
+    return evaluate(_counters(spark, d), "ceil(sum(increase(events_total{instance=~'[0-4]'}[2h])) by (job))", START + 5 * DAY, START + 6 * DAY, 1_800_000).drop("labels")
+
+
+@query("s16_derived_metric", _EXPR + ", r AS (SELECT t, instance, v / 7200 AS v, row_number() OVER (PARTITION BY t ORDER BY v DESC, instance) AS k FROM i) SELECT instance, t AS ts_ms, round(v, 8) AS value FROM r WHERE k <= 3")
+def s16_expr(spark, d):
+    from tidewatch.plans.language import evaluate
+
+    top = evaluate(_counters(spark, d), "topk(3, sum(rate(events_total[2h])) by (instance))", START + 5 * DAY, START + 6 * DAY, 1_800_000)
+    return top.select(F.col("labels")["instance"].alias("instance"), "ts_ms", F.round("value", 8).alias("value"))
