@@ -85,7 +85,7 @@ def log_statements(records: DataFrame, thread: str, order: str = "line_no") -> D
     depth = F.count_if(up.isin("BEGIN", "START TRANSACTION")).over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.count_if(up.isin("COMMIT", "ROLLBACK", "END")).over(w.rowsBetween(Window.unboundedPreceding, -1))
     folded = filled.withColumn("_in", depth > 0).withColumn("_tx", F.when(F.col("_in"), F.count_if(up.isin("BEGIN", "START TRANSACTION")).over(w.rowsBetween(Window.unboundedPreceding, 0))).otherwise(-F.col(order)))
     body = folded.where(~up.isin("BEGIN", "START TRANSACTION", "COMMIT", "ROLLBACK", "END"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "_sql"))), lambda s: F.regexp_replace(s["_sql"], r";?\s*$", ";")), "")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "_sql"))), lambda s: F.concat(F.regexp_replace(s["_sql"], r"[;\s]+$", ""), F.lit(";"))), "")
     return body.groupBy("file", thread, "_tx").agg(F.min(order).alias(order), joined.alias("statement")).drop("_tx")
 
 
