@@ -383,19 +383,20 @@ def _sort_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_spans(keyed: DataFrame) -> DataFrame:
     """(doc_id, h, marks array<struct<spot, stretches>>): the repeated windows of each text of ``keyed`` (doc_id, h, text)."""
     runs = find_anchors(keyed)
-    again = find_anchors(keyed).groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
+    # What is joined to a side that may be skewed is cut first: Spark splits a hot key only where
+    # both sides of the join come straight from a shuffle.
+    again = cut(find_anchors(keyed).groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"))
     candidates = cut(runs.join(again, "gram", "left_semi"))
-    contexts = candidates.groupBy("gram", "context").agg(
-        F.count(F.lit(1)).alias("times"), F.min(F.struct("doc_id", "h", "spot")).alias("one")
+    contexts = cut(
+        candidates.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("doc_id", "h", "spot")).alias("one"))
     )
-    rivals = contexts.groupBy("gram").agg(F.count(F.lit(1)).alias("rivals"))
-    contexts = cut(contexts.join(rivals, "gram"))
+    rivals = cut(contexts.groupBy("gram").agg(F.count(F.lit(1)).alias("rivals")).where("rivals > 1"))
     # Contexts that occur twice repeat whole; of the others, those with rivals are compared.
     whole = contexts.where("times > 1").select(
         "gram", "context", F.array(F.lit(0), F.col("one.spot").bitwiseAND(255).cast("int")).alias("stretches")
     )
     wanted = (
-        contexts.where("rivals > 1")
+        contexts.join(rivals, "gram")
         .groupBy(F.col("one.doc_id").alias("_id"), F.col("one.h").alias("_h"))
         .agg(F.collect_list(F.struct("gram", "context", F.col("one.spot").alias("spot"), (F.col("rivals") > GROUP).alias("split"))).alias("wanted"))
     )
@@ -414,11 +415,11 @@ def repeated_spans(keyed: DataFrame) -> DataFrame:
         .mapInArrow(_sort_groups, "gram long, context long, stretches array<int>")
     )
     split = fetched.where("window is not null").select("gram", "context", "spot", "window")
-    often = split.distinct().groupBy("window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("window")
+    often = cut(split.distinct().groupBy("window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("window"))
     by_window = split.join(often, "window", "left_semi").select(
         "gram", "context", F.array(F.col("spot").cast("int"), F.col("spot").cast("int")).alias("stretches")
     )
-    verdicts = whole.unionByName(by_sorting).unionByName(by_window)
+    verdicts = cut(whole.unionByName(by_sorting).unionByName(by_window))
     return (
         candidates.join(verdicts, ["gram", "context"])
         .groupBy("doc_id", "h")
