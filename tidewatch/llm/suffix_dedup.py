@@ -32,8 +32,9 @@ BLOCK = 1 << 18
 SHALLOW = 8
 #: Distinct contexts that a gram may have to be sorted in one task; beyond, each window is a key.
 GROUP = 4000
-#: Contexts sorted together.
+#: Contexts sorted together, and texts unpacked together.
 BATCH = 20_000
+ROWS = 256
 
 _TABLE = np.random.default_rng(200).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
@@ -135,6 +136,13 @@ def packed(keyed: DataFrame) -> DataFrame:
     return keyed.mapInArrow(kernel, "doc_id long, h long, packed binary")
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A few rows at a time, so that unpacked texts need little memory."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def _unpacked(column: pa.Array) -> list[bytes]:
     expand = zstandard.ZstdDecompressor().decompress
     return [expand(b) for b in column.to_pylist()]
@@ -336,7 +344,7 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of each wanted run; for grams with very many contexts a digest of each window instead."""
     names = ["gram", "context", "spot", "bytes", "window"]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-    for batch in batches:
+    for batch in _slices(batches):
         rows: list[tuple] = []
         texts = _unpacked(batch.column("packed"))
         for text, wanted in zip(texts, batch.column("wanted").to_pylist()):
@@ -457,7 +465,7 @@ def remove_repeats(docs: DataFrame, with_kept: bool = False) -> DataFrame:
     joined = texts.join(marks, texts["doc_id"].eqNullSafe(marks["_id"]) & (texts["h"] == marks["_h"]), "left").select("doc_id", "packed", "marks")
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             rows = []
             for text, found in zip(_unpacked(batch.column("packed")), batch.column("marks").to_pylist()):
                 kept, removed, spans = text, 0, 0
