@@ -43,14 +43,19 @@ def shifted_correlation(target: DataFrame, others: DataFrame, keys: list[str], r
     return c.groupBy(*keys).agg(best.alias("_b")).select(*keys, "_b.shift", "_b.coefficient")
 
 
+def _line(x: str) -> dict:
+    """Aggregates of a line through (x, value)."""
+    flat, xs = F.min("value") == F.max("value"), F.col(x).cast("double")
+    return {
+        "slope": F.when(flat, 0.0).otherwise(F.regr_slope("value", xs)),
+        "intercept": F.when(flat, F.min("value")).otherwise(F.regr_intercept("value", xs)),
+        "r2": F.when(flat, 1.0).otherwise(F.regr_r2("value", xs)),
+    }
+
+
 def line_fit(df: DataFrame, keys: list[str], x: str = "ts_ms") -> DataFrame:
     """(keys, slope, intercept, r2); a constant series is a flat line that explains everything."""
-    xs = F.col(x).cast("double")
-    return df.groupBy(*keys).agg(
-        F.when(F.min("value") == F.max("value"), 0.0).otherwise(F.regr_slope("value", xs)).alias("slope"),
-        F.when(F.min("value") == F.max("value"), F.min("value")).otherwise(F.regr_intercept("value", xs)).alias("intercept"),
-        F.when(F.min("value") == F.max("value"), 1.0).otherwise(F.regr_r2("value", xs)).alias("r2"),
-    )
+    return df.groupBy(*keys).agg(*(c.alias(n) for n, c in _line(x).items()))
 
 
 def change_significance(df: DataFrame, keys: list[str], current: str, how: str = "mean", least: float = 0.5) -> DataFrame:
@@ -89,9 +94,10 @@ def amplify(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def linear_forecast(df: DataFrame, keys: list[str], step: int, steps: int) -> DataFrame:
     """(keys, ts_ms, value): the series' line carried on from its last sample."""
-    last = df.groupBy(*keys).agg(F.max("ts_ms").alias("_last"))
-    ahead = line_fit(df, keys).join(last, keys).withColumn("_k", F.explode(F.sequence(F.lit(1), F.lit(steps))))
-    return ahead.select(*keys, (F.col("_last") + F.col("_k") * step).alias("ts_ms")).join(line_fit(df, keys), keys).select(*keys, "ts_ms", (F.col("intercept") + F.col("slope") * F.col("ts_ms")).alias("value"))
+    line = _line("ts_ms")
+    fitted = df.groupBy(*keys).agg(F.max("ts_ms").alias("_last"), line["slope"].alias("_slope"), line["intercept"].alias("_base"))
+    ahead = fitted.withColumn("ts_ms", F.explode(F.expr(f"sequence(_last + {step}, _last + {step * steps}, {step}L)")))
+    return ahead.select(*keys, "ts_ms", (F.col("_base") + F.col("_slope") * F.col("ts_ms")).alias("value"))
 
 
 def forecast(df: DataFrame, keys: list[str], step: int, steps: int, low: float = -math.inf, high: float = math.inf) -> DataFrame:

@@ -100,10 +100,17 @@ def align(df: DataFrame, keys: list[str], step: int) -> DataFrame:
 
 
 def fill_grid(df: DataFrame, keys: list[str], step: int) -> DataFrame:
-    """Every point of each series' grid from its first to its last sample; missing values are NULL."""
-    bounds = df.groupBy(*keys).agg(F.min("ts_ms").alias("_a"), F.max("ts_ms").alias("_b"))
-    grid = bounds.select(*keys, F.explode(F.expr(f"sequence(_a, _b, {step}L)")).alias("ts_ms"))
-    return grid.join(df, [*keys, "ts_ms"], "left")
+    """Every point of each series' grid from its first to its last sample; missing values are NULL.
+
+    A sample stands for the points up to the next one, so a window and a generated range replace a
+    join; samples that are off the grid of the first one are left out.
+    """
+    w = _series(keys)
+    others = [c for c in df.columns if c not in (*keys, "ts_ms")]
+    first = F.first("ts_ms").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    on = df.withColumn("_first", first).where((F.col("ts_ms") - F.col("_first")) % step == 0).drop("_first")
+    points = on.withColumn("_next", F.lead("ts_ms").over(w)).withColumn("_t", F.explode(F.expr(f"sequence(ts_ms, coalesce(_next - {step}, ts_ms), {step}L)")))
+    return points.select(*keys, F.col("_t").alias("ts_ms"), *(F.when(F.col("_t") == F.col("ts_ms"), F.col(c)).alias(c) for c in others))
 
 
 def interpolate(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -190,11 +197,11 @@ def find_gaps(df: DataFrame, keys: list[str], start: int, end: int, step: int) -
     """(keys, start_ms, end_ms): what of the grid from start to end the intervals leave out."""
     merged = merge_intervals(df.where((F.col("end_ms") >= start) & (F.col("start_ms") <= end)), keys, slack=step)
     w = Window.partitionBy(*keys).orderBy("start_ms")
-    between = merged.select(*keys, (F.col("end_ms") + step).alias("start_ms"), (F.lead("start_ms").over(w) - step).alias("end_ms")).where("end_ms is not null")
-    sides = merged.groupBy(*keys).agg(F.min("start_ms").alias("_a"), F.max("end_ms").alias("_b"))
-    head = sides.select(*keys, F.lit(start).cast("long").alias("start_ms"), (F.col("_a") - step).alias("end_ms"))
-    tail = sides.select(*keys, (F.col("_b") + step).alias("start_ms"), F.lit(end).cast("long").alias("end_ms"))
-    return between.unionByName(head).unionByName(tail).where("start_ms <= end_ms")
+    gap = lambda a, b: F.struct(a.cast("long").alias("start_ms"), b.cast("long").alias("end_ms"))
+    after = gap(F.col("end_ms") + step, F.coalesce(F.lead("start_ms").over(w) - step, F.lit(end)))
+    before = F.when(F.row_number().over(w) == 1, gap(F.lit(start), F.col("start_ms") - step))
+    each = merged.withColumn("_gaps", F.array_compact(F.array(before, after)))
+    return each.select(*keys, F.explode("_gaps").alias("_g")).select(*keys, "_g.start_ms", "_g.end_ms").where("start_ms <= end_ms")
 
 
 def concatenate(first: DataFrame, later: DataFrame, keys: list[str]) -> DataFrame:
