@@ -102,10 +102,8 @@ def near_groups(docs: DataFrame) -> DataFrame:
     joined = linked.join(classes, "fp")
     smallest = joined.groupBy("root").agg(F.min("first_id").alias("component_id"))
     moved = linked.join(smallest, "root").select("fp", "component_id")
-    named = (
-        classes.join(moved, "fp", "left")
-        .select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
-    )
+    # Cut, so that both sides of the last join come straight from a shuffle and a hot one is split.
+    named = cut(classes.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id")))
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
