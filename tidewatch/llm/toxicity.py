@@ -18,6 +18,8 @@ SAMPLE = 8000
 #: Every how many-th fitted text calibrates the document score instead of the field.
 HELD = 4
 EPOCHS = 25
+#: How far, as a logarithm, a feature's odds must exceed the number of features tried.
+CERTAINTY = 3.0
 #: Words of a training sequence; longer texts are cut into several, which lose one transition at each cut.
 SEGMENT = 256
 #: Words whose potentials a worker remembers, and cells of a padded matrix, at most.
@@ -165,14 +167,17 @@ def _logistic(x: np.ndarray, y: np.ndarray, penalty: float, rounds: int = 50) ->
 def _telling(docs: list[np.ndarray], toxic: np.ndarray, of_type: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which features tell of toxic texts, and in how many texts each is.
 
-    A feature tells if it is found in enough toxic texts (3, and a hundredth of them) and almost no
-    clean ones, by texts and not by occurrences.
+    A feature tells if nine in ten of its texts or more are toxic, and so many that chance would not
+    bring forth even one such feature among all: by texts, and not by occurrences.
     """
     counts = np.zeros((2, int(of_type.max(initial=-1)) + 1), dtype=np.int64)
     for types, y in zip(docs, toxic):
         counts[int(y), np.unique(of_type[np.unique(types)])] += 1
-    least = max(3, int(toxic.sum()) // 100)
-    return (counts[1] >= least) & (counts[1] >= 9 * counts[0]), counts.sum(axis=0)
+    clean, bad = counts
+    n, base = counts.sum(axis=0), toxic.mean()
+    share = bad / np.maximum(n, 1)
+    gain = bad * np.log(np.maximum(share, 1e-9) / base) + clean * np.log(np.maximum(1 - share, 1e-9) / (1 - base))
+    return (share >= 0.9) & (gain >= np.log(max(1, int((n > 1).sum()))) + CERTAINTY), n
 
 
 def fit(labelled: Iterable[tuple[str | None, int]]) -> Model:
