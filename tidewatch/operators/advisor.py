@@ -159,3 +159,36 @@ def label_weights(library: DataFrame) -> DataFrame:
     total = F.sum("_w").over(Window.partitionBy("label"))
     share = left.select("label", "i", F.coalesce(F.col("_w") / F.nullif(total, F.lit(0.0)), F.lit(0.0)).alias("w"))
     return share.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "w"))), lambda s: s["w"]).alias("weight"))
+
+
+def grown_candidates(columns: DataFrame, most: int = 3, least: float = 0.05) -> DataFrame:
+    """(table_name, columns, gain): indexes of one column, then of one more column as long as a table's best gains enough.
+
+    ``columns`` has table_name, column and the benefit of the column on its own; a wider index gains what its
+    columns gain, each further one half as much as the one before it.
+    """
+    ranked = columns.withColumn("_k", F.row_number().over(Window.partitionBy("table_name").orderBy(F.col("benefit").desc(), "column")))
+    upto = Window.partitionBy("table_name").orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)
+    gain = F.sum(F.col("benefit") / F.pow(F.lit(2.0), F.col("_k") - 1)).over(upto)
+    wide = ranked.where(F.col("_k") <= most).withColumn("columns", F.array_join(F.collect_list("column").over(upto), ",")).withColumn("gain", gain)
+    before = F.lag("gain").over(Window.partitionBy("table_name").orderBy("_k"))
+    return wide.withColumn("_before", before).where(F.col("_before").isNull() | (F.col("gain") >= F.col("_before") * (1 + least))).select("table_name", "columns", "gain")
+
+
+def swarm(cost, low: list[float], high: list[float], particles: int = 20, rounds: int = 60, seed: int = 0) -> tuple[list[float], float]:
+    """Particle-swarm search for the least ``cost`` (a function of a point) in a box."""
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    a, b = np.array(low, float), np.array(high, float)
+    at = rng.uniform(a, b, (particles, len(a)))
+    speed = np.zeros_like(at)
+    own, own_cost = at.copy(), np.array([cost(x.tolist()) for x in at])
+    for _ in range(rounds):
+        best = own[own_cost.argmin()]
+        speed = 0.7 * speed + 1.5 * rng.random(at.shape) * (own - at) + 1.5 * rng.random(at.shape) * (best - at)
+        at = np.clip(at + speed, a, b)
+        now = np.array([cost(x.tolist()) for x in at])
+        better = now < own_cost
+        own[better], own_cost[better] = at[better], now[better]
+    return own[own_cost.argmin()].tolist(), float(own_cost.min())

@@ -162,3 +162,22 @@ def alarms(df: DataFrame, keys: list[str], level: int, content: str) -> DataFram
     """One alarm a series with anomalies, from its first to its last."""
     hits = df.where("is_anomaly").groupBy(*keys).agg(F.min("ts_ms").alias("start_ms"), F.max("ts_ms").alias("end_ms"), F.count(F.lit(1)).alias("n"))
     return hits.withColumn("level", F.lit(level)).withColumn("content", F.lit(content))
+
+
+#: Detections that run without configuration: (metric, detector, arguments).
+PREDEFINED = {
+    "high_disk_usage": (("os_disk_usage", "threshold", {"high": 0.8, "share": 0.8}),),
+    "high_memory_usage": (("os_mem_usage", "threshold", {"high": 0.8, "share": 0.8}),),
+    "high_cpu_usage": (("os_cpu_user_usage", "threshold", {"high": 0.8, "share": 0.8}),),
+    "memory_leak": (("os_mem_usage", "spike", {"side": "positive"}), ("os_mem_usage", "threshold", {"high": 0.8})),
+    "qps_spike": (("qps", "spike", {"side": "both"}),),
+}
+
+
+def run_predefined(name: str, samples: DataFrame, keys: list[str], metric: str = "name", rename: dict[str, str] | None = None) -> DataFrame:
+    """A predefined detection over samples of all metrics; ``rename`` maps its metrics to those at hand."""
+    parts = []
+    for needed, kind, arguments in PREDEFINED[name]:
+        chosen = samples.where(F.col(metric) == (rename or {}).get(needed, needed))
+        parts.append(REGISTRY[kind](chosen, keys, **arguments))
+    return combine(parts, keys)

@@ -180,3 +180,70 @@ def own_cost(tree: DataFrame, key: str) -> DataFrame:
     """Adds ``own_cost``: the total less what its children cost in total."""
     children = tree.where("parent is not null").groupBy(key, F.col("parent").alias("node")).agg(F.sum("total_cost").alias("_below"))
     return tree.join(children, [key, "node"], "left").withColumn("own_cost", F.greatest(F.col("total_cost") - F.coalesce("_below", F.lit(0.0)), F.lit(0.0))).drop("_below")
+
+
+def sorted_operators(tree: DataFrame, key: str) -> DataFrame:
+    """Adds ``place``: operators by own cost, largest first, sorts before all others."""
+    from pyspark.sql import Window
+
+    order = Window.partitionBy(key).orderBy(F.col("name").contains("Sort").desc(), F.col("own_cost").desc(), "node")
+    return tree.withColumn("place", F.row_number().over(order))
+
+
+def plan_complexity(nodes: DataFrame, key: str) -> DataFrame:
+    """(key, joins, height) of each plan; a level is a distinct indent."""
+    join = F.col("name").rlike("Join|Nested Loop")
+    return nodes.groupBy(key).agg(F.count_if(join).alias("joins"), F.count_distinct("indent").alias("height"))
+
+
+def poor_joins(tree: DataFrame, key: str, rate: float = 0.02, nested: int = 10_000, large: int = 50_000) -> DataFrame:
+    """(key, node, reason): costly joins whose inputs are too large for their kind."""
+    inputs = tree.where("parent is not null").groupBy(key, F.col("parent").alias("node")).agg(F.min("rows").alias("_least"), F.max("rows").alias("_most"))
+    whole = tree.groupBy(key).agg(F.max("total_cost").alias("_whole"))
+    costly = tree.where(F.col("name").rlike("Join|Nested Loop")).join(inputs, [key, "node"]).join(whole, key).where(F.col("own_cost") >= rate * F.col("_whole"))
+    reason = F.when(F.col("name").contains("Nested Loop") & (F.col("_least") >= nested), "nested loop over large inputs").when(F.col("name").contains("Merge"), "merge join").when(F.col("_most") >= large, "large join")
+    return costly.withColumn("reason", reason).where("reason is not null").select(key, "node", "reason")
+
+
+def placeholders(sql: Column) -> Column:
+    """Each ? becomes $1, $2, ... in order."""
+    parts = F.split(sql, r"\?")
+    numbered = F.transform(parts, lambda p, k: F.when(k == 0, p).otherwise(F.concat(F.lit("$"), k.cast("string"), p)))
+    return F.array_join(numbered, "")
+
+
+def formatted(sql: Column) -> Column:
+    """Keywords in upper case at the beginning of lines."""
+    out = F.trim(F.regexp_replace(sql, r"\s+", " "))
+    for word in ("select", "from", "where", "group by", "having", "order by", "limit", "union all", "set", "values"):
+        out = F.regexp_replace(out, rf"(?i)\s*\b{word.replace(' ', ' +')}\b", f"\n{word.upper()}")
+    return F.trim(F.regexp_replace(out, r"^\n", ""))
+
+
+def fine_template(sql: Column, tables: list[str], columns: list[str]) -> Column:
+    """A template whose tables and columns have no names either."""
+    out = templatise(sql)
+    for names, mark in ((tables, "tab"), (columns, "col")):
+        out = F.regexp_replace(out, rf"\b({'|'.join(n.upper() for n in names)})\b", mark) if names else out
+    return out
+
+
+def predict_duration(statements: DataFrame, model: DataFrame, text: str, nearest: int = 3) -> DataFrame:
+    """(text, seconds, status): the model's value for a known template, else that of similar ones, weighted by similarity.
+
+    Unknown templates meet only model templates of the same kind and first table, which is what the join hashes on.
+    """
+    from tidewatch.operators.results import top_in_group
+
+    asked = statements.withColumn("template", templatise(F.col(text)))
+    known = asked.join(model.select("template", "expected"), "template", "left")
+    exact = known.where("expected is not null").select(text, F.col("expected").alias("seconds"), F.lit("Fine match").alias("status"))
+    bad = known.where("expected is null").where(illegal(F.col(text))).select(text, F.lit(None).cast("double").alias("seconds"), F.lit("Suspect illegal sql").alias("status"))
+    head = lambda c: F.concat_ws(" ", F.split_part(c, F.lit(" "), F.lit(1)), F.regexp_extract(c, r"(?:FROM|INTO|UPDATE) (\w+)", 1))
+    rest = known.where("expected is null").where(~illegal(F.col(text))).select(text, "template").withColumn("_head", head(F.col("template")))
+    near = rest.join(model.select(F.col("template").alias("_t"), "expected", head(F.col("template")).alias("_head")), "_head")
+    scored = near.withColumn("_s", F.coalesce(inverse_levenshtein(F.col("template"), F.col("_t")), F.lit(1.0)))
+    best = top_in_group(scored, [text], [F.col("_s").desc(), F.col("_t")], nearest)
+    guessed = best.groupBy(text).agg((F.sum(F.col("_s") * F.col("expected")) / F.sum("_s")).alias("seconds")).withColumn("status", F.lit("No SQL template found"))
+    none = rest.join(guessed.select(text), text, "left_anti").select(text, F.lit(None).cast("double").alias("seconds"), F.lit("No SQL information").alias("status"))
+    return exact.unionByName(bad).unionByName(guessed).unionByName(none)

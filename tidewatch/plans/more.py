@@ -343,3 +343,83 @@ def u09(spark, d):
     # size >= a AND size >= 10 AND size <= a + 20 AND size <= 40, as one interval
     p = table(spark, d, "part").select("p_partkey", F.greatest("p_size", F.lit(10)).alias("low"), F.least(F.col("p_size") + 20, F.lit(40)).alias("high"))
     return p.withColumn("possible", F.col("low") <= F.col("high"))
+
+
+@query("c16_formatted", "SELECT n_nationkey, 'SELECT a' || chr(10) || 'FROM t' || n_nationkey || chr(10) || 'WHERE b = 1' AS sql FROM nation")
+def c16(spark, d):
+    text = F.concat(F.lit("select  a from t"), F.col("n_nationkey").cast("string"), F.lit("\n where b = 1"))
+    return table(spark, d, "nation").select("n_nationkey", Q.formatted(text).alias("sql"))
+
+
+@query("c17_placeholders", "SELECT n_nationkey, 'select $1 from t' || n_nationkey || ' where a = $2' AS sql FROM nation")
+def c17(spark, d):
+    text = F.concat(F.lit("select ? from t"), F.col("n_nationkey").cast("string"), F.lit(" where a = ?"))
+    return table(spark, d, "nation").select("n_nationkey", Q.placeholders(text).alias("sql"))
+
+
+@query("c02_fine_template", "SELECT 'SELECT col FROM tab WHERE col = ?' AS template, count(*) AS n FROM nation")
+def c02(spark, d):
+    text = F.concat(F.lit("select a from t where b = "), F.col("n_nationkey").cast("string"))
+    return table(spark, d, "nation").select(Q.fine_template(text, ["t"], ["a", "b"]).alias("template")).groupBy("template").agg(_n())
+
+
+@query("o07_sorted_operators", "SELECT p_partkey, unnest([1, 2, 3]) AS place, unnest(['Seq Scan on a', 'Join', 'Index Scan on b']) AS name FROM part WHERE p_partkey <= 100 AND p_size < 25")
+def o07(spark, d):
+    p = table(spark, d, "part").where("p_partkey <= 100 AND p_size < 25").withColumn("plan", F.expr(_PLAN.replace("100 + p_size", "85 + p_size")))
+    tree = Q.own_cost(Q.plan_tree(Q.plan_nodes(p, "p_partkey", "plan"), "p_partkey"), "p_partkey")
+    return Q.sorted_operators(tree, "p_partkey").select("p_partkey", "place", "name")
+
+
+@query("q26_plan_complexity", "SELECT p_partkey, CAST(1 AS BIGINT) AS joins, CAST(2 AS BIGINT) AS height FROM part WHERE p_partkey <= 200")
+def q26(spark, d):
+    p = table(spark, d, "part").where("p_partkey <= 200").withColumn("plan", F.expr(_PLAN))
+    return Q.plan_complexity(Q.plan_nodes(p, "p_partkey", "plan"), "p_partkey")
+
+
+@query("q23_poor_joins", "SELECT p_partkey, CAST(0 AS BIGINT) AS node, 'nested loop over large inputs' AS reason FROM part WHERE p_partkey <= 200 AND p_size >= 10")
+def q23(spark, d):
+    plan = "'Nested Loop  (cost=1.00..1000.50 rows=10 width=8)\n  ->  Seq Scan on a  (cost=0.00..40.00 rows=' || (p_size * 1000) || ' width=8)\n  ->  Index Scan on b  (cost=0.00..10.00 rows=900000 width=8)'"
+    p = table(spark, d, "part").where("p_partkey <= 200").withColumn("plan", F.expr(plan))
+    tree = Q.own_cost(Q.plan_tree(Q.plan_nodes(p, "p_partkey", "plan"), "p_partkey"), "p_partkey")
+    return Q.poor_joins(tree, "p_partkey", large=10_000_000)
+
+
+@query("g02_predicted_durations", "SELECT * FROM (VALUES ('select a from t where b = 7', 2.0, 'Fine match'), ('selec 1', NULL, 'Suspect illegal sql'), ('select z from unknown_table', NULL, 'No SQL information'), ('select a from t where b = 7 and c = 1', 2.0, 'No SQL template found')) t(sql, seconds, status)")
+def g02(spark, d):
+    model = spark.createDataFrame([("SELECT A FROM T WHERE B = ?", 2.0)], "template string, expected double")
+    asked = spark.createDataFrame([(s,) for s in ("select a from t where b = 7", "selec 1", "select z from unknown_table", "select a from t where b = 7 and c = 1")], "sql string")
+    return Q.predict_duration(asked, model, "sql")
+
+
+@query("i02_candidates", "WITH c AS (SELECT p_brand AS table_name, p_type AS c, sum(p_retailprice) AS b FROM part GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY table_name ORDER BY b DESC, c) AS k FROM c) SELECT table_name, c AS columns, round(b, 4) AS gain FROM r WHERE k = 1")
+def i02(spark, d):
+    c = table(spark, d, "part").groupBy(F.col("p_brand").alias("table_name"), F.col("p_type").alias("column")).agg(F.sum("p_retailprice").alias("benefit"))
+    return A.grown_candidates(c, most=1).withColumn("gain", F.round("gain", 4))
+
+
+@query("n06_swarm")
+def n06(spark, d):
+    point, cost = A.swarm(lambda x: (x[0] - 3) ** 2 + (x[1] + 1) ** 2, [-10, -10], [10, 10])
+    return spark.createDataFrame([(round(point[0], 3), round(point[1], 3), cost < 1e-3)], "x double, y double, found boolean")
+
+
+@query("d15_predefined", f"WITH {HR}, s AS (SELECT name, ts_ms, count(*) FILTER (value > 0.8) OVER (PARTITION BY name) >= 0.8 * count(*) OVER (PARTITION BY name) AS a FROM hr WHERE name = 'click') SELECT name, count(*) AS n FROM s WHERE a GROUP BY name")
+def d15(spark, d):
+    found = D.run_predefined("high_disk_usage", hourly(spark, d).drop("n"), KEY, rename={"os_disk_usage": "click"})
+    return found.where("is_anomaly").groupBy("name").agg(_n())
+
+
+@query("q36_summary", f"WITH {SLOW} SELECT instance, count(*) AS n, count(DISTINCT template) AS templates, count(*) FILTER (kind = 'SELECT') AS reads, round(avg(duration), 4) AS mean, round(max(duration), 4) AS longest FROM slow GROUP BY instance")
+def q36(spark, d):
+    return slow(spark, d).groupBy("instance").agg(_n(), F.count_distinct("template").alias("templates"), F.count_if(F.col("kind") == "SELECT").alias("reads"), F.round(F.avg("duration"), 4).alias("mean"), F.round(F.max("duration"), 4).alias("longest"))
+
+
+@query("g03_word_vectors")
+def g03(spark, d):
+    from pyspark.ml.feature import Word2Vec
+    from pyspark.ml.regression import LinearRegression
+
+    texts = slow(spark, d).select(F.split(F.concat_ws(" ", F.lower("kind"), "db", F.concat(F.lit("t"), "instance")), " ").alias("words"), F.col("duration").alias("label"))
+    vectors = Word2Vec(vectorSize=4, minCount=0, inputCol="words", outputCol="features", seed=1, maxIter=1).fit(texts).transform(texts)
+    model = LinearRegression(maxIter=20).fit(vectors)
+    return model.transform(vectors).select("label", F.col("prediction").alias("predicted"))
