@@ -2,6 +2,39 @@
 
 from tidewatch.llm.secrets import RULES
 
+OP1 = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+r AS (SELECT vec_id AS s, vec_id AS t FROM embeddings UNION SELECT r.s, l.y FROM r JOIN l ON l.x = r.t),
+c AS (SELECT s AS vec_id, min(t) AS component_id FROM r GROUP BY s),
+n AS (SELECT x AS vec_id, count(*) AS n_links FROM l GROUP BY x)
+SELECT c.vec_id, coalesce(n.n_links, 0) AS n_links, c.component_id, c.vec_id = c.component_id AS kept
+FROM c LEFT JOIN n ON c.vec_id = n.vec_id
+"""
+
+OP7 = """
+WITH tab AS (
+  SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+  FROM range(256) q(i)),
+d AS (SELECT doc_id, coalesce(text, '') AS text, strlen(coalesce(text, '')) + 1 AS size, hex(encode(coalesce(text, ''))) AS h FROM documents),
+k AS (
+  SELECT doc_id, size,
+         xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(0, len(h) // 2), lambda i: CAST('0x' || h[2 * i + 1:2 * i + 2] AS BIGINT))),
+                         lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), CAST(4294967295 AS BIGINT)) AS text_crc32
+  FROM d, tab),
+p AS (
+  SELECT *, sum(size) OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size ROWS UNBOUNDED PRECEDING) - size AS before, sum(size) OVER () AS total FROM k),
+s AS (SELECT *, CAST(before * 16 // total AS INT) AS shard FROM p)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS slot,
+       CAST(NULL AS INT) AS grown_shard
+FROM s
+"""
+
 OP9 = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size
@@ -63,4 +96,4 @@ FROM d LEFT JOIN f ON d.doc_id IS NOT DISTINCT FROM f.doc_id
 """
 
 
-ORACLES = {"op6_secret_scans": _op6(), "op9_mixing": OP9}
+ORACLES = {"op1_spherical_caps": OP1, "op7_sharding": OP7, "op6_secret_scans": _op6(), "op9_mixing": OP9}
