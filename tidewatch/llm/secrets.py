@@ -121,9 +121,9 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     spark = docs.sparkSession
     asked = [(r.kind, k, sorted(grams)) for r in rules for k, grams in enumerate(sorted(map(sorted, trigram_query(r.pattern)))) if grams]
     trigrams = sorted({g for *_, grams in asked for g in grams})
-    low = F.lower("text")
-    present = F.array_compact(F.array(*(F.when(F.contains(low, F.lit(g)), F.lit(g)) for g in trigrams)))
-    postings = docs.select("doc_id", F.explode(present).alias("trigram"))
+    present = F.array_compact(F.array(*(F.when(F.contains(F.col("_low"), F.lit(g)), F.lit(g)) for g in trigrams)))
+    # A projection of its own, so that a text is lower-cased once and not for each trigram.
+    postings = docs.select("doc_id", F.lower("text").alias("_low")).select("doc_id", F.explode(present).alias("trigram"))
     wanted = spark.createDataFrame([(kind, k, len(grams), g) for kind, k, grams in asked for g in grams], "kind string, branch int, need int, trigram string")
     # As many rows as the rules have trigrams, so the broadcast is bounded.
     met = (
