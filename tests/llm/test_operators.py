@@ -386,6 +386,24 @@ def test_mix(spark):
     assert sorted(map(str, mixing.mix(docs.repartition(5)).collect())) == sorted(map(str, mixing.mix(docs).collect()))
 
 
+@pytest.mark.parametrize("words", [(100, 200), (100, 200, 300), (60,) * 6, (10, 10, 10, 400)])
+def test_mix_of_sources_with_equal_caps_per_weight(spark, words):
+    docs = spark.createDataFrame([row(100 * s + i, "w " * (n // 10), chr(97 + s)) for s, n in enumerate(words) for i in range(10)], SCHEMA)
+    left, open_, target = float(sum(words)), set(range(len(words))), {}
+    while True:
+        level = left / sum(s % 3 + 1 for s in open_)
+        full = {s for s in open_ if 3 * words[s] <= level * (s % 3 + 1)}
+        if not full:
+            break
+        target |= {s: 3.0 * words[s] for s in full}
+        left -= sum(target[s] for s in full)
+        open_ -= full
+    target |= {s: level * (s % 3 + 1) for s in open_}
+    got = by_id(mixing.mix(docs))
+    assert all(math.isclose(r["target"], target[i // 100]) for i, r in got.items())
+    assert abs(sum(r["taken"] for r in got.values()) - sum(words)) <= sum(n // 10 for n in words)
+
+
 # --- 10 ------------------------------------------------------------------------------------------
 
 

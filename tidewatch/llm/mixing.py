@@ -22,7 +22,8 @@ def water_fill(sources: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
 
     Clamping a source and resharing its excess by weight ends at one water level L, where each
     target is the smaller of its cap and L times its weight. Sources sorted by cap per weight are
-    clamped in a prefix, and L is what is left over for the rest, by weight.
+    clamped in a prefix, and L is what is left over for the rest, by weight: the level of the first
+    source that is not clamped, also where others tie with its cap per weight.
     """
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -38,7 +39,8 @@ def water_fill(sources: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
         .withColumn("_left", F.sum("_weight").over(by_cap.rowsBetween(0, Window.unboundedFollowing)))
         .withColumn("_level", (F.col("_total") - F.col("_spent")) / F.col("_left"))
         .withColumn("_open", F.col("_cap") > F.col("_level") * F.col("_weight"))
-        .withColumn("_water", F.min_by(F.when(F.col("_open"), F.col("_level")), F.when(F.col("_open"), F.col("_ratio"))).over(everything))
+        .withColumn("_rank", F.row_number().over(by_cap))
+        .withColumn("_water", F.min_by(F.when(F.col("_open"), F.col("_level")), F.when(F.col("_open"), F.col("_rank"))).over(everything))
     )
     return levels.select(
         "source",
