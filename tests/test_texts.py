@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from tidewatch.operators import advisor as A
 from tidewatch.operators import results as R
 from tidewatch.operators import rewrite as W
@@ -67,3 +68,28 @@ def test_band_join_equals_nested_loop(spark):
 def test_tree_search_fits_the_room():
     worth, size = {1: 6.0, 2: 5.0, 3: 4.0}, {1: 3.0, 2: 2.0, 3: 2.0}
     assert A.tree_search(lambda s: sum(worth[i] for i in s), [1, 2, 3], size, 4.0) == ([2, 3], 9.0)
+
+
+def best_worth(worth, room):
+    best = [0.0] * (room + 1)
+    for size, w in worth.items():
+        for left in range(room, size - 1, -1):
+            best[left] = max(best[left], best[left - size] + w)
+    return best[room]
+
+
+def test_tree_search_equals_exact_knapsack():
+    rng = random.Random(8)
+    for _ in range(10):
+        worth = {i: rng.uniform(1, 100) * rng.choice([1, i]) for i in range(1, 51)}
+        chosen, value = A.tree_search(lambda s: sum(worth[i] for i in s), sorted(worth), {i: float(i) for i in worth}, 20.0, rounds=1000)
+        assert sum(chosen) <= 20 and abs(value - best_worth(worth, 20)) < 1e-6
+
+
+@pytest.mark.parametrize("heavy", [5, 13, 17, 20])
+def test_tree_search_query_takes_any_size_that_fits(spark, tmp_path, heavy):
+    worth = {i: 100.0 + i % 7 for i in range(1, 51)} | {heavy: 5000.0, 21: 90_000.0}
+    spark.createDataFrame(list(worth.items()), "p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    rows = entry.queries()["i08_tree_search"](spark, str(tmp_path)).collect()
+    assert heavy in {r["index_id"] for r in rows} and sum(r["index_id"] for r in rows) <= 20
+    assert abs(rows[0]["benefit"] - best_worth(worth, 20)) < 1e-6
