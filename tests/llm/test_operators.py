@@ -220,6 +220,14 @@ def test_keep_first_keeps_all_columns(odd):
     assert {2, 3, 7}.isdisjoint(r["doc_id"] for r in kept.collect())
 
 
+def test_keep_first_keeps_one_row_of_each_group(spark):
+    a, b, c, d = ("".join(f"{w}{i} " for i in range(40)) for w in "abcd")
+    rows = [row(1, a), row(1, a), row(2, a), row(1, b), row(5, b), row(None, c), row(None, c), row(None, d), row(7, d), row(None, "e f g"), row(None, None), row(8, None), row(8, ""), row(9, "i j k")]
+    kept = simhash.keep_first(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
+    got = sorted(((r["doc_id"], r["text"] or "") for r in kept), key=str)
+    assert got == sorted([(1, a), (1, b), (None, c), (7, d), (None, "e f g"), (8, ""), (9, "i j k")], key=str)
+
+
 # --- 5 -------------------------------------------------------------------------------------------
 
 

@@ -46,15 +46,15 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, fp): the fingerprint of every text as a signed long."""
+def fingerprints(docs: DataFrame, words: int = WORDS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp, *carry): the fingerprint of every text as a signed long; carried columns are longs without nulls."""
 
     def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             fps = np.array([fingerprint(t, words) for t in batch["text"]], dtype=np.uint64)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": fps.view(np.int64)})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": fps.view(np.int64)} | {c: batch[c] for c in carry})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(kernel, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carry).mapInPandas(kernel, ", ".join(f"{c} long" for c in ("doc_id", "fp", *carry)))
 
 
 def _halves(fp: Column) -> Column:
@@ -96,18 +96,31 @@ def near_groups(docs: DataFrame) -> DataFrame:
     are one shingle; repeated rows fall in one component; a null id never becomes a component's id
     unless all ids in it are null; an empty table gives no rows; other columns are ignored.
     """
-    fps = cut(fingerprints(docs))
+    return _grouped(docs).select("doc_id", "fp", "component_id")
+
+
+def _grouped(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp, *carry, root, component_id): ``root`` is the least fingerprint of a component, so it names it also where ids are null or repeat."""
+    fps = cut(fingerprints(docs, carry=carry))
     classes = fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     linked = components(near_pairs(classes)).withColumnsRenamed({"node": "fp", "component_id": "root"})
     joined = linked.join(classes, "fp")
     smallest = joined.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    moved = linked.join(smallest, "root").select("fp", "component_id")
+    moved = linked.join(smallest, "root").select("fp", "root", "component_id")
     # Cut, so that both sides of the last join come straight from a shuffle and a hot one is split.
-    named = cut(classes.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id")))
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = cut(classes.join(moved, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "first_id").alias("component_id")))
+    return fps.join(named, "fp").select("doc_id", "fp", *carry, "root", "component_id")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are the first of their near-duplicate group, with all their columns."""
-    kept = near_groups(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
+    """One row of ``docs`` for each near-duplicate group, with all its columns: that of least id, then of least digest of the text.
+
+    An id on texts of several groups stays once for each group it is the first of; null ids come
+    last; of repeated rows, those with the same id and text, one stays.
+    """
+    keyed = docs.withColumn("_h", F.xxhash64("text"))
+    key = F.struct(F.col("doc_id").cast("long").alias("doc_id"), "_h")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("_none"), "doc_id", "_h"))
+    kept = _grouped(keyed, carry=("_h",)).groupBy("root").agg(first.alias("_first")).select(F.struct("_first.doc_id", "_first._h").alias("_key"))
+    # Structs are equal where both ids are null; the rows come from the join dealt and sorted by the key.
+    return keyed.withColumn("_key", key).join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
