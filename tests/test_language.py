@@ -64,3 +64,7 @@ def test_names_and_arithmetic(samples):
 
 def test_leak_metrics(samples):
     assert set(L.leak_metrics(samples, "db_errors")) == {f"db_errors_total_{u}" for u in ("1m", "10m", "60m", "24h")}
+
+
+def test_leak_metrics_have_all_names(spark):
+    assert len(L.leak_metrics(spark.range(1200).selectExpr("concat('m_', id) AS name"), "m_")) == 4 * 1200

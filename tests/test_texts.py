@@ -93,3 +93,17 @@ def test_tree_search_query_takes_any_size_that_fits(spark, tmp_path, heavy):
     rows = entry.queries()["i08_tree_search"](spark, str(tmp_path)).collect()
     assert heavy in {r["index_id"] for r in rows} and sum(r["index_id"] for r in rows) <= 20
     assert abs(rows[0]["benefit"] - best_worth(worth, 20)) < 1e-6
+
+
+def test_ancestors_follow_chains_of_any_length_and_refuse_cycles(spark):
+    links = spark.createDataFrame([(i, i - 1 if i else None) for i in range(101)] + [(500, 499)], "a long, b long")
+    got = {r["a"]: (r["root"], r["depth"]) for r in R.ancestors(links, "a", "b").collect()}
+    assert got == {i: (0, i) for i in range(101)} | {500: (499, 1)}
+    for ring in ([(1, 2), (2, 3), (3, 1)], [(1, 1)]):
+        with pytest.raises(ValueError):
+            R.ancestors(spark.createDataFrame(ring, "a long, b long"), "a", "b")
+
+
+def test_greedy_takes_what_fits_behind_many_that_do_not(spark):
+    cost = spark.createDataFrame([(1, 0, 1000.0, 1)] + [(1, c, float(c), 1) for c in range(1, 152)], "query_id long, config_id long, cost double, freq long")
+    assert A.greedy(cost, 2, {c: 9.0 if c <= 150 else 1.0 for c in range(1, 152)}, 2.0) == [151]

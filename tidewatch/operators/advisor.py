@@ -36,13 +36,14 @@ def greedy(cost: DataFrame, most: int, storage: dict[int, float] | None = None,
     """Configurations chosen one after the other by what each adds; every round is one aggregate over the cost table."""
     chosen: list[int] = []
     current = cost.where(F.col("config_id") == origin).select("query_id", "freq", F.col("cost").alias("_now"))
-    while len(chosen) < most:
-        gain = cost.join(current.drop("freq"), "query_id").where(~F.col("config_id").isin([origin, *chosen])).groupBy("config_id").agg(F.sum(F.greatest(F.col("_now") - F.col("cost"), F.lit(0.0)) * F.col("freq")).alias("gain"))
-        # One row a configuration; the best few are enough to respect the room that is left.
-        ranked = gain.where("gain > 0").orderBy(F.col("gain").desc(), "config_id").limit(100).collect()
-        fitting = next((r["config_id"] for r in ranked if (storage or {}).get(r["config_id"], 0) <= room), None)
-        if fitting is None:
+    while len(chosen) < most and room >= 0:
+        wide = [c for c, size in (storage or {}).items() if size > room]
+        gain = cost.join(current.drop("freq"), "query_id").where(~F.col("config_id").isin([origin, *chosen, *wide])).groupBy("config_id").agg(F.sum(F.greatest(F.col("_now") - F.col("cost"), F.lit(0.0)) * F.col("freq")).alias("gain"))
+        # One row a configuration that fits the room that is left; the others are no candidates any more.
+        best = gain.where("gain > 0").orderBy(F.col("gain").desc(), "config_id").first()
+        if best is None:
             break
+        fitting = best["config_id"]
         chosen.append(fitting)
         room -= (storage or {}).get(fitting, 0)
         step = cost.where(F.col("config_id") == fitting).select("query_id", F.col("cost").alias("_new"))

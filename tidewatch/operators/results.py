@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -112,11 +114,21 @@ def band_join(left: DataFrame, right: DataFrame, a: str, b: str, width: int) ->
     return met.where(F.col(b).between(F.col(a), F.col(a) + width)).drop("_bucket")
 
 
-def ancestors(df: DataFrame, child: str, parent: str, most: int = 32) -> DataFrame:
-    """(child, root, depth) by doubling: each round follows as many links as all before it."""
+def ancestors(df: DataFrame, child: str, parent: str) -> DataFrame:
+    """(child, root, depth) by doubling: each round follows as many links as all before it, until no top has a parent.
+
+    Raises ValueError on a cycle, where a depth passes the number of links.
+    """
     links = df.select(F.col(child).alias("node"), F.col(parent).alias("up"))
-    chain = links.select("node", F.coalesce("up", "node").alias("top"), F.when(F.col("up").isNull(), 0).otherwise(1).alias("depth"))
-    for _ in range(max(1, most - 1).bit_length()):
-        far = chain.select(F.col("node").alias("top"), F.col("top").alias("_top"), F.col("depth").alias("_more"))
+    chain = links.select("node", F.coalesce("up", "node").alias("top"), F.when(F.col("up").isNull(), F.lit(0)).otherwise(F.lit(1)).cast("long").alias("depth"))
+    n, context = links.where("up IS NOT NULL").count(), df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    while True:
+        chain = chain.checkpoint()
+        far = chain.where("depth > 0").select(F.col("node").alias("top"), F.col("top").alias("_top"), F.col("depth").alias("_more"))
+        if (chain.agg(F.max("depth")).first()[0] or 0) > n:
+            raise ValueError(f"{child} and {parent} form a cycle")
+        if chain.join(far, "top", "left_semi").isEmpty():
+            return chain.select(F.col("node").alias(child), F.col("top").alias("root"), "depth")
         chain = chain.join(far, "top", "left").select("node", F.coalesce("_top", "top").alias("top"), (F.col("depth") + F.coalesce("_more", F.lit(0))).alias("depth"))
-    return chain.select(F.col("node").alias(child), F.col("top").alias("root"), "depth")

@@ -313,7 +313,7 @@ DERIVED = derived()
 
 def leak_metrics(samples: DataFrame, prefix: str) -> dict[str, str]:
     """Expressions for the metrics whose name begins with ``prefix``, for each time unit."""
-    names = [r["name"] for r in samples.where(F.col("name").startswith(prefix)).select("name").distinct().orderBy("name").limit(1000).collect()]
+    names = [r["name"] for r in samples.where(F.col("name").startswith(prefix)).select("name").distinct().orderBy("name").collect()]
     return {f"{n}_{unit}": LEAK.format(n, unit) for n in names for unit in LEAK_UNITS}
 
 
