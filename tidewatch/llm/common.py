@@ -16,11 +16,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names.
 
-    Only where the session names none (tests on one machine) a folder of its own is set.
+    Where the session names none, a local master gets a folder of its own; a cluster is refused, as
+    its executors would not share the driver's folder.
     """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidewatch-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -47,6 +50,19 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def join_hot(rows: DataFrame, facts: DataFrame, key: str, weight: str, total: int, share: int = 1000) -> DataFrame:
+    """``rows`` inner-joined to ``facts`` on ``key``, which is unique and not null in ``facts``; ``weight`` is dropped.
+
+    ``weight`` is how many of the ``total`` rows a key has. Fewer than ``share`` keys can have more
+    than a ``share``-th of all rows; these are broadcast, so their rows stay where they are. The
+    rows of all other keys are shuffled, and no key puts more than that share in one task.
+    """
+    hot = F.col(weight) * share > total
+    often, seldom = facts.where(hot).drop(weight), facts.where(~hot).drop(weight)
+    rest = rows.join(F.broadcast(often.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(often), key).unionByName(rest.join(seldom, key))
+
+
 def global_prefix(df: DataFrame, order: list[Column], value: str) -> DataFrame:
     """Add ``rows_before``, ``sum_before`` and ``sum_total``: rows and sum of ``value`` ahead of each row in ``order``, and of all.
 
@@ -83,26 +99,25 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component_id) for every node of ``links`` (a, b): the smallest node reachable.
 
     Alternates large-star and small-star steps. Each step is a minimum per node, which combines
-    before the shuffle, and a join back, whose skew Spark can split; lineage is cut every round.
-    Nodes are any ordered type. Raises RuntimeError if ``max_rounds`` rounds do not suffice.
+    before the shuffle, and a join back, in which the rows of nodes with very many links are not
+    shuffled; lineage is cut every round. Nodes are any ordered type. Raises RuntimeError if
+    ``max_rounds`` rounds do not suffice.
     """
     edges = cut(
         links.where("a <> b")
         .select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo"))
         .distinct()
     )
-    before = None
+    before, size = None, edges.count()
     for _ in range(max_rounds):
         both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(
             edges.select(F.col("lo").alias("u"), F.col("hi").alias("v"))
         )
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = (
-            both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
-        )
-        down = large.groupBy("hi").agg(F.min("lo").alias("m"))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = join_hot(both.where("v > u"), least, "u", "n", size).select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
+        down = large.groupBy("hi").agg(F.min("lo").alias("m"), F.count(F.lit(1)).alias("n"))
         small = (
-            large.join(down, "hi")
+            join_hot(large, down, "hi", "n", size)
             .select(F.explode(F.array(F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")), F.struct("hi", F.col("m").alias("lo")))).alias("e"))
             .select("e.hi", "e.lo")
             .where("hi <> lo")
@@ -114,7 +129,7 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         ).first()
         if tuple(stats) == before:
             break
-        before = tuple(stats)
+        before, size = tuple(stats), stats[0]
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     stars = edges.groupBy("hi").agg(F.min("lo").alias("component_id")).withColumnRenamed("hi", "node")
