@@ -65,24 +65,29 @@ def ks_2samp(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def cox_stuart(values: np.ndarray, side: str = "positive", alpha: float | None = None) -> bool:
+    """Whether the second half of the values lies above (positive) or below (negative) the first, and their line agrees.
+
+    Values are paired at half the length; of an odd number the last has no partner. Without
+    ``alpha`` the level is twice the binomial distribution over all values, just before its first
+    rise by more than 1e-5, and the test value is read off the same distribution.
+    """
     values = values[np.isfinite(values)]
     n = len(values)
-    if n < 2:
-        return False
     half = n // 2
-    gap = values[n - half :] - values[:half]
+    if not half:
+        return False
+    gap = values[half : 2 * half] - values[:half]
     up, down = int((gap > 0).sum()), int((gap < 0).sum())
     slope = np.polyfit(np.arange(n), values, 1)[0]
     if alpha is None:
-        # The level at which the test's distribution starts to rise.
-        steps = [2 * binom_cdf(k, n) for k in range(half + 1)]
-        alpha, trials = next((b for a, b in zip(steps, steps[1:]) if b - a > 1e-5), steps[-1]), n
+        table = [2 * binom_cdf(k, n) for k in range(half + 1)]
+        level = next(a for a, b in zip(table, table[1:]) if b - a > 1e-5)
+        chance = table.__getitem__
     else:
-        trials = up + down
-    p = min(1.0, 2 * binom_cdf(min(up, down), trials))
-    if p > alpha:
-        return False
-    return bool((side in ("positive", "both") and up > down and slope > 0) or (side in ("negative", "both") and down > up and slope < 0))
+        level, chance = alpha, lambda against: 2 * binom_cdf(against, up + down)
+    rising = up >= down and slope > 0 and chance(down) < level
+    falling = down >= up and slope < 0 and chance(up) < level
+    return bool((rising and side in ("positive", "both")) or (falling and side in ("negative", "both")))
 
 
 def _critical(n: int, alpha: float) -> float:
@@ -191,25 +196,50 @@ def seasonal_outliers(values: np.ndarray, outliers=(None, 3), side: str = "posit
 # --- forecasting -------------------------------------------------------------------------------
 
 
+def ols(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """(coefficients, their t-values, BIC) of a least-squares fit by the pseudo-inverse."""
+    inverse = np.linalg.pinv(x.T @ x)
+    beta = inverse @ x.T @ y
+    rest = y - x @ beta
+    spread = rest @ rest / max(1, len(y) - x.shape[1])
+    t = beta / np.sqrt(np.maximum(spread * np.diag(inverse), 1e-300))
+    return beta, t, len(y) * math.log(max(rest @ rest / len(y), 1e-300)) + x.shape[1] * math.log(len(y))
+
+
 def adf(values: np.ndarray) -> tuple[float, int]:
     """The Dickey-Fuller statistic with a constant, its lags chosen by BIC."""
     n, dy = len(values), np.diff(values)
     most = max(0, min(int(math.ceil(12 * (n / 100) ** 0.25)), n // 2 - 2))
     best = (math.inf, 0.0, 0)
     for lags in range(most + 1):
-        y = dy[most:]
-        x = np.column_stack([values[most:-1], np.ones(len(y)), *(dy[most - k : len(dy) - k] for k in range(1, lags + 1))])
-        beta, *_ = np.linalg.lstsq(x, y, rcond=None)
-        rest = y - x @ beta
-        dof = max(1, len(y) - x.shape[1])
-        s2 = rest @ rest / dof
-        bic = len(y) * math.log(max(rest @ rest / len(y), 1e-300)) + x.shape[1] * math.log(len(y))
+        x = np.column_stack([values[most:-1], np.ones(len(dy) - most), *(dy[most - k : len(dy) - k] for k in range(1, lags + 1))])
+        _, t, bic = ols(x, dy[most:])
         if bic < best[0]:
-            se = math.sqrt(max(s2 * np.linalg.pinv(x.T @ x)[0, 0], 1e-300))
-            best = bic, beta[0] / se, lags
+            best = bic, float(t[0]), lags
     return best[1], best[2]
 
 
+#: MacKinnon's response surfaces for one series with a constant: where the p-value's polynomials in the
+#: statistic hold, their coefficients (constant first), and those of the critical values in powers of 1 / n.
+_LOWEST, _BEND, _HIGHEST = -18.83, -1.61, 2.74
+_BELOW = (2.1659, 1.4412, 0.038269)
+_ABOVE = (1.7339, 0.93202, -0.12745, -0.010368)
+_CRITICAL = {0.01: (-3.43035, -6.5393, -16.786, -79.433), 0.05: (-2.86154, -2.8903, -4.234, -40.040), 0.10: (-2.56677, -1.5384, -2.809, 0.0)}
+
+
+def adf_p_value(statistic: float) -> float:
+    """How likely a series with a unit root has a statistic as low."""
+    if statistic >= _HIGHEST or statistic <= _LOWEST:
+        return float(statistic >= _HIGHEST)
+    surface = _BELOW if statistic <= _BEND else _ABOVE
+    z = sum(c * statistic**k for k, c in enumerate(surface))
+    return 0.5 * math.erfc(-z / math.sqrt(2))
+
+
+def adf_critical(n: int, level: float = 0.05) -> float:
+    return sum(c / n**k for k, c in enumerate(_CRITICAL[level]))
+
+
 def least_squares_ar(values: np.ndarray, p: int, q: int) -> tuple[np.ndarray, np.ndarray, float, np.ndarray]:
     """AR and MA coefficients by two regressions, the constant, and the innovations."""
     n = len(values)
@@ -227,10 +257,63 @@ def least_squares_ar(values: np.ndarray, p: int, q: int) -> tuple[np.ndarray, np
     return beta[1 : p + 1], beta[p + 1 :], float(beta[0]), rest
 
 
+def css_errors(values: np.ndarray, ar: np.ndarray, ma: np.ndarray, constant: float) -> np.ndarray:
+    """One-step errors given zero errors before the first value that has all its lags."""
+    p, q = len(ar), len(ma)
+    errors = np.zeros(len(values) + q)  # q zeros ahead
+    base = values - constant
+    for k in range(1, p + 1):
+        base[p:] = base[p:] - ar[k - 1] * values[p - k : len(values) - k]
+    if not q:
+        base[:p] = 0.0
+        return base
+    back = ma[::-1]
+    for t in range(p, len(values)):
+        errors[t + q] = base[t] - back @ errors[t : t + q]
+    return errors[q:]
+
+
+def stable(ar: np.ndarray, ma: np.ndarray) -> bool:
+    """Stationary and invertible."""
+    return all(not len(c) or np.abs(np.roots(np.concatenate(([1.0], c)))).max() < 1 for c in (-ar, ma))
+
+
+def css_fit(values: np.ndarray, p: int, q: int, rounds: int = 12) -> tuple[np.ndarray, np.ndarray, float, np.ndarray]:
+    """AR and MA coefficients, constant and errors of least conditional sum of squares.
+
+    Starts from two regressions and goes down by damped Gauss-Newton steps within the stable region.
+    """
+    ar, ma, constant, _ = least_squares_ar(values, p, q)
+    if not stable(ar, ma):
+        ar, ma = np.zeros(p), np.zeros(q)
+    at = np.concatenate((ar, ma, [constant]))
+    split = lambda x: (x[:p], x[p : p + q], float(x[-1]))
+    now = css_errors(values, *split(at))
+    damp = 1e-3
+    for _ in range(rounds if q else 0):  # without MA part the regression is the least already
+        steps = 1e-6 * np.maximum(1.0, np.abs(at))
+        slope = np.column_stack([(css_errors(values, *split(at + step)) - now) / size for step, size in zip(np.diag(steps), steps)])
+        normal = slope.T @ slope
+        while damp < 1e8:
+            tried = at - np.linalg.solve(normal + damp * np.diag(np.maximum(np.diag(normal), 1e-12)), slope.T @ now)
+            errors = css_errors(values, *split(tried)) if stable(*split(tried)[:2]) else None
+            if errors is not None and errors @ errors < now @ now:
+                break
+            damp *= 10
+        else:
+            break
+        gain = 1 - errors @ errors / (now @ now)
+        at, now, damp = tried, errors, damp / 10
+        if gain < 1e-9:
+            break
+    return *split(at), now
+
+
 def arima_forecast(values: np.ndarray, steps: int, most: int = 3) -> np.ndarray:
-    """ARIMA: differences until stationary (Dickey-Fuller at 5 %), p and q by BIC, forecasts integrated again."""
+    """ARIMA: differences until stationary (Dickey-Fuller at 5 %), p and q up to ``most`` by BIC, coefficients by least
+    conditional squares, forecasts integrated again."""
     d, series, heads = 0, values.astype(float), []
-    while d < 2 and len(series) > 12 and np.ptp(series) > 0 and adf(series)[0] > -2.86:
+    while d < 2 and len(series) > 12 and np.ptp(series) > 0 and adf(series)[0] > adf_critical(len(series)):
         heads.append(series[-1])
         series, d = np.diff(series), d + 1
     if len(series) < 8 or np.ptp(series) == 0:
@@ -240,14 +323,10 @@ def arima_forecast(values: np.ndarray, steps: int, most: int = 3) -> np.ndarray:
         for p in range(most + 1):
             for q in range(most + 1 if len(series) > 40 else 1):
                 ar, ma, c, rest = least_squares_ar(series, p, q)
-                if p and np.abs(np.roots(np.concatenate(([1.0], -ar)))).max() >= 1:
-                    continue
-                if q and np.abs(np.roots(np.concatenate(([1.0], ma)))).max() >= 1:
-                    continue
                 bic = len(series) * math.log(max(float(rest @ rest) / len(series), 1e-300)) + (p + q + 1) * math.log(len(series))
-                if best is None or bic < best[0]:
-                    best = bic, ar, ma, c, rest
-        _, ar, ma, c, rest = best
+                if stable(ar, ma) and (best is None or bic < best[0]):
+                    best = bic, p, q
+        ar, ma, c, rest = css_fit(series, *(best[1:] if best else (0, 0)))
         past, noise = list(series), list(rest)
         for _ in range(steps):
             past.append(c + sum(a * past[-k - 1] for k, a in enumerate(ar)) + sum(m * noise[-k - 1] for k, m in enumerate(ma)))
@@ -278,21 +357,20 @@ def forecast(values: np.ndarray, steps: int, low: float = -math.inf, high: float
     return np.clip(ahead + again, low, high)
 
 
-def holt_winters(values: np.ndarray, alpha: float = 0.2, beta: float = 0.2, gamma: float = 0.2, period: int = 24) -> np.ndarray:
-    """One-step-ahead errors of additive triple smoothing."""
-    n = len(values)
-    if n < 2 * period:
-        return values - values.mean()
-    level, slope = values[:period].mean(), (values[period : 2 * period].mean() - values[:period].mean()) / period
-    season_of = values[:period] - level
-    out = np.zeros(n)
-    for i, v in enumerate(values):
-        k = i % period
-        out[i] = v - (level + slope + season_of[k])
-        before = level
-        level = alpha * (v - season_of[k]) + (1 - alpha) * (level + slope)
+def holt_winters(values: np.ndarray, alpha: float = 0.2, beta: float = 0.2, gamma: float = 0.2, period: int = 7) -> np.ndarray:
+    """What additive triple smoothing leaves of each value, once that value has moved the level and the season.
+
+    Level and trend start at the first value, seasons at zero; see the survey's quirks.
+    """
+    level = slope = float(values[0]) if len(values) else 0.0
+    seasons = np.zeros(period)
+    out = np.zeros(len(values))
+    for i, v in enumerate(values.tolist()):
+        k, before = i % period, level
+        level = alpha * (v - seasons[k]) + (1 - alpha) * (level + slope)
         slope = beta * (level - before) + (1 - beta) * slope
-        season_of[k] = gamma * (v - level) + (1 - gamma) * season_of[k]
+        seasons[k] = gamma * (v - level) + (1 - gamma) * seasons[k]
+        out[i] = v - level - seasons[k]
     return out
 
 

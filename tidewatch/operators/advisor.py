@@ -104,44 +104,7 @@ def index_report(cost: DataFrame, origin: int = 0) -> DataFrame:
     )
 
 
-# --- causes of slow statements -------------------------------------------------------------------
-
-#: Limits of the features, by name.
-LIMITS = {
-    "tuples": 1000, "table_mb": 50, "dead_rate": 0.02, "cost_rate": 0.02, "plan_time_rate": 0.6, "affected": 1000, "indexes": 3,
-    "usage": 0.8, "nested_loop": 10_000, "large_join": 50_000, "in_list": 50, "joins": 2, "height": 10, "network_drop": 0.01,
-}
-
-
-def features(df: DataFrame, limits: dict = LIMITS) -> DataFrame:
-    """Adds ``features array<int>`` in a fixed order to prepared statements; a missing figure speaks against a cause.
-
-    Columns: lock_waits, live_tuples, table_mb, dead_rate, scan_rate, plan_time, exec_time, hard_parse, soft_parse, kind,
-    affected, indexes, spills, vacuum_near, analyze_near, cpu, io, memory, network_drop, wait_event, in_list, joins, height.
-    """
-    c, at = F.col, limits
-    large = (c("live_tuples") >= at["tuples"]) | (c("table_mb") >= at["table_mb"])
-    rules = [
-        c("lock_waits") > 0,
-        large & (c("dead_rate") >= at["dead_rate"]),
-        c("scan_rate") >= at["cost_rate"],
-        (c("plan_time") / F.nullif(c("exec_time"), F.lit(0)) >= at["plan_time_rate"]) & (c("hard_parse") > c("soft_parse")),
-        (c("kind") == "UPDATE") & (c("affected") >= at["affected"]),
-        (c("kind") == "INSERT") & (c("affected") >= at["affected"]),
-        (c("kind") == "DELETE") & (c("affected") >= at["affected"]),
-        (c("kind") != "SELECT") & (c("indexes") >= at["indexes"]),
-        c("spills") > 0,
-        c("vacuum_near"),
-        c("analyze_near"),
-        c("cpu") >= at["usage"],
-        c("io") >= at["usage"],
-        c("memory") >= at["usage"],
-        c("network_drop") >= at["network_drop"],
-        c("wait_event"),
-        c("in_list") >= at["in_list"],
-        (c("joins") >= at["joins"]) | (c("height") >= at["height"]),
-    ]
-    return df.withColumn("features", F.array(*(F.coalesce(r, F.lit(False)).cast("int") for r in rules)))
+# --- causes of slow statements; their features are in causes.py ----------------------------------
 
 
 def nearest_causes(df: DataFrame, key: str, library: DataFrame) -> DataFrame:
@@ -157,17 +120,20 @@ def nearest_causes(df: DataFrame, key: str, library: DataFrame) -> DataFrame:
 
 
 def label_weights(library: DataFrame) -> DataFrame:
-    """(label, weight array<double>): for each label, how much more often its rows have a feature than those of other
-    labels do, where near labels count by the inverse square of their distance."""
+    """(label, weight array<double>): how far each label's summed pattern lies from what the other labels suggest, as shares.
+
+    What they suggest is the sum of their patterns over their squared distances, divided by the sum
+    of those squares. Two labels with the same sums have no distance, and get no weights (NULL).
+    """
     items = library.select("label", F.posexplode("pattern").alias("i", "x"))
-    rate = items.groupBy("label", "i").agg(F.avg("x").alias("r"))
-    other = rate.select(F.col("label").alias("other"), "i", F.col("r").alias("q"))
-    both = rate.join(other, "i").where("label <> other")
-    near = both.groupBy("label", "other").agg((1 / (F.sum((F.col("r") - F.col("q")) ** 2) + 1e-6)).alias("_near"))
-    elsewhere = both.join(near, ["label", "other"]).groupBy("label", "i").agg((F.sum(F.col("q") * F.col("_near")) / F.sum("_near")).alias("_e"))
-    left = rate.join(elsewhere, ["label", "i"]).withColumn("_w", F.greatest(F.col("r") - F.col("_e"), F.lit(0.0)))
-    total = F.sum("_w").over(Window.partitionBy("label"))
-    share = left.select("label", "i", F.coalesce(F.col("_w") / F.nullif(total, F.lit(0.0)), F.lit(0.0)).alias("w"))
+    sums = items.groupBy("label", "i").agg(F.sum("x").cast("double").alias("v"))
+    # As many rows as labels times features: the labels' patterns are summed up already.
+    both = sums.join(sums.select(F.col("label").alias("other"), "i", F.col("v").alias("u")), "i").where("label <> other")
+    apart = both.groupBy("label", "other").agg(F.nullif(F.sum((F.col("v") - F.col("u")) ** 2), F.lit(0.0)).alias("d"))
+    scale = apart.groupBy("label").agg(F.sum("d").alias("n"))
+    suggested = both.join(apart, ["label", "other"]).groupBy("label", "i").agg(F.sum(F.col("u") / F.col("d")).alias("s"))
+    rest = sums.join(suggested, ["label", "i"]).join(scale, "label").withColumn("r", F.abs(F.col("s") / F.col("n") - F.col("v")))
+    share = rest.select("label", "i", (F.col("r") / F.nullif(F.sum("r").over(Window.partitionBy("label")), F.lit(0.0))).alias("w"))
     return share.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "w"))), lambda s: s["w"]).alias("weight"))
 
 

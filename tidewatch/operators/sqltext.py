@@ -197,12 +197,26 @@ def plan_complexity(nodes: DataFrame, key: str) -> DataFrame:
 
 
 def poor_joins(tree: DataFrame, key: str, rate: float = 0.02, nested: int = 10_000, large: int = 50_000) -> DataFrame:
-    """(key, node, reason): costly joins whose inputs are too large for their kind."""
+    """(key, node, reason): costly joins, and whether their inputs are too large for their kind."""
     inputs = tree.where("parent is not null").groupBy(key, F.col("parent").alias("node")).agg(F.min("rows").alias("_least"), F.max("rows").alias("_most"))
     whole = tree.groupBy(key).agg(F.max("total_cost").alias("_whole"))
     costly = tree.where(F.col("name").rlike("Join|Nested Loop")).join(inputs, [key, "node"]).join(whole, key).where(F.col("own_cost") >= rate * F.col("_whole"))
-    reason = F.when(F.col("name").contains("Nested Loop") & (F.col("_least") >= nested), "nested loop over large inputs").when(F.col("name").contains("Merge"), "merge join").when(F.col("_most") >= large, "large join")
-    return costly.withColumn("reason", reason).where("reason is not null").select(key, "node", "reason")
+    reason = F.when(F.col("name").contains("Nested Loop") & (F.col("_least") >= nested), "nested loop over large inputs").when(F.col("name").contains("Merge"), "merge join").when(F.col("_most") >= large, "large join").otherwise("costly join")
+    return costly.withColumn("reason", reason).select(key, "node", "reason")
+
+
+def nearest_templates(statements: DataFrame, text: str, templates: DataFrame, template: str, k: int, most: int = 100_000) -> DataFrame:
+    """Each statement with its ``k`` most similar templates by inverse edit distance, but for equal ones: adds ``template`` and ``similarity``.
+
+    Templates are compressed texts, so they are few; they are broadcast, once they are counted to be at most ``most``.
+    """
+    if templates.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} templates: deal them by kind and table first")
+    near = statements.join(F.broadcast(templates.select(template)), F.col(text) != F.col(template)).withColumn("similarity", inverse_levenshtein(F.col(text), F.col(template)))
+    # The best k of each statement are kept before anything is shuffled.
+    from tidewatch.operators.results import top_in_group
+
+    return top_in_group(near, statements.columns, [F.col("similarity").desc(), F.col(template)], k)
 
 
 def placeholders(sql: Column) -> Column:

@@ -59,13 +59,38 @@ def line_fit(df: DataFrame, keys: list[str], x: str = "ts_ms") -> DataFrame:
 
 
 def change_significance(df: DataFrame, keys: list[str], current: str, how: str = "mean", least: float = 0.5) -> DataFrame:
-    """(keys, magnitude, significant): how the rows where ``current`` holds differ from the others in sum or mean."""
+    """(keys, magnitude, significant): by how much the rows where ``current`` holds exceed the others in sum or mean.
+
+    One-sided: a fall has magnitude 0. It is significant if the current figure, less its ``least``
+    share, is still above the other; no rows count as zero.
+    """
     fold = F.sum if how == "sum" else F.avg
     c = F.coalesce(fold(F.when(F.col(current), F.col("value"))), F.lit(0.0))
     h = F.coalesce(fold(F.when(~F.col(current), F.col("value"))), F.lit(0.0))
     sized = df.groupBy(*keys).agg(c.alias("_c"), h.alias("_h"))
-    magnitude = F.coalesce(F.abs(F.col("_c") - F.col("_h")) / F.nullif(F.greatest(F.abs("_c"), F.abs("_h")), F.lit(0.0)), F.lit(0.0))
-    return sized.select(*keys, magnitude.alias("magnitude"), (magnitude >= least).alias("significant"))
+    magnitude = F.when(F.col("_c") < F.col("_h"), 0.0).otherwise((F.col("_c") - F.col("_h")) / (F.col("_c") + 1e-10))
+    return sized.select(*keys, magnitude.alias("magnitude"), (F.col("_c") * (1 - least) > F.col("_h")).alias("significant"))
+
+
+def ks_test(df: DataFrame, keys: list[str], current: str, p_value: float = 0.05) -> DataFrame:
+    """(keys, d, p, alike): the two-sample statistic, its asymptotic p-value, and whether that is ``p_value`` or more."""
+    sizes = df.groupBy(*keys).agg(F.count_if(F.col(current)).alias("_n1"), F.count_if(~F.col(current)).alias("_n0"))
+    both = ks_statistic(df, keys, current).join(sizes, keys)
+    n = F.sqrt(F.col("_n1") * F.col("_n0") / (F.col("_n1") + F.col("_n0")))
+    z = (n + 0.12 + 0.11 / n) * F.col("d")
+    terms = F.transform(F.sequence(F.lit(1), F.lit(100)), lambda k: F.when(k % 2 == 1, 2.0).otherwise(-2.0) * F.exp(-2.0 * k * k * z * z))
+    p = F.when(z < 0.2, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.aggregate(terms, F.lit(0.0), lambda a, x: a + x))))
+    known = (F.col("_n1") > 0) & (F.col("_n0") > 0)
+    return both.select(*keys, "d", F.when(known, p).alias("p"), (known & (p >= p_value)).alias("alike"))
+
+
+def change_vote(df: DataFrame, keys: list[str], current: str, least: float = 0.01, p_value: float = 0.5) -> DataFrame:
+    """(keys, votes, changed): the tests of sum, mean and distribution, and whether two of the three hold."""
+    total = change_significance(df, keys, current, "sum", least).select(*keys, F.col("significant").cast("int").alias("_a"))
+    mean = change_significance(df, keys, current, "mean", least).select(*keys, F.col("significant").cast("int").alias("_b"))
+    alike = ks_test(df, keys, current, p_value).select(*keys, F.col("alike").cast("int").alias("_c"))
+    votes = F.col("_a") + F.col("_b") + F.col("_c")
+    return total.join(mean, keys).join(alike, keys).select(*keys, votes.alias("votes"), (votes >= 2).alias("changed"))
 
 
 def ks_statistic(df: DataFrame, keys: list[str], current: str) -> DataFrame:
@@ -126,11 +151,38 @@ def early_warning(now: DataFrame, ahead: DataFrame, keys: list[str], low: float,
     return both.select(*keys, status.alias("status"), hours.alias("hours"))
 
 
-def holt_winters_residuals(df: DataFrame, keys: list[str], period: int = 24) -> DataFrame:
+def residuals(df: DataFrame, keys: list[str], method: str, times: int = 1, window: int = 3, smoothing: tuple = (0.2, 0.2, 0.2, 7)) -> DataFrame:
+    """(keys, ts_ms, value): what a prediction leaves of each series, for correlations.
+
+    ``method`` is diff (``times`` times), historical_avg, historical_med, wavelet (the series' first
+    ``window`` values as a filter), holt_winters (``smoothing``) or none. Shorter results start
+    later or end earlier.
+    """
+    slim = df.select(*keys, "ts_ms", "value")
+    in_time = Window.partitionBy(*keys).orderBy("ts_ms")
+    whole = in_time.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    v = F.col("value")
+    if method == "none":
+        return slim
+    if method == "diff":
+        for _ in range(times):
+            slim = slim.withColumn("value", v - F.lag("value").over(in_time)).where("value is not null")
+        return slim
+    if method == "historical_avg":
+        return slim.withColumn("value", v - F.avg("value").over(whole))
+    if method == "historical_med":
+        middle = slim.groupBy(*keys).agg(F.median("value").alias("_m"))
+        return slim.join(middle, keys).withColumn("value", v - F.col("_m")).drop("_m")
+    if method == "wavelet":
+        before = (window - 1) // 2
+        terms = [F.lead("value", window - 1 - before - k).over(in_time) * F.nth_value("value", k + 1).over(whole) for k in range(window)]
+        return slim.withColumn("value", v - sum(terms[1:], terms[0])).where("value is not null")
+    if method != "holt_winters":
+        raise ValueError(f"no method {method}")
     schema = ", ".join(f"{c} {t}" for c, t in df.select(*keys).dtypes) + ", ts_ms long, value double"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ts_ms")
-        return pdf.assign(value=numerics.holt_winters(pdf["value"].to_numpy(dtype=float), period=period))
+        return pdf.assign(value=numerics.holt_winters(pdf["value"].to_numpy(dtype=float), *smoothing))
 
-    return df.select(*keys, "ts_ms", "value").groupBy(*keys).applyInPandas(run, schema)
+    return slim.groupBy(*keys).applyInPandas(run, schema)

@@ -436,7 +436,13 @@ def d09(spark, d):
     return D.gradient(_hr(spark, d), KEY, max_coef=0.0).groupBy("name").agg(F.bool_and("is_anomaly").alias("is_anomaly"))
 
 
-@query("d10_increase")
+_BINOM = """t AS (SELECT n, k, 2 * sum(exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) - n * ln(2))) OVER (PARTITION BY n ORDER BY k ROWS UNBOUNDED PRECEDING) AS p FROM (SELECT DISTINCT n FROM s), range(0, 100000) r(k) WHERE k <= n // 2),
+ l AS (SELECT n, arg_min(p, k) AS level FROM (SELECT n, k, p, lead(p) OVER (PARTITION BY n ORDER BY k) - p AS step FROM t) WHERE step > 1e-5 GROUP BY n)"""
+
+
+@query("d10_increase", f"""WITH {HR}, i AS (SELECT name, value, row_number() OVER (PARTITION BY name ORDER BY ts_ms) AS i, count(*) OVER (PARTITION BY name) AS n FROM hr),
+ s AS (SELECT a.name, any_value(a.n) AS n, count(*) FILTER (b.value > a.value) AS up, count(*) FILTER (b.value < a.value) AS down FROM i a JOIN i b ON a.name = b.name AND b.i = a.i + a.n // 2 AND a.i <= a.n // 2 GROUP BY a.name),
+ g AS (SELECT name, regr_slope(value, i) AS slope FROM i GROUP BY name), {_BINOM} SELECT s.name, up >= down AND slope > 0 AND p < level AS is_anomaly FROM s JOIN g USING (name) JOIN l ON l.n = s.n JOIN t ON t.n = s.n AND t.k = least(s.down, s.n // 2)""")
 def d10(spark, d):
     return D.increase(_hr(spark, d), KEY).groupBy("name").agg(F.bool_and("is_anomaly").alias("is_anomaly"))
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions import numerics
 from tidewatch.operators import advisor as A
 from tidewatch.operators import detectors as D
+from tidewatch.operators import memory as M
 from tidewatch.operators import results as R
 from tidewatch.operators import rewrite as W
 from tidewatch.operators import sqltext as Q
@@ -32,11 +33,13 @@ def _n(name="n"):
 # --- sources -------------------------------------------------------------------------------------
 
 
-@query("s05_answer", "SELECT 'm' AS name, CAST(n_nationkey AS VARCHAR) AS instance, 1704067200500 AS ts_ms, CAST(n_nationkey AS DOUBLE) AS value FROM nation UNION ALL SELECT 'm', CAST(n_nationkey AS VARCHAR), 1704067215500, NULL FROM nation")
+@query("s05_answer", """WITH n AS (SELECT n_nationkey, CAST(n_nationkey AS VARCHAR) AS k FROM nation) SELECT CASE WHEN n_nationkey % 2 = 0 THEN 'm' ELSE 'other' END AS name, k AS instance, 1704067200500 + 15000 * i AS ts_ms,
+ CASE WHEN (n_nationkey + i) % 3 > 0 THEN n_nationkey * 1.5 + i END AS value FROM n, range(0, 10) r(i) WHERE i < n_nationkey % 4""")
 def s05(spark, d):
-    k = F.col("n_nationkey").cast("string")
-    answer = F.concat(F.lit('[{"metric":{"__name__":"m","instance":"'), k, F.lit('"},"values":[[1704067200.5,"'), k, F.lit('"],[1704067215.5,"NaN"]]}]'))
-    got = X.from_answer(table(spark, d, "nation").select(answer.alias("a")), "a")
+    k = "cast(n_nationkey as string)"
+    points = "array_join(transform(filter(sequence(0, 9), i -> i < n_nationkey % 4), i -> concat('[', 1704067200.5 + 15 * i, ',\"', if((n_nationkey + i) % 3 = 0, 'NaN', cast(n_nationkey * 1.5 + i as string)), '\"]')), ',')"
+    answer = f"concat('[{{\"metric\":{{\"__name__\":\"', if(n_nationkey % 2 = 0, 'm', 'other'), '\",\"instance\":\"', {k}, '\"}},\"values\":[', {points}, ']}}]')"
+    got = X.from_answer(table(spark, d, "nation").selectExpr(f"{answer} AS a"), "a")
     return got.select("name", F.col("labels")["instance"].alias("instance"), "ts_ms", "value")
 
 
@@ -66,18 +69,22 @@ def s17(spark, d):
     return units.where("ts_ms % unit < 30000").groupBy("name", "unit").agg(_n())
 
 
-@query("s18_log_statements", "SELECT n_nationkey AS session, 'update t set a = ' || n_nationkey || ';select 1;' AS statement FROM nation UNION ALL SELECT n_nationkey, 'select ' || n_nationkey || ' from t;' FROM nation")
+@query("s18_log_statements", """SELECT c_custkey AS session, 'update t set a = ' || c_nationkey || CASE WHEN c_custkey % 3 = 0 THEN ' where b = ' || c_custkey ELSE '' END || ';select 1;' AS statement FROM customer WHERE c_custkey % 2 = 0
+ UNION ALL SELECT c_custkey, 'update t set a = ' || c_nationkey || CASE WHEN c_custkey % 3 = 0 THEN ' where b = ' || c_custkey ELSE '' END || ';' FROM customer WHERE c_custkey % 2 = 1 UNION ALL SELECT c_custkey, 'select 1;' FROM customer WHERE c_custkey % 2 = 1
+ UNION ALL SELECT c_custkey, 'select ' || c_custkey || ' from t;' FROM customer""")
 def s18(spark, d):
-    k = F.col("n_nationkey").cast("string")
-    head = F.concat(F.lit("2024-01-01 00:00:00.000 "), k, F.lit(" db LOG:  "))
-    texts = [
-        F.concat(head, F.lit("statement: begin")), F.concat(head, F.lit("execute p: update t set a = $1")), F.concat(head, F.lit("DETAIL:  parameters: $1 = "), k),
-        F.concat(head, F.lit("statement: select 1")), F.concat(head, F.lit("statement: commit")), F.concat(head, F.lit("statement: select "), k), F.lit("from t"),
-    ]
-    lines = table(spark, d, "nation").select(F.lit("f").alias("file"), "n_nationkey", F.posexplode(F.array(*texts)).alias("_i", "value"))
-    lines = lines.withColumn("line_no", F.col("n_nationkey") * 10 + F.col("_i"))
-    records = X.log_records(lines, "%m %c %d")
-    return X.log_statements(records, "c").select(F.col("c").cast("int").alias("session"), "statement")
+    """Sessions with and without a transaction, one or two parameters, a statement over two lines; ten sessions to a file, interleaved."""
+    k, two, tx = "cast(c_custkey as string)", "c_custkey % 3 = 0", "c_custkey % 2 = 0"
+    lines = (
+        f"if({tx}, 'statement: begin', 'connection received')", f"concat('execute p: update t set a = $1', if({two}, ' where b = $2', ''))", f"concat('DETAIL:  parameters: $1 = ', c_nationkey, if({two}, concat(', $2 = ', c_custkey), ''))",
+        "'statement: select 1'", f"if({tx}, 'statement: commit', 'disconnection')", f"concat('statement: select ', {k})", "'from t'",
+    )
+    head = f"concat('2024-01-01 00:00:00.000 ', {k}, ' db LOG:  ')"
+    texts = [line if line == "'from t'" else f"concat({head}, {line})" for line in lines]
+    c = table(spark, d, "customer").selectExpr("c_custkey div 10 AS file", "c_custkey", f"posexplode(array({', '.join(texts)})) AS (i, value)")
+    # Sessions take turns by line, but for the last two lines, which are one record.
+    placed = c.withColumn("line_no", F.expr("if(i < 5, i * 100 + c_custkey % 10, 500 + c_custkey % 10 * 2 + i - 5)"))
+    return X.log_statements(X.log_records(placed, "%m %c %d"), "c").select(F.col("c").cast("int").alias("session"), "statement")
 
 
 @query("s19_valid_statements", "SELECT o_orderkey FROM orders WHERE o_orderkey % 3 = 0")
@@ -101,11 +108,12 @@ def s21(spark, d):
     return X.data_statements(o, "sql", "o_totalprice").withColumn("seconds", F.round("seconds", 8))
 
 
-@query("s26_terminal_and_dsn", "SELECT n_nationkey, n_name AS cell, 'h' || n_nationkey AS host, 'u' AS user FROM nation")
+@query("s26_terminal_and_dsn", """SELECT n_nationkey, CAST(i AS INT) AS row, i || ':' || n_name AS cell, 'h' || n_nationkey AS host, CASE WHEN n_nationkey % 2 = 0 THEN 'u' || n_regionkey END AS user FROM nation, range(0, 10) r(i) WHERE i < 1 + n_nationkey % 3""")
 def s26(spark, d):
-    k = F.col("n_nationkey").cast("string")
-    n = table(spark, d, "nation").select("n_nationkey", F.concat(F.lit(" id | name \n----+------\n 1 | "), "n_name", F.lit("\n(1 row)\n")).alias("text"), F.concat(F.lit("host=h"), k, F.lit(" user=u  port=1")).alias("dsn"))
-    rows = X.table_output(n, "n_nationkey", "text").select("n_nationkey", F.col("cells")[1].alias("cell"))
+    body = "array_join(transform(sequence(0, n_nationkey % 3), i -> concat(' ', i, ' | ', i, ':', n_name)), char(10))"
+    text = f"concat(' id | name ', char(10), '----+------', char(10), {body}, char(10), '(', 1 + n_nationkey % 3, ' rows)', char(10))"
+    n = table(spark, d, "nation").selectExpr("n_nationkey", f"{text} AS text", "concat('host=h', n_nationkey, if(n_nationkey % 2 = 0, concat('  user=u', n_regionkey), ''), ' port=1') AS dsn")
+    rows = X.table_output(n, "n_nationkey", "text").select("n_nationkey", F.col("row").cast("int").alias("row"), F.col("cells")[1].alias("cell"))
     parts = X.dsn_parts(F.col("dsn"))
     return rows.join(n.select("n_nationkey", parts["host"].alias("host"), parts["user"].alias("user")), "n_nationkey")
 
@@ -159,22 +167,21 @@ def o02(spark, d):
     return slow(spark, d).where("kind = 'UPDATE' AND duration > 250000").select("id", "start_ms").orderBy(F.col("start_ms").desc(), "id")
 
 
-@query("o05_nearest_templates", "WITH s AS (SELECT p_partkey, n_name, 1.0 / levenshtein(p_name, n_name) AS sim FROM part, nation WHERE p_name <> n_name AND p_size = 7), r AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY sim DESC, n_name) AS k FROM s) SELECT p_partkey, n_name, round(CAST(sim AS DOUBLE), 6) AS sim FROM r WHERE k <= 2")
+@query("o05_nearest_templates", "WITH s AS (SELECT p_partkey, n_name, 1.0 / levenshtein(p_name, n_name) AS sim FROM part, nation WHERE p_name <> n_name), r AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY sim DESC, n_name) AS k FROM s) SELECT p_partkey, n_name, round(CAST(sim AS DOUBLE), 6) AS sim FROM r WHERE k <= 2")
 def o05(spark, d):
-    # The templates are few and fixed; each statement is scored against them.
-    few = F.broadcast(table(spark, d, "nation").select("n_name"))
-    near = table(spark, d, "part").where("p_size = 7").join(few, F.col("p_name") != F.col("n_name")).withColumn("sim", Q.inverse_levenshtein(F.col("p_name"), F.col("n_name")))
-    return R.top_in_group(near, ["p_partkey"], [F.col("sim").desc(), F.col("n_name")], 2).select("p_partkey", "n_name", F.round("sim", 6).alias("sim"))
+    names = table(spark, d, "nation").select("n_name")
+    near = Q.nearest_templates(table(spark, d, "part").select("p_partkey", "p_name"), "p_name", names, "n_name", 2)
+    return near.select("p_partkey", "n_name", F.round("similarity", 6).alias("sim"))
 
 
 # --- texts ---------------------------------------------------------------------------------------
 
 
-@query("c09_identity", "SELECT p_partkey, upper(p_name) || '/' || upper(p_brand) AS identity FROM part")
+@query("c09_identity", """WITH i AS (SELECT p_partkey, upper(p_name) || '/' || upper(p_brand) AS identity FROM part), c AS (SELECT *, list_transform(string_split(identity, ''), lambda c: CAST(ascii(c) AS BIGINT)) AS codes FROM i)
+ SELECT p_partkey, identity, list_reduce(list_prepend(CAST(length(identity) AS BIGINT), codes), lambda h, c: xor(xor(h * 32, h >> 27), c) & 4294967295) AS hash1, list_reduce(list_prepend(CAST(5381 AS BIGINT), codes), lambda h, c: (h * 33 + c) & 4294967295) AS hash2 FROM c""")
 def c09(spark, d):
     text = F.concat(F.upper("p_name"), F.lit("/"), F.upper("p_brand"))
-    p = table(spark, d, "part").select("p_partkey", text.alias("identity"), Q.dek_hash(text).alias("h1"), Q.djb_hash(text).alias("h2"))
-    return p.where("h1 >= 0 AND h2 >= 0").select("p_partkey", "identity")
+    return table(spark, d, "part").select("p_partkey", text.alias("identity"), Q.dek_hash(text).alias("hash1"), Q.djb_hash(text).alias("hash2"))
 
 
 @query("c12_epoch", "SELECT n_nationkey, 1704067200 + n_nationkey AS seconds FROM nation")
@@ -204,14 +211,6 @@ def r01(spark, d):
     return spark.createDataFrame([(k, W.rewrite(spark, s)[1]) for k, s in enumerate(statements)], "id int, sql string")
 
 
-_PLAN = "'Join  (cost=1.00..' || (100 + p_size) || '.50 rows=10 width=8)\n  ->  Seq Scan on a  (cost=0.00..40.00 rows=100 width=8)\n  ->  Index Scan on b  (cost=0.00..' || (10 + p_size) || '.25 rows=1000 width=8)'"
-
-
-@query("c20_scans", "SELECT p_partkey, CAST(2 AS BIGINT) AS scans, CAST(40 + 10.25 + p_size AS DOUBLE) AS cost FROM part WHERE p_partkey <= 200")
-def c20(spark, d):
-    p = table(spark, d, "part").where("p_partkey <= 200").withColumn("plan", F.expr(_PLAN))
-    scans = Q.plan_nodes(p, "p_partkey", "plan").where(F.col("name").contains("Scan"))
-    return scans.groupBy("p_partkey").agg(_n("scans"), F.sum("total_cost").alias("cost"))
 
 
 # --- series --------------------------------------------------------------------------------------
@@ -259,15 +258,6 @@ def d13(spark, d):
     return D.overview({name: f(h, KEY) for name, f in D.REGISTRY.items() if name in ("iqr", "mad", "spike", "level_shift")}, KEY)
 
 
-@query("k09_vote", f"""WITH {HR}, g AS (SELECT name, avg(value) FILTER (ts_ms >= 1705363200000) AS c, avg(value) FILTER (ts_ms < 1705363200000) AS h, sum(value) FILTER (ts_ms >= 1705363200000) AS sc, sum(value) FILTER (ts_ms < 1705363200000) AS sh FROM hr GROUP BY name)
- SELECT name, CAST(abs(c - h) / greatest(c, h) >= 0.02 AS INT) + CAST(abs(sc - sh) / greatest(sc, sh) >= 0.02 AS INT) AS votes FROM g""")
-def k09(spark, d):
-    h = hourly(spark, d).withColumn("recent", F.col("ts_ms") >= 1705363200000)
-    mean = K.change_significance(h, KEY, "recent", "mean", 0.02).select("name", F.col("significant").alias("a"))
-    total = K.change_significance(h, KEY, "recent", "sum", 0.02).select("name", F.col("significant").alias("b"))
-    return mean.join(total, "name").select("name", (F.col("a").cast("int") + F.col("b").cast("int")).alias("votes"))
-
-
 @query("x01_periods")
 def x01(spark, d):
     filled = T.interpolate(T.fill_grid(hourly(spark, d).drop("n"), KEY, 3_600_000), KEY)
@@ -275,9 +265,10 @@ def x01(spark, d):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         values = pdf.sort_values("ts_ms")["value"].to_numpy(dtype=float)
         statistic, lags = numerics.adf(values)
-        return pd.DataFrame({"name": [pdf["name"].iloc[0]], "period": [numerics.season(values) or 0], "adf": [statistic], "lags": [lags]})
+        p = numerics.adf_p_value(statistic)
+        return pd.DataFrame({"name": [pdf["name"].iloc[0]], "period": [numerics.season(values) or 0], "adf": [statistic], "lags": [lags], "p": [p]})
 
-    return filled.groupBy("name").applyInPandas(run, "name string, period long, adf double, lags long")
+    return filled.groupBy("name").applyInPandas(run, "name string, period long, adf double, lags long, p double")
 
 
 @query("x02_model_choice", f"WITH {HR} SELECT name, CASE WHEN regr_r2(value, CAST(ts_ms AS DOUBLE)) >= 0.9 THEN 'linear' ELSE 'arima' END AS model FROM hr GROUP BY name")
@@ -327,10 +318,11 @@ def m02(spark, d):
     return D.increase(hourly(spark, d).select("name", "ts_ms", F.col("n").cast("double").alias("value")), KEY).groupBy("name").agg(F.bool_and("is_anomaly").alias("increasing"), F.count(F.lit(1)).alias("n")).where("n >= 5")
 
 
-@query("m03_directories", "SELECT p_partkey, p_size * 100 AS total, p_size * 30 AS used, p_size * 70 AS free, 0.3 >= 0.2 AS warned FROM part WHERE p_size > 0")
+@query("m03_directories", "SELECT p_partkey, p_size * 100 AS total, p_partkey % 90 * p_size AS used, p_size * 100 - p_partkey % 90 * p_size AS free, p_partkey % 90 / 100.0 >= 0.7 AS warned, round(coalesce(iops, 0), 4) AS iops FROM part LEFT JOIN (SELECT l_partkey, sum(l_quantity) / 60 AS iops FROM lineitem GROUP BY 1) ON l_partkey = p_partkey WHERE p_size > 0")
 def m03(spark, d):
-    p = table(spark, d, "part").where("p_size > 0").select("p_partkey", (F.col("p_size") * 100).alias("total"), (F.col("p_size") * 30).alias("used"))
-    return p.select("p_partkey", "total", "used", (F.col("total") - F.col("used")).alias("free"), (F.col("used") / F.col("total") >= 0.2).alias("warned"))
+    p = table(spark, d, "part").where("p_size > 0").selectExpr("p_partkey AS directory", "p_size * 100 AS total", "p_partkey % 90 * p_size AS used")
+    requests = table(spark, d, "lineitem").select(F.col("l_partkey").alias("directory"), F.col("l_quantity").alias("requests"))
+    return M.directory_status(p, requests, 60).select(F.col("directory").alias("p_partkey"), "total", "used", "free", "warned", F.round("iops", 4).alias("iops"))
 
 
 @query("m04_exporters", f"WITH {SAMP} SELECT name, count(DISTINCT instance) AS instances, CASE WHEN count(DISTINCT instance) >= 10 THEN 'normal' WHEN count(DISTINCT instance) > 0 THEN 'partial' ELSE 'missing' END AS state FROM samp GROUP BY name")
@@ -358,38 +350,31 @@ def c17(spark, d):
     return table(spark, d, "nation").select("n_nationkey", Q.placeholders(text).alias("sql"))
 
 
-@query("c02_fine_template", "SELECT 'SELECT col FROM tab WHERE col = ?' AS template, count(*) AS n FROM nation")
+@query("c02_fine_template", """SELECT CASE p_size % 4 WHEN 0 THEN 'SELECT col FROM tab WHERE col = ? ORDER BY col' WHEN 1 THEN 'UPDATE tab SET col = ? WHERE col = ?' WHEN 2 THEN 'DELETE FROM tab WHERE col = ?'
+ ELSE 'SELECT col FROM tab JOIN tab ON col = col' END AS template, count(*) AS n FROM part GROUP BY 1""")
 def c02(spark, d):
-    text = F.concat(F.lit("select a from t where b = "), F.col("n_nationkey").cast("string"))
-    return table(spark, d, "nation").select(Q.fine_template(text, ["t"], ["a", "b"]).alias("template")).groupBy("template").agg(_n())
-
-
-@query("o07_sorted_operators", "SELECT p_partkey, unnest([1, 2, 3]) AS place, unnest(['Seq Scan on a', 'Join', 'Index Scan on b']) AS name FROM part WHERE p_partkey <= 100 AND p_size < 25")
-def o07(spark, d):
-    p = table(spark, d, "part").where("p_partkey <= 100 AND p_size < 25").withColumn("plan", F.expr(_PLAN.replace("100 + p_size", "85 + p_size")))
-    tree = Q.own_cost(Q.plan_tree(Q.plan_nodes(p, "p_partkey", "plan"), "p_partkey"), "p_partkey")
-    return Q.sorted_operators(tree, "p_partkey").select("p_partkey", "place", "name")
-
-
-@query("q26_plan_complexity", "SELECT p_partkey, CAST(1 AS BIGINT) AS joins, CAST(2 AS BIGINT) AS height FROM part WHERE p_partkey <= 200")
-def q26(spark, d):
-    p = table(spark, d, "part").where("p_partkey <= 200").withColumn("plan", F.expr(_PLAN))
-    return Q.plan_complexity(Q.plan_nodes(p, "p_partkey", "plan"), "p_partkey")
+    texts = ("'select a from t' || x || ' where b = ' || p_size || ' order by c'", "'update t' || x || ' set a = ' || p_size || ' where c= ' || p_partkey", "'delete from t' || x || ' where a=' || p_partkey", "'select b from t' || x || ' join t1 on a = c'")
+    text = "CASE p_size % 4 " + " ".join(f"WHEN {k} THEN {t}" for k, t in enumerate(texts)) + " END"
+    p = table(spark, d, "part").selectExpr("*", "p_partkey % 7 AS x").selectExpr(f"{text} AS sql")
+    return p.select(Q.fine_template(F.col("sql"), [f"t{k}" for k in range(7)], ["a", "b", "c"]).alias("template")).groupBy("template").agg(_n())
 
 
-@query("q23_poor_joins", "SELECT p_partkey, CAST(0 AS BIGINT) AS node, 'nested loop over large inputs' AS reason FROM part WHERE p_partkey <= 200 AND p_size >= 10")
-def q23(spark, d):
-    plan = "'Nested Loop  (cost=1.00..1000.50 rows=10 width=8)\n  ->  Seq Scan on a  (cost=0.00..40.00 rows=' || (p_size * 1000) || ' width=8)\n  ->  Index Scan on b  (cost=0.00..10.00 rows=900000 width=8)'"
-    p = table(spark, d, "part").where("p_partkey <= 200").withColumn("plan", F.expr(plan))
-    tree = Q.own_cost(Q.plan_tree(Q.plan_nodes(p, "p_partkey", "plan"), "p_partkey"), "p_partkey")
-    return Q.poor_joins(tree, "p_partkey", large=10_000_000)
+_KNOWN = f"""slowest AS (SELECT template, id, duration, row_number() OVER (PARTITION BY template ORDER BY id DESC) AS r FROM slow), model AS (SELECT template, round(avg(duration), 4) AS expected FROM slowest WHERE r <= 5 GROUP BY template)"""
 
 
-@query("g02_predicted_durations", "SELECT * FROM (VALUES ('select a from t where b = 7', 2.0, 'Fine match'), ('selec 1', NULL, 'Suspect illegal sql'), ('select z from unknown_table', NULL, 'No SQL information'), ('select a from t where b = 7 and c = 1', 2.0, 'No SQL template found')) t(sql, seconds, status)")
+@query("g02_predicted_durations", f"""WITH {SLOW}, {_KNOWN}, q AS (SELECT c_custkey AS k FROM customer),
+ e AS (SELECT k, expected, 'Fine match' AS status FROM q JOIN model ON k = template AND k % 3 < 2),
+ b AS (SELECT k, CAST(NULL AS DOUBLE), 'Suspect illegal sql' FROM q WHERE k % 3 = 2),
+ u AS (SELECT k, CAST(NULL AS DOUBLE), 'No SQL information' FROM q LEFT JOIN model ON k = template WHERE k % 3 < 2 AND template IS NULL)
+ SELECT * FROM e UNION ALL SELECT * FROM b UNION ALL SELECT * FROM u""".replace("e AS (SELECT k, expected,", "e AS (SELECT k, expected AS seconds,"))
 def g02(spark, d):
-    model = spark.createDataFrame([("SELECT A FROM T WHERE B = ?", 2.0)], "template string, expected double")
-    asked = spark.createDataFrame([(s,) for s in ("select a from t where b = 7", "selec 1", "select z from unknown_table", "select a from t where b = 7 and c = 1")], "sql string")
-    return Q.predict_duration(asked, model, "sql")
+    """Exact matches, illegal texts and unknown tables; the similar ones are in the tests."""
+    recent = R.top_in_group(slow(spark, d), ["template"], [F.col("id").desc()], 5).groupBy("template").agg(F.round(F.avg("duration"), 4).alias("expected"))
+    model = recent.select(F.format_string("SELECT A FROM CUSTOMER_%d_X WHERE B = ?", F.col("template").cast("long")).alias("template"), "expected")
+    k = F.col("c_custkey").cast("long")
+    text = F.when(k % 3 == 2, F.format_string("selec a from customer_%d_x", k)).otherwise(F.format_string("select a from customer_%d_x where b = %d", k, k))
+    asked = table(spark, d, "customer").select(F.col("c_custkey").alias("k"), text.alias("sql"))
+    return asked.join(Q.predict_duration(asked.select("sql"), model, "sql"), "sql").select("k", "seconds", "status")
 
 
 @query("i02_candidates", "WITH c AS (SELECT p_brand AS table_name, p_type AS c, sum(p_retailprice) AS b FROM part GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY table_name ORDER BY b DESC, c) AS k FROM c) SELECT table_name, c AS columns, round(b, 4) AS gain FROM r WHERE k = 1")
