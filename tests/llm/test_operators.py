@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tests.llm import brute
 from tests.llm.conftest import SCHEMA, row
-from tidewatch.llm import bpe, caps, licenses, media, mixing, queries, secrets, sharding, simhash, suffix_dedup, toxicity
+from tidewatch.llm import bpe, caps, common, licenses, media, mixing, queries, secrets, sharding, simhash, suffix_dedup, toxicity
 from tidewatch.llm.common import components
 
 TEXT_QUERIES = {
@@ -40,6 +41,25 @@ def by_id(df):
     return {r["doc_id"]: r for r in df.collect() if r["doc_id"] is not None}
 
 
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    class Remote:
+        master, _jsc = "spark://host:7077", spark.sparkContext._jsc
+
+    class Session:
+        sparkContext, conf = Remote, spark.conf
+
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        with pytest.raises(RuntimeError):
+            common.shared_folder(Session)
+
+
+def test_join_hot_equals_a_plain_join(spark):
+    rows = spark.createDataFrame([(1 if i < 900 else i, i) for i in range(1000)], "k long, v long")
+    facts = rows.groupBy("k").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).where("k <> 950")
+    got = common.join_hot(rows, facts, "k", "n", 1000, share=10)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.join(facts.drop("n"), "k").collect()))
+
+
 # --- 1 -------------------------------------------------------------------------------------------
 
 
@@ -74,7 +94,9 @@ def test_large_filters_are_compared_in_chunks(spark, monkeypatch):
     assert all(r["n_links"] == 59 and r["component_id"] == 0 for r in got)
 
 
-def test_recall_at_the_threshold():
+@pytest.mark.parametrize("per_label", [256, 8192, 1 << 20])
+def test_recall_at_the_threshold(per_label):
+    """Pairs other than those the number of codes was found with."""
     rng = np.random.default_rng(0)
     x = rng.standard_normal((1000, 64))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
@@ -83,8 +105,7 @@ def test_recall_at_the_threshold():
     z /= np.linalg.norm(z, axis=1, keepdims=True)
     y = 0.93 * x + math.sqrt(1 - 0.93**2) * z
     hit = np.zeros(1000, dtype=bool)
-    for k in range(caps.CODES):
-        code = caps.ProductCode(64, 5000, k)
+    for code in caps.codes_for(64, per_label):
         a, b = (set(zip(*map(np.ndarray.tolist, code.decode(v)))) for v in (x, y))
         hit[[i for i, _ in a & b]] = True
     assert hit.mean() >= 0.99
@@ -121,6 +142,15 @@ def test_tags(spark):
     assert got[1]["labels"] == "gpl-2.0-only,mit" and got[1]["base_labels"] == "" and got[1]["permissive"] is True and got[2]["labels"] == ""
 
 
+def test_long_texts_take_linear_time():
+    machine = licenses.automaton()
+    for unit in ("SPDX-License-Identifier: MIT\n", "spdx-license-identifier:y and ", "SPDX-License-Identifier: MIT ", "under the mit license ", "spdx-license-identifier: (a or "):
+        began = time.perf_counter()
+        got = licenses.scan(unit * (1_000_000 // len(unit)), machine)
+        assert time.perf_counter() - began < 10 and got["score"] > 0
+    assert licenses.scan("x " * 70_000 + "under the MIT license", machine)["first_word"] == 70_000
+
+
 # --- 3 -------------------------------------------------------------------------------------------
 
 
@@ -248,6 +278,17 @@ def test_bpe_against_the_library(spark, odd, sf):
     assert all(bytes(back[i]["text"]).decode() == t for i, t in rows.items())
 
 
+def test_long_pieces_take_little_more_than_linear_time():
+    ranks = bpe.read_ranks(queries.RANKS)
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    codec, rng = bpe.Bpe(ranks, queries.PATTERN), random.Random(4)
+    for piece in ("a" * 5000, "日本語" * 1000, "".join(rng.choice("abcdefgh") for _ in range(20_000)), "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(3000))):
+        assert codec.merge([piece.encode()]) == [enc.encode_ordinary(piece)]
+    began = time.perf_counter()
+    codec.merge([("abcdefghij" * 50_000).encode()])
+    assert time.perf_counter() - began < 10
+
+
 # --- 6 -------------------------------------------------------------------------------------------
 
 
@@ -281,6 +322,18 @@ def test_secrets_against_brute_force(spark):
     assert secrets.redact(docs).columns == docs.columns
 
 
+def test_columns_keep_their_values_whatever_they_are_called(spark):
+    names = "doc_id long, text string, source string, spans string, row string, rules string, key string, all string, h string, nth string, times string, n string, _h string, _key string"
+    rows = [(i, t, "a", *(f"{c}{i}" for c in range(11))) for i, t in enumerate(["token=abcdefghij", None, "", "plain words here"])]
+    docs = spark.createDataFrame(rows, names)
+    plain = [tuple(r) for r in docs.orderBy("doc_id").collect()]
+    masked = [tuple(r) for r in secrets.redact(docs).orderBy("doc_id").collect()]
+    assert [r[:1] + r[2:] for r in masked] == [r[:1] + r[2:] for r in plain] and [r[1] for r in masked] == [secrets.MASK, None, "", "plain words here"]
+    assert {tuple(r) for r in mixing.mixed_rows(docs).collect()} <= set(plain)
+    assert {tuple(r) for r in simhash.keep_first(docs).collect()} == {plain[0], plain[1], plain[3]}
+    assert [tuple(r) for r in toxicity.keep_clean(docs, toxicity.Model()).orderBy("doc_id").collect()] in (plain, [])
+
+
 def test_trigram_queries():
     q = secrets.trigram_query
     assert q("[0-9a-f]+") == frozenset([frozenset()]) == q("ab|[xy]z") == q("(abc)*")

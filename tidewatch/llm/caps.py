@@ -7,15 +7,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import components, cut, shuffle_width
+from tidewatch.llm.common import components, cut, join_hot, shuffle_width, written
 
 COSINE = 0.93
-#: Independent codes, filters that a vector exceeds in each on average, vectors in a filter on average.
+#: Filters of a code that a vector exceeds and vectors in a filter, on average.
 #: Few blocks and many codes: the more blocks, the more unevenly filters fall to vectors.
-CODES, FILTERS, FILL, BLOCKS = 10, 3, 16, 2
+FILTERS, FILL, BLOCKS = 2, 128, 2
+#: Independent codes are added until this share of TRIALS pairs at exactly the threshold share a filter.
+RECALL, TRIALS = 0.998, 2000
 #: Rows of a filter that are compared in one task; larger filters are cut in chunks, and pairs of chunks compared.
 CHUNK = 2048
 SEED = 93
@@ -75,7 +78,26 @@ class ProductCode:
         return rows, names
 
 
-_ENTRIES = "label string, dim int, filter long, rep long, size long, vec binary, others binary"
+def codes_for(dim: int, per_label: int, cosine: float = COSINE) -> list[ProductCode]:
+    """As many codes as RECALL takes among ``per_label`` vectors: the more vectors, the narrower caps, the more codes."""
+    random = np.random.default_rng([SEED, dim])
+    one = _unit(random.standard_normal((TRIALS, dim)))
+    if dim == 1:
+        return [ProductCode(dim, per_label, 0, cosine)]
+    way = random.standard_normal((TRIALS, dim))
+    way = _unit(way - (way * one).sum(axis=1, keepdims=True) * one)
+    other = cosine * one + math.sqrt(1 - cosine * cosine) * way
+    codes: list[ProductCode] = []
+    met = np.zeros(TRIALS, dtype=bool)
+    while met.mean() < RECALL:
+        codes.append(ProductCode(dim, per_label, len(codes), cosine))
+        (a, f), (b, g) = codes[-1].decode(one), codes[-1].decode(other)
+        met[np.intersect1d(a << 40 | f, b << 40 | g) >> 40] = True
+    return codes
+
+
+_ENTRIES = "label string, dim int, filter long, rep long, size long, vec binary, earlier binary"
+_SLIM = "label string, dim int, filter long"
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
@@ -84,47 +106,40 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
 
-def _entries(classes: DataFrame, per_label: float, cosine: float, kind: str) -> DataFrame:
-    """A row for each filter that a vector exceeds, with the vector and all its filters in order."""
+def _entries(classes: DataFrame, codes: Broadcast, kind: str, slim: bool = False) -> DataFrame:
+    """A row for each filter that a vector exceeds, with the vector and its filters of lower number; ``slim``: the filter alone."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes: dict[int, list[ProductCode]] = {}
         for batch in batches:
-            listed = batch.column("embedding")
+            listed, power = batch.column("embedding"), batch.column("power").to_numpy()
             dims = np.array([len(x) for x in listed])
-            for dim in np.unique(dims).tolist():
-                if dim not in codes:
-                    codes[dim] = [ProductCode(dim, per_label, k, cosine) for k in range(CODES)]
-                for part in np.array_split(np.flatnonzero(dims == dim), max(1, int((dims == dim).sum()) // 2048)):
+            for dim, two in sorted(set(zip(dims.tolist(), power.tolist()))):
+                own = codes.value[dim, two]
+                chosen = np.flatnonzero((dims == dim) & (power == two))
+                for part in np.array_split(chosen, max(1, len(chosen) // 2048)):
                     take = pa.array(part)
                     vectors = listed.take(take).flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(-1, dim)
-                    unit = _unit(vectors)
-                    found = [code.decode(unit) for code in codes[dim]]
+                    found = [code.decode(_unit(vectors)) for code in own]
                     rows = np.concatenate([r for r, _ in found])
-                    names = np.concatenate([f * CODES + k for k, (_, f) in enumerate(found)])
+                    names = np.concatenate([f * len(own) + k for k, (_, f) in enumerate(found)])
                     order = np.lexsort((names, rows))
                     rows, names = rows[order], names[order]
-                    edge = np.searchsorted(rows, np.arange(len(part) + 1))
-                    lists = [names[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:])]
-                    raw = [v.tobytes() for v in vectors]
                     pick = pa.array(rows)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            batch.column("label").take(take).take(pick),
-                            pa.array(np.full(len(rows), dim, np.int32)),
-                            pa.array(names),
+                    columns = [batch.column("label").take(take).take(pick), pa.array(np.full(len(rows), dim, np.int32)), pa.array(names)]
+                    if not slim:
+                        raw, first = [v.tobytes() for v in vectors], np.searchsorted(rows, rows).tolist()
+                        columns += [
                             batch.column("rep").take(take).take(pick),
                             batch.column("size").take(take).take(pick),
                             pa.array([raw[i] for i in rows], pa.binary()),
-                            pa.array([lists[i] for i in rows], pa.binary()),
-                        ],
-                        names=[c.split()[0] for c in _ENTRIES.split(", ")],
-                    )
+                            pa.array([names[a:b].tobytes() for b, a in enumerate(first)], pa.binary()),
+                        ]
+                    yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in (_SLIM if slim else _ENTRIES).split(", ")])
 
-    return classes.mapInArrow(kernel, _ENTRIES)
+    return classes.mapInArrow(kernel, _SLIM if slim else _ENTRIES)
 
 
-def _compare(name: int, a: dict, b: dict | None, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _compare(a: dict, b: dict | None, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Within chunk ``a``, or between ``a`` and ``b``: (vector, links) and (vector, linked vector) of a spanning forest.
 
     A pair is counted in the first of the filters that both exceed, so in one place only.
@@ -136,23 +151,25 @@ def _compare(name: int, a: dict, b: dict | None, cosine: float) -> tuple[np.ndar
     i, j = np.nonzero(close)
     if not len(i):
         return (np.zeros(0, np.int64),) * 4
-    # Earlier filters that are shared: incidence of each filter below this one, a slice at a time.
-    early = [np.array([f for f in x if f < name]) for x in a["others"]], [np.array([f for f in x if f < name]) for x in other["others"]]
-    flat = [np.concatenate(e) if e else np.zeros(0, np.int64) for e in early]
-    common = np.intersect1d(flat[0], flat[1]).astype(np.int64)
-    counted = close.copy()
+    # Earlier filters that are shared: incidence of each earlier filter, a slice at a time.
+    near = np.unique(i), np.unique(j)
+    early = [[side["earlier"][k] for k in rows.tolist()] for side, rows in zip((a, other), near)]
+    flat = [np.concatenate(e) for e in early]
+    common = np.intersect1d(flat[0], flat[1])
+    first = np.ones((len(near[0]), len(near[1])), dtype=bool)
     for at in range(0, len(common), 1024):
         some = common[at : at + 1024]
         tables = []
-        for e in early:
+        for e, names in zip(early, flat):
             table = np.zeros((len(e), len(some)), np.float32)
             rows = np.repeat(np.arange(len(e)), [len(x) for x in e])
-            names = np.concatenate(e) if len(rows) else np.zeros(0, np.int64)
             where = np.searchsorted(some, names)
             ok = (where < len(some)) & (some[np.minimum(where, len(some) - 1)] == names)
             table[rows[ok], where[ok]] = 1
             tables.append(table)
-        counted &= tables[0] @ tables[1].T == 0
+        first &= tables[0] @ tables[1].T == 0
+    counted = close.copy()
+    counted[np.ix_(*near)] &= first
     links_a = counted @ other["size"]
     # Each vector's first partner here, followed to a fixed point, spans what is linked within the chunk pair.
     ids = np.concatenate((a["rep"], [] if b is None else b["rep"])).astype(np.int64)
@@ -178,23 +195,23 @@ _FOUND = "a long, b long, links long"
 
 
 def _verify(cosine: float, kind: str):
-    def solve(name: int, low: int, high: int, rows: list[tuple]) -> pa.RecordBatch:
+    def solve(low: int, high: int, rows: list[tuple]) -> pa.RecordBatch:
         def side(chosen: list[tuple]) -> dict:
             return {
                 "rep": np.array([r[4] for r in chosen], np.int64),
                 "size": np.array([r[5] for r in chosen], np.int64),
                 "vec": _unit(np.frombuffer(b"".join(r[6] for r in chosen), kind).reshape(len(chosen), -1)),
-                "others": [np.frombuffer(r[7], np.int64) for r in chosen],
+                "earlier": [np.frombuffer(r[7], np.int64) for r in chosen],
             }
 
         if low == high:
-            ids, links, a, b = _compare(name, side(rows), None, cosine)
+            ids, links, a, b = _compare(side(rows), None, cosine)
         else:
             left, right = [r for r in rows if r[8] == low], [r for r in rows if r[8] == high]
             if not left or not right:
                 ids = links = a = b = np.zeros(0, np.int64)
             else:
-                ids, links, a, b = _compare(name, side(left), side(right), cosine)
+                ids, links, a, b = _compare(side(left), side(right), cosine)
         some = links > 0
         none = pa.nulls(int(some.sum()), pa.int64())
         return pa.RecordBatch.from_arrays(
@@ -211,11 +228,11 @@ def _verify(cosine: float, kind: str):
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 if rows and row[:4] + row[9:] != rows[-1][:4] + rows[-1][9:]:
-                    yield solve(rows[0][2], rows[0][3], rows[0][9], rows)
+                    yield solve(rows[0][3], rows[0][9], rows)
                     rows = []
                 rows.append(row)
         if rows:
-            yield solve(rows[0][2], rows[0][3], rows[0][9], rows)
+            yield solve(rows[0][3], rows[0][9], rows)
 
     return kernel
 
@@ -242,17 +259,22 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     members = rows.where(sound)
     # -0.0 and 0.0 are one key in Spark's groups, and one direction.
     classes = cut(members.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("size")))
-    stats = classes.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("label").alias("labels")).first()
+    labels = classes.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.ceil(F.log2(F.count(F.lit(1)))).cast("int").alias("power"))
+    sized = join_hot(classes, labels, "label", "n", classes.count())
+    # A row for each length of vector and each power of two up to the largest label.
+    kinds = sized.select(F.size("embedding").alias("dim"), "power").distinct().collect()
+    codes = vectors.sparkSession.sparkContext.broadcast({(r["dim"], r["power"]): codes_for(r["dim"], 1 << r["power"], cosine) for r in kinds})
     kind = "<f4" if dict(classes.dtypes)["embedding"] == "array<float>" else "<f8"
-    entries = _entries(classes, stats["n"] / max(1, stats["labels"]), cosine, kind)
-    filled = entries.groupBy("label", "dim", "filter").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    # Written first, so that Spark knows how few filters need chunks, and need not shuffle the vectors to find them.
+    large = written(_entries(sized, codes, kind, slim=True).groupBy("label", "dim", "filter").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > CHUNK))
     spread = shuffle_width(vectors.sparkSession)
     dealt = (
-        entries.join(filled, ["label", "dim", "filter"])
-        .withColumn("_k", F.expr(f"int((_n + {CHUNK - 1}) div {CHUNK})"))
+        _entries(sized, codes, kind)
+        .join(large, ["label", "dim", "filter"], "left")
+        .withColumn("_k", F.expr(f"int((coalesce(_n, 1) + {CHUNK - 1}) div {CHUNK})"))
         .withColumn("chunk", F.expr("int(pmod(xxhash64(rep), _k))"))
         .withColumn("_p", F.explode(F.expr("sequence(0, _k - 1)")))
-        .select("label", "dim", "filter", F.least("chunk", "_p").alias("low"), "rep", "size", "vec", "others", "chunk", F.greatest("chunk", "_p").alias("high"))
+        .select("label", "dim", "filter", F.least("chunk", "_p").alias("low"), "rep", "size", "vec", "earlier", "chunk", F.greatest("chunk", "_p").alias("high"))
         .repartition(spread, "label", "dim", "filter", "low", "high")
         .sortWithinPartitions("label", "dim", "filter", "low", "high")
     )
