@@ -10,6 +10,8 @@ from re import _parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.llm.common import written
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -112,27 +114,31 @@ def trigram_query(pattern: str) -> Query:
 # --- index -----------------------------------------------------------------------------------
 
 
+#: A row is known by its id and a digest of its text, so no null or repeated id gathers rows.
+_KEY = "struct(doc_id, xxhash64(text) as h)"
+
+
 def candidates(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(doc_id, rules array<string>): the documents that hold all trigrams of an alternative of a rule.
+    """(key, rules array<string>): the documents, as _KEY, that hold all trigrams of an alternative of a rule.
 
-    The inverted index has a posting for each trigram that some rule asks for and each id whose text
-    holds it. An alternative's postings are intersected by counting them for each id.
+    The inverted index has a posting for each trigram that some rule asks for and each document whose
+    text holds it. An alternative's postings are intersected by counting them for each document.
     """
     spark = docs.sparkSession
     asked = [(r.kind, k, sorted(grams)) for r in rules for k, grams in enumerate(sorted(map(sorted, trigram_query(r.pattern)))) if grams]
     trigrams = sorted({g for *_, grams in asked for g in grams})
-    present = F.array_compact(F.array(*(F.when(F.contains(F.col("_low"), F.lit(g)), F.lit(g)) for g in trigrams)))
+    present = F.array_compact(F.array(*(F.when(F.contains(F.col("low"), F.lit(g)), F.lit(g)) for g in trigrams)))
     # A projection of its own, so that a text is lower-cased once and not for each trigram.
-    postings = docs.select("doc_id", F.lower("text").alias("_low")).select("doc_id", F.explode(present).alias("trigram"))
+    postings = docs.select(F.expr(_KEY).alias("key"), F.lower("text").alias("low")).select("key", F.explode(present).alias("trigram"))
     wanted = spark.createDataFrame([(kind, k, len(grams), g) for kind, k, grams in asked for g in grams], "kind string, branch int, need int, trigram string")
     # As many rows as the rules have trigrams, so the broadcast is bounded.
     met = (
         postings.join(F.broadcast(wanted), "trigram")
-        .groupBy("doc_id", "kind", "branch", "need")
+        .groupBy("key", "kind", "branch", "need")
         .agg(F.size(F.collect_set("trigram")).alias("found"))
         .where("found = need")
     )
-    return met.groupBy("doc_id").agg(F.collect_set("kind").alias("rules"))
+    return met.groupBy("key").agg(F.collect_set("kind").alias("rules"))
 
 
 # --- verification ----------------------------------------------------------------------------
@@ -169,18 +175,21 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
     Offsets are code points, ends exclusive. Rules without mandatory trigrams scan every text, the
     others the candidates of the index. Null texts hold nothing; repeated rows and ids are all
-    verified on their own text; all columns of ``docs`` stay.
+    verified on their own text; all columns of ``docs`` stay, but for one called ``spans``.
     """
-    found = candidates(docs, rules).select(F.col("doc_id").alias("_cand_id"), F.col("rules").alias("_cand_rules"))
-    joined = docs.join(found, docs["doc_id"].eqNullSafe(found["_cand_id"]), "left")
+    # Written first, so that Spark knows the candidates' size: few are broadcast and no text is
+    # shuffled; beyond Spark's threshold both sides are shuffled by key.
+    found = written(candidates(docs.select("doc_id", "text"), rules))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "spans")).alias("row"), "text", F.expr(_KEY).alias("_key"))
+    joined = rows.join(found, rows["_key"].eqNullSafe(found["key"]), "left")
     parts = []
     for number, rule in enumerate(rules):
         text = F.col("text")
         holds = text.rlike(rule.screen or rule.pattern)
         if trigram_query(rule.pattern) != _ANY:
-            holds = F.array_contains("_cand_rules", rule.kind) & holds
+            holds = F.array_contains("rules", rule.kind) & holds
         parts.append(F.when(holds, _spans(rule, number, text)).otherwise(F.expr(_NO_SPANS)))
-    return joined.withColumn("spans", F.array_sort(F.concat(*parts))).drop("_cand_id", "_cand_rules")
+    return joined.select("row.*", F.array_sort(F.concat(*parts)).alias("spans"))
 
 
 def _listed(spans: Column, rules: tuple[Rule, ...]) -> Column:
@@ -200,8 +209,11 @@ def secret_columns(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """``docs`` with MASK in place of every secret; overlapping secrets share a mask; null texts stay null."""
-    columns = docs.columns
+    """``docs`` with MASK in place of every secret; overlapping secrets share a mask.
+
+    Null and empty texts stay as they are, repeated rows are masked alike, an empty table gives no
+    rows, and other columns keep their values whatever they are called.
+    """
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -210,4 +222,6 @@ def redact(docs: DataFrame) -> DataFrame:
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], before, F.lit(MASK))).otherwise(acc["out"]).alias("out"))
 
     masked = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    return find_secrets(docs).withColumn("text", F.when(F.size("spans") > 0, masked).otherwise(F.col("text"))).select(*columns)
+    packed = docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("all"))
+    kept = find_secrets(packed).select("all", F.when(F.size("spans") > 0, masked).otherwise(F.col("text")).alias("text"))
+    return kept.select(*(F.col("text") if c == "text" else F.col("all").getField(c).alias(c) for c in docs.columns))
