@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,30 +43,27 @@ _FOLD = bytes(
 )
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 _TOKEN = re.compile(r"[ \t]*(\(|\)|[a-z0-9][a-z0-9.+:-]*)")
+_LEAD = re.compile(r"[ \t:=\"']*")
 _BINDS = {"or": 1, "and": 2, "with": 3}
 
 
-def to_postfix(text: str) -> list[str]:
-    """The longest licence expression at the start of ``text`` in postfix order, [] if there is none.
-
-    A shunting-yard over identifiers, parentheses and the operators with, and, or (binding in that
-    order). Reading stops at the line's end or where no expression continues; a dangling operator
-    or an unclosed parenthesis at the end is dropped.
-    """
+def _postfix(text: str, at: int, end: int) -> tuple[list[str], int, bool]:
+    """(postfix, where reading stopped, whether an operand came last) of the expression at ``at``."""
     out: list[str] = []
     stack: list[str] = []
-    complete: list[str] = []
-    operand, at = True, 0
-    while m := _TOKEN.match(text, at):
+    operand, open_, good = True, 0, at
+    while m := _TOKEN.match(text, at, end):
         token = m[1]
         if operand and token == "(":
             stack.append(token)
+            open_ += 1
         elif operand and token not in _BINDS and token != ")":
             out.append(token.rstrip(".:-"))
             operand = False
-        elif not operand and token == ")" and "(" in stack:
+        elif not operand and token == ")" and open_:
             while (top := stack.pop()) != "(":
                 out.append(top)
+            open_ -= 1
         elif not operand and token in _BINDS:
             while stack and stack[-1] != "(" and _BINDS[stack[-1]] >= _BINDS[token]:
                 out.append(stack.pop())
@@ -74,8 +73,25 @@ def to_postfix(text: str) -> list[str]:
             break
         at = m.end()
         if not operand:
-            complete = out + [x for x in reversed(stack) if x != "("]
-    return complete
+            good = at
+    return out + [x for x in reversed(stack) if x != "("], good, not operand
+
+
+def read_expression(text: str, at: int, end: int) -> tuple[list[str], int]:
+    """The longest licence expression at ``at`` in postfix order ([] if none), and where it ends; ``text`` is lower-case.
+
+    A shunting-yard over identifiers, parentheses and the operators with, and, or (binding in that
+    order). Reading stops at ``end`` or where no expression continues; a dangling operator or an
+    unclosed parenthesis at the end is dropped. Time is linear in what is read.
+    """
+    out, good, whole = _postfix(text, at, end)
+    if whole or good == at:
+        return (out if whole else []), good
+    return _postfix(text, at, good)[0], good
+
+
+def to_postfix(text: str) -> list[str]:
+    return read_expression(text, 0, len(text))[0]
 
 
 def evaluate(postfix: list[str], allowed: frozenset[str] = PERMISSIVE) -> bool | None:
@@ -97,7 +113,10 @@ def licences(postfix: list[str]) -> set[str]:
     for token in postfix:
         if token in _BINDS:
             right, left = stack.pop(), stack.pop()
-            stack.append(left if token == "with" else left | right)
+            if token != "with":  # the smaller set joins the larger
+                left, right = sorted((left, right), key=len, reverse=True)
+                left |= right
+            stack.append(left)
         else:
             stack.append({SAME.get(token, token)})
     return stack[0] if stack else set()
@@ -113,18 +132,23 @@ def automaton() -> ahocorasick.Automaton:
 
 
 def scan(text: str | None, machine: ahocorasick.Automaton) -> dict:
-    """What one text holds: counts, first and last place, labels, expressions' verdict, score."""
+    """What one text holds: counts, first and last place, labels, expressions' verdict, score.
+
+    Each part takes time linear in the text: places come from the words' offsets, and a tag inside
+    an expression that was already read is part of that expression.
+    """
     raw = (text or "").encode("utf-8", "surrogatepass")
-    words = raw.translate(_FOLD).split(b" ")
-    words = [w for w in words if w]
-    line = f" {b' '.join(words).decode('latin-1')} "
+    words = [w for w in raw.translate(_FOLD).split(b" ") if w]
     places: list[int] = []
+    tags: list[int] = []
     base: set[str] = set()
     labels: set[str] = set()
     verdicts: list[bool] = []
     extra = 0
-    for end, (kind, phrase, label) in machine.iter(line):
-        start = line.count(" ", 0, end - len(phrase) - 1)
+    found = list(machine.iter(f" {b' '.join(words).decode('latin-1')} "))
+    begins = np.cumsum([0] + [len(w) + 1 for w in words[:-1]]) if found else None
+    for end, (kind, phrase, label) in found:
+        start = int(np.searchsorted(begins, end - len(phrase) - 1))
         if kind == "base":
             places.append(start)
             base.add(label)
@@ -132,10 +156,19 @@ def scan(text: str | None, machine: ahocorasick.Automaton) -> dict:
             labels.add(label)
             extra += 1
         else:
-            # The tag's third word, found again in the raw text, ends where the expression starts.
-            spot = next(m.end() for i, m in enumerate(_WORD.finditer(raw)) if i == start + 2)
-            rest = raw[spot:].split(b"\n", 1)[0].decode("utf-8", "replace").lower().lstrip(" \t:=\"'")
-            postfix = to_postfix(rest)
+            tags.append(start)
+    if tags:
+        folded = raw.lower().decode("latin-1")  # as many characters as bytes
+        ends = [m.end() for m in _WORD.finditer(raw)]
+        breaks = [m.start() for m in re.finditer(rb"\n", raw)] + [len(raw)]
+        read = 0
+        for start in tags:
+            # The tag's third word ends where the expression starts.
+            at = ends[start + 2]
+            if at < read:
+                continue
+            stop = breaks[bisect.bisect_left(breaks, at)]
+            postfix, read = read_expression(folded, _LEAD.match(folded, at, stop).end(), stop)
             if postfix:
                 labels |= licences(postfix)
                 verdicts.append(bool(evaluate(postfix)))
