@@ -80,21 +80,19 @@ def mix(docs: DataFrame, max_epochs: int = MAX_EPOCHS, seed: str = SEED, carry:
 
 
 def mixed_rows(docs: DataFrame, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
-    """The mix itself: every row of ``docs``, with all its columns, as often as its epochs say.
+    """The mix itself: every row of ``docs``, with all its columns whatever they are called, as often as its epochs say.
 
-    Rows with the same id and text are interchangeable, so their epochs are added up and dealt evenly.
+    Rows with the same id and text are interchangeable, so their epochs are added up and dealt
+    evenly. Null texts have size 0 and are taken as their source is; null ids count as one id; an
+    empty table gives no rows.
     """
-    columns = docs.columns
-    keyed = docs.withColumn("_h", F.xxhash64("text"))
-    share = mix(keyed, max_epochs, seed, carry=("_h",)).groupBy("doc_id", "_h").agg(F.sum("epochs").alias("_all"), F.count(F.lit(1)).alias("_n"))
-    share = share.withColumnsRenamed({"doc_id": "_id", "_h": "_h2"})
-    nth = F.row_number().over(Window.partitionBy("doc_id", "_h").orderBy("doc_id"))
-    times = F.expr("_all div _n + if(_nth <= _all % _n, 1, 0)").cast("int")
-    return (
-        keyed.withColumn("_nth", nth)
-        .join(share, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_h2")))
-        .withColumn("_times", times)
-        .where("_times > 0")
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-        .select(*columns)
+    key = F.struct("doc_id", F.xxhash64("text").alias("h")).alias("key")
+    share = (
+        mix(docs.select("doc_id", "text", "source", F.xxhash64("text").alias("h")), max_epochs, seed, carry=("h",))
+        .groupBy(F.struct("doc_id", "h").alias("key"))
+        .agg(F.sum("epochs").alias("all"), F.count(F.lit(1)).alias("n"))
     )
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), key)
+    dealt = rows.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy("key"))).join(share, "key")
+    times = F.expr("cast(all div n + if(nth <= all % n, 1, 0) as int)")
+    return dealt.select("row", times.alias("times")).where("times > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
