@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import random
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -137,18 +137,136 @@ def label_weights(library: DataFrame) -> DataFrame:
     return share.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "w"))), lambda s: s["w"]).alias("weight"))
 
 
-def grown_candidates(columns: DataFrame, most: int = 3, least: float = 0.05) -> DataFrame:
-    """(table_name, columns, gain): indexes of one column, then of one more column as long as a table's best gains enough.
+def _shares(predicates: DataFrame) -> DataFrame:
+    """(query_id, shares): each query's columns with the share of rows that its condition on them leaves."""
+    by_column = predicates.groupBy("query_id", "column").agg(F.min("share").alias("share"))
+    return by_column.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("column", "share"))).alias("shares"))
 
-    ``columns`` has table_name, column and the benefit of the column on its own; a wider index gains what its
-    columns gain, each further one half as much as the one before it.
+
+def _indexed_rows(columns: Column) -> Column:
+    """Rows that an index leaves of a query's: its leading columns help up to the first one that the query has no condition on."""
+    start = F.struct(F.lit(1.0).alias("share"), F.lit(True).alias("on"))
+    step = lambda a, c: F.struct(F.when(a["on"] & F.col("shares")[c].isNotNull(), a["share"] * F.col("shares")[c]).otherwise(a["share"]).alias("share"), (a["on"] & F.col("shares")[c].isNotNull()).alias("on"))
+    return F.greatest(F.lit(1.0), F.col("rows") * F.aggregate(columns, start, step, lambda a: a["share"]))
+
+
+def cost_table(queries: DataFrame, predicates: DataFrame, indexes: DataFrame, upkeep: float = 0.1) -> DataFrame:
+    """(query_id, config_id, cost, freq): a simple model of costs, for where no database can be asked.
+
+    ``queries`` has (query_id, table_name, freq, rows, writes boolean), ``predicates`` (query_id, column,
+    share), ``indexes`` (config_id, table_name, columns array). A query costs the rows it reads, by a scan
+    (configuration 0) or by an index on its table; a writing one also ``upkeep`` of its rows for the index.
+    """
+    asked = queries.join(_shares(predicates), "query_id", "left")
+    plain = asked.select("query_id", F.lit(0).alias("config_id"), F.col("rows").alias("cost"), "freq")
+    paid = F.when(F.col("writes"), F.col("rows") * upkeep).otherwise(0.0)
+    return plain.unionByName(asked.join(indexes, "table_name").select("query_id", "config_id", (_indexed_rows(F.col("columns")) + paid).alias("cost"), "freq"))
+
+
+def grown_candidates(queries: DataFrame, predicates: DataFrame, most: int = 5, least: float = 0.05) -> DataFrame:
+    """(table_name, columns array, cost, gain): indexes on every asked column, and on one more column, up to ``most``, as long
+    as that takes ``least`` of the table's cost with the narrower one away."""
+    asked = queries.join(_shares(predicates), "query_id")
+    known = queries.select("query_id", "table_name").join(predicates.select("query_id", "column"), "query_id").select("table_name", "column").distinct()
+
+    def priced(wide: DataFrame) -> DataFrame:
+        each = wide.join(asked, "table_name")
+        return each.groupBy("table_name", "columns", *([] if "before" not in wide.columns else ["before"])).agg(F.sum(_indexed_rows(F.col("columns")) * F.col("freq")).alias("cost"))
+
+    plain = asked.groupBy("table_name").agg(F.sum(F.col("rows") * F.col("freq")).alias("plain"))
+    kept = priced(known.select("table_name", F.array("column").alias("columns"))).join(plain, "table_name").where("cost < plain").select("table_name", "columns", "cost")
+    found = kept
+    for _ in range(most - 1):
+        wider = kept.join(known, "table_name").where(~F.array_contains("columns", F.col("column")))
+        wider = wider.select("table_name", F.array_append("columns", F.col("column")).alias("columns"), F.col("cost").alias("before"))
+        kept = priced(wider).where(F.col("cost") <= F.col("before") * (1 - least)).select("table_name", "columns", "cost")
+        found = found.unionByName(kept)
+    return found.join(plain, "table_name").select("table_name", "columns", "cost", (F.col("plain") - F.col("cost")).alias("gain"))
+
+
+def post_filter(cost: DataFrame, indexes: DataFrame, improved: float = 0.1, negative: float = 0.2, large: float = math.inf, room: float = math.inf, count: int | None = None, origin: int = 0) -> DataFrame:
+    """(config_id, gain, mean_rate, negative_share, storage): the configurations that are worth having, in order of gain.
+
+    Dropped are those that help no statement, those whose mean rate over the statements they help is below
+    ``improved`` while their benefit is below ``large``, and those with a mean rate below ``negative`` that
+    harm more than that share of statements; then what no longer fits ``room``, in order, and all after
+    ``count``. ``indexes`` has (config_id, storage).
+    """
+    plain = cost.where(F.col("config_id") == origin).select("query_id", F.col("cost").alias("_plain"))
+    each = cost.where(F.col("config_id") != origin).join(plain, "query_id").withColumn("_saved", F.col("_plain") - F.col("cost"))
+    helps, harms = F.col("_saved") > 0, F.col("_saved") < 0
+    n = lambda c: F.sum(F.when(c, F.col("freq")).otherwise(0))
+    judged = each.groupBy("config_id").agg(
+        F.sum(F.col("_saved") * F.col("freq")).alias("gain"), F.sum(F.when(helps, F.col("_saved"))).alias("_benefit"),
+        (F.sum(F.when(helps, F.col("_saved") / F.col("_plain") * F.col("freq"))) / n(helps)).alias("mean_rate"), (n(harms) / F.sum("freq")).alias("negative_share"),
+    ).where("_benefit > 0 and gain > 0")
+    low = (F.col("mean_rate") < improved) & (F.col("_benefit") < large)
+    harmful = (F.col("mean_rate") < negative) & (F.col("negative_share") > negative)
+    kept = judged.where(~low & ~harmful).join(indexes.select("config_id", "storage"), "config_id").drop("_benefit")
+    if room == math.inf and count is None:
+        return kept.orderBy(F.col("gain").desc(), "config_id")
+    # One row a configuration that is left; each takes what room the ones before it leave.
+    chosen, left = [], room
+    for r in kept.orderBy(F.col("gain").desc(), "config_id").toLocalIterator():
+        if count is not None and len(chosen) == count:
+            break
+        if r["storage"] <= left:
+            chosen.append(r["config_id"])
+            left -= r["storage"]
+    return kept.where(F.col("config_id").isin(chosen)).orderBy(F.col("gain").desc(), "config_id")
+
+
+def contained_pairs(indexes: DataFrame) -> DataFrame:
+    """(short, long) configurations of one table where the columns of one are all among the other's."""
+    a, b = (indexes.select("table_name", F.col("config_id").alias(n), F.col("columns").alias(f"_{n}")) for n in ("short", "long"))
+    inside = (F.size(F.array_except("_short", "_long")) == 0) & ((F.size("_short") < F.size("_long")) | ((F.size("_short") == F.size("_long")) & (F.col("short") < F.col("long"))))
+    return a.join(b, "table_name").where((F.col("short") != F.col("long")) & inside).select("short", "long")
+
+
+def same_columns(cost: DataFrame, indexes: DataFrame, rate: float = 0.8) -> DataFrame:
+    """(config_id): what may go, as another configuration with its columns, or among them, has over ``rate`` of what both gain together.
+
+    Of such a pair the longer one goes, if the shorter gains that much, else the shorter, if the longer does.
+    """
+    pairs = contained_pairs(indexes).withColumn("set_id", F.struct("short", "long"))
+    members = pairs.select("set_id", F.explode(F.array("short", "long")).alias("config_id"))
+    singles = indexes.select(F.struct(F.col("config_id").alias("short"), F.col("config_id").alias("long")).alias("set_id"), "config_id")
+    origin = cost.where("config_id = 0").agg(F.sum(F.col("cost") * F.col("freq")).alias("_all"))
+    sets = infer_benefit(cost, members.unionByName(singles)).crossJoin(F.broadcast(origin)).select("set_id", (F.col("_all") - F.col("cost")).alias("gain"))
+    one = sets.where("set_id.short = set_id.long").select(F.col("set_id.short").alias("_id"), F.col("gain").alias("_gain"))
+    both = pairs.join(sets, "set_id")
+    both = both.join(one.withColumnsRenamed({"_id": "short", "_gain": "_s"}), "short", "left").join(one.withColumnsRenamed({"_id": "long", "_gain": "_l"}), "long", "left")
+    gone = F.when(F.coalesce("_s", F.lit(0.0)) / F.col("gain") > rate, F.col("long")).when(F.coalesce("_l", F.lit(0.0)) / F.col("gain") > rate, F.col("short"))
+    return both.where("gain > 0").select(gone.alias("config_id")).where("config_id is not null").distinct()
+
+
+def redundant_existing(indexes: DataFrame) -> DataFrame:
+    """(index_name): existing indexes whose columns begin another one's of the same table, unless only unused ones make them redundant.
+
+    ``indexes`` has (table_name, index_name, columns array, unused boolean).
     """
-    ranked = columns.withColumn("_k", F.row_number().over(Window.partitionBy("table_name").orderBy(F.col("benefit").desc(), "column")))
-    upto = Window.partitionBy("table_name").orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)
-    gain = F.sum(F.col("benefit") / F.pow(F.lit(2.0), F.col("_k") - 1)).over(upto)
-    wide = ranked.where(F.col("_k") <= most).withColumn("columns", F.array_join(F.collect_list("column").over(upto), ",")).withColumn("gain", gain)
-    before = F.lag("gain").over(Window.partitionBy("table_name").orderBy("_k"))
-    return wide.withColumn("_before", before).where(F.col("_before").isNull() | (F.col("gain") >= F.col("_before") * (1 + least))).select("table_name", "columns", "gain")
+    n = F.size("columns")
+    short = indexes.select("table_name", "index_name", F.col("columns").alias("_c"), F.col("unused").alias("_u"))
+    # The join hashes on the first column too, which both begin with.
+    heads = short.withColumn("_head", F.col("_c")[0]).join(indexes.select("table_name", F.col("index_name").alias("_other"), "columns", F.col("unused").alias("_v"), F.col("columns")[0].alias("_head")), ["table_name", "_head"])
+    begins = F.slice("columns", F.lit(1), F.size("_c")) == F.col("_c")
+    later = (F.size("_c") < n) | ((F.size("_c") == n) & (F.col("index_name") < F.col("_other")))
+    return heads.where(begins & later & (~F.col("_v") | F.col("_u"))).select("index_name").distinct()
+
+
+def advise(queries: DataFrame, predicates: DataFrame, storage_of: Column, most: int = 5, choose: int = 10, room: float = math.inf) -> DataFrame:
+    """(table_name, columns, gain, storage): candidates are grown, priced, filtered, and chosen one by one by what each adds."""
+    from tidewatch.sources.store import shared_folder
+
+    shared_folder(queries.sparkSession)
+    number = F.row_number().over(Window.orderBy(F.col("gain").desc(), "table_name", "columns"))  # as many rows as candidates
+    # Both are read many times over, so each is worked out once.
+    indexes = grown_candidates(queries, predicates, most).withColumn("config_id", number).withColumn("storage", storage_of).checkpoint()
+    cost = cost_table(queries, predicates, indexes).checkpoint()
+    useful = indexes.join(post_filter(cost, indexes).select("config_id"), "config_id").join(same_columns(cost, indexes), "config_id", "left_anti").checkpoint()
+    sizes = {r["config_id"]: float(r["storage"]) for r in useful.select("config_id", "storage").collect()}
+    chosen = greedy(cost.join(useful.select("config_id"), "config_id", "left_semi").unionByName(cost.where("config_id = 0")), choose, sizes, room)
+    return useful.where(F.col("config_id").isin(chosen)).select("table_name", "columns", "gain", "storage")
 
 
 def swarm(cost, low: list[float], high: list[float], particles: int = 20, rounds: int = 60, seed: int = 0) -> tuple[list[float], float]:

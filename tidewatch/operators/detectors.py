@@ -103,17 +103,29 @@ def gradient(df: DataFrame, keys: list[str], side: str = "positive", max_coef: f
 
 
 def _kernel(df: DataFrame, keys: list[str], rule) -> DataFrame:
-    """Run a numpy rule (values -> flags) on each series whole; a series is one task's work."""
+    """Run a numpy rule (values -> flags) on each series whole; a series is one task's work.
+
+    A series that the rule fails on has NULL flags, and the others theirs; see failed().
+    """
     columns = [*keys, "ts_ms", "value"]
     schema = ", ".join(f"{c} {t}" for c, t in df.select(*columns).dtypes) + ", is_anomaly boolean"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ts_ms")
-        return pdf.assign(is_anomaly=rule(pdf["value"].to_numpy(dtype=float)))
+        try:
+            flags = pd.array(rule(pdf["value"].to_numpy(dtype=float)), dtype="boolean")
+        except (ValueError, ArithmeticError, IndexError, np.linalg.LinAlgError):
+            flags = pd.array([None] * len(pdf), dtype="boolean")
+        return pdf.assign(is_anomaly=flags)
 
     return df.select(*columns).groupBy(*keys).applyInPandas(run, schema)
 
 
+def failed(flagged: DataFrame, keys: list[str]) -> DataFrame:
+    """The series that a detector could not judge."""
+    return flagged.groupBy(*keys).agg(F.count("is_anomaly").alias("_n")).where("_n = 0").select(*keys)
+
+
 def increase(df: DataFrame, keys: list[str], side: str = "positive", alpha: float | None = None) -> DataFrame:
     """Cox-Stuart: the whole series, if its second half lies above (below) its first by a sign test and by slope."""
 
@@ -181,3 +193,20 @@ def run_predefined(name: str, samples: DataFrame, keys: list[str], metric: str =
         chosen = samples.where(F.col(metric) == (rename or {}).get(needed, needed))
         parts.append(REGISTRY[kind](chosen, keys, **arguments))
     return combine(parts, keys)
+
+
+def run_pool(pool: dict[str, tuple], samples: DataFrame, keys: list[str], metric: str = "name") -> DataFrame:
+    """(detector, keys, start_ms, end_ms, n, level, content): the alarms of all detectors of a pool.
+
+    ``pool`` names detectors: (metric, kind, arguments, level, content), as kept in a table of
+    detector definitions; a paused one has level 0 and is not run.
+    """
+    out = None
+    for name, (needed, kind, arguments, level, content) in sorted(pool.items()):
+        if not level:
+            continue
+        found = alarms(REGISTRY[kind](samples.where(F.col(metric) == needed), keys, **arguments), keys, level, content).withColumn("detector", F.lit(name))
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        raise ValueError("every detector of the pool is paused")
+    return out

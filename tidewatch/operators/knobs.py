@@ -25,6 +25,31 @@ VOTES = (
 )
 
 
+#: What workload_ratios() adds.
+RATIOS = ("cache_hit", "read_write", "search_modify", "fetch_return", "rollback_commit", "temp_file_size", "checkpoint_proactive", "insert_share", "update_share", "delete_share")
+
+
+def workload_ratios(counters: DataFrame) -> DataFrame:
+    """Adds RATIOS to summed counters; a ratio without a divisor is NULL, and sizes are in kB."""
+    c = F.col
+    modified = c("tup_inserted") + c("tup_updated") + c("tup_deleted")
+    over = lambda a, b: a / F.nullif(b, F.lit(0))
+    return counters.withColumns(
+        {
+            "cache_hit": over(c("blks_hit"), c("blks_hit") + c("blks_read")),
+            "read_write": over(c("tup_fetched"), modified),
+            "search_modify": over(c("tup_returned"), modified),
+            "fetch_return": over(c("tup_fetched"), c("tup_returned")),
+            "rollback_commit": over(c("xact_rollback"), c("xact_commit")),
+            "temp_file_size": c("temp_bytes") / 1024,
+            "checkpoint_proactive": over(c("checkpoints_timed"), c("checkpoints_timed") + c("checkpoints_req")),
+            "insert_share": over(c("tup_inserted"), modified),
+            "update_share": over(c("tup_updated"), modified),
+            "delete_share": over(c("tup_deleted"), modified),
+        }
+    )
+
+
 def _steps(value: Column, bounds, direction: str, otherwise: Column) -> Column:
     out = otherwise
     for bound, points in reversed(bounds):

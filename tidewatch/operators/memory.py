@@ -37,3 +37,19 @@ def directory_status(directories: DataFrame, requests: DataFrame, seconds: float
     load = requests.groupBy("directory").agg((F.sum("requests") / seconds).alias("iops"))
     status = directories.join(load, "directory", "left")
     return status.select("directory", "total", "used", (F.col("total") - F.col("used")).alias("free"), (F.col("used") / F.nullif(F.col("total"), F.lit(0)) >= limit).alias("warned"), F.coalesce("iops", F.lit(0.0)).alias("iops"))
+
+
+def exporter_health(samples: DataFrame, expected: int, now: int, silence_ms: int) -> DataFrame:
+    """(name, instances, state, suggestion) for each metric's exporter: silent, single, partial or normal."""
+    n = F.col("instances")
+    seen = samples.groupBy("name").agg(F.count_distinct("instance").alias("instances"), F.max("ts_ms").alias("_last"))
+    state = F.when(F.col("_last") < now - silence_ms, "silent").when(n >= expected, "normal").when(n > 1, "partial").otherwise("single")
+    told = seen.withColumn("state", state)
+    advice = F.when(F.col("state") == "silent", "start the exporter or check its address").when(F.col("state").isin("partial", "single"), "deploy the exporter on the other instances")
+    return told.select("name", "instances", "state", advice.alias("suggestion"))
+
+
+def healing_actions(alarms: DataFrame, actions: DataFrame) -> DataFrame:
+    """Each alarm with the actions that its cause asks for, in order; ``actions`` has (action, causes array)."""
+    by_cause = actions.select(F.explode("causes").alias("cause"), "action").groupBy("cause").agg(F.sort_array(F.collect_set("action")).alias("actions"))
+    return alarms.join(by_cause, "cause", "left").withColumn("actions", F.coalesce("actions", F.array().cast("array<string>")))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -121,9 +119,10 @@ def ancestors(df: DataFrame, child: str, parent: str) -> DataFrame:
     """
     links = df.select(F.col(child).alias("node"), F.col(parent).alias("up"))
     chain = links.select("node", F.coalesce("up", "node").alias("top"), F.when(F.col("up").isNull(), F.lit(0)).otherwise(F.lit(1)).cast("long").alias("depth"))
-    n, context = links.where("up IS NOT NULL").count(), df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    from tidewatch.sources.store import shared_folder
+
+    n = links.where("up IS NOT NULL").count()
+    shared_folder(df.sparkSession)
     while True:
         chain = chain.checkpoint()
         far = chain.where("depth > 0").select(F.col("node").alias("top"), F.col("top").alias("_top"), F.col("depth").alias("_more"))
@@ -132,3 +131,45 @@ def ancestors(df: DataFrame, child: str, parent: str) -> DataFrame:
         if chain.join(far, "top", "left_semi").isEmpty():
             return chain.select(F.col("node").alias(child), F.col("top").alias("root"), "depth")
         chain = chain.join(far, "top", "left").select("node", F.coalesce("_top", "top").alias("top"), (F.col("depth") + F.coalesce("_more", F.lit(0))).alias("depth"))
+
+
+def grouping_sets(df: DataFrame, columns: list[str], sets: list[list[str]], *measures: Column) -> DataFrame:
+    """Aggregates over several groupings at once; ``level`` has a bit for each column that a row is not grouped by."""
+    return df.groupingSets([[F.col(c) for c in s] for s in sets], *columns).agg(*measures, F.grouping_id(*columns).cast("long").alias("level"))
+
+
+def distinct_estimates(df: DataFrame, keys: list[str], columns: list[str], error: float = 0.02) -> DataFrame:
+    """(keys, a column for each of ``columns``): approximate numbers of distinct values, in memory that does not grow with them."""
+    return df.groupBy(*keys).agg(*(F.approx_count_distinct(c, error).alias(c) for c in columns))
+
+
+def present_keys(df: DataFrame, asked: DataFrame, key: str) -> DataFrame:
+    """Each asked key, and whether ``df`` has it: one semi join, which stops at no count."""
+    found = df.select(key).distinct().withColumn("_there", F.lit(True))
+    return asked.select(key).distinct().join(found, key, "left").select(key, F.coalesce("_there", F.lit(False)).alias("present"))
+
+
+#: Sections of a real-time inspection and the metrics they show.
+INSPECTION = {
+    "host": ("os_cpu_user_usage", "os_mem_usage", "os_disk_usage", "os_disk_ioutils"),
+    "database": ("connections", "thread_pool_usage", "active_sessions", "locks"),
+    "workload": ("qps", "tps", "p95", "buffer_hit_rate"),
+    "growth": ("db_size", "table_size", "xlog_size"),
+}
+
+
+def inspect(samples: DataFrame, now: int, minutes: int = 10, sections: dict = INSPECTION) -> DataFrame:
+    """(section, name, instance, latest, avg, min, max, n) of the last minutes, for the metrics that the sections name."""
+    pairs = F.array(*(F.struct(F.lit(s).alias("section"), F.lit(m).alias("name")) for s, names in sections.items() for m in names))
+    wanted = F.filter(pairs, lambda p: p["name"] == F.col("name"))
+    recent = samples.where(F.col("ts_ms").between(now - minutes * 60_000, now)).select("name", "instance", "ts_ms", "value", F.explode(wanted["section"]).alias("section"))
+    v = F.col("value")
+    return recent.groupBy("section", "name", "instance").agg(F.max_by("value", "ts_ms").alias("latest"), F.avg(v).alias("avg"), F.min(v).alias("min"), F.max(v).alias("max"), F.count(v).alias("n"))
+
+
+def subsets(df: DataFrame, key: str, member: str, most: int = 4) -> DataFrame:
+    """(key, mask, members array): all subsets of each key's members in order; a key may have ``most`` of them, as they double with each."""
+    sets = df.groupBy(key).agg(F.sort_array(F.collect_set(member)).alias("_all"))
+    checked = sets.withColumn("_all", F.when(F.size("_all") <= most, F.col("_all")).otherwise(F.raise_error(F.lit(f"a key has more than {most} members"))))
+    masked = checked.withColumn("mask", F.explode(F.expr("sequence(0, cast(pow(2, size(_all)) as int) - 1)")))
+    return masked.select(key, "mask", F.expr("filter(_all, (x, i) -> shiftright(mask, i) % 2 = 1)").alias("members"))

@@ -138,6 +138,24 @@ def forecast(df: DataFrame, keys: list[str], step: int, steps: int, low: float =
     return df.select(*keys, "ts_ms", "value").groupBy(*keys).applyInPandas(run, schema)
 
 
+def metric_forecast(df: DataFrame, keys: list[str], step: int, bounds: dict[str, tuple[float, float]], share: float = 0.33, method: str = "season", metric: str = "name") -> DataFrame:
+    """(keys, ts_ms, value): each series carried on by ``share`` of its own range, within its metric's bounds (else from 0).
+
+    ``method`` is season (forecast()) or line.
+    """
+    reach = df.groupBy(*keys).agg(F.min("ts_ms").alias("_first"), F.max("ts_ms").alias("_last"))
+    reach = reach.select(*keys, "_last", F.expr(f"cast((_last - _first) * {share} as long) div {step}").alias("_steps"))
+    longest = reach.agg(F.max("_steps")).first()[0] or 0
+    if longest == 0:
+        return df.select(*keys, "ts_ms", "value").limit(0)
+    ahead = linear_forecast(df, keys, step, longest) if method == "line" else forecast(df, keys, step, longest)
+    low, high = F.lit(0.0), F.lit(math.inf)
+    for name, (a, b) in bounds.items():
+        low, high = F.when(F.col(metric) == name, a).otherwise(low), F.when(F.col(metric) == name, b).otherwise(high)
+    within = ahead.join(reach, keys).where(F.col("ts_ms") <= F.col("_last") + F.col("_steps") * step)
+    return within.select(*keys, "ts_ms", F.least(F.greatest("value", low), high).alias("value"))
+
+
 def early_warning(now: DataFrame, ahead: DataFrame, keys: list[str], low: float, high: float) -> DataFrame:
     """(keys, status, hours): upper or lower if a bound is passed now, future ones with the hours left, else normal."""
     last = now.groupBy(*keys).agg(F.max_by("value", "ts_ms").alias("_v"), F.max("ts_ms").alias("_t"))

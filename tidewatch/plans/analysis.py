@@ -154,14 +154,6 @@ def x08(spark, d):
     return K.forecast(filled, KEY, 3_600_000, 24, low=0.0)
 
 
-@query("x10_early_warning", f"""WITH {HR}, f AS (SELECT name, regr_slope(value, CAST(ts_ms AS DOUBLE)) AS a, regr_intercept(value, CAST(ts_ms AS DOUBLE)) AS b, max(ts_ms) AS l, arg_max(value, ts_ms) AS v FROM hr GROUP BY name)
- SELECT name, CASE WHEN v >= 50 THEN 'upper' WHEN v <= 10 THEN 'lower' WHEN b + a * (l + 3600000) >= 50 THEN 'future upper' ELSE 'normal' END AS status,
- CASE WHEN v > 10 AND v < 50 AND b + a * (l + 3600000) >= 50 THEN CAST(1 AS DOUBLE) END AS hours FROM f""")
-def x10(spark, d):
-    h = hourly(spark, d)
-    return K.early_warning(h, K.linear_forecast(h, KEY, 3_600_000, 1), KEY, 10.0, 50.0)
-
-
 # --- statement texts -----------------------------------------------------------------------------
 
 _SQL = "'select * from t' || (o_custkey % 7) || ' where a=' || o_orderkey || ' and b = ''x' || o_custkey || ''' -- c'"
@@ -410,28 +402,8 @@ def n04(spark, d):
     return k.select("instance", F.col("max_process_memory").cast("double").alias("max_process_memory"), F.round(F.col("shared_buffers").cast("double"), 2).alias("shared_buffers"), "random_page_cost")
 
 
-@query("n04_all_knobs")
-def n04_all(spark, d):
-    return N.recommend(_instances(spark, d)).select("instance", "connections", "work_memory", "maintenance_work_mem", "effective_cache_size", "effective_io_concurrency", "wal_buffer", "statistics_target", "enable_nestloop", "enable_mergejoin", "enable_hashjoin")
-
-
 @query("n02_busiest", f"WITH {SLOW}, c AS (SELECT instance, db, count(*) AS n FROM slow GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY instance ORDER BY n DESC, db) AS k FROM c) SELECT instance, db, n FROM r WHERE k = 1")
 def n02(spark, d):
     return R.top_in_group(slow(spark, d).groupBy("instance", "db").agg(F.count(F.lit(1)).alias("n")), ["instance"], [F.col("n").desc(), F.col("db")], 1)
 
 
-@query("n05_notes", "SELECT s_suppkey AS instance, CAST((s_suppkey % 300) / (s_suppkey % 7 * 100 + 100) > 0.7 AS INT) + CAST(s_suppkey % 32 + 1 <= 8 AS INT) + CAST(s_suppkey % 2 = 0 AS INT) + CAST(s_suppkey % 5 = 0 AS INT) AS notes FROM supplier")
-def n05(spark, d):
-    return N.warnings(_instances(spark, d)).select("instance", F.size("notes").alias("notes"))
-
-
-@query("m01_memory_ratios", "SELECT s_suppkey AS instance, round((s_suppkey % 300) / 300.0, 4) AS used, (s_suppkey % 300) / 300.0 > 0.8 AS large FROM supplier")
-def m01(spark, d):
-    used = (F.col("s_suppkey") % 300) / 300.0
-    return table(spark, d, "supplier").select(F.col("s_suppkey").alias("instance"), F.round(used, 4).alias("used"), (used > 0.8).alias("large"))
-
-
-@query("m05_action_index", "SELECT unnest(CASE WHEN n_nationkey % 2 = 0 THEN ['lock', 'disk'] ELSE ['disk'] END) AS cause, count(*) AS actions FROM nation GROUP BY 1")
-def m05(spark, d):
-    causes = F.when(F.col("n_nationkey") % 2 == 0, F.array(F.lit("lock"), F.lit("disk"))).otherwise(F.array(F.lit("disk")))
-    return table(spark, d, "nation").select(F.explode(causes).alias("cause")).groupBy("cause").agg(F.count(F.lit(1)).alias("actions"))

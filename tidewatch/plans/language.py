@@ -311,10 +311,17 @@ def derived(db: str = "db") -> dict[str, str]:
 DERIVED = derived()
 
 
+def families(samples: DataFrame, prefix: str) -> DataFrame:
+    """(name, unit, metric): the metrics whose name begins with ``prefix``, and the metric derived from them for each time unit."""
+    names = samples.where(F.col("name").startswith(prefix)).select("name").distinct()
+    units = names.withColumn("unit", F.explode(F.array(*map(F.lit, LEAK_UNITS))))
+    return units.withColumn("metric", F.concat_ws("_", "name", "unit"))
+
+
 def leak_metrics(samples: DataFrame, prefix: str) -> dict[str, str]:
     """Expressions for the metrics whose name begins with ``prefix``, for each time unit."""
-    names = [r["name"] for r in samples.where(F.col("name").startswith(prefix)).select("name").distinct().orderBy("name").collect()]
-    return {f"{n}_{unit}": LEAK.format(n, unit) for n in names for unit in LEAK_UNITS}
+    found = families(samples, prefix).orderBy("name", "unit").collect()
+    return {r["metric"]: LEAK.format(r["name"], r["unit"]) for r in found}
 
 
 def derive(samples: DataFrame, names: list[str], start: int, end: int | None = None, step: int = 60_000) -> DataFrame:

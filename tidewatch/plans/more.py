@@ -62,13 +62,6 @@ def s15(spark, d):
     return X.zip_columns(n, a=F.array(F.lit(0), F.lit(1), F.lit(2)), b=F.array("n_name", F.lit("x"))).select("n_nationkey", "a", "b")
 
 
-@query("s17_families", f"WITH {EV} SELECT name, unit, count(*) AS n FROM ev, (VALUES (60000), (600000)) t(unit) WHERE ts_ms % unit < 30000 GROUP BY ALL")
-def s17(spark, d):
-    e = table(spark, d, "events").select(F.col("event_type").alias("name"), S.epoch_ms("ts").alias("ts_ms"))
-    units = e.withColumn("unit", F.explode(F.array(F.lit(60_000), F.lit(600_000))))
-    return units.where("ts_ms % unit < 30000").groupBy("name", "unit").agg(_n())
-
-
 @query("s18_log_statements", """SELECT c_custkey AS session, 'update t set a = ' || c_nationkey || CASE WHEN c_custkey % 3 = 0 THEN ' where b = ' || c_custkey ELSE '' END || ';select 1;' AS statement FROM customer WHERE c_custkey % 2 = 0
  UNION ALL SELECT c_custkey, 'update t set a = ' || c_nationkey || CASE WHEN c_custkey % 3 = 0 THEN ' where b = ' || c_custkey ELSE '' END || ';' FROM customer WHERE c_custkey % 2 = 1 UNION ALL SELECT c_custkey, 'select 1;' FROM customer WHERE c_custkey % 2 = 1
  UNION ALL SELECT c_custkey, 'select ' || c_custkey || ' from t;' FROM customer""")
@@ -239,12 +232,6 @@ def t08(spark, d):
     return hourly(spark, d).select("name", F.expr("ts_ms - ts_ms % 7000000").alias("low"), F.expr("ts_ms + (7000000 - ts_ms % 7000000) % 7000000").alias("high"))
 
 
-@query("t13_deduplicated", f"WITH {SLOW} SELECT count(*) AS n FROM (SELECT DISTINCT start_ms, duration, template FROM slow)")
-def t13(spark, d):
-    s = slow(spark, d)
-    return s.union(s).dropDuplicates(["start_ms", "duration", "template"]).agg(_n())
-
-
 @query("d12_remove_spikes", _changes(1, 1, "median", "abs(r - l)") + """, q AS (SELECT name, quantile_cont(a, 0.25) AS q1, quantile_cont(a, 0.75) AS q3 FROM f GROUP BY name),
  s AS (SELECT f.name, ts_ms, v, a > q3 + 3 * (q3 - q1) AND d > 0 AS hot FROM f JOIN q USING (name))
  SELECT name, ts_ms, CASE WHEN hot THEN coalesce(lag(v) OVER w, first_value(CASE WHEN NOT hot THEN v END IGNORE NULLS) OVER (PARTITION BY name ORDER BY ts_ms ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) ELSE v END AS value FROM s WINDOW w AS (PARTITION BY name ORDER BY ts_ms)""")
@@ -252,12 +239,6 @@ def d12(spark, d):
     return D.remove_spikes(hourly(spark, d).drop("n"), KEY)
 
 
-@query("d13_registry")
-def d13(spark, d):
-    h = hourly(spark, d).drop("n")
-    return D.overview({name: f(h, KEY) for name, f in D.REGISTRY.items() if name in ("iqr", "mad", "spike", "level_shift")}, KEY)
-
-
 @query("x01_periods")
 def x01(spark, d):
     filled = T.interpolate(T.fill_grid(hourly(spark, d).drop("n"), KEY, 3_600_000), KEY)
@@ -290,13 +271,6 @@ def x04(spark, d):
 # --- advice --------------------------------------------------------------------------------------
 
 
-@query("i10_prefix_pairs", "WITH i AS (SELECT DISTINCT p_brand AS t, p_type AS c FROM part) SELECT a.t, a.c AS short, b.c AS long FROM i a JOIN i b ON a.t = b.t AND starts_with(b.c, split_part(a.c, ' ', 1)) AND a.c < b.c")
-def i10(spark, d):
-    i = table(spark, d, "part").select(F.col("p_brand").alias("t"), F.col("p_type").alias("c")).distinct().withColumn("head", F.split_part("c", F.lit(" "), F.lit(1)))
-    b = i.select("t", "head", F.col("c").alias("long"))
-    return i.join(b, ["t", "head"]).where("c < long").select("t", F.col("c").alias("short"), "long")
-
-
 @query("i08_tree_search")
 def i08(spark, d):
     worth = {r["p_size"]: r["w"] for r in table(spark, d, "part").where("p_size IS NOT NULL").groupBy("p_size").agg(F.sum("p_retailprice").alias("w")).collect()}
@@ -305,19 +279,6 @@ def i08(spark, d):
     return spark.createDataFrame([(i, value) for i in chosen], "index_id int, benefit double")
 
 
-@query("n01_ratios", "SELECT l_suppkey % 10 AS instance, round(count(*) FILTER (l_returnflag = 'N') / (count(*) FILTER (l_returnflag = 'R') + 0.0), 6) AS read_write, round(count(*) FILTER (l_linestatus = 'F') / count(*), 6) AS hit FROM lineitem GROUP BY 1")
-def n01(spark, d):
-    return table(spark, d, "lineitem").groupBy((F.col("l_suppkey") % 10).alias("instance")).agg(
-        F.round(F.count_if(F.col("l_returnflag") == "N") / F.nullif(F.count_if(F.col("l_returnflag") == "R"), F.lit(0)), 6).alias("read_write"),
-        F.round(F.count_if(F.col("l_linestatus") == "F") / F.count(F.lit(1)), 6).alias("hit"),
-    )
-
-
-@query("m02_continuous_increase")
-def m02(spark, d):
-    return D.increase(hourly(spark, d).select("name", "ts_ms", F.col("n").cast("double").alias("value")), KEY).groupBy("name").agg(F.bool_and("is_anomaly").alias("increasing"), F.count(F.lit(1)).alias("n")).where("n >= 5")
-
-
 @query("m03_directories", "SELECT p_partkey, p_size * 100 AS total, p_partkey % 90 * p_size AS used, p_size * 100 - p_partkey % 90 * p_size AS free, p_partkey % 90 / 100.0 >= 0.7 AS warned, round(coalesce(iops, 0), 4) AS iops FROM part LEFT JOIN (SELECT l_partkey, sum(l_quantity) / 60 AS iops FROM lineitem GROUP BY 1) ON l_partkey = p_partkey WHERE p_size > 0")
 def m03(spark, d):
     p = table(spark, d, "part").where("p_size > 0").selectExpr("p_partkey AS directory", "p_size * 100 AS total", "p_partkey % 90 * p_size AS used")
@@ -325,19 +286,6 @@ def m03(spark, d):
     return M.directory_status(p, requests, 60).select(F.col("directory").alias("p_partkey"), "total", "used", "free", "warned", F.round("iops", 4).alias("iops"))
 
 
-@query("m04_exporters", f"WITH {SAMP} SELECT name, count(DISTINCT instance) AS instances, CASE WHEN count(DISTINCT instance) >= 10 THEN 'normal' WHEN count(DISTINCT instance) > 0 THEN 'partial' ELSE 'missing' END AS state FROM samp GROUP BY name")
-def m04(spark, d):
-    n = F.count_distinct(F.col("labels")["from_instance"])
-    return S.event_samples(spark, d).groupBy("name").agg(n.alias("instances"), F.when(n >= 10, "normal").when(n > 0, "partial").otherwise("missing").alias("state"))
-
-
-@query("u09_interval_algebra", "SELECT p_partkey, CAST(greatest(p_size, 10) AS INT) AS low, CAST(least(p_size + 20, 40) AS INT) AS high, greatest(p_size, 10) <= least(p_size + 20, 40) AS possible FROM part")
-def u09(spark, d):
-    # size >= a AND size >= 10 AND size <= a + 20 AND size <= 40, as one interval
-    p = table(spark, d, "part").select("p_partkey", F.greatest("p_size", F.lit(10)).alias("low"), F.least(F.col("p_size") + 20, F.lit(40)).alias("high"))
-    return p.withColumn("possible", F.col("low") <= F.col("high"))
-
-
 @query("c16_formatted", "SELECT n_nationkey, 'SELECT a' || chr(10) || 'FROM t' || n_nationkey || chr(10) || 'WHERE b = 1' AS sql FROM nation")
 def c16(spark, d):
     text = F.concat(F.lit("select  a from t"), F.col("n_nationkey").cast("string"), F.lit("\n where b = 1"))
@@ -377,24 +325,12 @@ def g02(spark, d):
     return asked.join(Q.predict_duration(asked.select("sql"), model, "sql"), "sql").select("k", "seconds", "status")
 
 
-@query("i02_candidates", "WITH c AS (SELECT p_brand AS table_name, p_type AS c, sum(p_retailprice) AS b FROM part GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY table_name ORDER BY b DESC, c) AS k FROM c) SELECT table_name, c AS columns, round(b, 4) AS gain FROM r WHERE k = 1")
-def i02(spark, d):
-    c = table(spark, d, "part").groupBy(F.col("p_brand").alias("table_name"), F.col("p_type").alias("column")).agg(F.sum("p_retailprice").alias("benefit"))
-    return A.grown_candidates(c, most=1).withColumn("gain", F.round("gain", 4))
-
-
 @query("n06_swarm")
 def n06(spark, d):
     point, cost = A.swarm(lambda x: (x[0] - 3) ** 2 + (x[1] + 1) ** 2, [-10, -10], [10, 10])
     return spark.createDataFrame([(round(point[0], 3), round(point[1], 3), cost < 1e-3)], "x double, y double, found boolean")
 
 
-@query("d15_predefined", f"WITH {HR}, s AS (SELECT name, ts_ms, count(*) FILTER (value > 0.8) OVER (PARTITION BY name) >= 0.8 * count(*) OVER (PARTITION BY name) AS a FROM hr WHERE name = 'click') SELECT name, count(*) AS n FROM s WHERE a GROUP BY name")
-def d15(spark, d):
-    found = D.run_predefined("high_disk_usage", hourly(spark, d).drop("n"), KEY, rename={"os_disk_usage": "click"})
-    return found.where("is_anomaly").groupBy("name").agg(_n())
-
-
 @query("q36_summary", f"WITH {SLOW} SELECT instance, count(*) AS n, count(DISTINCT template) AS templates, count(*) FILTER (kind = 'SELECT') AS reads, round(avg(duration), 4) AS mean, round(max(duration), 4) AS longest FROM slow GROUP BY instance")
 def q36(spark, d):
     return slow(spark, d).groupBy("instance").agg(_n(), F.count_distinct("template").alias("templates"), F.count_if(F.col("kind") == "SELECT").alias("reads"), F.round(F.avg("duration"), 4).alias("mean"), F.round(F.max("duration"), 4).alias("longest"))

@@ -381,13 +381,6 @@ def u06(spark, d):
     return table(spark, d, "part").select("p_partkey", F.size(F.array_except(lit("a", "b", "c"), own)).cast("long").alias("missing"), F.arrays_overlap(lit("a"), own).alias("meets"))
 
 
-@query("u07_power_set", "SELECT n_nationkey, CAST(b AS INT) AS mask, bit_count(CAST(b AS INT)) AS members FROM nation, range(16) t(b)")
-def u07(spark, d):
-    # Four members at most, so a key has 16 subsets at most.
-    masks = table(spark, d, "nation").select("n_nationkey", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("mask"))
-    return masks.withColumn("members", F.bit_count("mask").cast("tinyint"))
-
-
 @query("t10_alarm_merge", f"""WITH {SLOW}, a AS (SELECT instance, kind AS content, start_ms, start_ms + 3600000 AS end_ms FROM slow WHERE duration > 250000),
  r AS (SELECT *, max(end_ms) OVER (PARTITION BY instance, content ORDER BY start_ms, end_ms ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM a),
  g AS (SELECT *, sum(CASE WHEN start_ms <= reach + 86401000 THEN 0 ELSE 1 END) OVER (PARTITION BY instance, content ORDER BY start_ms, end_ms ROWS UNBOUNDED PRECEDING) AS k FROM r)

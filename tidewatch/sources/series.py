@@ -171,3 +171,13 @@ def on_grid(samples: DataFrame, keys: list[str], start: int, end: int, step: int
     last = F.least(F.coalesce(F.col("_next") - 1, F.lit(end)), F.col("ts_ms") + lookback, F.lit(end))
     served = near.withColumn("_first", first).withColumn("_last", last).where("_first <= _last")
     return served.select(*keys, F.explode(F.expr(f"sequence(_first, _last, {step}L)")).alias("ts_ms"), "value")
+
+
+def typed_labels(samples: DataFrame, types: dict[str, str]) -> DataFrame:
+    """A column for each label that ``types`` names, cast; a text that does not fit its type is NULL."""
+    return samples.select(*(F.try_element_at("labels", F.lit(n)).try_cast(t).alias(n) for n, t in types.items()))
+
+
+def fetch_window(samples: DataFrame, now: int, interval_ms: int, expansion: float = 1.5, time: str = "ts_ms") -> DataFrame:
+    """What a round fetches: the interval before ``now``, widened for late samples; rounds overlap, so keys are deduplicated after."""
+    return samples.where(F.col(time).between(int(now - interval_ms * expansion), now))

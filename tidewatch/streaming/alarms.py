@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -27,6 +28,32 @@ def first_seen(stream: DataFrame, time: str, identity: list[str], late: str = "1
     return stream.withWatermark(time, late).dropDuplicatesWithinWatermark(identity)
 
 
+def bounded_seen(stream: DataFrame, group: str, identity: str, time_ms: str, most: int = 500, expiry_ms: int = 3_600_000) -> DataFrame:
+    """(group, identity, time): rows whose identity is not among the last ``most`` of its group that are younger than ``expiry_ms``.
+
+    The state of a group is its latest identities with their times, ``most`` at most; older ones
+    leave first, and a repeated one counts as seen when it first came.
+    """
+    schema = f"{group} {dict(stream.dtypes)[group]}, identity string, time_ms long"
+
+    def step(key, batches, state):
+        ids, times = state.get if state.exists else ([], [])
+        buffer = dict(zip(ids, times))
+        for pdf in batches:
+            fresh = []
+            for i, t in sorted(zip(pdf[identity].astype(str), pdf[time_ms]), key=lambda x: (x[1], x[0])):
+                buffer = {k: v for k, v in buffer.items() if v > t - expiry_ms} if buffer and min(buffer.values()) <= t - expiry_ms else buffer
+                if i not in buffer:
+                    buffer[i] = int(t)
+                    fresh.append((key[0], i, int(t)))
+                    while len(buffer) > most:
+                        del buffer[next(iter(buffer))]
+            yield pd.DataFrame(fresh, columns=[group, "identity", "time_ms"])
+        state.update((list(buffer), list(buffer.values())))
+
+    return stream.groupBy(group).applyInPandasWithState(step, schema, "ids array<string>, times array<long>", "append", "NoTimeout")
+
+
 def periodic(stream: DataFrame, task: Callable[[DataFrame, int], None], every: str, checkpoint: str) -> StreamingQuery:
     """A task on each interval's rows; a failed interval is run again from the checkpoint."""
     return stream.writeStream.foreachBatch(task).trigger(processingTime=every).option("checkpointLocation", checkpoint).start()
