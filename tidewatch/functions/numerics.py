@@ -137,33 +137,44 @@ def find_peaks(x: np.ndarray) -> np.ndarray:
     return np.array([(a + b) // 2 for a, b in zip(*runs) if a > 0 and b < len(x) - 1 and x[a - 1] < x[a] > x[b + 1]], dtype=int)
 
 
+def moving_trend(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """A weighted moving average; where it is not whole, a line goes on from its first and its last value.
+
+    The lines have the slopes of as many of its first and last values as there are weights.
+    """
+    inner = np.convolve(values, weights, "valid")
+    tail = (len(weights) - 1) // 2
+    head = len(weights) - 1 - tail
+    slope = lambda part: np.polyfit(np.arange(len(part)), part, 1)[0] if len(part) > 1 else 0.0
+    before = inner[0] + slope(inner[: len(weights)]) * np.arange(-head, 0)
+    after = inner[-1] + slope(inner[-len(weights) :]) * np.arange(1, tail + 1)
+    return np.concatenate((before, inner, after))
+
+
 def season(values: np.ndarray, high_ac: float = 0.1, min_freq: int = 2) -> int | None:
-    """The period of a detrended series, from the peaks of its autocorrelation."""
+    """The period of a series: the highest peak of its autocorrelation, without trend, after the first valley below zero.
+
+    There must be ``min_freq`` peaks of ``high_ac`` or more in the first half of the lags.
+    """
     n = len(values)
-    if n < 2 * (min_freq + 1) or np.ptp(values) == 0:
-        return None
-    rest = values - rolling_mean(values, max(9, n // (min_freq + 1)))
-    r = acf(rest)
-    rising = np.flatnonzero(np.diff(r) > 0)
-    if not len(rising):
+    if n < 3 or np.ptp(values) == 0:
         return None
+    width = min(max(9, n // (min_freq + 1)), n - 1)
+    r = acf(values - moving_trend(values, np.full(width, 1 / width)))
+    valleys = find_peaks(-r)
+    valleys = valleys[r[valleys] <= 0]
     peaks = find_peaks(r)
-    peaks = peaks[(peaks > rising[0]) & (peaks < n // 2) & (r[peaks] >= high_ac)]
+    peaks = peaks[(peaks > (valleys[0] if len(valleys) else 0)) & (peaks < n // 2) & (r[peaks] >= max(high_ac, 0))]
     return int(peaks[r[peaks].argmax()]) if len(peaks) >= min_freq else None
 
 
 def decompose(values: np.ndarray, period: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Additive (trend, seasonal, residual); the trend's ends follow a line through its nearest period."""
+    """Additive (trend, seasonal, residual)."""
     n = len(values)
     if n < 2 * period or not np.isfinite(values).all():
         raise ValueError("two whole periods of finite values are needed")
     weights = np.full(period, 1 / period) if period % 2 else np.concatenate(([0.5], np.ones(period - 1), [0.5])) / period
-    inner = np.convolve(values, weights, "valid")
-    lead = (n - len(inner)) // 2
-    k = min(period, len(inner))
-    at = np.arange(k)
-    head, tail = (np.polyfit(at, x, 1) if k > 1 else np.array([0.0, x[0]]) for x in (inner[:k], inner[-k:]))
-    trend = np.concatenate((np.polyval(head, np.arange(-lead, 0)), inner, np.polyval(tail, np.arange(k, k + n - lead - len(inner)))))
+    trend = moving_trend(values, weights)
     rest = values - trend
     phase = np.array([rest[k::period].mean() for k in range(period)])
     seasonal = np.resize(phase - phase.mean(), n)
@@ -178,8 +189,13 @@ def seasonal_outliers(values: np.ndarray, outliers=(None, 3), side: str = "posit
     filled = np.interp(np.arange(len(values)), np.flatnonzero(known), values[known])
     period = period or season(filled, high_ac, min_freq)
     tested = filled
+    if len(filled) < window:
+        window = 1
+    ahead, behind = window - 1 - (window - 1) // 2, (window - 1) // 2
     if period and len(filled) >= 2 * period:
-        tested = decompose(rolling_mean(filled, window), period)[2]
+        smooth = rolling_mean(filled, window)
+        smooth[:ahead], smooth[len(smooth) - behind :] = smooth[ahead], smooth[len(smooth) - 1 - behind]
+        tested = decompose(smooth, period)[2]
     q1, q3 = np.percentile(tested, (25, 75))
     below, above = outliers
     out = np.zeros(len(values), dtype=bool)
@@ -188,8 +204,7 @@ def seasonal_outliers(values: np.ndarray, outliers=(None, 3), side: str = "posit
     if below is not None:
         out |= tested < q1 - below * (q3 - q1)
     out &= {"positive": tested > 0, "negative": tested < 0, "both": known, "neither": np.zeros(len(values), bool)}[side]
-    if period:  # ends of a moving average are not whole
-        out[: window // 2], out[len(out) - window // 2 :] = False, False
+    out[:ahead], out[len(out) - 1 - behind :] = False, False  # there a moving average is not whole
     return out & known
 
 

@@ -191,19 +191,35 @@ def c27(spark, d):
     )
 
 
-@query("c15_tree_probes", "SELECT * FROM (VALUES (0, true, 2, 1, 0), (1, true, 1, 0, 3), (2, false, 0, 0, 0)) t(id, valid, tables, joins, in_list)")
+#: Statements by o_orderkey % 10, and what their rewriting gives, as SQL for both engines.
+_WRITTEN = (
+    ("'select a from t where b = ' || k || ' or b = ' || c", "CASE WHEN k = c THEN 'select a from t where b IN (' || k || ')' ELSE 'select a from t where b IN (' || k || ', ' || c || ')' END"),
+    ("'select a from t where b + 3 < ' || k", "'select a from t where b < ' || k || ' - 3'"),
+    ("'delete from t' || c", "'TRUNCATE TABLE t' || c"),
+    ("'select a from t where b in (select x from u where y = ' || k || ')'", "'select a from t where EXISTS (SELECT 1 FROM u WHERE y = ' || k || ' AND u.x = t.b)'"),
+    ("'select count(distinct a) from t where b = ' || c", "'SELECT count(a) FROM (SELECT a FROM t where b = ' || c || ' GROUP BY a) AS x'"),
+    ("'select a, sum(b) from t group by a having a > ' || k || ' and sum(b) > 2'", "'select a, sum(b) from t WHERE a > ' || k || ' GROUP BY a HAVING sum(b) > 2'"),
+    ("'select a from t where b > ' || k || ' and b < ' || c", "CASE WHEN k >= c THEN 'select a from t WHERE 1 = 0' ELSE 'select a from t where b > ' || k || ' and b < ' || c END"),
+    ("'select distinct * from t where a = ' || c", "'select a, b from t where a = ' || c"),
+    ("'select a, b from t where 1 = 1 and a > ' || c || ' order by 2'", "'select a, b from t WHERE a > ' || c || ' order by b'"),
+    ("'select a from t join v on t.x = v.x where lower(b) = c'", "'select a from t join v on t.x = v.x where lower(b) = c'"),
+)
+
+
+def _written(spark, d):
+    text = "CASE k % 10 " + " ".join(f"WHEN {i} THEN {t}" for i, (t, _) in enumerate(_WRITTEN)) + " END"
+    return table(spark, d, "orders").selectExpr("o_orderkey AS k", "o_custkey AS c").selectExpr("k AS id", f"{text} AS sql")
+
+
+@query("c15_tree_probes", """SELECT o_orderkey AS id, CASE o_orderkey % 10 WHEN 2 THEN 't' || o_custkey WHEN 3 THEN 't,u' WHEN 9 THEN 't,v' ELSE 't' END AS tables, CAST(o_orderkey % 10 = 9 AS INT) AS joins, CAST(o_orderkey % 10 = 3 AS INT) AS subqueries, 0 AS in_list, o_orderkey % 10 = 9 AS function_in_filter FROM orders""")
 def c15(spark, d):
-    statements = ("select a from t join u on t.x = u.x", "select a from t where b in (1, 2, 3)", "selec a")
-    found = [W.probes(spark, s) for s in statements]
-    return spark.createDataFrame([(k, f["valid"], len(f["tables"]), f["joins"], f["in_list"]) for k, f in enumerate(found)], "id int, valid boolean, tables int, joins int, in_list int")
+    found = W.text_probes(F.col("sql"))
+    return _written(spark, d).select("id", F.array_join(found.pop("tables"), ",").alias("tables"), *(c.alias(n) for n, c in found.items()))
 
 
-@query("r01_rewrites", "SELECT * FROM (VALUES (0, 'select a from t where b IN (1, 2)'), (1, 'select a from t where b < 10 - 3'), (2, 'TRUNCATE TABLE t')) t(id, sql)")
+@query("r01_rewrites", "SELECT k AS id, CASE k % 10 " + " ".join(f"WHEN {i} THEN {t}" for i, (_, t) in enumerate(_WRITTEN)) + " END AS rewritten FROM (SELECT o_orderkey AS k, o_custkey AS c FROM orders)")
 def r01(spark, d):
-    statements = ("select a from t where b = 1 or b = 2", "select a from t where b + 3 < 10", "delete from t")
-    return spark.createDataFrame([(k, W.rewrite(spark, s)[1]) for k, s in enumerate(statements)], "id int, sql string")
-
-
+    return W.rewrite_texts(_written(spark, d), "sql", {"t"}, {"t": ["a", "b"]}).select("id", "rewritten")
 
 
 # --- series --------------------------------------------------------------------------------------
