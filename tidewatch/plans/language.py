@@ -145,26 +145,29 @@ class Evaluator:
         return served.select("name", "labels", F.col("_t").alias("ts_ms"), "value")
 
     def over(self, how: str, selector: Node) -> DataFrame:
-        """Functions of a range: each sample serves the times whose range (t - span, t] holds it."""
+        """Functions of a range (t - span, t].
+
+        A time is served by the last sample of its range, and by the first one. Growth is summed up along
+        the series once, so what a range grew by is the difference of two sums, and each time costs two
+        rows, however many samples its range holds. irate needs the last sample and the one before it.
+        """
         name, matchers, span = selector.args
         if span is None:
             raise ValueError(f"{how} needs a range")
         w = Window.partitionBy("_key").orderBy("ts_ms")
         before = F.lag("value").over(w)
         growth = F.when(before.isNull(), 0.0).when(F.col("value") < before, F.col("value")).otherwise(F.col("value") - before)
-        df = self._chosen(name, matchers, span).withColumn("_grown", growth)
-        each = df.withColumn("_t", F.explode(self._at(F.col("ts_ms"), F.col("ts_ms") + span - 1)))
-        grouped = each.groupBy("_key", "_t")
-        labels = F.first("labels").alias("labels")
+        t = F.col("ts_ms")
+        df = self._chosen(name, matchers, span).withColumns({"_grown": growth, "_prev": F.lag("ts_ms").over(w), "_until": F.coalesce(F.lead("ts_ms").over(w) - 1, F.lit(self.end))})
         if how == "irate":
-            two = F.slice(F.sort_array(F.collect_list(F.struct("ts_ms", "_grown")), False), 1, 2)
-            out = grouped.agg(labels, two.alias("_two")).where("size(_two) = 2")
-            value = F.col("_two")[0]["_grown"] / ((F.col("_two")[0]["ts_ms"] - F.col("_two")[1]["ts_ms"]) / 1000)
-        else:
-            grown = F.sum("_grown") - F.min_by("_grown", "ts_ms")
-            out = grouped.agg(labels, F.count(F.lit(1)).alias("_n"), grown.alias("_g")).where("_n > 1")
-            value = F.col("_g") / (span / 1000) if how == "rate" else F.col("_g")
-        return out.select("labels", F.col("_t").alias("ts_ms"), value.alias("value"))
+            served = df.withColumn("_t", F.explode(self._at(t, F.least("_until", F.col("_prev") + span - 1))))
+            return served.where("_prev is not null").select("labels", F.col("_t").alias("ts_ms"), (F.col("_grown") / ((t - F.col("_prev")) / 1000)).alias("value"))
+        summed = df.withColumns({"_sum": F.sum("_grown").over(w.rowsBetween(Window.unboundedPreceding, 0)), "_i": F.row_number().over(w)})
+        last = summed.select("_key", "labels", F.explode(self._at(t, F.least("_until", t + span - 1))).alias("_t"), "_sum", "_i")
+        first = summed.select("_key", "labels", F.explode(self._at(F.greatest(F.coalesce(F.col("_prev") + span, t), t), t + span - 1)).alias("_t"), (-F.col("_sum")).alias("_sum"), (-F.col("_i")).alias("_i"))
+        grown = last.unionByName(first).groupBy("_key", "_t").agg(F.first("labels").alias("labels"), F.sum("_sum").alias("_sum"), F.sum("_i").alias("_more")).where("_more > 0")
+        value = F.col("_sum") / (span / 1000) if how == "rate" else F.col("_sum")
+        return grown.select("labels", F.col("_t").alias("ts_ms"), value.alias("value"))
 
     def vector(self, node: Node) -> DataFrame:
         if node.kind == "selector":
@@ -220,19 +223,13 @@ def evaluate(samples: DataFrame, text: str, start: int, end: int | None = None,
 
 # --- derived metrics -----------------------------------------------------------------------------
 
-#: Metrics that are derived from others, and their expressions.
-_CPU = "sum(irate(node_cpu_seconds_total{{mode='{0}'}}[3m])) by (job, instance) / sum(irate(node_cpu_seconds_total[3m])) by (job, instance)"
-_NET = "{{device!~'bond.*?|lo'}}"
-_LOSS = "irate(node_network_{0}_total" + _NET + "[3m]) / (irate(node_network_{1}_packets_total" + _NET + "[3m]) > 0)"
-_BY_DB = "sum(irate({0}[3m])) by (datname, job, from_instance)"
-_STATEMENT = "sum(irate(pg_sql_statement_statistics_{0}[2m])) by (node_name, query, from_instance, job)"
-
-#: On hosts; their instance label loses its port.
+#: Expressions on hosts; their instance label loses its port. {db} stands for the prefix that the product gives its own metrics.
+# fmt: off
 HOST = {
-    "os_cpu_iowait_usage": _CPU.format("iowait"),
-    "os_cpu_system_usage": _CPU.format("system"),
-    "os_cpu_user_usage": _CPU.format("user"),
-    "os_cpu_idle_usage": _CPU.format("idle"),
+    "os_cpu_iowait_usage": "sum(irate(node_cpu_seconds_total{mode='iowait'}[3m])) by (job, instance) / sum(irate(node_cpu_seconds_total[3m])) by (job, instance)",
+    "os_cpu_system_usage": "sum(irate(node_cpu_seconds_total{mode='system'}[3m])) by (job, instance) / sum(irate(node_cpu_seconds_total[3m])) by (job, instance)",
+    "os_cpu_user_usage": "sum(irate(node_cpu_seconds_total{mode='user'}[3m])) by (job, instance) / sum(irate(node_cpu_seconds_total[3m])) by (job, instance)",
+    "os_cpu_idle_usage": "sum(irate(node_cpu_seconds_total{mode='idle'}[3m])) by (job, instance) / sum(irate(node_cpu_seconds_total[3m])) by (job, instance)",
     "os_disk_iops": "irate(node_disk_reads_completed_total[3m]) + irate(node_disk_writes_completed_total[3m])",
     "os_disk_ioutils": "irate(node_disk_io_time_seconds_total[3m])",
     "os_disk_io_read_bytes": "irate(node_disk_read_bytes_total[3m]) / 1024 / 1024",
@@ -246,34 +243,34 @@ HOST = {
     "{db}_cpu_usage": "irate(pg_cpu_load_total_cpu[3m])",
     "os_mem_usage": "1 - avg(node_memory_MemAvailable_bytes / node_memory_MemTotal_bytes) by (job, instance)",
     "load_average1": "node_load1",
-    "os_network_receive_error": _LOSS.format("receive_errs", "receive"),
-    "os_network_transmit_error": _LOSS.format("transmit_errs", "transmit"),
-    "os_network_transmit_drop": _LOSS.format("transmit_drop", "transmit"),
-    "os_network_receive_drop": _LOSS.format("receive_drop", "receive"),
+    "os_network_receive_error": "irate(node_network_receive_errs_total{device!~'bond.*?|lo'}[3m]) / (irate(node_network_receive_packets_total{device!~'bond.*?|lo'}[3m]) > 0)",
+    "os_network_transmit_error": "irate(node_network_transmit_errs_total{device!~'bond.*?|lo'}[3m]) / (irate(node_network_transmit_packets_total{device!~'bond.*?|lo'}[3m]) > 0)",
+    "os_network_transmit_drop": "irate(node_network_transmit_drop_total{device!~'bond.*?|lo'}[3m]) / (irate(node_network_transmit_packets_total{device!~'bond.*?|lo'}[3m]) > 0)",
+    "os_network_receive_drop": "irate(node_network_receive_drop_total{device!~'bond.*?|lo'}[3m]) / (irate(node_network_receive_packets_total{device!~'bond.*?|lo'}[3m]) > 0)",
     "os_network_receive_bytes": "irate(node_network_receive_bytes_total{device!~'bond.*?|lo'}[3m]) / 1024 / 1024 > 0",
     "os_network_transmit_bytes": "irate(node_network_transmit_bytes_total{device!~'bond.*?|lo'}[3m]) / 1024 / 1024 > 0",
     "os_process_fds_rate": "process_open_fds / process_max_fds",
 }
-#: On databases; {db} stands for the prefix that the product gives its own metrics.
+#: Expressions on databases.
 DATABASE = {
     "qps": "ceil(sum(irate(pg_sql_count_dcl[3m])) by (job, from_instance) + sum(irate(pg_sql_count_dml[3m])) by (job, from_instance) + sum(irate(pg_sql_count_ddl[3m])) by (job, from_instance))",
     "{db}_qps_by_instance": "ceil(sum(irate(pg_db_xact_commit[3m])) by (job, from_instance) + sum(irate(pg_db_xact_rollback[3m])) by (job, from_instance))",
     "{db}_errors_rate": "sum(increase({db}_errors_total[3m])) by (from_instance, job)",
     "{db}_invalid_logins_rate": "sum(increase({db}_invalid_logins_total[3m])) by (from_instance, job)",
-    "{db}_tup_fetched_rate": _BY_DB.format("pg_db_tup_fetched"),
-    "{db}_tup_deleted_rate": _BY_DB.format("pg_db_tup_deleted"),
-    "{db}_tup_inserted_rate": _BY_DB.format("pg_db_tup_inserted"),
-    "{db}_tup_updated_rate": _BY_DB.format("pg_db_tup_updated"),
-    "{db}_blks_read_rate": _BY_DB.format("pg_db_blks_read"),
-    "{db}_blks_hit_ratio": _BY_DB.format("pg_db_blks_access"),
-    "{db}_conflicts_rate": _BY_DB.format("pg_db_conflicts"),
-    "{db}_confl_lock_rate": _BY_DB.format("pg_db_confl_lock"),
-    "{db}_confl_snapshot_rate": _BY_DB.format("pg_db_confl_snapshot"),
-    "{db}_confl_bufferpin_rate": _BY_DB.format("pg_db_confl_bufferpin"),
-    "{db}_confl_deadlock_rate": _BY_DB.format("pg_db_confl_deadlock"),
-    "{db}_deadlocks_rate": _BY_DB.format("pg_db_deadlocks"),
-    "{db}_confl_temp_files_rate": _BY_DB.format("pg_db_temp_files"),
-    "{db}_confl_temp_bytes_rate": _BY_DB.format("pg_db_temp_bytes"),
+    "{db}_tup_fetched_rate": "sum(irate(pg_db_tup_fetched[3m])) by (datname, job, from_instance)",
+    "{db}_tup_deleted_rate": "sum(irate(pg_db_tup_deleted[3m])) by (datname, job, from_instance)",
+    "{db}_tup_inserted_rate": "sum(irate(pg_db_tup_inserted[3m])) by (datname, job, from_instance)",
+    "{db}_tup_updated_rate": "sum(irate(pg_db_tup_updated[3m])) by (datname, job, from_instance)",
+    "{db}_blks_read_rate": "sum(irate(pg_db_blks_read[3m])) by (datname, job, from_instance)",
+    "{db}_blks_hit_ratio": "sum(irate(pg_db_blks_access[3m])) by (datname, job, from_instance)",
+    "{db}_conflicts_rate": "sum(irate(pg_db_conflicts[3m])) by (datname, job, from_instance)",
+    "{db}_confl_lock_rate": "sum(irate(pg_db_confl_lock[3m])) by (datname, job, from_instance)",
+    "{db}_confl_snapshot_rate": "sum(irate(pg_db_confl_snapshot[3m])) by (datname, job, from_instance)",
+    "{db}_confl_bufferpin_rate": "sum(irate(pg_db_confl_bufferpin[3m])) by (datname, job, from_instance)",
+    "{db}_confl_deadlock_rate": "sum(irate(pg_db_confl_deadlock[3m])) by (datname, job, from_instance)",
+    "{db}_deadlocks_rate": "sum(irate(pg_db_deadlocks[3m])) by (datname, job, from_instance)",
+    "{db}_confl_temp_files_rate": "sum(irate(pg_db_temp_files[3m])) by (datname, job, from_instance)",
+    "{db}_confl_temp_bytes_rate": "sum(irate(pg_db_temp_bytes[3m])) by (datname, job, from_instance)",
     "{db}_table_expansion_rate": "topk(10, sum(pg_tables_expansion_rate_dead_rate) by (from_instance, job))",
     "{db}_cpu_time": "sum(irate(pg_cpu_load_total_cpu[3m])) by (from_instance, job)",
     "{db}_state_memory": "sum(pg_state_memory_totalsize{state='active'}) by (from_instance, job)",
@@ -287,15 +284,16 @@ DATABASE = {
     "{db}_database_increase_amplitude": "topk(10, sum(increase(pg_database_size_bytes[2m])) by (datname, from_instance, job))",
     "{db}_corrosion_index": "topk(10, sum(rate(pg_index_idx_scan{isdisvalid='False'}[3m])) by (schema_name, table_name, index_name, from_instance, job))",
     "{db}_wait_event_spike": "sum(irate(pg_wait_events_total_wait_time[2m])) by (type, event, nodename, from_instance, job)",
-    "{db}_statement_db_time": _STATEMENT.format("avg_db_time"),
-    "{db}_statement_calls": _STATEMENT.format("n_calls"),
-    "{db}_statement_sort_spill": _STATEMENT.format("sort_spill_count"),
-    "{db}_statement_hash_spill": _STATEMENT.format("hash_spill_count"),
+    "{db}_statement_db_time": "sum(irate(pg_sql_statement_statistics_avg_db_time[2m])) by (node_name, query, from_instance, job)",
+    "{db}_statement_calls": "sum(irate(pg_sql_statement_statistics_n_calls[2m])) by (node_name, query, from_instance, job)",
+    "{db}_statement_sort_spill": "sum(irate(pg_sql_statement_statistics_sort_spill_count[2m])) by (node_name, query, from_instance, job)",
+    "{db}_statement_hash_spill": "sum(irate(pg_sql_statement_statistics_hash_spill_count[2m])) by (node_name, query, from_instance, job)",
     "{db}_state_time": "irate(pg_time_value[3m])",
     "{db}_active_connection": "sum(pg_stat_activity_count{state='active'}) by (job, from_instance)",
     "{db}_idle_connection": "sum(pg_stat_activity_count{state=~'idle.*'}) by (job, from_instance)",
     "{db}_total_connection": "sum(pg_stat_activity_count) by (job, from_instance)",
 }
+# fmt: on
 #: For each metric of data leaks and each time unit.
 LEAK = "sum(increase({0}[{1}])) by (from_instance, job)"
 LEAK_UNITS = ("1m", "10m", "60m", "24h")
