@@ -285,11 +285,22 @@ def w12(spark, d):
     return T.islands(D.threshold(S.hourly(spark, d).drop("n"), KEY, high=60.0), KEY, drop_ends=True)
 
 
-@query("w13_interpolate", f"""WITH {HR}, b AS (SELECT name, min(ts_ms) AS a, max(ts_ms) AS z FROM hr GROUP BY name), g AS (SELECT name, unnest(range(a, z + 1, 3600000)) AS ts_ms FROM b),
+_FILLED = f"""{HR}, b AS (SELECT name, min(ts_ms) AS a, max(ts_ms) AS z FROM hr GROUP BY name), g AS (SELECT name, unnest(range(a, z + 1, 3600000)) AS ts_ms FROM b),
  v AS (SELECT g.name, g.ts_ms, hr.value, CASE WHEN hr.value IS NOT NULL THEN g.ts_ms END AS t FROM g LEFT JOIN hr USING (name, ts_ms)),
  k AS (SELECT name, ts_ms, value, last_value(value IGNORE NULLS) OVER p AS v0, first_value(value IGNORE NULLS) OVER f AS v1, last_value(t IGNORE NULLS) OVER p AS t0, first_value(t IGNORE NULLS) OVER f AS t1 FROM v
-  WINDOW p AS (PARTITION BY name ORDER BY ts_ms ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), f AS (PARTITION BY name ORDER BY ts_ms ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
- SELECT name, ts_ms, round(coalesce(value, v0 + (v1 - v0) * (ts_ms - t0) / nullif(t1 - t0, 0), v0, v1), 5) AS value FROM k""")
+  WINDOW p AS (PARTITION BY name ORDER BY ts_ms ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), f AS (PARTITION BY name ORDER BY ts_ms ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+ fl AS (SELECT name, ts_ms, coalesce(value, v0 + (v1 - v0) * (ts_ms - t0) / nullif(t1 - t0, 0), v0, v1) AS value FROM k)"""
+
+#: An additive decomposition by a period of 24, of dx (name, ts_ms, value, i from 0, n).
+_DECOMPOSED = """dm AS (SELECT *, CASE WHEN i BETWEEN 12 AND n - 13 THEN (sum(value) OVER (PARTITION BY name ORDER BY i ROWS BETWEEN 12 PRECEDING AND 12 FOLLOWING) - 0.5 * lag(value, 12) OVER (PARTITION BY name ORDER BY i) - 0.5 * lead(value, 12) OVER (PARTITION BY name ORDER BY i)) / 24 END AS m FROM dx),
+ de AS (SELECT name, regr_slope(m, i) FILTER (i <= 36) AS s0, max(m) FILTER (i = 12) AS m0, regr_slope(m, i) FILTER (i >= n - 37) AS s1, max(m) FILTER (i = n - 13) AS m1 FROM dm WHERE m IS NOT NULL GROUP BY name),
+ dt AS (SELECT dm.*, CASE WHEN i < 12 THEN m0 + s0 * (i - 12) WHEN i > n - 13 THEN m1 + s1 * (i - n + 13) ELSE m END AS trend FROM dm JOIN de USING (name)),
+ dp AS (SELECT name, i % 24 AS phase, avg(value - trend) AS p FROM dt GROUP BY ALL), dc AS (SELECT name, phase, p - avg(p) OVER (PARTITION BY name) AS seasonal FROM dp),
+ dd AS (SELECT dt.name, ts_ms, value, i, n, trend, seasonal, value - trend - seasonal AS residual FROM dt JOIN dc ON dc.name = dt.name AND dc.phase = dt.i % 24)"""
+_PLACES = "row_number() OVER (PARTITION BY name ORDER BY ts_ms) - 1 AS i, count(*) OVER (PARTITION BY name) AS n"
+
+
+@query("w13_interpolate", f"WITH {_FILLED} SELECT name, ts_ms, round(value, 5) AS value FROM fl")
 def w13(spark, d):
     return _r(T.interpolate(T.fill_grid(S.hourly(spark, d).drop("n"), KEY, 3_600_000), KEY), "value", digits=5)
 
@@ -423,7 +434,9 @@ def d07(spark, d):
     return _hits(D.volatility_shift(_hr(spark, d), KEY, (None, 1.5)))
 
 
-@query("d08_seasonal")
+@query("d08_seasonal", f"""WITH {HR}, x AS (SELECT name, ts_ms, value AS v, {_PLACES} FROM hr), r AS (SELECT *, avg(v) OVER (PARTITION BY name ORDER BY i ROWS BETWEEN 5 PRECEDING AND 4 FOLLOWING) AS w FROM x),
+ dx AS (SELECT r.name, r.ts_ms, e.w AS value, r.i, r.n FROM r JOIN r e ON e.name = r.name AND e.i = least(greatest(r.i, 5), r.n - 5)), {_DECOMPOSED}, q AS (SELECT name, quantile_cont(residual, 0.25) AS q1, quantile_cont(residual, 0.75) AS q3 FROM dd GROUP BY name)
+ SELECT name, ts_ms, residual > q3 + 3 * (q3 - q1) AND residual > 0 AND i BETWEEN 5 AND n - 6 AS is_anomaly FROM dd JOIN q USING (name)""")
 def d08(spark, d):
     return D.seasonal(_hr(spark, d), KEY, period=24).select("name", "ts_ms", "is_anomaly")
 

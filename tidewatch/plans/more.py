@@ -16,7 +16,7 @@ from tidewatch.operators import rewrite as W
 from tidewatch.operators import sqltext as Q
 from tidewatch.operators import statistics as K
 from tidewatch.operators import transforms as T
-from tidewatch.plans.metrics import DAY, EV, HR, SAMP, START, _changes
+from tidewatch.plans.metrics import _DECOMPOSED, _FILLED, _PLACES, DAY, EV, HR, SAMP, START, _changes
 from tidewatch.plans.registry import query
 from tidewatch.plans.results import SLOW, slow
 from tidewatch.sources import series as S
@@ -143,7 +143,7 @@ def w04(spark, d):
     return T.pad_edges(hourly(spark, d).drop("n"), KEY, 6, ["value"])
 
 
-@query("w11_decomposition")
+@query("w11_decomposition", f"WITH {_FILLED}, dx AS (SELECT name, ts_ms, value, {_PLACES} FROM fl), {_DECOMPOSED} SELECT name, ts_ms, round(value, 5) AS value, round(seasonal, 5) AS seasonal, round(residual, 5) AS residual FROM dd")
 def w11(spark, d):
     filled = T.interpolate(T.fill_grid(hourly(spark, d).drop("n"), KEY, 3_600_000), KEY)
 
@@ -152,7 +152,8 @@ def w11(spark, d):
         trend, seasonal, rest = numerics.decompose(pdf["value"].to_numpy(dtype=float), 24)
         return pdf.assign(trend=trend, seasonal=seasonal, residual=rest)
 
-    return filled.groupBy("name").applyInPandas(run, "name string, ts_ms long, value double, trend double, seasonal double, residual double")
+    found = filled.groupBy("name").applyInPandas(run, "name string, ts_ms long, value double, trend double, seasonal double, residual double")
+    return found.select("name", "ts_ms", *(F.round(c, 5).alias(c) for c in ("value", "seasonal", "residual")))
 
 
 @query("o02_active", f"WITH {SLOW} SELECT id, start_ms FROM slow WHERE kind = 'UPDATE' AND duration > 250000")
@@ -225,14 +226,18 @@ def r01(spark, d):
 # --- series --------------------------------------------------------------------------------------
 
 
-@query("t02_tidy_up")
+@query("t02_tidy_up", f"""WITH RECURSIVE {HR}, c AS (SELECT name, ts_ms + CASE WHEN n % 4 = 0 THEN 1200000 WHEN n % 4 = 1 THEN 0 ELSE 2400000 END AS ts_ms, value, row_number() OVER (PARTITION BY name ORDER BY ts_ms) AS i FROM hr),
+ w AS (SELECT name, i, ts_ms AS spot, ts_ms AS first, value, true AS kept FROM c WHERE i = 1 UNION ALL SELECT c.name, c.i, CASE WHEN c.ts_ms - w.spot < 3600000 THEN w.spot ELSE w.spot + (c.ts_ms - w.spot) // 3600000 * 3600000 END, w.first, c.value, c.ts_ms - w.spot >= 3600000 FROM w JOIN c ON c.name = w.name AND c.i = w.i + 1),
+ k AS (SELECT name, spot, value FROM w WHERE kept), e AS (SELECT name, min(spot) AS a, max(spot) AS z FROM k GROUP BY name), g AS (SELECT name, unnest(range(a, z + 1, 3600000)) AS ts_ms FROM e) SELECT g.name, g.ts_ms, k.value FROM g LEFT JOIN k ON k.name = g.name AND k.spot = g.ts_ms""")
 def t02(spark, d):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ts_ms")
         ts, values = numerics.tidy_up(pdf["ts_ms"].to_numpy(), pdf["value"].to_numpy(dtype=float), 3_600_000)
         return pd.DataFrame({"name": pdf["name"].iloc[0], "ts_ms": ts, "value": values})
 
-    return hourly(spark, d).select("name", "ts_ms", "value").groupBy("name").applyInPandas(run, "name string, ts_ms long, value double")
+    late = F.when(F.col("n") % 4 == 0, 1_200_000).when(F.col("n") % 4 == 1, 0).otherwise(2_400_000)
+    tidy = hourly(spark, d).select("name", (F.col("ts_ms") + late).alias("ts_ms"), "value").groupBy("name").applyInPandas(run, "name string, ts_ms long, value double")
+    return tidy.withColumn("value", F.when(~F.isnan("value"), F.col("value")))
 
 
 @query("t06_approximate_merge", f"WITH {HR}, m AS (SELECT name, max(ts_ms) AS l FROM hr GROUP BY name) SELECT name, ts_ms, value FROM hr UNION ALL SELECT name, l + ts_ms - {START} + 3600000, value FROM hr JOIN m USING (name) WHERE ts_ms < {START} + 36000000")
