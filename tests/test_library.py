@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidewatch.functions import kept
 from tidewatch.functions import numerics as N
 from tidewatch.operators import advisor as A
 from tidewatch.operators import detectors as D
@@ -228,6 +229,32 @@ def test_subsets_are_bounded(spark):
         R.subsets(df, "k", "m").collect()
 
 
+# --- helpers -------------------------------------------------------------------------------------
+
+
+def test_kept_results_expire():
+    now, calls = [0.0], []
+
+    @kept.ttl_cache(10, most=2, clock=lambda: now[0])
+    def double(x, *, plus=0):
+        calls.append(x)
+        if x < 0:
+            raise ValueError
+        return 2 * x + plus
+
+    assert [double(1), double(1), double(1, plus=1)] == [2, 2, 3] and calls == [1, 1]
+    now[0] = 10.0
+    assert double(1) == 2 and calls == [1, 1, 1] and len(double.kept) == 1
+    double(2), double(3)
+    assert len(double.kept) == 2
+    for _ in range(2):
+        with pytest.raises(ValueError):
+            double(-1)
+    assert kept.first_that_works(lambda: 1 / 0, lambda: None, lambda: 3) == 3 and kept.first_that_works(lambda: None) is None
+    with pytest.raises(ZeroDivisionError):
+        kept.first_that_works(lambda: None, lambda: 1 / 0)
+
+
 # --- stores and streams --------------------------------------------------------------------------
 
 

@@ -39,8 +39,30 @@ def increase(samples: DataFrame, keys: list[str], window_ms: int) -> DataFrame:
     )
 
 
-def rate(samples: DataFrame, keys: list[str], window_ms: int) -> DataFrame:
-    return increase(samples, keys, window_ms).withColumn("value", F.col("value") / (window_ms / 1000))
+def extrapolated_increase(samples: DataFrame, keys: list[str], window_ms: int) -> DataFrame:
+    """Reset-corrected growth of (ts - window, ts], carried on to the ends of the window.
+
+    The gap to an end counts in full while it is below 1.1 mean gaps between samples, else as half a
+    mean gap; at its start a counter is not carried on below zero.
+    """
+    w = _series(keys)
+    span = w.rangeBetween(-window_ms + 1, 0)
+    before = F.lag("value").over(w)
+    growth = F.when(before.isNull(), 0.0).when(F.col("value") < before, F.col("value")).otherwise(F.col("value") - before)
+    summed = samples.withColumn("_grown", F.sum(growth).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    seen = summed.withColumns({"_g0": F.min("_grown").over(span), "_n": F.count(F.lit(1)).over(span), "_t0": F.min("ts_ms").over(span), "_v0": F.first("value").over(span)}).where("_n > 1")
+    grown, sampled = F.col("_grown") - F.col("_g0"), F.col("ts_ms") - F.col("_t0")
+    mean = sampled / (F.col("_n") - 1)
+    start = F.col("_t0") - (F.col("ts_ms") - window_ms)
+    to_zero = F.when((grown > 0) & (F.col("_v0") >= 0), sampled * F.col("_v0") / grown)
+    carried = F.least(F.when(start < 1.1 * mean, start).otherwise(mean / 2), F.coalesce(to_zero, start))
+    # The window ends at its last sample, so there is no gap at its end.
+    return seen.withColumn("value", grown * (sampled + carried) / sampled).drop("_grown", "_g0", "_n", "_t0", "_v0")
+
+
+def rate(samples: DataFrame, keys: list[str], window_ms: int, extrapolated: bool = False) -> DataFrame:
+    grown = extrapolated_increase if extrapolated else increase
+    return grown(samples, keys, window_ms).withColumn("value", F.col("value") / (window_ms / 1000))
 
 
 def aggregate_by(samples: DataFrame, how: str, by: list[str]) -> DataFrame:

@@ -147,6 +147,14 @@ def p03(spark, d):
     return _r(P.rate(_counter(spark, d), INST, 3_600_000), "value", digits=8)
 
 
+@query("p03_extrapolated_rate", f"""WITH {CNT}, g AS (SELECT instance, ts_ms, value, sum(CASE WHEN p IS NULL THEN 0 WHEN value < p THEN value ELSE value - p END) OVER (PARTITION BY instance ORDER BY ts_ms) AS c FROM (SELECT *, lag(value) OVER (PARTITION BY instance ORDER BY ts_ms) AS p FROM cnt)),
+ r AS (SELECT b.instance, b.ts_ms, any_value(b.c) - min(a.c) AS grown, count(*) AS n, min(a.ts_ms) AS t0, arg_min(a.value, a.ts_ms) AS v0 FROM g b JOIN g a ON a.instance = b.instance AND a.ts_ms > b.ts_ms - 3600000 AND a.ts_ms <= b.ts_ms GROUP BY ALL HAVING count(*) > 1),
+ m AS (SELECT *, ts_ms - t0 AS sampled, (ts_ms - t0) / (n - 1) AS mean, t0 - (ts_ms - 3600000) AS start FROM r)
+ SELECT instance, ts_ms, round(grown * (sampled + least(CASE WHEN start < 1.1 * mean THEN start ELSE mean / 2 END, CASE WHEN grown > 0 AND v0 >= 0 THEN sampled * v0 / grown ELSE start END)) / sampled / 3600, 8) AS value FROM m""")
+def p03_extrapolated(spark, d):
+    return _r(P.rate(_counter(spark, d), INST, 3_600_000, extrapolated=True), "value", digits=8)
+
+
 @query("p04_increase", _INC + " SELECT instance, ts_ms, value FROM i WHERE n > 1")
 def p04(spark, d):
     return P.increase(_counter(spark, d), INST, 3_600_000)
