@@ -221,6 +221,16 @@ def test_conjunctions(spark):
     assert sorted(r["branch"] for r in P.alternatives(branches).collect()) == [2, 4]
 
 
+def test_exact_percentiles(spark):
+    rng = random.Random(2)
+    rows = [(g, rng.choice([float(rng.randint(0, 5)), rng.random() * 100, None])) for g in "aabbc" for _ in range(rng.randint(1, 400))] + [("one", 3.0), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, x double").repartition(5)
+    for q in (0.0, 0.25, 0.5, 0.95, 1.0):
+        want = {g: np.percentile(v, 100 * q) for g in "abc" if (v := [x for k, x in rows if k == g and x is not None])} | {"one": 3.0}
+        got = {r["g"]: r["percentile"] for r in R.exact_percentile(df, ["g"], "x", q, parts=7).collect()}
+        assert got.keys() == want.keys() and all(math.isclose(got[g], want[g]) for g in want)
+
+
 def test_subsets_are_bounded(spark):
     df = spark.createDataFrame([(1, x) for x in "abc"] + [(2, x) for x in "abcde"], "k int, m string")
     got = {tuple(r["members"]) for r in R.subsets(df.where("k = 1"), "k", "m").collect()}

@@ -264,8 +264,8 @@ def a14(spark, d):
 
 @query("a15_percentiles", "SELECT event_type, round(quantile_cont(value, 0.8), 5) AS p80, round(quantile_cont(value, 0.95), 5) AS p95 FROM events GROUP BY event_type")
 def a15(spark, d):
-    p = lambda q: F.round(F.percentile("value", F.lit(q)), 5)
-    return table(spark, d, "events").groupBy("event_type").agg(p(0.8).alias("p80"), p(0.95).alias("p95"))
+    parts = [R.exact_percentile(table(spark, d, "events"), ["event_type"], "value", q).select("event_type", F.round("percentile", 5).alias(n)) for n, q in (("p80", 0.8), ("p95", 0.95))]
+    return parts[0].join(parts[1], "event_type")
 
 
 @query("a16_pivot", f"WITH {SLOW} SELECT instance, count(*) FILTER (kind = 'SELECT') AS \"SELECT\", count(*) FILTER (kind = 'UPDATE') AS \"UPDATE\", count(*) FILTER (kind = 'INSERT') AS \"INSERT\" FROM slow GROUP BY instance")
