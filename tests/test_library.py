@@ -138,6 +138,14 @@ def test_label_weights_golden(spark):
     assert got == {"a": [0.667, 0.320, 0.013], "b": [0.039, 0.471, 0.490]}
 
 
+def test_broadcasts_are_counted_first(spark):
+    library = spark.createDataFrame([(1, [1], [1.0])] * 3, "label int, pattern array<int>, weight array<double>")
+    asked = spark.createDataFrame([(1, [1])], "id int, features array<int>")
+    assert [(r["label"], r["probability"]) for r in A.nearest_causes(asked, "id", library, most=3).collect()] == [(1, 1.0)]
+    with pytest.raises(ValueError, match="more than 2 rows"):
+        A.nearest_causes(asked, "id", library, most=2)
+
+
 def test_grown_candidates_against_brute_force(spark):
     rng = random.Random(5)
     queries = [(i, f"t{i % 2}", rng.randint(1, 3), 1000.0, False) for i in range(12)]

@@ -107,14 +107,16 @@ def index_report(cost: DataFrame, origin: int = 0) -> DataFrame:
 # --- causes of slow statements; their features are in causes.py ----------------------------------
 
 
-def nearest_causes(df: DataFrame, key: str, library: DataFrame) -> DataFrame:
+def nearest_causes(df: DataFrame, key: str, library: DataFrame, most: int = 10_000) -> DataFrame:
     """(key, label, probability): the best score of each label over the library's rows, as shares of all scores.
 
     ``library`` has label, pattern array<int> and weight array<double>; a score adds the weights of
-    the features that both have. The library is small and fixed, so it is broadcast.
+    the features that both have. The library is broadcast, once it is counted to have at most ``most`` rows.
     """
+    from tidewatch.operators.results import bounded
+
     shared = F.zip_with(F.zip_with("features", "pattern", lambda a, b: a * b), "weight", lambda x, w: x * w)
-    scored = df.select(key, "features").crossJoin(F.broadcast(library)).select(key, "label", F.aggregate(shared, F.lit(0.0), lambda a, x: a + x).alias("_s"))
+    scored = df.select(key, "features").crossJoin(bounded(library, most, "rows in the library")).select(key, "label", F.aggregate(shared, F.lit(0.0), lambda a, x: a + x).alias("_s"))
     best = scored.groupBy(key, "label").agg(F.max("_s").alias("_s")).where("_s > 0")
     return best.select(key, "label", (F.col("_s") / F.sum("_s").over(Window.partitionBy(key))).alias("probability"))
 

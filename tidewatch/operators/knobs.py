@@ -73,7 +73,7 @@ def _clip(value: Column, low: Column, high: Column) -> Column:
 
 
 def recommend(df: DataFrame) -> DataFrame:
-    """Adds a column for each knob; NULL where nothing is recommended."""
+    """Adds a column for each knob; NULL where nothing is recommended. The limits and factors are fixed values."""
     tp = F.col("workload") == "tp"
     out = ap_index(df)
     out = out.withColumn("max_process_memory", F.round(F.col("os_mem_total") * 0.8 / F.col("instances"), 4))

@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 RISKS = {"fatal": 50, "risky": 40, "warning": 30, "notice": 20}
 
 
+def bounded(df: DataFrame, most: int, what: str) -> DataFrame:
+    """``df`` to be broadcast, once it is counted to have at most ``most`` rows."""
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} {what}")
+    return F.broadcast(df)
+
+
 def select(df: DataFrame, columns: list[str] | None = None, equals: dict | None = None, isin: dict | None = None, since: tuple[str, object] | None = None, until: tuple[str, object] | None = None, contains: dict | None = None) -> DataFrame:
     """Optional predicates, each applied if given: equality, membership, time bounds, substring."""
     for c, v in (equals or {}).items():

@@ -210,12 +210,10 @@ def nearest_templates(statements: DataFrame, text: str, templates: DataFrame, te
 
     Templates are compressed texts, so they are few; they are broadcast, once they are counted to be at most ``most``.
     """
-    if templates.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} templates: deal them by kind and table first")
-    near = statements.join(F.broadcast(templates.select(template)), F.col(text) != F.col(template)).withColumn("similarity", inverse_levenshtein(F.col(text), F.col(template)))
-    # The best k of each statement are kept before anything is shuffled.
-    from tidewatch.operators.results import top_in_group
+    from tidewatch.operators.results import bounded, top_in_group
 
+    few = bounded(templates.select(template), most, "templates: deal them by kind and table first")
+    near = statements.join(few, F.col(text) != F.col(template)).withColumn("similarity", inverse_levenshtein(F.col(text), F.col(template)))
     return top_in_group(near, statements.columns, [F.col("similarity").desc(), F.col(template)], k)
 
 
