@@ -378,6 +378,12 @@ def test_images():
 
     bmp = b"BM" + struct.pack("<IHHI", 70, 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, 2, 2, 1, 24, 0, 16, 0, 0, 0, 0) + bytes([1, 2, 3, 4, 5, 6, 0, 0, 7, 8, 9, 10, 11, 12, 0, 0])
     assert media.decode(bmp).tolist() == [[[9, 8, 7], [12, 11, 10]], [[3, 2, 1], [6, 5, 4]]]
+    fields = b"BM" + struct.pack("<IHHI", 82, 0, 0, 66) + struct.pack("<IiiHHIIiiII", 40, 2, -1, 1, 32, 3, 16, 0, 0, 0, 0) + struct.pack("<III", 0xFF, 0xFF00, 0xFF0000) + bytes([1, 2, 3, 0, 4, 5, 6, 0])
+    assert media.decode(fields).tolist() == [[[1, 2, 3], [4, 5, 6]]]
+    with pytest.raises(ValueError):
+        media.decode(b"P2 1 1 255\n300")
+    with pytest.raises(ValueError):
+        media.decode(fields.replace(struct.pack("<I", 0xFF0000), struct.pack("<I", 0x7F0000)))
     for broken in (b"", b"P5", b"P5 9 9 255\n\0", b"BM\0"):
         with pytest.raises((ValueError, struct.error)):
             media.decode(broken)

@@ -46,6 +46,8 @@ def decode_netpbm(data: bytes) -> np.ndarray:
         samples = np.frombuffer(data, np.uint8 if top < 256 else ">u2", count, at + 1)
     if samples.size != count:
         raise ValueError("too few samples")
+    if top < 1 or top > 65535 or (count and int(samples.max()) > top):
+        raise ValueError("a sample above the largest one")
     if top == 255:
         return samples.reshape(shape).astype(np.uint8)
     return ((samples.astype(np.int64) * 255 + top // 2) // top).reshape(shape).astype(np.uint8)
@@ -58,6 +60,12 @@ def decode_bmp(data: bytes) -> np.ndarray:
     offset, header, width, height, _, bits, packing = struct.unpack_from("<IIiiHHI", data, 10)
     if packing not in (0, 3) or bits not in (8, 24, 32):
         raise ValueError("only uncompressed BMP of 8, 24 or 32 bits")
+    order = [2, 1, 0]  # the bytes of red, green and blue in a pixel
+    if packing == 3:
+        masks = struct.unpack_from("<III", data, 54)
+        if bits == 8 or any(m not in (0xFF, 0xFF00, 0xFF0000, 0xFF000000) for m in masks):
+            raise ValueError("only bit fields of whole bytes")
+        order = [(m.bit_length() - 1) // 8 for m in masks]
     rows, stride = abs(height), (width * bits // 8 + 3) // 4 * 4
     pixels = np.frombuffer(data, np.uint8, stride * rows, offset).reshape(rows, stride)
     pixels = pixels[:, : width * bits // 8].reshape(rows, width, bits // 8)
@@ -69,7 +77,7 @@ def decode_bmp(data: bytes) -> np.ndarray:
         colours = palette[pixels[:, :, 0]][:, :, 2::-1]
         grey = (palette[:, 0] == palette[:, 1]).all() and (palette[:, 1] == palette[:, 2]).all()
         return colours[:, :, 0] if grey else colours
-    return pixels[:, :, 2::-1]
+    return pixels[:, :, order]
 
 
 def decode(data: bytes) -> np.ndarray:
