@@ -6,6 +6,7 @@ import time
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -16,6 +17,7 @@ from tests.llm import brute
 from tests.llm.conftest import SCHEMA, row
 from tidewatch.llm import bpe, caps, common, licenses, media, mixing, queries, secrets, sharding, simhash, suffix_dedup, toxicity
 from tidewatch.llm.common import components
+from tidewatch.llm.oracles import OP9
 
 TEXT_QUERIES = {
     "licenses": licenses.scan_licenses,
@@ -469,6 +471,9 @@ def test_mix_of_sources_with_equal_caps_per_weight(spark, words):
     got = by_id(mixing.mix(docs))
     assert all(math.isclose(r["target"], target[i // 100]) for i, r in got.items())
     assert abs(sum(r["taken"] for r in got.values()) - sum(words)) <= sum(n // 10 for n in words)
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    assert sorted(con.sql(OP9).fetchall()) == sorted((i, r["size"], r["source_size"], r["target"], r["taken"]) for i, r in got.items())
 
 
 # --- 10 ------------------------------------------------------------------------------------------

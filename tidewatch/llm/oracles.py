@@ -46,15 +46,15 @@ s AS (
 l AS (
   SELECT *, 3 * source_size AS cap, sum(source_size) OVER () AS total FROM s),
 f AS (
-  SELECT a.source, a.source_size, a.cap, a.w,
+  SELECT a.source, a.source_size, a.cap, a.w, a.k,
          (any_value(a.total) - coalesce(sum(b.cap) FILTER (b.cap / b.w < a.cap / a.w OR (b.cap / b.w = a.cap / a.w AND b.k < a.k)), 0))
          / sum(b.w) FILTER (b.cap / b.w > a.cap / a.w OR (b.cap / b.w = a.cap / a.w AND b.k >= a.k)) AS lev
   FROM (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS k FROM l) a,
        (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS k FROM l) b
-  GROUP BY a.source, a.source_size, a.cap, a.w),
+  GROUP BY a.source, a.source_size, a.cap, a.w, a.k),
 t AS (
   SELECT source, source_size,
-         least(CAST(cap AS DOUBLE), coalesce((SELECT arg_min(g.lev, g.cap / g.w) FROM f g WHERE g.cap > g.lev * g.w) * w, cap)) AS target
+         least(CAST(cap AS DOUBLE), coalesce((SELECT g.lev FROM f g WHERE g.cap > g.lev * g.w ORDER BY g.cap / g.w, g.k LIMIT 1) * w, cap)) AS target
   FROM f),
 o AS (
   SELECT d.doc_id, d.size, t.source_size, t.target,
