@@ -35,9 +35,9 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder as Parquet and read again; for wide tables."""
+    """``df`` written to the shared folder as Parquet and read again; for wide or large tables, which it compresses."""
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression="zstd")
     return df.sparkSession.read.parquet(path)
 
 

@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import cut, shuffle_width
+from tidewatch.llm.common import shuffle_width, written
 
 LENGTH = 200
 GRAM = 48
@@ -148,14 +148,14 @@ def _unpacked(column: pa.Array) -> list[bytes]:
     return [expand(b) for b in column.to_pylist()]
 
 
-_ANCHORS = "doc_id long, h long, gram long, context long, spot long"
+_ANCHORS = "doc_id long, h long, gram long, context binary, spot long"
 
 
-def find_anchors(keyed: DataFrame) -> DataFrame:
-    """(doc_id, h, gram, context, spot) of every run; context hashes the run's bytes and the anchor's place in them."""
+def find_anchors(keyed: DataFrame, grams_only: bool = False) -> DataFrame:
+    """(doc_id, h, gram, context, spot) of every run; context is a 128-bit digest of the run's bytes and the anchor's place in them."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh3_64_intdigest
+        digest, whole = xxhash.xxh3_64_intdigest, xxhash.xxh3_128_digest
         for batch in batches:
             ids, hs = batch.column("doc_id"), batch.column("h")
             for data, numbers, offsets, ends in _blocks(_raw(batch.column("text"))):
@@ -165,20 +165,24 @@ def find_anchors(keyed: DataFrame) -> DataFrame:
                 piece = np.searchsorted(ends, spot, side="right")
                 begin = np.concatenate(([0], ends))[piece] - offsets[piece]
                 grams = [digest(data[a : a + GRAM]) for a in spot.tolist()]
-                contexts = [digest(data[b : e + LENGTH], a) for b, e, a in zip(first.tolist(), last.tolist(), (spot - first).tolist())]
+                gram = pa.array(np.array(grams, np.uint64).view(np.int64))
+                if grams_only:
+                    yield pa.RecordBatch.from_arrays([gram], names=["gram"])
+                    continue
+                contexts = [whole(data[b : e + LENGTH], a) for b, e, a in zip(first.tolist(), last.tolist(), (spot - first).tolist())]
                 take = pa.array(numbers[piece])
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.take(take),
                         hs.take(take),
-                        pa.array(np.array(grams, np.uint64).view(np.int64)),
-                        pa.array(np.array(contexts, np.uint64).view(np.int64)),
+                        gram,
+                        pa.array(contexts, pa.binary()),
                         pa.array(pack(spot - begin, first - begin, last - begin)),
                     ],
                     names=["doc_id", "h", "gram", "context", "spot"],
                 )
 
-    return keyed.mapInArrow(kernel, _ANCHORS)
+    return keyed.mapInArrow(kernel, "gram long" if grams_only else _ANCHORS)
 
 
 # --- sorting ---------------------------------------------------------------------------------
@@ -337,13 +341,13 @@ def repeated_windows(groups: np.ndarray, texts: list[bytes], offsets: np.ndarray
 
 # --- the operator ----------------------------------------------------------------------------
 
-_CONTEXTS = "gram long, context long, spot long, bytes binary, window binary"
+_CONTEXTS = "gram long, context binary, copy int, spot long, bytes binary, window binary"
 
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of each wanted run; for grams with very many contexts a digest of each window instead."""
-    names = ["gram", "context", "spot", "bytes", "window"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+    names = ["gram", "context", "copy", "spot", "bytes", "window"]
+    types = [pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
     for batch in _slices(batches):
         rows: list[tuple] = []
         texts = _unpacked(batch.column("packed"))
@@ -353,9 +357,9 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if w["split"]:
                     gram = w["gram"].to_bytes(8, "little", signed=True)
                     for s in range(first, last + 1):
-                        rows.append((w["gram"], w["context"], s - first, None, hashlib.blake2b(text[s : s + LENGTH], digest_size=16, key=gram).digest()))
+                        rows.append((w["gram"], w["context"], w["copy"], s - first, None, hashlib.blake2b(text[s : s + LENGTH], digest_size=16, key=gram).digest()))
                 else:
-                    rows.append((w["gram"], w["context"], w["spot"], text[first : last + LENGTH], None))
+                    rows.append((w["gram"], w["context"], w["copy"], w["spot"], text[first : last + LENGTH], None))
             if len(rows) >= BATCH:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
                 rows = []
@@ -364,22 +368,22 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sort_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by gram; whole groups are taken BATCH contexts at a time."""
+    """Rows come sorted by gram; whole groups are taken BATCH contexts at a time. The second copy of a context only makes up its class."""
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
         grams = np.array([r[0] for r in rows])
         groups = np.cumsum(np.concatenate(([0], np.diff(grams) != 0)))
-        spots = np.array([r[2] for r in rows])
-        found = repeated_windows(groups, [r[3] for r in rows], spots >> 8 & 255, (spots & 255) + 1)
-        hit = [i for i, f in enumerate(found) if f]
+        spots = np.array([r[3] for r in rows])
+        found = repeated_windows(groups, [r[4] for r in rows], spots >> 8 & 255, (spots & 255) + 1)
+        hit = [i for i, f in enumerate(found) if f and rows[i][2] == 0]
         return pa.RecordBatch.from_arrays(
-            [pa.array([rows[i][0] for i in hit], pa.int64()), pa.array([rows[i][1] for i in hit], pa.int64()), pa.array([found[i] for i in hit], pa.list_(pa.int32()))],
+            [pa.array([rows[i][0] for i in hit], pa.int64()), pa.array([rows[i][1] for i in hit], pa.binary()), pa.array([found[i] for i in hit], pa.list_(pa.int32()))],
             names=["gram", "context", "stretches"],
         )
 
     rows: list[tuple] = []
     for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("gram", "context", "spot", "bytes"))):
+        for row in zip(*(batch.column(c).to_pylist() for c in ("gram", "context", "copy", "spot", "bytes"))):
             if len(rows) >= BATCH and row[0] != rows[-1][0]:
                 yield solve(rows)
                 rows = []
@@ -389,27 +393,30 @@ def _sort_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_spans(keyed: DataFrame) -> DataFrame:
-    """(doc_id, h, marks array<struct<spot, stretches>>): the repeated windows of each text of ``keyed`` (doc_id, h, text)."""
+    """(doc_id, h, marks array<struct<spot, stretches>>): the repeated windows of each text of ``keyed`` (doc_id, h, text).
+
+    Runs with the same bytes and anchor are a class, named by a 128-bit digest. Of a class that occurs
+    again two runs go to the sorter, of others one if its gram has another class, so it is the sorted
+    orders that decide what repeats; the digest only spares the further copies.
+    """
     runs = find_anchors(keyed)
     # What is joined to a side that may be skewed is cut first: Spark splits a hot key only where
     # both sides of the join come straight from a shuffle.
-    again = cut(find_anchors(keyed).groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"))
-    candidates = cut(runs.join(again, "gram", "left_semi"))
-    contexts = cut(
-        candidates.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("doc_id", "h", "spot")).alias("one"))
-    )
-    rivals = cut(contexts.groupBy("gram").agg(F.count(F.lit(1)).alias("rivals")).where("rivals > 1"))
-    # Contexts that occur twice repeat whole; of the others, those with rivals are compared.
-    whole = contexts.where("times > 1").select(
-        "gram", "context", F.array(F.lit(0), F.col("one.spot").bitwiseAND(255).cast("int")).alias("stretches")
-    )
+    again = written(find_anchors(keyed, grams_only=True).groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"))
+    candidates = written(runs.join(again, "gram", "left_semi"))
+    place = F.struct("doc_id", "h", "spot")
+    contexts = written(candidates.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("times"), F.min(place).alias("one"), F.max(place).alias("two")))
+    rivals = written(contexts.groupBy("gram").agg(F.count(F.lit(1)).alias("rivals"), F.max("times").alias("most")).where("rivals > 1 or most > 1").select("gram", "rivals"))
+    copies = F.when(F.col("times") > 1, F.array("one", "two")).otherwise(F.array("one"))
     wanted = (
         contexts.join(rivals, "gram")
-        .groupBy(F.col("one.doc_id").alias("_id"), F.col("one.h").alias("_h"))
-        .agg(F.collect_list(F.struct("gram", "context", F.col("one.spot").alias("spot"), (F.col("rivals") > GROUP).alias("split"))).alias("wanted"))
+        .where("rivals > 1 or times > 1")
+        .select("gram", "context", (F.col("rivals") > GROUP).alias("split"), F.posexplode(copies).alias("copy", "at"))
+        .groupBy(F.col("at.doc_id").alias("_id"), F.col("at.h").alias("_h"))
+        .agg(F.collect_list(F.struct("gram", "context", "copy", F.col("at.spot").alias("spot"), "split")).alias("wanted"))
     )
     texts = packed(keyed)
-    fetched = cut(
+    fetched = written(
         texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["_id"]) & (texts["h"] == wanted["_h"]))
         .select("packed", "wanted")
         .mapInArrow(_fetch, _CONTEXTS)
@@ -419,15 +426,15 @@ def repeated_spans(keyed: DataFrame) -> DataFrame:
         fetched.where("window is null")
         .repartition(spread, "gram")
         .sortWithinPartitions("gram")
-        .select("gram", "context", "spot", "bytes")
-        .mapInArrow(_sort_groups, "gram long, context long, stretches array<int>")
+        .select("gram", "context", "copy", "spot", "bytes")
+        .mapInArrow(_sort_groups, "gram long, context binary, stretches array<int>")
     )
-    split = fetched.where("window is not null").select("gram", "context", "spot", "window")
-    often = cut(split.distinct().groupBy("window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("window"))
-    by_window = split.join(often, "window", "left_semi").select(
+    split = fetched.where("window is not null").select("gram", "context", "copy", "spot", "window")
+    often = written(split.distinct().groupBy("window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("window"))
+    by_window = split.where("copy = 0").join(often, "window", "left_semi").select(
         "gram", "context", F.array(F.col("spot").cast("int"), F.col("spot").cast("int")).alias("stretches")
     )
-    verdicts = cut(whole.unionByName(by_sorting).unionByName(by_window))
+    verdicts = written(by_sorting.unionByName(by_window))
     return (
         candidates.join(verdicts, ["gram", "context"])
         .groupBy("doc_id", "h")
