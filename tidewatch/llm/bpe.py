@@ -12,13 +12,16 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.llm.common import kept
+
 NONE = np.int64(1 << 40)
 #: Cells of a padded matrix, and pieces a worker remembers, at most.
-CELLS = 1 << 20
-REMEMBERED = 300_000
+CELLS = 1 << 19
+REMEMBERED = 150_000
 #: Bytes of a piece from which its pairs wait in a heap: compacting a row costs its length for each merge.
 LONG = 1024
 
@@ -194,17 +197,9 @@ class Bpe:
             at = end
 
 
-def _codec(spark, path: str, pattern: str):
-    """A function that gives each worker one Bpe; the ranks are read once, on the driver."""
-    shared = spark.sparkContext.broadcast(read_ranks(path))  # a vocabulary: its size is fixed
-    made: list[Bpe] = []
-
-    def get() -> Bpe:
-        if not made:
-            made.append(Bpe(shared.value, pattern))
-        return made[0]
-
-    return get
+def worker_codec(key: tuple, ranks: Broadcast) -> Bpe:
+    """One Bpe for each worker process; building its tables and merging the frequent pieces is done once and not for each task."""
+    return kept(("bpe", *key), lambda: Bpe(ranks.value, key[1]))
 
 
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -216,11 +211,12 @@ def round_trip(docs: DataFrame, path: str, pattern: str, with_ids: bool = False)
     Null and empty texts have no tokens and the digests of nothing; repeated rows and null ids are
     taken row by row; an empty table gives no rows; other columns are ignored.
     """
-    codec = _codec(docs.sparkSession, path, pattern)
+    ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(path))  # a vocabulary: its size is fixed
+    key = path, pattern, len(ranks.value)
     names = [c.split()[0] for c in DIGESTS.split(", ")]
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = codec()
+        bpe = worker_codec(key, ranks)
         for batch in batches:
             keys, texts = batch.column("doc_id"), batch.column("text").to_pylist()
             for start in range(0, len(texts), 1024):

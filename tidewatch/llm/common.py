@@ -55,12 +55,28 @@ def join_hot(rows: DataFrame, facts: DataFrame, key: str, weight: str, total: in
 
     ``weight`` is how many of the ``total`` rows a key has. Fewer than ``share`` keys can have more
     than a ``share``-th of all rows; these are broadcast, so their rows stay where they are. The
-    rows of all other keys are shuffled, and no key puts more than that share in one task.
+    rows of all other keys are shuffled, and no key puts more than that share in one task. Facts are
+    worked out once; where no key is that frequent, the join is a plain one.
     """
-    hot = F.col(weight) * share > total
-    often, seldom = facts.where(hot).drop(weight), facts.where(~hot).drop(weight)
-    rest = rows.join(F.broadcast(often.select(key)), key, "left_anti")
-    return rows.join(F.broadcast(often), key).unionByName(rest.join(seldom, key))
+    facts, hot = written(facts), F.col(weight) * share > total
+    if facts.where(hot).isEmpty():
+        return rows.join(facts.drop(weight), key)
+    often = F.broadcast(facts.where(hot).drop(weight).withColumn("_hot", F.lit(True)))
+    tagged = rows.join(often, key, "left")
+    rest = tagged.where("_hot is null").select(*rows.columns).join(facts.where(~hot).drop(weight), key)
+    return tagged.where("_hot").drop("_hot").unionByName(rest)
+
+
+#: What a worker process keeps between tasks, for one operator at a time.
+_KEPT: dict = {}
+
+
+def kept(key, make):
+    """``make()``, once for each worker process; what another key kept is let go, so that workers do not fill up."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
 
 
 def global_prefix(df: DataFrame, order: list[Column], value: str) -> DataFrame:
@@ -103,7 +119,8 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     shuffled; lineage is cut every round. Nodes are any ordered type. Raises RuntimeError if
     ``max_rounds`` rounds do not suffice.
     """
-    edges = cut(
+    # Written and not checkpointed: a checkpoint keeps what Spark has inferred of the rows, which grows round by round.
+    edges = written(
         links.where("a <> b")
         .select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo"))
         .distinct()
@@ -123,7 +140,7 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
             .where("hi <> lo")
             .distinct()
         )
-        edges = cut(small)
+        edges = written(small)
         stats = edges.agg(
             F.count(F.lit(1)), F.countDistinct("hi"), F.coalesce(F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)")), F.lit(0))
         ).first()

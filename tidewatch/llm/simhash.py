@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import components, cut, join_hot
+from tidewatch.llm.common import components, cut, join_hot, shuffle_width
 
 WORDS = 3
 SEED = 42
@@ -86,7 +86,9 @@ def near_pairs(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     """
     if not 0 <= radius <= 3:
         raise ValueError("with one part left out, two bits may differ at most: radius 0 to 3")
-    emitted = distinct.select(F.col("fp").alias("a"), F.explode(_variants(F.col("fp"))).alias("variant"))
+    # Dealt anew, as few partitions of fingerprints make very many variants.
+    dealt = distinct.select("fp").repartition(shuffle_width(distinct.sparkSession))
+    emitted = dealt.select(F.col("fp").alias("a"), F.explode(_variants(F.col("fp"))).alias("variant"))
     return (
         emitted.join(emitted.withColumnRenamed("a", "b"), "variant")
         .where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius))
