@@ -75,7 +75,7 @@ def s17(spark, d):
     return families(S.event_samples(spark, d).where("name >= 'p'"), "").select("metric")
 
 
-@query("s35_slow_queries", f"WITH {SLOW} SELECT id, db AS datname, kind AS query, start_ms, start_ms + CAST(floor(duration) AS BIGINT) AS finish_ms, round(duration / 7, 3) AS hit_rate, CAST(id % 9 AS BIGINT) AS n_returned_rows FROM slow")
+@query("q35_slow_queries", f"WITH {SLOW} SELECT id, db AS datname, kind AS query, start_ms, start_ms + CAST(floor(duration) AS BIGINT) AS finish_ms, round(duration / 7, 3) AS hit_rate, CAST(id % 9 AS BIGINT) AS n_returned_rows FROM slow")
 def q35(spark, d):
     """Q35: slow queries read from the labels of samples, where every figure is text."""
     labels = F.create_map(
