@@ -15,6 +15,7 @@ from tidewatch.operators import detectors as D
 from tidewatch.operators import predicates as P
 from tidewatch.operators import results as R
 from tidewatch.operators import rewrite as W
+from tidewatch.operators import similarity
 from tidewatch.operators import sqltext as Q
 from tidewatch.operators import statistics as K
 from tidewatch.sources import store
@@ -213,12 +214,47 @@ def test_rewrites(rule, before, after):
 
 
 def test_similar_templates_are_weighted(spark):
-    model = spark.createDataFrame([("SELECT A FROM T WHERE B = ?", 2.0), ("SELECT A FROM T WHERE B = ? AND C = ? AND D = ?", 10.0), ("SELECT A FROM U", 99.0)], "template string, expected double")
-    asked = spark.createDataFrame([("select a from t where b = 7 and c = 1",), ("select a from v",), (" ",)], "sql string")
-    got = {r["sql"]: (r["seconds"], r["status"]) for r in Q.predict_duration(asked, model, "sql").collect()}
+    rows = [("SELECT A FROM T WHERE B = ?", 2.0, 50.0), ("SELECT A FROM T WHERE B = ? AND C = ? AND D = ?", 10.0, 60.0), ("SELECT A FROM ANOTHER_TABLE_WITH_A_LONG_NAME JOIN AND_YET_ANOTHER ON X = Y", 99.0, 70.0)]
+    model = spark.createDataFrame(rows, "template string, mean double, expected double")
+    texts = ["select a from t where b = 7 and c = 1", "select a from t where b = 12", "delete from v", " ", None]
+    asked = spark.createDataFrame([(t,) for t in texts for _ in range(200)], "sql string")
+    got = {r["sql"]: (r["seconds"], r["status"]) for r in Q.predict_duration(asked, model, "sql", 2).collect()}
     near, far = 1 / 10, 1 / 10  # ten characters more, ten less
     assert got["select a from t where b = 7 and c = 1"] == (pytest.approx((near * 2 + far * 10) / (near + far)), "No SQL template found")
-    assert got["select a from v"] == (None, "No SQL information") and got[" "] == (None, "Suspect illegal sql")
+    assert got["select a from t where b = 12"] == (50.0, "Fine match")
+    assert got["delete from v"] == (None, "No SQL information") and got[" "] == (None, "Suspect illegal sql") and len(got) == 4
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        above, row[0] = row[0], i + 1
+        for j, y in enumerate(b):
+            above, row[j + 1] = row[j + 1], min(above + (x != y), row[j] + 1, row[j + 1] + 1)
+    return row[-1]
+
+
+@pytest.mark.parametrize("chunk", [4096, 3])
+def test_nearest_texts_equal_all_comparisons(spark, chunk):
+    rng = random.Random(5)
+    words = ["select a from t", "where b = ?", "and c = ?", "order by d", "join u on x = y", "x", "", "ab", "abab", "ßé"]
+    text = lambda: " ".join(rng.choice(words) for _ in range(rng.randint(1, 6)))
+    known = [("s", text()) for _ in range(60)] + [("o", t) for t in ("", "a", "zz")] + [("s", "hot")] * 500 + [("s", None)]
+    asked = [("s", t[:-2] + rng.choice(["", "q", "qq"])) for _, t in known[:30]] + [("s", text()) for _ in range(20)] + [("o", "b"), ("none", "b"), ("s", None)] + [("s", "hut")] * 500
+    for equal in (True, False):
+        got = similarity.nearest(spark.createDataFrame(asked, "head string, text string").repartition(3), spark.createDataFrame(known, "head string, text string"), 3, equal=equal, chunk=chunk)
+        want = []
+        for h, t in {x for x in asked if x[1] is not None}:
+            near = sorted((edits(t, s), s) for g, s in set(known) if g == h and s is not None and (equal or s != t))
+            want += [(h, t, s, d) for d, s in near if d <= near[min(2, len(near) - 1)][0]]
+        assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_own_costs(spark):
+    plan = "Hash Join  (cost=0.00..100.00 rows=1 width=8)\n  ->  Seq Scan on a  (cost=0.00..40.00 rows=1 width=8)\n  ->  Sort  (cost=25.00..30.00 rows=1 width=8)\n        ->  Seq Scan on b  (cost=5.00..25.00 rows=1 width=8)"
+    tree = Q.own_cost(Q.plan_tree(Q.plan_nodes(spark.createDataFrame([(1, plan)], "id int, plan string"), "id", "plan"), "id"), "id")
+    # The join begins before its scans end: less the latest start of a child; the sort begins when its scan has ended: less the scan.
+    assert [r["own_cost"] for r in tree.orderBy("node").collect()] == [75.0, 40.0, 5.0, 25.0]
 
 
 def test_conjunctions(spark):

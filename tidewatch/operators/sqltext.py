@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.operators.similarity import nearest
+
 KINDS = ("SELECT", "UPDATE", "DELETE", "INSERT")
 
 
@@ -177,9 +179,11 @@ def plan_tree(nodes: DataFrame, key: str) -> DataFrame:
 
 
 def own_cost(tree: DataFrame, key: str) -> DataFrame:
-    """Adds ``own_cost``: the total less what its children cost in total."""
-    children = tree.where("parent is not null").groupBy(key, F.col("parent").alias("node")).agg(F.sum("total_cost").alias("_below"))
-    return tree.join(children, [key, "node"], "left").withColumn("own_cost", F.greatest(F.col("total_cost") - F.coalesce("_below", F.lit(0.0)), F.lit(0.0))).drop("_below")
+    """Adds ``own_cost``: the total less that of its costliest child, or, where a node starts before that child ends, less the latest start of a child."""
+    children = tree.where("parent is not null").groupBy(key, F.col("parent").alias("node")).agg(F.max("total_cost").alias("_total"), F.max("start_cost").alias("_start"))
+    total, start = F.coalesce("_total", F.lit(0.0)), F.coalesce("_start", F.lit(0.0))
+    below = F.when(F.col("start_cost") >= total, total).otherwise(start)
+    return tree.join(children, [key, "node"], "left").withColumn("own_cost", F.col("total_cost") - below).drop("_total", "_start")
 
 
 def sorted_operators(tree: DataFrame, key: str) -> DataFrame:
@@ -205,16 +209,17 @@ def poor_joins(tree: DataFrame, key: str, rate: float = 0.02, nested: int = 10_0
     return costly.withColumn("reason", reason).select(key, "node", "reason")
 
 
-def nearest_templates(statements: DataFrame, text: str, templates: DataFrame, template: str, k: int, most: int = 100_000) -> DataFrame:
-    """Each statement with its ``k`` most similar templates by inverse edit distance, but for equal ones: adds ``template`` and ``similarity``.
+def nearest_templates(statements: DataFrame, text: str, templates: DataFrame, template: str, k: int) -> DataFrame:
+    """Each row of ``statements`` with its ``k`` most similar templates by inverse edit distance, but for equal ones: adds ``template`` and ``similarity``.
 
-    Templates are compressed texts, so they are few; they are broadcast, once they are counted to be at most ``most``.
+    Ties go by template. Distinct texts meet distinct templates; repeated rows get the same answers each, a NULL text none.
     """
-    from tidewatch.operators.results import bounded, top_in_group
+    from tidewatch.operators.results import top_in_group
 
-    few = bounded(templates.select(template), most, "templates: deal them by kind and table first")
-    near = statements.join(few, F.col(text) != F.col(template)).withColumn("similarity", inverse_levenshtein(F.col(text), F.col(template)))
-    return top_in_group(near, statements.columns, [F.col("similarity").desc(), F.col(template)], k)
+    head = F.lit(0).alias("head")
+    near = nearest(statements.select(head, F.col(text).alias("text")), templates.select(head, F.col(template).alias("text")), k, equal=False)
+    best = top_in_group(near, ["text"], [F.col("distance"), F.col("known")], k)
+    return statements.join(best.select(F.col("text").alias(text), F.col("known").alias(template), (1 / F.col("distance")).alias("similarity")), text)
 
 
 def placeholders(sql: Column) -> Column:
@@ -240,22 +245,31 @@ def fine_template(sql: Column, tables: list[str], columns: list[str]) -> Column:
     return out
 
 
-def predict_duration(statements: DataFrame, model: DataFrame, text: str, nearest: int = 3) -> DataFrame:
-    """(text, seconds, status): the model's value for a known template, else that of similar ones, weighted by similarity.
+def keyword(template: Column) -> Column:
+    """The statement's first word where a model keeps templates of it apart, else OTHER."""
+    first = F.split_part(F.trim(template), F.lit(" "), F.lit(1))
+    return F.when(first.isin(*KINDS), first).otherwise("OTHER")
+
+
+def predict_duration(statements: DataFrame, model: DataFrame, text: str, k: int = 3) -> DataFrame:
+    """(text, seconds, status) of each distinct statement.
 
-    Unknown templates meet only model templates of the same kind and first table, which is what the join hashes on.
+    ``model`` has (template, mean, expected). Illegal texts are told first. A known template takes its
+    ``expected``; another takes the ``mean`` of its ``k`` nearest templates of the same keyword, by edit
+    distance, weighted by similarity (of equal similarity the larger mean, then the later template);
+    where the model has no template of the keyword there is no information. NULL texts are left out.
     """
     from tidewatch.operators.results import top_in_group
 
-    asked = statements.withColumn("template", templatise(F.col(text)))
-    known = asked.join(model.select("template", "expected"), "template", "left")
-    exact = known.where("expected is not null").select(text, F.col("expected").alias("seconds"), F.lit("Fine match").alias("status"))
-    bad = known.where("expected is null").where(illegal(F.col(text))).select(text, F.lit(None).cast("double").alias("seconds"), F.lit("Suspect illegal sql").alias("status"))
-    head = lambda c: F.concat_ws(" ", F.split_part(c, F.lit(" "), F.lit(1)), F.regexp_extract(c, r"(?:FROM|INTO|UPDATE) (\w+)", 1))
-    rest = known.where("expected is null").where(~illegal(F.col(text))).select(text, "template").withColumn("_head", head(F.col("template")))
-    near = rest.join(model.select(F.col("template").alias("_t"), "expected", head(F.col("template")).alias("_head")), "_head")
-    scored = near.withColumn("_s", F.coalesce(inverse_levenshtein(F.col("template"), F.col("_t")), F.lit(1.0)))
-    best = top_in_group(scored, [text], [F.col("_s").desc(), F.col("_t")], nearest)
-    guessed = best.groupBy(text).agg((F.sum(F.col("_s") * F.col("expected")) / F.sum("_s")).alias("seconds")).withColumn("status", F.lit("No SQL template found"))
-    none = rest.join(guessed.select(text), text, "left_anti").select(text, F.lit(None).cast("double").alias("seconds"), F.lit("No SQL information").alias("status"))
-    return exact.unionByName(bad).unionByName(guessed).unionByName(none)
+    asked = statements.select(text).where(F.col(text).isNotNull()).distinct().withColumn("template", templatise(F.col(text))).withColumn("head", keyword(F.col("template")))
+    known = model.select("template", "mean", "expected", keyword(F.col("template")).alias("head"))
+    bad = asked.where(illegal(F.col(text))).select(text, F.lit(None).cast("double").alias("seconds"), F.lit("Suspect illegal sql").alias("status"))
+    legal = asked.where(~illegal(F.col(text))).join(known.select("template", "expected"), "template", "left")
+    exact = legal.where("expected is not null").select(text, F.col("expected").alias("seconds"), F.lit("Fine match").alias("status"))
+    rest = legal.where("expected is null").select(text, "head", "template")
+    met = nearest(rest.select("head", F.col("template").alias("text")), known.select("head", F.col("template").alias("text")), k)
+    valued = met.join(known.select("head", F.col("template").alias("known"), "mean"), ["head", "known"])
+    best = top_in_group(valued, ["head", "text"], [F.col("distance"), F.col("mean").desc(), F.col("known").desc()], k)
+    guessed = best.groupBy("head", F.col("text").alias("template")).agg((F.sum(F.col("mean") / F.col("distance")) / F.sum(1 / F.col("distance"))).alias("seconds"))
+    status = F.when(F.col("seconds").isNull(), "No SQL information").otherwise("No SQL template found")
+    return exact.unionByName(bad).unionByName(rest.join(guessed, ["head", "template"], "left").select(text, "seconds", status.alias("status")))

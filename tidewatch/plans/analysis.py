@@ -256,17 +256,19 @@ def c22_cosine(spark, d):
     return _round(Q.char_cosine(table(spark, d, "part"), "p_name", "p_type", "p_partkey"), "cosine")
 
 
-#: A chain of p_size % 4 sorts over a join of two scans, for each part; the costs depend on its size and price.
+#: A chain of p_size % 4 sorts over a join of two scans, for each part; the costs depend on its size and price. Sorts of every third part wait for
+#: all their rows, the others and the joins begin before what is below them ends, or after it.
 _INDENT = "repeat(' ', 6 * (p_size % 4) - 4)"
 _PLAN = f"""array_join(concat(
  transform(sequence(0, p_size % 4), k -> CASE WHEN k = 0 THEN '' ELSE repeat(' ', 6 * k - 4) || '->  ' END || CASE WHEN k < p_size % 4 THEN 'Sort' WHEN p_size % 2 = 0 THEN 'Nested Loop' ELSE 'Hash Join' END
-  || '  (cost=0.00..' || (4000 - 100 * k) || '.50 rows=' || (1000 + k) || ' width=8)'),
+  || '  (cost=' || CASE WHEN k = p_size % 4 THEN p_partkey % 700 || '.25' WHEN p_partkey % 3 = 0 THEN (3900 - 100 * k) || '.50' ELSE '0.00' END || '..' || (4000 - 100 * k) || '.50 rows=' || (1000 + k) || ' width=8)'),
  array(repeat(' ', 6 * (p_size % 4) + 2) || '->  Seq Scan on a' || p_size || '  (cost=0.00..' || p_size * 20 || '.25 rows=' || p_size * 1500 || ' width=8)',
-       repeat(' ', 6 * (p_size % 4) + 2) || '->  Index Scan using i on b  (cost=0.00..' || p_partkey % 900 || '.75 rows=' || p_partkey % 97 * 1000 || ' width=8)')), char(10))"""
-_NODES = """p AS (SELECT p_partkey, p_size AS s, p_partkey AS k, p_size % 4 AS m FROM part),
+       repeat(' ', 6 * (p_size % 4) + 2) || '->  Index Scan using i on b  (cost=' || p_partkey % 7 || '.00..' || p_partkey % 900 || '.75 rows=' || p_partkey % 97 * 1000 || ' width=8)')), char(10))"""
+_NODES = """p AS (SELECT p_partkey, p_size AS s, p_partkey AS k, p_size % 4 AS m, greatest(p_size * 20 + 0.25, p_partkey % 900 + 0.75) AS most FROM part),
  n AS (SELECT p_partkey, s, k, m, i AS node, CASE WHEN i < m THEN 'Sort' WHEN i = m AND s % 2 = 0 THEN 'Nested Loop' WHEN i = m THEN 'Hash Join' WHEN i = m + 1 THEN 'Seq Scan on a' || s ELSE 'Index Scan using i on b' END AS name,
   CASE WHEN i = 0 THEN NULL WHEN i <= m THEN i - 1 ELSE m END AS parent,
-  CASE WHEN i < m THEN 100.0 WHEN i = m THEN greatest(4000.5 - 100 * m - (s * 20 + 0.25) - (k % 900 + 0.75), 0) WHEN i = m + 1 THEN s * 20 + 0.25 ELSE k % 900 + 0.75 END AS own_cost
+  CASE WHEN i < m AND k % 3 = 0 THEN 100.0 WHEN i < m - 1 THEN 4000.5 - 100 * i WHEN i < m THEN 4000.5 - 100 * i - (k % 700 + 0.25)
+   WHEN i = m AND k % 700 + 0.25 >= most THEN 4000.5 - 100 * m - most WHEN i = m THEN 4000.5 - 100 * m - k % 7 WHEN i = m + 1 THEN s * 20 + 0.25 ELSE k % 900 + 0.75 END AS own_cost
   FROM p, range(0, 6) r(i) WHERE i <= m + 2)"""
 
 

@@ -328,22 +328,30 @@ def c02(spark, d):
     return p.select(Q.fine_template(F.col("sql"), [f"t{k}" for k in range(7)], ["a", "b", "c"]).alias("template")).groupBy("template").agg(_n())
 
 
-_KNOWN = f"""slowest AS (SELECT template, id, duration, row_number() OVER (PARTITION BY template ORDER BY id DESC) AS r FROM slow), model AS (SELECT template, round(avg(duration), 4) AS expected FROM slowest WHERE r <= 5 GROUP BY template)"""
-
-
-@query("g02_predicted_durations", f"""WITH {SLOW}, {_KNOWN}, q AS (SELECT c_custkey AS k FROM customer),
- e AS (SELECT k, expected, 'Fine match' AS status FROM q JOIN model ON k = template AND k % 3 < 2),
- b AS (SELECT k, CAST(NULL AS DOUBLE), 'Suspect illegal sql' FROM q WHERE k % 3 = 2),
- u AS (SELECT k, CAST(NULL AS DOUBLE), 'No SQL information' FROM q LEFT JOIN model ON k = template WHERE k % 3 < 2 AND template IS NULL)
- SELECT * FROM e UNION ALL SELECT * FROM b UNION ALL SELECT * FROM u""".replace("e AS (SELECT k, expected,", "e AS (SELECT k, expected AS seconds,"))
+#: Templates of a workload by the number of their statement's customer, and statements of parts that are known, like known ones, of a kind without model, or no SQL.
+_HISTORY = "CASE k % 3 WHEN 0 THEN 'SELECT C' || k % 7 || ', D' || k % 11 || ' FROM T' || k % 53 || '_X WHERE A' || k % 5 || ' = ?' WHEN 1 THEN 'UPDATE T' || k % 53 || '_X SET C' || k % 7 || ' = ? WHERE B' || k % 11 || ' = ?' ELSE 'DELETE FROM T' || k % 101 || '_X WHERE E' || k % 13 || ' = ?' END"
+_ASKED = """CASE k % 7 WHEN 0 THEN 'selec c from t' || k % 40 WHEN 1 THEN 'insert into t' || k % 9 || ' values (' || k || ')' WHEN 2 THEN 'select c9z, d' || k % 11 || ' from t' || k % 53 || '_x where a' || k % 5 || ' = 1 and f = ' || k
+ WHEN 3 THEN 'update t' || k % 53 || '_x set c = ' || k || ' where b' || k % 11 || ' = 3' WHEN 4 THEN 'delete from t' || k % 101 || '_x where e = 4' WHEN 5 THEN 'select c' || k % 7 || ', d' || k % 11 || ' from t' || k % 53 || '_x where a' || k % 5 || ' = ' || k
+ ELSE 'update nothing_like_it set some_column = other_column + ' || k END"""
+_ASKED_TEMPLATE = "regexp_replace(regexp_replace(upper(regexp_replace(sql, 'values.*', 'values')), '\\b[0-9]+\\b', '?', 'g'), ' +', ' ', 'g')"
+
+
+@query("g02_predicted_durations", f"""WITH h AS (SELECT o_orderkey AS id, o_custkey AS k, o_totalprice AS duration FROM orders), t AS (SELECT id, {_HISTORY} AS template, duration FROM h),
+ r AS (SELECT *, row_number() OVER (PARTITION BY template ORDER BY id DESC) AS n FROM t), l AS (SELECT template, avg(duration) AS mean, list(duration ORDER BY id) AS d FROM r WHERE n <= 5 GROUP BY template),
+ model AS (SELECT template, mean, list_reduce(d, lambda a, x: (a + x) / 2) AS expected, string_split(template, ' ')[1] AS head FROM l),
+ a AS (SELECT DISTINCT {_ASKED} AS sql FROM (SELECT p_partkey AS k FROM part)), q AS (SELECT sql, {_ASKED_TEMPLATE} AS template FROM a), z AS (SELECT *, string_split(template, ' ')[1] AS head FROM q WHERE head IN ('SELECT', 'INSERT', 'UPDATE', 'DELETE')),
+ u AS (SELECT DISTINCT template, head FROM z WHERE template NOT IN (SELECT template FROM model)),
+ n AS (SELECT u.template, m.mean, 1.0 / levenshtein(u.template, m.template) AS s, row_number() OVER (PARTITION BY u.template ORDER BY levenshtein(u.template, m.template), m.mean DESC, m.template DESC) AS k FROM u JOIN model m ON u.head = m.head),
+ g AS (SELECT template, sum(s * mean) / sum(s) AS seconds FROM n WHERE k <= 3 GROUP BY template)
+ SELECT sql, CASE WHEN z.sql IS NULL THEN NULL ELSE round(coalesce(m.expected, g.seconds), 4) END AS seconds,
+  CASE WHEN z.sql IS NULL THEN 'Suspect illegal sql' WHEN m.template IS NOT NULL THEN 'Fine match' WHEN g.template IS NOT NULL THEN 'No SQL template found' ELSE 'No SQL information' END AS status
+ FROM a LEFT JOIN z USING (sql) LEFT JOIN model m ON m.template = z.template LEFT JOIN g ON g.template = z.template""")
 def g02(spark, d):
-    """Exact matches, illegal texts and unknown tables; the similar ones are in the tests."""
-    recent = R.top_in_group(slow(spark, d), ["template"], [F.col("id").desc()], 5).groupBy("template").agg(F.round(F.avg("duration"), 4).alias("expected"))
-    model = recent.select(F.format_string("SELECT A FROM CUSTOMER_%d_X WHERE B = ?", F.col("template").cast("long")).alias("template"), "expected")
-    k = F.col("c_custkey").cast("long")
-    text = F.when(k % 3 == 2, F.format_string("selec a from customer_%d_x", k)).otherwise(F.format_string("select a from customer_%d_x where b = %d", k, k))
-    asked = table(spark, d, "customer").select(F.col("c_custkey").alias("k"), text.alias("sql"))
-    return asked.join(Q.predict_duration(asked.select("sql"), model, "sql"), "sql").select("k", "seconds", "status")
+    """All four answers: illegal texts, known templates, similar ones by edit distance, and kinds without a model."""
+    history = table(spark, d, "orders").selectExpr("o_orderkey AS id", "o_custkey AS k", "o_totalprice AS duration").selectExpr("id", f"{_HISTORY} AS template", "duration")
+    model = Q.duration_model(history, "template", "id", "duration", 5)
+    asked = table(spark, d, "part").selectExpr("p_partkey AS k").selectExpr(f"{_ASKED} AS sql")
+    return Q.predict_duration(asked, model, "sql").withColumn("seconds", F.round("seconds", 4))
 
 
 @query("n06_swarm")

@@ -27,6 +27,12 @@ def scratch(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` worked out once, kept in the shared folder."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a path is there, on whatever file system it names."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
