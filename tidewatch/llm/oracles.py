@@ -96,4 +96,62 @@ FROM d LEFT JOIN f ON d.doc_id IS NOT DISTINCT FROM f.doc_id
 """
 
 
-ORACLES = {"op1_spherical_caps": OP1, "op7_sharding": OP7, "op6_secret_scans": _op6(), "op9_mixing": OP9}
+LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+
+def _op11(levels: int = 5) -> str:
+    """Level by level up to 16 ** levels leaves, first in each source, then over the sources."""
+    field = lambda c: f"coalesce(CAST(strlen(CAST({c} AS VARCHAR)) AS VARCHAR) || ':' || CAST({c} AS VARCHAR), '-')"
+    leaf = lambda text: "sha256(" + " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    crc = """xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda ch: CAST(ascii(ch) AS BIGINT))),
+             lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), CAST(4294967295 AS BIGINT))"""
+    parts, folds = [], ["f0 AS (SELECT *, coalesce(alt, leaf) AS x, '' AS proof FROM d)"]
+    for tree, first in (("s", "SELECT source, r, leaf AS h, n AS c, source AS g FROM d"), ("z", f"SELECT source, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS r, h, count(*) OVER () AS c, 0 AS g FROM s{levels}")):
+        parts.append(f"{tree}0 AS ({first})")
+        for k in range(levels):
+            beside = lambda frame: f"coalesce(string_agg(h, '') OVER (PARTITION BY g, r // 16 ORDER BY r ROWS BETWEEN {frame}), '')"
+            parts.append(f"{tree}b{k} AS (SELECT source, g, r, c, {beside('UNBOUNDED PRECEDING AND 1 PRECEDING')} AS b, {beside('1 FOLLOWING AND UNBOUNDED FOLLOWING')} AS a FROM {tree}{k})")
+            parts.append(f"{tree}{k + 1} AS (SELECT any_value(source) AS source, r // 16 AS r, CASE WHEN any_value(c) > 1 THEN sha256(string_agg(h, '' ORDER BY r)) ELSE any_value(h) END AS h, (any_value(c) + 15) // 16 AS c, g FROM {tree}{k} GROUP BY g, r // 16)")
+            at = len(folds) - 1
+            place = f"f.source IS NOT DISTINCT FROM s.g AND f.r // {16**k} = s.r" if tree == "s" else f"(SELECT r FROM z0 WHERE z0.source IS NOT DISTINCT FROM f.source) // {16**k} = s.r"
+            folds.append(f"f{at + 1} AS (SELECT f.* EXCLUDE (x, proof), CASE WHEN s.c > 1 THEN sha256(s.b || f.x || s.a) ELSE f.x END AS x, f.proof || CASE WHEN s.c > 1 THEN s.b || s.a ELSE '' END AS proof FROM f{at} f JOIN {tree}b{k} s ON {place})")
+    return f"""
+WITH tab AS (
+  SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+  FROM range(256) q(i)),
+e AS (SELECT doc_id, source, {leaf('text')} AS leaf, CASE WHEN {crc} % 5 = 0 THEN {leaf(f'translate(text, {LOWER})')} END AS alt FROM documents, tab),
+d AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS r, count(*) OVER (PARTITION BY source) AS n FROM e),
+{", ".join(parts)},
+{", ".join(folds)}
+SELECT doc_id, leaf, s.h AS subroot, z.h AS root, sha256(proof) AS proof_sha256, x AS folded_root, x = z.h AS verified
+FROM f{len(folds) - 1} f JOIN s{levels} s ON f.source IS NOT DISTINCT FROM s.source, z{levels} z
+"""
+
+
+OP12 = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), {LOWER}) AS t FROM documents),
+w AS (SELECT id, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term FROM w GROUP BY lang, term HAVING count(DISTINCT id) >= 3),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+n AS (SELECT lang, source, term, count(*) AS c FROM w GROUP BY lang, source, term),
+x AS (
+  SELECT g.lang, g.source, k.term, coalesce(n.c, 0) AS c, sum(coalesce(n.c, 0)) OVER (PARTITION BY g.lang, g.source) AS size, v.v
+  FROM g JOIN k ON g.lang = k.lang JOIN v ON v.lang = g.lang LEFT JOIN n ON n.lang = g.lang AND n.source = g.source AND n.term = k.term),
+p AS (SELECT lang, source, term, c, 1 + CAST(1000000000 AS HUGEINT) * CAST(c + 1 AS HUGEINT) // CAST(size + v AS HUGEINT) AS p FROM x),
+l AS (SELECT lang, term, sum(c) AS c, any_value(v) AS v FROM x GROUP BY lang, term),
+q AS (SELECT lang, term, 1 + CAST(1000000000 AS HUGEINT) * CAST(c + 1 AS HUGEINT) // CAST(sum(c) OVER (PARTITION BY lang) + v AS HUGEINT) AS q FROM l),
+s AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+o AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL
+  SELECT p.lang, p.source, 'term', p.term, CAST((p.p - q.q) * (p.p - q.q) // q.q AS BIGINT) FROM p JOIN q ON p.lang = q.lang AND p.term = q.term WHERE p.c > 0 AND p.p > q.q),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank FROM o)
+SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= 200
+"""
+
+ORACLES = {"op1_spherical_caps": OP1, "op7_sharding": OP7, "op6_secret_scans": _op6(), "op9_mixing": OP9, "op11_merkle": _op11(), "op12_divergence": OP12}
