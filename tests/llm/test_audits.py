@@ -12,7 +12,10 @@ from tests.llm.conftest import SCHEMA, row
 from tidewatch.llm import divergence, merkle, suffix_tree
 
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
-FIFTH = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+
+
+def fifth():
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
 
 
 def crc5(doc_id):
@@ -32,7 +35,7 @@ def plain(rows):
 
 def manifests_agree(docs):
     rows = [tuple(r[c] for c in FIELDS) for r in docs.select(*FIELDS).collect()]
-    got = [tuple(r) for r in merkle.manifest(docs, FIFTH == 0).collect()]
+    got = [tuple(r) for r in merkle.manifest(docs, fifth() == 0).collect()]
     assert plain(got) == plain(brute.merkle(rows, [crc5(r[0]) == 0 for r in rows]))
 
 
@@ -118,7 +121,7 @@ def scores_agree(docs, depth=suffix_tree.DEPTH):
     rows = docs.select("doc_id", "text").collect()
     trained = [crc5(r["doc_id"]) != 1 for r in rows]
     want = sorted((str(r["doc_id"]), not t, len((r["text"] or "").encode().split()) + 1, k, round(b, 6), round(s, 6)) for r, t, (s, b, k) in zip(rows, trained, brute.suffix_tree([r["text"] for r in rows], trained, depth)))
-    got = suffix_tree.lm_scores(docs, FIFTH != 1, depth).collect()
+    got = suffix_tree.lm_scores(docs, fifth() != 1, depth).collect()
     assert sorted((str(r["doc_id"]), r["held_out"], r["n_tokens"], r["n_known"], round(r["base_score"], 6), round(r["score"], 6)) for r in got) == pytest.approx_rows(want)
     assert {r["train_tokens"] for r in got} == {sum(len((r["text"] or "").encode().split()) + 1 for r, t in zip(rows, trained) if t)}
 
@@ -135,7 +138,7 @@ def approx_rows(monkeypatch):
 def test_scores_of_odd_rows_and_copies(odd, copies, empty):
     scores_agree(copies)
     scores_agree(odd, depth=2)
-    assert suffix_tree.lm_scores(empty, FIFTH != 1).count() == 0
+    assert suffix_tree.lm_scores(empty, fifth() != 1).count() == 0
 
 
 def test_scores_of_all_documents(spark, sf):

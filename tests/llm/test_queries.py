@@ -28,7 +28,7 @@ def test_query_covers_its_table(name, spark, sf):
 
 
 def test_names():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11)) and "pipeline" in entry.queries()
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 14)) and "pipeline" in entry.queries()
 
 
 def test_pipeline(spark, sf):
