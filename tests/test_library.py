@@ -202,6 +202,20 @@ def test_post_filter_keeps_what_fits(spark):
         (W.having_to_where, "select a, count(*) from t where b = 1 group by a having a = 2 order by a", "select a, count(*) from t where b = 1 AND a = 2 GROUP BY a order by a"),
         (W.having_to_where, "select a, count(*) from t where b = 1 or c = 2 group by a having a = 2", None),
         (W.two_level_count, "select count(distinct a), b from t", None),
+        (W.or_to_in, "select a from t where a = 1 or a = 2 and b = 3", None),
+        (W.or_to_in, "select a from t where b = 3 and a = 1 or a = 2", None),
+        (W.or_to_in, "select a from t where b = 3 and (a = 1 or a = 2) order by a", "select a from t where b = 3 and (a IN (1, 2)) order by a"),
+        (W.or_to_in, "select a from t where c + a = 1 or a = 2", None),
+        (W.or_to_in, "select a from t where a = 1 or a = 2 + b", None),
+        (W.or_to_in, "select a from t where c = 5 or a = 1 or a = 2", "select a from t where c = 5 or a IN (1, 2)"),
+        (W.free_column, "select a from t where a - b * 2 < 10", None),
+        (W.free_column, "select a from t where c = 1 and a + 2 < 10", "select a from t where c = 1 and a < 10 - 2"),
+        (W.free_column, "select a from t where x between y and a + 2 < 10", None),
+        (W.drop_constant_order, "select a from t where b in (select x from u where c = 1) order by c", None),
+        (W.drop_constant_order, "select a from t left join u on u.c = 1 order by c", None),
+        (W.drop_constant_order, "select a from t where c = 1 or b = 2 order by c", None),
+        (W.drop_constant_order, "select a from t where b > 2 and c = 'x y' order by c, d limit 3", "select a from t where b > 2 and c = 'x y' order by d limit 3"),
+        (W.drop_constant_order, "select a from t where a + c = 1 order by c", None),
         (W.never_true, "select a from t where b > 3 and b <= 3 limit 1", "select a from t WHERE 1 = 0 limit 1"),
         (W.never_true, "select a from t where b >= 3 and b <= 3", None),
         (W.never_true, "select a from t where b > 3 or b < 1", None),

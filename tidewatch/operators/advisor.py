@@ -93,6 +93,78 @@ def tree_search(benefit, items: list[int], size: dict[int, float], room: float,
     return sorted(best[1]), best[0]
 
 
+def _descend(rng: random.Random, size: dict[int, float], room: float, visits: dict, worth: dict, seen: set) -> tuple[list[tuple], tuple]:
+    """One walk down the tree of sets, by upper confidence bound to the first set not visited yet, and a random way on until nothing fits."""
+
+    def options(state: tuple) -> list[int]:
+        left = room - sum(size[i] for i in state)
+        return [i for i in size if i not in state and size[i] <= left]
+
+    state, path = (), [()]
+    while children := [c for i in options(state) if (c := tuple(sorted((*state, i)))) not in seen]:
+        fresh = [c for c in children if c not in visits]
+        total = math.log(visits.get(state, 1) + 1)
+        state = rng.choice(fresh) if fresh else max(children, key=lambda c: worth[c] / visits[c] + math.sqrt(2 * total / visits[c]) * rng.random())
+        path.append(state)
+        if fresh:
+            break
+    end = state
+    while choices := options(end):
+        end = tuple(sorted((*end, rng.choice(choices))))
+    return path, end
+
+
+def search_sets(cost: DataFrame, size: dict[int, float], room: float, rounds: int = 12, walks: int = 2048, seed: int = 0, origin: int = 0) -> tuple[list[int], float]:
+    """(configurations, benefit): the set within ``room`` that saves the workload most, by tree search with many walks at once.
+
+    In each round ``walks`` rows, a seed each, walk down the tree of sets by its statistics so far;
+    the sets they reach are priced in one job by infer_benefit(), so configurations that help the
+    same statement do not add up. The driver keeps the tree's statistics (``rounds * walks`` sets at most)
+    and nothing of the workload. A set below which all is seen is not entered again, and the search ends
+    when that holds for the empty set: then the answer is exact. Of equal benefits the smaller set, then the first.
+    """
+    spark = cost.sparkSession
+    items = sorted(size)
+    all_cost = cost.where(F.col("config_id") == origin).agg(F.coalesce(F.sum(F.col("cost") * F.col("freq")), F.lit(0.0))).first()[0]
+    gain: dict[tuple, float] = {(): 0.0}
+    visits: dict[tuple, int] = {}
+    worth: dict[tuple, float] = {}
+    seen: set[tuple] = set()
+    scale = max(all_cost, 1e-9)
+
+    def fits(state: tuple) -> list[tuple]:
+        left = room - sum(size[i] for i in state)
+        return [tuple(sorted((*state, i))) for i in items if i not in state and size[i] <= left]
+
+    for k in range(rounds):
+        if () in seen:
+            break
+        known = (dict(size), room, dict(visits), dict(worth), set(seen))
+
+        def walked(batches, known=known, k=k):
+            import pandas as pd
+
+            for pdf in batches:
+                found = [_descend(random.Random(f"{seed}/{k}/{i}"), *known) for i in pdf["id"]]
+                yield pd.DataFrame({"path": [[list(p) for p in path] for path, _ in found], "last": [list(end) for _, end in found]})
+
+        # A row for each walk, with the sets on its way: as many as its parameters say.
+        ways = [([tuple(p) for p in r["path"]], tuple(r["last"])) for r in spark.range(walks).mapInPandas(walked, "path array<array<int>>, last array<int>").collect()]
+        new = sorted({x for path, last in ways for x in (*path, last)} - set(gain))
+        if new:
+            members = spark.createDataFrame([(list(x), i) for x in new for i in x], "set_id array<int>, config_id int")
+            gain |= {x: 0.0 for x in new} | {tuple(r["set_id"]): all_cost - r["cost"] for r in infer_benefit(cost, members, origin).collect()}
+        for path, last in ways:
+            for p in path:
+                visits[p] = visits.get(p, 0) + 1
+                worth[p] = worth.get(p, 0.0) + gain[last] / scale
+        for p in sorted({p for path, _ in ways for p in path}, key=len, reverse=True):
+            if all(c in seen for c in fits(p)):
+                seen.add(p)
+    best = max(gain, key=lambda x: (round(gain[x], 6), -len(x), tuple(-i for i in x)))
+    return list(best), gain[best]
+
+
 def index_report(cost: DataFrame, origin: int = 0) -> DataFrame:
     """(config_id, improved, worsened, total, improvement): what each configuration does to the workload."""
     plain = cost.where(F.col("config_id") == origin).select("query_id", F.col("cost").alias("_plain"))

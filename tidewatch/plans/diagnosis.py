@@ -8,6 +8,7 @@ from tidewatch.operators import advisor as A
 from tidewatch.operators import causes as C
 from tidewatch.plans.registry import query
 from tidewatch.sources.series import epoch_ms, table
+from tidewatch.sources.store import cut
 
 START = 1704067200000
 
@@ -131,3 +132,24 @@ _BITS = ("l_quantity > 25", "l_discount > 0.05", "l_tax > 0.04", "l_linenumber >
 def q33(spark, d):
     l = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("label"), F.array(*(F.expr(b).cast("int") for b in _BITS)).alias("pattern"))
     return A.label_weights(l).select("label", F.posexplode("weight").alias("i", "w")).select("label", "i", F.round("w", 6).alias("weight"))
+
+
+@query("q31_library_scores", f"""WITH {_FEATURES}, x AS (SELECT k AS id, k % 8 AS label, [{', '.join(f'CAST({_RULES[n]} AS INT)' for n in C.FEATURES)}] AS bits FROM f),
+ i AS (SELECT label, unnest(bits) AS x, unnest(range(0, {len(C.FEATURES)})) AS i FROM x), s AS (SELECT label, i, CAST(sum(x) AS DOUBLE) AS v FROM i GROUP BY ALL),
+ d AS (SELECT a.label AS a, b.label AS b, sum((a.v - b.v) ** 2) AS d FROM s a JOIN s b ON a.i = b.i AND a.label <> b.label GROUP BY ALL),
+ n AS (SELECT a, sum(d) AS n FROM d GROUP BY a), w AS (SELECT d.a, s.i, sum(s.v / d.d) / any_value(n.n) AS w FROM d JOIN s ON s.label = d.b JOIN n ON n.a = d.a GROUP BY d.a, s.i),
+ r AS (SELECT s.label, s.i, abs(w.w - s.v) AS r FROM s JOIN w ON w.a = s.label AND w.i = s.i), u AS (SELECT label, list(w ORDER BY i) AS ws FROM (SELECT label, i, r / sum(r) OVER (PARTITION BY label) AS w FROM r) GROUP BY label),
+ lib AS (SELECT DISTINCT label, bits FROM x), kinds AS (SELECT DISTINCT bits FROM x), places AS (SELECT bits, unnest(bits) AS on_, unnest(range(0, {len(C.FEATURES)})) AS i FROM kinds), told AS (SELECT label, bits AS pattern, unnest(bits) AS on_, unnest(range(0, {len(C.FEATURES)})) AS i FROM lib),
+ weighed AS (SELECT told.label, told.pattern, told.i, ws[told.i + 1] AS w FROM told JOIN u ON u.label = told.label WHERE told.on_ = 1),
+ z AS (SELECT p.bits, t.label, t.pattern, sum(t.w) AS s FROM places p JOIN weighed t ON t.i = p.i WHERE p.on_ = 1 GROUP BY 1, 2, 3), m AS (SELECT bits, label, max(s) AS s FROM z WHERE s > 0 GROUP BY 1, 2)
+ SELECT x.id, CAST(m.label AS INT) AS label, round(m.s / sum(m.s) OVER (PARTITION BY x.id), 6) AS probability FROM x JOIN m ON m.bits = x.bits""")
+def q31(spark, d):
+    """Causes of every statement by all features, from a library of known patterns whose labels are the statements' shapes, weighed by how labels differ."""
+    bits = F.array(*(F.col(n).cast("int") for n in C.FEATURES))
+    x = cut(C.features(context(spark, d)).select("id", (F.col("id") % 8).cast("int").alias("label"), bits.alias("features")))
+    weights = A.label_weights(x.select("label", F.col("features").alias("pattern")))
+    library = x.select("label", F.col("features").alias("pattern")).distinct().join(weights, "label")
+    # Statements with the same features get the same answer.
+    kinds = x.select("features").distinct().withColumn("kind", F.col("features"))
+    causes = A.nearest_causes(kinds, "kind", library)
+    return x.join(causes.select(F.col("kind").alias("features"), F.col("label").alias("cause"), "probability"), "features").select("id", F.col("cause").alias("label"), F.round("probability", 6).alias("probability"))

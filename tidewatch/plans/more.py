@@ -205,6 +205,16 @@ _WRITTEN = (
     ("'select a, b from t where 1 = 1 and a > ' || c || ' order by 2'", "'select a, b from t WHERE a > ' || c || ' order by b'"),
     ("'select a from t join v on t.x = v.x where lower(b) = c'", "'select a from t join v on t.x = v.x where lower(b) = c'"),
 )
+#: Statements whose meaning a rule would change if it overlooked an AND, a larger term, a subquery or a join; and after them those that it may change.
+_CAREFUL = (
+    ("'select a from t where a = 1 or a = ' || c || ' and b = 3'", None),
+    ("'select a from t where b = ' || c || ' and a = 1 or a = 2'", None),
+    ("'select a from t where a - b * 2 < ' || c", None),
+    ("'select a from t where b in (select x from w where c = ' || c || ') or b = 1 order by c'", "'select a from t where EXISTS (SELECT 1 FROM w WHERE c = ' || c || ' AND w.x = t.b) or b = 1 order by c'"),
+    ("'select a from t left join w on w.c = ' || c || ' order by c'", None),
+    ("'select a from t where b = ' || c || ' and (a = 1 or a = 2)'", "'select a from t where b = ' || c || ' and (a IN (1, 2))'"),
+    ("'select a from t where c = ' || c || ' and a - 2 < 10 order by c, a'", "'select a from t where c = ' || c || ' and a < 10 + 2 order by a'"),
+)
 
 
 def _written(spark, d):
@@ -223,6 +233,13 @@ def r01(spark, d):
     return W.rewrite_texts(_written(spark, d), "sql", {"t"}, {"t": ["a", "b"]}).select("id", "rewritten")
 
 
+@query("r02_careful_rewrites", "SELECT k AS id, CASE k % 7 " + " ".join(f"WHEN {i} THEN {t or u}" for i, (u, t) in enumerate(_CAREFUL)) + " END AS rewritten FROM (SELECT o_orderkey AS k, o_custkey AS c FROM orders)")
+def r02(spark, d):
+    text = "CASE k % 7 " + " ".join(f"WHEN {i} THEN {t}" for i, (t, _) in enumerate(_CAREFUL)) + " END"
+    o = table(spark, d, "orders").selectExpr("o_orderkey AS k", "o_custkey AS c").selectExpr("k AS id", f"{text} AS sql")
+    return W.rewrite_texts(o, "sql").select("id", "rewritten")
+
+
 # --- series --------------------------------------------------------------------------------------
 
 
