@@ -21,7 +21,9 @@ TOP = 200
 TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 #: Entries that a task gathers before it passes them on.
-HELD = 500_000
+HELD = 750_000
+#: An entry passes on what it has before it counts so many occurrences or documents.
+OCCURRENCES, DOCUMENTS = 1 << 40, 1 << 22
 #: Cells of the pairs of sources that are worked out at once.
 CELLS = 1 << 20
 
@@ -29,36 +31,34 @@ COUNTS = "lang string, source string, term binary, n long, docs long"
 
 
 def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Occurrences and documents of each (lang, source, term), of parts of a task; a group's documents stand under the empty term."""
-    freq: dict[tuple, Counter] = {}
-    docs: dict[tuple, Counter] = {}
+    """Occurrences and documents of each (lang, source, term), of parts of a task; a group's documents stand under the empty term.
+
+    An entry holds both counts as one number, documents above ``OCCURRENCES``.
+    """
+    gathered: dict[tuple, dict[bytes, int]] = {}
 
     def passed() -> Iterator[pa.RecordBatch]:
-        for group, seen in docs.items():
-            terms, times = list(seen), freq[group]
-            head = [pa.array([x] * len(terms), pa.string()) for x in group]
-            values = [pa.array(terms, pa.binary()), pa.array([times[t] for t in terms], pa.int64()), pa.array([seen[t] for t in terms], pa.int64())]
-            yield pa.RecordBatch.from_arrays([*head, *values], names=["lang", "source", "term", "n", "docs"])
-        freq.clear()
-        docs.clear()
-
-    held = 0
+        for group, entries in gathered.items():
+            both = np.fromiter(entries.values(), np.int64, len(entries))
+            head = [pa.repeat(pa.scalar(x, pa.string()), len(entries)) for x in group]
+            yield pa.RecordBatch.from_arrays([*head, pa.array(list(entries), pa.binary()), pa.array(both & (OCCURRENCES - 1)), pa.array(both // OCCURRENCES)], names=["lang", "source", "term", "n", "docs"])
+        gathered.clear()
+
+    held = texts = size = 0
     for batch in batches:
         for lang, source, text in zip(*(batch.column(k) for k in range(3)), strict=True):
-            group = lang.as_py(), source.as_py()
-            if group not in docs:
-                freq[group], docs[group] = Counter(), Counter()
-            seen, times = docs[group], freq[group]
-            held -= len(seen)
-            document = Counter(text.as_py().translate(TABLE).split())
-            seen.update(document.keys())
-            seen[b""] += 1
-            for term, n in document.items():
-                times[term] += n
-            held += len(seen)
-            if held > HELD:
+            document = text.as_py().translate(TABLE).split()
+            texts, size = texts + 1, size + len(document)
+            if held > HELD or texts == DOCUMENTS or size >= OCCURRENCES:
                 yield from passed()
-                held = 0
+                held, texts, size = 0, 1, len(document)
+            entries = gathered.setdefault((lang.as_py(), source.as_py()), {})
+            held -= len(entries)
+            known = entries.get
+            for term, n in Counter(document).items():
+                entries[term] = known(term, 0) + n + OCCURRENCES
+            entries[b""] = known(b"", 0) + OCCURRENCES
+            held += len(entries)
     yield from passed()
 
 
