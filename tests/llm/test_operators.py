@@ -516,3 +516,20 @@ def test_repeated_rows_lose_what_they_share(spark):
     t = "".join(chr(97 + i * i % 23) for i in range(300))
     docs = spark.createDataFrame([row(1, t), row(1, t), row(None, t[:250]), row(2, "other")], SCHEMA)
     assert sorted(r["n_removed"] for r in suffix_dedup.remove_repeats(docs).collect()) == [0, 250, 300, 300]
+
+
+def test_thousands_of_repeated_rows(spark):
+    """Copies with one id, copies without an id, another text with part of them, and short copies."""
+    rng = random.Random(8)
+    text = "".join(rng.choice("abcdefg ") for _ in range(420))
+    texts = [(1, text)] * 5000 + [(None, text[:300])] * 5000 + [(2, "x" * 50 + text[50:330] + "y" * 260), (3, "unlike " * 3), (4, None)] + [(5, "short")] * 300
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(7)
+    began = time.perf_counter()
+    got = Counter(map(tuple, suffix_dedup.remove_repeats(docs).collect()))
+    assert time.perf_counter() - began < 60
+    want = brute.remove_repeats([t for _, t in texts[4998:5002]] + [t for _, t in texts[10_000:]])
+    ids = [i for i, _ in texts[4998:5002]] + [i for i, _ in texts[10_000:]]
+    plain = Counter((i, *w) for i, w in zip(ids, want))
+    for key in plain:
+        plain[key] = 5000 if key[0] in (1, None) else plain[key]
+    assert got == plain

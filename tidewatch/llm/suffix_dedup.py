@@ -456,27 +456,46 @@ def covered(length: int, marks: list[dict] | None) -> np.ndarray:
 _RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
+def without_copies(keyed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(one row of each (doc_id, h), the rows whose key is their own, the rows that have copies or None).
+
+    Keys are counted first, without the texts; only rows with copies are grouped, and as a rule there are none.
+    """
+    counted = keyed.groupBy(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).agg(F.count(F.lit(1)).alias("n"))
+    often = written(counted.where("n > 1").drop("n"))
+    if often.isEmpty():
+        return keyed, keyed, None
+    same = keyed["doc_id"].eqNullSafe(often["_id"]) & (keyed["h"] == often["_h"])
+    own, copies = keyed.join(often, same, "left_anti"), keyed.join(often, same, "left_semi")
+    return own.unionByName(copies.groupBy("doc_id", "h").agg(F.first("text").alias("text"))), own, copies
+
+
 def remove_repeats(docs: DataFrame, with_kept: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept binary]) for every document.
 
     Removes each byte covered by a LENGTH-byte string that starts anywhere else too, in the same
     document or another. Null, empty and shorter texts keep all bytes; repeated rows repeat each
-    other and lose what is LENGTH bytes or longer; null ids are kept as such, an empty table
-    gives no rows, other columns are ignored.
+    other and lose all if they are LENGTH bytes or longer, and one of them stands for all where others
+    are compared with them; null ids are kept as such, an empty table gives no rows, other columns are ignored.
     """
     keyed = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")
     ).select("doc_id", F.xxhash64("text").alias("h"), "text")
-    marks = repeated_spans(keyed).withColumnsRenamed({"doc_id": "_id", "h": "_h"})
-    texts = packed(keyed)
-    joined = texts.join(marks, texts["doc_id"].eqNullSafe(marks["_id"]) & (texts["h"] == marks["_h"]), "left").select("doc_id", "packed", "marks")
+    distinct, own, copies = without_copies(keyed)
+    marks = repeated_spans(distinct).withColumnsRenamed({"doc_id": "_id", "h": "_h"})
+    texts = packed(own)
+    joined = texts.join(marks, texts["doc_id"].eqNullSafe(marks["_id"]) & (texts["h"] == marks["_h"]), "left").select("doc_id", "packed", "marks", F.lit(False).alias("copied"))
+    if copies is not None:
+        joined = joined.unionByName(packed(copies).select("doc_id", "packed", F.lit(True).alias("copied")), allowMissingColumns=True)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
             rows = []
-            for text, found in zip(_unpacked(batch.column("packed")), batch.column("marks").to_pylist()):
+            for text, found, copied in zip(_unpacked(batch.column("packed")), batch.column("marks").to_pylist(), batch.column("copied").to_pylist()):
                 kept, removed, spans = text, 0, 0
-                if found:
+                if copied and len(text) >= LENGTH:
+                    kept, removed, spans = b"", len(text), 1
+                elif found:
                     gone = covered(len(text), found)
                     kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
                     removed, spans = int(gone.sum()), int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
