@@ -148,6 +148,7 @@ def test_scores_of_all_documents(spark, sf):
 def test_scores_in_small_blocks_and_chunks(odd, monkeypatch):
     monkeypatch.setattr(suffix_tree, "BLOCK_BYTES", 60)
     monkeypatch.setattr(suffix_tree, "CHUNK", 7)
+    monkeypatch.setattr(suffix_tree, "SCORED", 5)
     scores_agree(odd.where("length(text) < 1000 or text is null"))
 
 

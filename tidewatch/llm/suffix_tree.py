@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,18 +21,19 @@ BLOCK_BYTES = 16 << 20
 START, END = 0xFE, 0xFF
 #: Symbols that a state can be followed by: all bytes but START.
 SYMBOLS = 255
-#: Positions that are worked on at once.
-CHUNK = 1 << 21
+#: Positions that are counted, and that are scored, at once.
+CHUNK, SCORED = 1 << 21, 1 << 18
 
 #: Lowers A-Z; the two bytes that are taken, which no valid text has, become a third such.
 TABLE = bytes(b + 32 if 65 <= b <= 90 else min(b, 0xFD) for b in range(256))
 
+#: The text of a row is compressed, as it is written once and shuffled once.
 ROWS = "doc_id long, trained boolean, text binary, block long"
 
 
 def in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Lower-case A-Z and number blocks of up to ``BLOCK_BYTES`` of neighbouring texts; a longer text is a block of its own."""
-    block, size = TaskContext.get().partitionId() << 32, 0
+    block, size, pack = TaskContext.get().partitionId() << 32, 0, zstandard.ZstdCompressor().compress
     for batch in batches:
         texts, blocks = [x.as_py().translate(TABLE) for x in batch.column("text")], []
         for text in texts:
@@ -39,30 +41,30 @@ def in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 block, size = block + 1, 0
             size += len(text) + 1
             blocks.append(block)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("trained"), pa.array(texts, pa.binary()), pa.array(blocks)], names=["doc_id", "trained", "text", "block"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("trained"), pa.array(map(pack, texts), pa.binary()), pa.array(blocks)], names=["doc_id", "trained", "text", "block"])
 
 
 def by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes], list[bool]]]:
     """(block, texts, trained) of runs of rows with the same block."""
-    now, texts, trained = None, [], []
+    now, texts, trained, unpack = None, [], [], zstandard.ZstdDecompressor().decompress
     for batch in batches:
         for block, text, train in zip(*(batch.column(c).to_pylist() for c in ("block", "text", "trained")), strict=True):
             if block != now and texts:
                 yield now, texts, trained
                 texts, trained = [], []
             now = block
-            texts.append(text)
+            texts.append(unpack(text))
             trained.append(train)
     if texts:
         yield now, texts, trained
 
 
-def grams(texts: list[bytes], depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def grams(texts: list[bytes], depth: int, chunk: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Chunks of (gram, place of its text): each byte and END of the texts as a number, after the ``depth`` bytes before it."""
     data = np.frombuffer(b"".join(bytes([START]) * depth + t + bytes([END]) for t in texts), np.uint8)
     ends = np.cumsum([depth + len(t) + 1 for t in texts])
-    for k in range(0, len(data) - depth, CHUNK):
-        part = data[k : k + CHUNK + depth].astype(np.int64)
+    for k in range(0, len(data) - depth, chunk):
+        part = data[k : k + chunk + depth].astype(np.int64)
         count = len(part) - depth
         code = np.zeros(count, np.int64)
         for j in range(depth + 1):
@@ -77,7 +79,7 @@ def count_grams(depth: int):
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, texts, trained in by_block(batches):
             train, codes, times = np.array(trained), np.zeros(0, np.int64), np.zeros(0, np.int64)
-            for code, at in grams(texts, depth):
+            for code, at in grams(texts, depth, CHUNK):
                 mine = train[at]
                 some, n = np.unique(code[mine], return_counts=True)
                 rest = np.unique(code[~mine])
@@ -146,9 +148,10 @@ def score_block(depth: int):
         order = np.argsort(codes)
         codes, logs = codes[order], logs[order]
         times = dict(zip(facts["word"].combine_chunks().drop_null().to_pylist(), value[is_word].tolist(), strict=True))
-        raw = texts["text"].to_pylist()
+        unpack = zstandard.ZstdDecompressor().decompress
+        raw = [unpack(x.as_py()) for x in texts["text"]]
         score = np.zeros(len(raw))
-        for code, at in grams(raw, depth):
+        for code, at in grams(raw, depth, SCORED):
             place = np.searchsorted(codes, code)
             if (codes[np.minimum(place, len(codes) - 1)] != code).any():
                 raise RuntimeError("a gram of a block came back without its probability")
