@@ -5,17 +5,19 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.functions import kept
 from tidewatch.functions import numerics as N
 from tidewatch.operators import advisor as A
+from tidewatch.operators import arima, conditions, recurrence, similarity
 from tidewatch.operators import detectors as D
 from tidewatch.operators import predicates as P
 from tidewatch.operators import results as R
 from tidewatch.operators import rewrite as W
-from tidewatch.operators import similarity
+
 from tidewatch.operators import sqltext as Q
 from tidewatch.operators import statistics as K
 from tidewatch.sources import store
@@ -366,3 +368,84 @@ def test_the_buffer_of_seen_statements_is_bounded(spark, tmp_path):
     got = sorted((r["instance"], r["identity"], r["time_ms"]) for r in spark.table("bounded").collect())
     # Of i the first of the last three leaves when a fourth comes, so that q1 is new again; of j the same statement expires.
     assert got == [("i", "q1", 0), ("i", "q1", 6), ("i", "q2", 1), ("i", "q3", 2), ("i", "q4", 4), ("i", "q5", 5), ("j", "q1", 0), ("j", "q1", 100)]
+
+
+def test_recurrence_over_ranges_equals_the_loop(spark):
+    rng = np.random.default_rng(3)
+    long, short = np.cumsum(rng.normal(size=120_000)), rng.normal(size=5)
+    rows = pd.DataFrame({"name": ["long"] * len(long) + ["short"] * 5 + ["one"], "ts_ms": [*range(0, 10 * len(long), 10), *range(5), 7], "value": [*long, *short, 3.0]}).sample(frac=1, random_state=1)
+    for period in (7, 24):
+        got = recurrence.holt_winters(spark.createDataFrame(rows), ["name"], 0.2, 0.1, 0.3, period, parts=9).toPandas().sort_values("ts_ms")
+        for name, values in (("long", long), ("short", short), ("one", np.array([3.0]))):
+            mine = got[got["name"] == name]["value"].to_numpy()
+            assert np.allclose(mine, N.holt_winters(values, 0.2, 0.1, 0.3, period), atol=1e-6)
+
+
+def test_indexes_of_several_types(spark):
+    rows = [("t", "a", "", 1.0), ("t", "a,b", "local", 2.0), ("t", "a,b", "global", 2.0), ("t", "a,b,c", "", 1.0), ("t", "b", "global", 5.0), ("t", "b,c", "local", 5.0), ("t", "c", "", 1.0), ("u", "a,b", "", 3.0), ("u", "ab", "", 1.0)]
+    got = A.distinct_types(spark.createDataFrame(rows, "table_name string, columns string, index_type string, benefit double"))
+    assert sorted(map(tuple, got.collect())) == [("t", "a,b", "global", 2.0), ("t", "b", "global", 5.0), ("t", "c", "", 1.0), ("u", "a,b", "", 3.0), ("u", "ab", "", 1.0)]
+
+
+def test_best_sets_equal_all_sets(spark):
+    rng = random.Random(9)
+    cost = [(q, 0, 100.0, q % 3 + 1) for q in range(20)] + [(q, c, rng.choice([100.0, 60.0, 30.0, 5.0]), q % 3 + 1) for q in range(20) for c in range(1, 9)]
+    size = {c: float(rng.randint(1, 4)) for c in range(1, 9)}
+    table = {(q, c): v for q, c, v, _ in cost}
+    gain = lambda s: sum((100 - min([100.0, *(table[q, c] for c in s)])) * (q % 3 + 1) for q in range(20))
+    sets = [s for k in range(9) for s in itertools.combinations(range(1, 9), k) if sum(size[c] for c in s) <= 7]
+    best = max(sets, key=lambda s: (gain(s), -len(s), tuple(-c for c in s)))
+    df = spark.createDataFrame(cost, "query_id int, config_id int, cost double, freq int")
+    assert A.search_sets(df, size, 7.0, walks=256) == (list(best), pytest.approx(gain(best)))
+    assert A.search_sets(df, size, 0.5) == ([], 0.0)
+
+
+def test_joint_conditions(spark):
+    """Verdicts too old do not count, several series of the other metric are told apart, an alarm may begin in the forecast."""
+    rows = [("m", 1, "a", t, 10.0) for t in range(0, 100, 10)] + [("o", 1, "x", t, 5.0) for t in (0, 30)] + [("o", 1, "y", t, 1.0) for t in range(0, 100, 30)] + [("m", 2, "a", 0, 10.0)]
+    df = spark.createDataFrame([(*r[:3], r[3], r[4]) for r in rows], "metric string, host int, series string, ts_ms long, value double")
+    both = [conditions.Condition("m", "threshold", 10, {"high": 9.0}), conditions.Condition("o", "threshold", 30, {"high": 4.0})]
+    found = conditions.together(df, both, "host", tolerance_ms=20)
+    hits = {(r["others"][0], r["ts_ms"]) for r in found.where("hit").collect()}
+    assert hits == {("x", t) for t in (0, 10, 20, 30, 40, 50)} and found.where("host = 2").count() == 0
+    rising = spark.createDataFrame([("m", 1, "a", t, float(t)) for t in range(0, 100, 10)], "metric string, host int, series string, ts_ms long, value double")
+    alarm = conditions.joint_alarms(conditions.together(rising, [conditions.Condition("m", "threshold", 10, {"high": 95.0})], "host", 0, ahead_ms=50), "host", 30, "c").first()
+    assert (alarm["start_ms"], alarm["end_ms"], alarm["n"], alarm["foreseen"]) == (100, 140, 5, True)
+
+
+def test_bent_numbers_are_stationary_and_come_back():
+    rng = np.random.default_rng(5)
+    for n in range(1, 6):
+        free = rng.normal(scale=2, size=n)
+        assert N.stable(N.from_free(free), np.zeros(0)) and np.allclose(N.to_free(N.from_free(free)), free, atol=1e-6)
+    assert N.from_free(N.to_free(np.array([0.5, 0.3]))) == pytest.approx([0.5, 0.3])
+
+
+def simulated(ar, ma, n, seed):
+    rng = np.random.default_rng(seed)
+    e, x = rng.normal(size=n + 200), np.zeros(n + 200)
+    for t in range(max(len(ar), len(ma)), n + 200):
+        x[t] = 1.0 + sum(a * x[t - k - 1] for k, a in enumerate(ar)) + e[t] + sum(m * e[t - k - 1] for k, m in enumerate(ma))
+    return x[200:]
+
+
+def test_orders_and_coefficients_are_recovered(spark):
+    truth = {"ar2": ([0.6, -0.4], []), "ma1": ([], [0.7]), "arma": ([0.7], [0.4]), "ar3": ([0.4, 0.0, 0.4], [])}
+    rows = [(name, t, float(v)) for k, (name, (ar, ma)) in enumerate(truth.items()) for t, v in enumerate(simulated(ar, ma, 1500, k))]
+    rows += [("short", t, float(t % 2)) for t in range(3)] + [("level", t, 3.0) for t in range(50)] + [("walk", t, float(v)) for t, v in enumerate(np.cumsum(np.random.default_rng(1).normal(size=400)))]
+    best = arima.best_orders(spark.createDataFrame(rows, "name string, ts_ms long, value double"), ["name"])
+    got = {r["name"]: r for r in best.collect()}
+    for name, (ar, ma) in truth.items():
+        r = got[name]
+        assert (r["d"], r["p"], r["q"]) == (0, len(ar), len(ma)), name
+        assert np.allclose(r["ar"], ar, atol=0.09) and np.allclose(r["ma"], ma, atol=0.09)
+    assert got["walk"]["d"] == 1 and got["short"]["bic"] is None
+    ahead = {(r["name"], r["step"]): r["value"] for r in arima.forecast(best, ["name"], 3).collect()}
+    assert [ahead["level", k] for k in (1, 2, 3)] == [3.0] * 3 and ahead["short", 1] == pytest.approx(1 / 3) and len(ahead) == 21
+
+
+def test_swarm_over_rows(spark):
+    rows = spark.range(2000).select((F.col("id") / 1000).alias("u"), (F.col("id") / 500 + 0.5).alias("v"))
+    point, cost = A.swarm(rows, lambda x: (F.col("v") - x[0] * F.col("u") - x[1]) ** 2, [-5, -5], [5, 5], particles=12, rounds=40, seed=1)
+    assert point == pytest.approx([2.0, 0.5], abs=0.02) and cost < 1e-4
+    assert A.swarm(rows.where("u < 0"), lambda x: F.col("v") * x[0], [0.0], [2.0]) == ([1.0], math.inf)

@@ -1,5 +1,7 @@
 from pyspark.sql import functions as F
 
+from tidewatch.sources import series as S
+from tidewatch.sources import store
 from tidewatch.sources import texts as X
 
 
@@ -34,3 +36,23 @@ def test_connection_strings(spark):
     assert one.select(X.dsn_parts(F.lit(" host=h  port=5432 user=u "))).first()[0] == {"host": "h", "port": "5432", "user": "u"}
     parts = X.address_parts(F.lit("postgresql://u:p@h:5432/d"))
     assert one.select(*(c.alias(n) for n, c in parts.items())).first().asDict() == {"user": "u", "password": "p", "host": "h", "port": "5432", "dbname": "d"}
+
+
+def test_stored_samples_are_selected_by_the_scan(spark, tmp_path):
+    rows = [(n, {"from_instance": str(k % 7), "device": "a" if k % 2 else "b"}, k, float(k % 50)) for n in ("cpu", "mem", "odd name/%") for k in range(500)] + [("cpu", {}, 1, 3.0)]
+    samples = spark.createDataFrame(rows, "name string, labels map<string,string>, ts_ms long, value double")
+    folder = str(tmp_path / "samples")
+    store.write_samples(samples, folder)
+    assert store.metric_names(spark, folder) == ["cpu", "mem", "odd name/%"]
+    pick = lambda s: s.metric("odd name/%").from_server("3").filter(device="a").between(100, 300).values(10.0, 40.0)
+    got = pick(S.Selector.stored(spark, folder)).fetchall()
+    want = pick(S.Selector(samples)).fetchall()
+    assert sorted((r["ts_ms"], r["value"]) for r in got.collect()) == sorted((r["ts_ms"], r["value"]) for r in want.collect()) != []
+    spark.conf.set("spark.sql.maxMetadataStringLength", "1000")
+    got = pick(S.Selector.stored(spark, folder)).fetchall()
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    by_folder, by_file = plan.split("PartitionFilters: ")[1].split("PushedFilters: ")[:2]
+    assert "odd name/%" in by_folder
+    assert all(x in by_file for x in ("EqualTo(label_from_instance,3)", "GreaterThanOrEqual(ts_ms,100)", "LessThanOrEqual(ts_ms,300)", "GreaterThanOrEqual(value,10.0)", "LessThan(value,40.0)"))
+    assert S.Selector.stored(spark, folder).metric("cpu").filter(from_instance="").fetchall().count() == 1

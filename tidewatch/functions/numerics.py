@@ -324,6 +324,64 @@ def css_fit(values: np.ndarray, p: int, q: int, rounds: int = 12) -> tuple[np.nd
     return *split(at), now
 
 
+def yule_walker(values: np.ndarray, p: int) -> np.ndarray:
+    """AR coefficients by the autocovariances, which always make a stationary process."""
+    x = values - values.mean()
+    c = np.array([x[k:] @ x[: len(x) - k] for k in range(p + 1)]) / len(x)
+    return np.linalg.lstsq(c[np.abs(np.subtract.outer(np.arange(p), np.arange(p)))], c[1:], rcond=None)[0]
+
+
+def from_free(free: np.ndarray) -> np.ndarray:
+    """Coefficients of a stationary AR part for any numbers: these are partial autocorrelations, bent into (-1, 1)."""
+    out = np.zeros(0)
+    for r in np.tanh(free / 2):
+        out = np.append(out - r * out[::-1], r)
+    return out
+
+
+def to_free(ar: np.ndarray) -> np.ndarray:
+    """The numbers that from_free() makes stationary coefficients of."""
+    left, free = np.array(ar, float), []
+    while len(left):
+        r = float(np.clip(left[-1], -0.999999, 0.999999))
+        free.append(2 * math.atanh(r))
+        left = (left[:-1] + r * left[-2::-1]) / (1 - r * r) if len(left) > 1 else left[:0]
+    return np.array(free[::-1])
+
+
+def free_fit(values: np.ndarray, p: int, q: int, rounds: int = 60) -> tuple[np.ndarray, np.ndarray, float, np.ndarray]:
+    """AR and MA coefficients, constant and errors of least conditional squares, by damped Gauss-Newton steps in free numbers.
+
+    Any step gives a stationary and invertible model. Pure AR parts begin with Yule and Walker's, others with two regressions.
+    """
+    if q:
+        ar, ma, _, _ = least_squares_ar(values, p, q)
+        if not stable(ar, ma):
+            ar, ma = yule_walker(values, p) if p else np.zeros(0), np.zeros(q)
+    else:
+        ar, ma = yule_walker(values, p) if p else np.zeros(0), np.zeros(0)
+    at = np.concatenate((to_free(ar), to_free(-ma), [float(values.mean()) * (1 - ar.sum())]))
+    split = lambda x: (from_free(x[:p]), -from_free(x[p : p + q]), float(x[-1]))
+    now, damp = css_errors(values, *split(at)), 1e-3
+    for _ in range(rounds):
+        steps = 1e-6 * np.maximum(1.0, np.abs(at))
+        slope = np.column_stack([(css_errors(values, *split(at + step)) - now) / size for step, size in zip(np.diag(steps), steps)])
+        normal, before = slope.T @ slope, now @ now
+        while damp < 1e10:
+            tried = at - np.linalg.lstsq(normal + damp * np.diag(np.maximum(np.diag(normal), 1e-12)), slope.T @ now, rcond=None)[0]
+            errors = css_errors(values, *split(np.append(np.clip(tried[:-1], -30, 30), tried[-1])))
+            if errors @ errors < before:
+                break
+            damp *= 10
+        else:
+            break
+        tried = np.append(np.clip(tried[:-1], -30, 30), tried[-1])
+        at, now, damp = tried, css_errors(values, *split(tried)), damp / 10
+        if 1 - now @ now / max(before, 1e-300) < 1e-10:
+            break
+    return *split(at), now
+
+
 def arima_forecast(values: np.ndarray, steps: int, most: int = 3) -> np.ndarray:
     """ARIMA: differences until stationary (Dickey-Fuller at 5 %), p and q up to ``most`` by BIC, coefficients by least
     conditional squares, forecasts integrated again."""

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import math
 import random
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewatch.sources.store import cut
+
 
 def redundant_indexes(indexes: DataFrame, table: str = "table_name", columns: str = "columns", unique: str | None = None) -> DataFrame:
     """Indexes whose columns are the beginning of another's on the same table.
@@ -19,6 +22,29 @@ def redundant_indexes(indexes: DataFrame, table: str = "table_name", columns: st
     return out.where(~F.col(unique)) if unique else out
 
 
+def distinct_types(indexes: DataFrame) -> DataFrame:
+    """``indexes`` (table_name, columns, index_type, benefit) without those that another type makes redundant.
+
+    In order of columns, then of type, an index whose columns are the beginning of the next one's, or all
+    of them, meets it: the one of less benefit goes; of equal ones the next if the first is global, else the
+    first. What stays meets the one after. A table's candidates are one row, folded once.
+    """
+    found = F.struct("columns", "index_type", "benefit")
+    begins = lambda a, b: F.startswith(F.concat(b["columns"], F.lit(",")), F.concat(a["columns"], F.lit(",")))
+    kept = "array<struct<columns:string,index_type:string,benefit:double>>"
+
+    def meet(acc: Column, x: Column) -> Column:
+        last = F.element_at(acc, -1)
+        stays = F.when(last["benefit"] == x["benefit"], last["index_type"] == "global").otherwise(last["benefit"] > x["benefit"])
+        swapped = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(x))
+        return F.when((F.size(acc) == 0) | ~begins(F.try_element_at(acc, F.lit(-1)), x), F.concat(acc, F.array(x))).when(stays, acc).otherwise(swapped)
+
+    listed = F.array_sort(F.collect_list(found)).cast(kept)
+    each = indexes.groupBy("table_name").agg(listed.alias("_all"))
+    folded = F.aggregate(F.slice("_all", F.lit(2), F.greatest(F.size("_all") - 1, F.lit(0))), F.slice("_all", 1, 1), meet)
+    return each.select("table_name", F.explode(folded).alias("i")).select("table_name", "i.*")
+
+
 def workload_cost(cost: DataFrame) -> DataFrame:
     return cost.groupBy("config_id").agg(F.sum(F.col("cost") * F.col("freq")).alias("cost"))
 
@@ -47,7 +73,7 @@ def greedy(cost: DataFrame, most: int, storage: dict[int, float] | None = None,
         chosen.append(fitting)
         room -= (storage or {}).get(fitting, 0)
         step = cost.where(F.col("config_id") == fitting).select("query_id", F.col("cost").alias("_new"))
-        current = current.join(step, "query_id", "left").select("query_id", "freq", F.least("_now", F.coalesce("_new", "_now")).alias("_now"))
+        current = cut(current.join(step, "query_id", "left").select("query_id", "freq", F.least("_now", F.coalesce("_new", "_now")).alias("_now")))
     return chosen
 
 
@@ -187,10 +213,15 @@ def nearest_causes(df: DataFrame, key: str, library: DataFrame, most: int = 10_0
     """
     from tidewatch.operators.results import bounded
 
-    shared = F.zip_with(F.zip_with("features", "pattern", lambda a, b: a * b), "weight", lambda x, w: x * w)
-    scored = df.select(key, "features").crossJoin(bounded(library, most, "rows in the library")).select(key, "label", F.aggregate(shared, F.lit(0.0), lambda a, x: a + x).alias("_s"))
-    best = scored.groupBy(key, "label").agg(F.max("_s").alias("_s")).where("_s > 0")
-    return best.select(key, "label", (F.col("_s") / F.sum("_s").over(Window.partitionBy(key))).alias("probability"))
+    # The library is one row, so a statement's scores are worked out where it is, and only its best of each label are shuffled.
+    rows = bounded(library, most, "rows in the library").agg(F.collect_list(F.struct("label", "pattern", "weight")).alias("_library"), F.array_sort(F.collect_set("label")).alias("_labels"))
+    score = lambda r: F.aggregate(F.zip_with(F.zip_with("features", r["pattern"], lambda a, b: a * b), r["weight"], lambda x, w: x * w), F.lit(0.0), lambda a, x: a + x)
+    scored = df.select(key, "features").crossJoin(F.broadcast(rows)).select(key, "_labels", F.transform("_library", lambda r: F.struct(r["label"].alias("label"), score(r).alias("s"))).alias("_scores"))
+    top = lambda label: F.array_max(F.transform(F.filter("_scores", lambda x: x["label"] == label), lambda x: x["s"]))
+    best = scored.select(key, F.explode(F.filter(F.transform("_labels", lambda label: F.struct(label.alias("label"), top(label).alias("s"))), lambda x: x["s"] > 0)).alias("e"))
+    # Dealt by key once, for rows that share a key and for the shares.
+    each = best.select(key, "e.*").repartition(key).groupBy(key, "label").agg(F.max("s").alias("_s"))
+    return each.select(key, "label", (F.col("_s") / F.sum("_s").over(Window.partitionBy(key))).alias("probability"))
 
 
 def label_weights(library: DataFrame) -> DataFrame:
@@ -343,20 +374,38 @@ def advise(queries: DataFrame, predicates: DataFrame, storage_of: Column, most:
     return useful.where(F.col("config_id").isin(chosen)).select("table_name", "columns", "gain", "storage")
 
 
-def swarm(cost, low: list[float], high: list[float], particles: int = 20, rounds: int = 60, seed: int = 0) -> tuple[list[float], float]:
-    """Particle-swarm search for the least ``cost`` (a function of a point) in a box."""
+def swarm(rows: DataFrame, cost: Callable[[list[Column]], Column], low: list[float], high: list[float], particles: int = 20, rounds: int = 60, seed: int = 0) -> tuple[list[float], float]:
+    """(point, cost): particle-swarm search in a box for the point at which the mean ``cost`` of the rows is least.
+
+    ``cost`` is an expression of the rows' columns and of a point's coordinates. A round prices all
+    particles in one job: their places, a row each, are broadcast, and each task passes on a partial
+    sum for each particle. The driver holds the particles and nothing of the rows. A point whose cost
+    is NULL (no rows) is never the best; if all are, the centre is returned with infinite cost.
+    """
     import numpy as np
 
+    spark = rows.sparkSession
     rng = np.random.default_rng(seed)
     a, b = np.array(low, float), np.array(high, float)
+
+    def priced(at: np.ndarray) -> np.ndarray:
+        places = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(at)], "_particle int, _at array<double>")
+        mean = F.avg(cost([F.col("_at")[k] for k in range(len(a))]))
+        out = np.full(len(at), np.inf)
+        for r in rows.crossJoin(F.broadcast(places)).groupBy("_particle").agg(mean.alias("_cost")).where("_cost is not null").collect():
+            out[r["_particle"]] = r["_cost"]
+        return out
+
     at = rng.uniform(a, b, (particles, len(a)))
     speed = np.zeros_like(at)
-    own, own_cost = at.copy(), np.array([cost(x.tolist()) for x in at])
-    for _ in range(rounds):
+    own, own_cost = at.copy(), priced(at)
+    for _ in range(rounds if np.isfinite(own_cost).any() else 0):
         best = own[own_cost.argmin()]
         speed = 0.7 * speed + 1.5 * rng.random(at.shape) * (own - at) + 1.5 * rng.random(at.shape) * (best - at)
         at = np.clip(at + speed, a, b)
-        now = np.array([cost(x.tolist()) for x in at])
+        now = priced(at)
         better = now < own_cost
         own[better], own_cost[better] = at[better], now[better]
+    if not np.isfinite(own_cost).any():
+        return ((a + b) / 2).tolist(), math.inf
     return own[own_cost.argmin()].tolist(), float(own_cost.min())

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions import numerics
+from tidewatch.operators import recurrence
 
 
 def correlate_with(target: DataFrame, others: DataFrame, keys: list[str]) -> DataFrame:
@@ -197,10 +198,4 @@ def residuals(df: DataFrame, keys: list[str], method: str, times: int = 1, windo
         return slim.withColumn("value", v - sum(terms[1:], terms[0])).where("value is not null")
     if method != "holt_winters":
         raise ValueError(f"no method {method}")
-    schema = ", ".join(f"{c} {t}" for c, t in df.select(*keys).dtypes) + ", ts_ms long, value double"
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ts_ms")
-        return pdf.assign(value=numerics.holt_winters(pdf["value"].to_numpy(dtype=float), *smoothing))
-
-    return slim.groupBy(*keys).applyInPandas(run, schema)
+    return recurrence.holt_winters(slim, keys, *smoothing)

@@ -149,3 +149,43 @@ def tree_similarity(pairs: DataFrame, a: str, b: str, nodes: DataFrame, key: str
     both = left.join(nodes.select(F.col(key).alias(b), "path", "item"), [b, "path", "item"])
     scores = both.groupBy(a, b).agg(F.sum(F.col("n") * F.pow(F.lit(FADES), F.col("level"))).alias("similarity"))
     return pairs.join(scores, [a, b], "left").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
+
+
+def _joined(rows: DataFrame, key: str, piece: Column) -> Column:
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", piece.alias("piece")))), lambda t: t["piece"]), "")
+
+
+def standardised(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, standard): each statement on one line without comments, its words in upper and its names in lower case, spaced alike.
+
+    Texts and quoted names stay as they are. A NULL or empty text has no row.
+    """
+    line = Window.partitionBy(key).orderBy("pos")
+    rows = tokens(df, key, text).withColumns({"_prev": F.lag("token").over(line), "_prev_kind": F.lag("kind").over(line)})
+    tight = F.col("token").isin(",", ")", ";", ".", "::") | F.col("_prev").isin("(", ".", "::") | ((F.col("token") == "(") & (F.col("_prev_kind") == "name")) | F.col("_prev").isNull()
+    shown = F.when(F.col("kind") == "word", F.col("word")).when(F.col("kind") == "name", F.lower("token")).otherwise(F.col("token"))
+    return rows.groupBy(key).agg(_joined(rows, key, F.concat(F.when(tight, "").otherwise(" "), shown)).alias("standard"))
+
+
+def numbered(df: DataFrame, key: str, text: str, literals: bool = False) -> DataFrame:
+    """(key, numbered, marks): each ? as $1, $2, ... in order, with ``literals`` each text and number too; all else as it is, ? in texts and comments too.
+
+    ``marks`` counts them. A NULL text has no row.
+    """
+    found, gaps = F.regexp_extract_all(F.col(text), F.lit(TOKEN), F.lit(0)), F.split(F.col(text), TOKEN, -1)
+    parts = F.arrays_zip(gaps.alias("gap"), F.concat(found, F.array(F.lit(""))).alias("token"))
+    rows = df.where(F.col(text).isNotNull()).select(key, F.posexplode(parts).alias("pos", "p")).select(key, "pos", "p.gap", "p.token")
+    mark = (F.col("token") == "?") | (F.lit(literals) & F.col("token").rlike("^['0-9]"))
+    count = F.sum(mark.cast("int")).over(Window.partitionBy(key).orderBy("pos"))
+    rows = rows.withColumns({"_mark": mark, "_n": count})
+    piece = F.concat("gap", F.when(F.col("_mark"), F.concat(F.lit("$"), F.col("_n").cast("string"))).otherwise(F.col("token")))
+    return rows.groupBy(key).agg(_joined(rows, key, piece).alias("numbered"), F.count_if("_mark").alias("marks"))
+
+
+def prepared(df: DataFrame, key: str, text: str, name: Column) -> DataFrame:
+    """(key, statements): what prepares a statement under ``name``, explains it with NULL for each placeholder, and lets it go."""
+    named = df.select(key, name.alias("_name"))
+    body = F.regexp_replace(F.trim("numbered"), r"[;\s]+$", "")
+    given = F.when(F.col("marks") > 0, F.concat(F.lit("("), F.array_join(F.array_repeat(F.lit("NULL"), F.col("marks").cast("int")), ","), F.lit(")"))).otherwise("")
+    lines = F.array(F.concat(F.lit("prepare "), "_name", F.lit(" as "), body), F.concat(F.lit("explain execute "), "_name", given), F.concat(F.lit("deallocate prepare "), "_name"))
+    return numbered(df, key, text).join(named, key).select(key, lines.alias("statements"))

@@ -51,9 +51,13 @@ def k03(spark, d):
     return _round(K.shifted_correlation(*_parts(spark, d), KEY, 3, "coflux"), "coefficient")
 
 
-@query("k04_holt_winters")
+@query("k04_holt_winters", f"""WITH RECURSIVE {HR}, h AS (SELECT name, ts_ms, value, row_number() OVER (PARTITION BY name ORDER BY ts_ms) - 1 AS i FROM hr),
+ w AS (SELECT name, CAST(-1 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS ts_ms, value AS level, value AS slope, list_transform(range(0, 24), lambda x: CAST(0 AS DOUBLE)) AS s, CAST(NULL AS DOUBLE) AS rest FROM h WHERE i = 0
+  UNION ALL SELECT name, i, ts_ms, now, grown, list_transform(range(0, 24), lambda x: CASE WHEN x = k THEN 0.2 * (value - now) + 0.8 * season ELSE s[x + 1] END), value - now - (0.2 * (value - now) + 0.8 * season)
+   FROM (SELECT *, 0.2 * (now - level) + 0.8 * slope AS grown FROM (SELECT h.name, h.i, h.ts_ms, h.value, h.i % 24 AS k, w.s, w.level, w.slope, w.s[h.i % 24 + 1] AS season, 0.2 * (h.value - w.s[h.i % 24 + 1]) + 0.8 * (w.level + w.slope) AS now FROM w JOIN h ON h.name = w.name AND h.i = w.i + 1)))
+ SELECT name, ts_ms, round(rest, 6) AS value FROM w WHERE i >= 0""")
 def k04(spark, d):
-    return K.residuals(hourly(spark, d), KEY, "holt_winters", smoothing=(0.2, 0.2, 0.2, 24))
+    return _round(K.residuals(hourly(spark, d), KEY, "holt_winters", smoothing=(0.2, 0.2, 0.2, 24)), "value")
 
 
 @query("k04_differences", f"WITH {HR}, a AS (SELECT name, ts_ms, value - lag(value) OVER w AS v FROM hr WINDOW w AS (PARTITION BY name ORDER BY ts_ms)), b AS (SELECT name, ts_ms, v - lag(v) OVER w AS value FROM a WHERE v IS NOT NULL WINDOW w AS (PARTITION BY name ORDER BY ts_ms)) SELECT name, ts_ms, round(value, 6) AS value FROM b WHERE value IS NOT NULL")
@@ -342,6 +346,20 @@ def i01(spark, d):
     return slow(spark, d).groupBy("template").agg((F.count(F.lit(1)) / F.least(F.count(F.lit(1)), F.lit(5))).alias("freq"))
 
 
+_TYPED = "SELECT p_brand AS table_name, CASE p_size % 5 WHEN 0 THEN 'a' WHEN 1 THEN 'a,b' WHEN 2 THEN 'a,b,c' WHEN 3 THEN 'a,c' ELSE 'b' END AS columns, CASE p_partkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'global' ELSE 'local' END AS index_type, CAST(max(p_size) AS DOUBLE) AS benefit FROM part GROUP BY 1, 2, 3"
+
+
+@query("i03_distinct_types", f"""WITH RECURSIVE x AS ({_TYPED}), o AS (SELECT *, row_number() OVER (PARTITION BY table_name ORDER BY columns, index_type, benefit) AS k FROM x),
+ w AS (SELECT table_name, k, columns, index_type, benefit, NULL::BIGINT AS gone FROM o WHERE k = 1
+  UNION ALL SELECT o.table_name, o.k, CASE WHEN m.meets AND m.stays THEN w.columns ELSE o.columns END, CASE WHEN m.meets AND m.stays THEN w.index_type ELSE o.index_type END, CASE WHEN m.meets AND m.stays THEN w.benefit ELSE o.benefit END, NULL
+  FROM w JOIN o ON o.table_name = w.table_name AND o.k = w.k + 1, LATERAL (SELECT starts_with(o.columns || ',', w.columns || ',') AS meets, CASE WHEN w.benefit = o.benefit THEN w.index_type = 'global' ELSE w.benefit > o.benefit END AS stays) m),
+ n AS (SELECT w.*, lead(columns) OVER (PARTITION BY table_name ORDER BY k) AS nc, lead(index_type) OVER (PARTITION BY table_name ORDER BY k) AS nt, (SELECT o.columns FROM o WHERE o.table_name = w.table_name AND o.k = w.k + 1) AS oc FROM w)
+ SELECT table_name, columns, index_type, benefit FROM n WHERE nc IS NULL OR NOT starts_with(oc || ',', columns || ',')""")
+def i03_types(spark, d):
+    """Candidates of three types of which one covers another, the better or else the global one staying."""
+    return A.distinct_types(spark.sql(_TYPED.replace("FROM part", "FROM {p}"), p=table(spark, d, "part")))
+
+
 @query("i03_redundant", "WITH x AS (SELECT p_brand AS table_name, string_agg(DISTINCT substr(p_type, 1, 1), ',' ORDER BY substr(p_type, 1, 1)) AS columns FROM part GROUP BY p_brand UNION SELECT p_brand, 'E' FROM part UNION SELECT p_brand, 'E,L' FROM part), l AS (SELECT *, lead(columns) OVER (PARTITION BY table_name ORDER BY columns) AS covered_by FROM x) SELECT * FROM l WHERE starts_with(covered_by, columns || ',')")
 def i03(spark, d):
     p = table(spark, d, "part")

@@ -70,9 +70,19 @@ def t09(spark, d):
     return cache.get(source.select("name"), START + 2 * DAY, START + 20 * DAY, now=3)
 
 
-@query("s17_families", f"WITH {SAMP} SELECT DISTINCT name || '_' || unit AS metric FROM samp, (VALUES ('1m'), ('10m'), ('60m'), ('24h')) t(unit) WHERE name >= 'p'")
+@query("s17_families", f"WITH {SAMP} SELECT DISTINCT name || '_' || unit AS metric FROM samp, (VALUES ('1m'), ('10m'), ('60m'), ('24h')) t(unit) WHERE starts_with(name, 'p')")
 def s17(spark, d):
-    return families(S.event_samples(spark, d).where("name >= 'p'"), "").select("metric")
+    """The metrics whose name begins as a family does, and what is derived from each for each unit of time."""
+    return families(S.event_samples(spark, d), "p").select("metric")
+
+
+@query("s02_stored_samples", f"WITH {SAMP} SELECT name, instance, count(*) AS n, round(sum(value), 4) AS total, (SELECT count(DISTINCT name) FROM samp) AS metrics FROM samp WHERE name = 'click' AND instance = '3' AND ts_ms BETWEEN {START + 5 * DAY} AND {START + 20 * DAY} AND value >= 20 AND value < 80 GROUP BY name, instance")
+def s02_stored(spark, d):
+    """A range of one metric and instance from stored samples, where the scan compares all of it, and how many metrics there are, by the folders' names."""
+    folder = store.scratch(spark)
+    store.write_samples(S.event_samples(spark, d), folder)
+    chosen = S.Selector.stored(spark, folder).metric("click").from_server("3").between(START + 5 * DAY, START + 20 * DAY).values(20.0, 80.0).fetchall()
+    return chosen.groupBy("name", F.col("label_from_instance").alias("instance")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total")).withColumn("metrics", F.lit(len(store.metric_names(spark, folder))))
 
 
 @query("q35_slow_queries", f"WITH {SLOW} SELECT id, db AS datname, kind AS query, start_ms, start_ms + CAST(floor(duration) AS BIGINT) AS finish_ms, round(duration / 7, 3) AS hit_rate, CAST(id % 9 AS BIGINT) AS n_returned_rows FROM slow")

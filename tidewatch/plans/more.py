@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import numerics
 from tidewatch.operators import advisor as A
+from tidewatch.operators import arima as AR
 from tidewatch.operators import detectors as D
 from tidewatch.operators import memory as M
 from tidewatch.operators import results as R
@@ -297,13 +298,9 @@ def x02(spark, d):
 
 @query("x04_arima")
 def x04(spark, d):
+    """Forecasts of each series by its best model, all candidates of all series being fitted side by side."""
     filled = T.interpolate(T.fill_grid(hourly(spark, d).drop("n"), KEY, 3_600_000), KEY)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        values = pdf.sort_values("ts_ms")["value"].to_numpy(dtype=float)
-        return pd.DataFrame({"name": pdf["name"].iloc[0], "step": np.arange(1, 13), "value": numerics.arima_forecast(values, 12)})
-
-    return filled.groupBy("name").applyInPandas(run, "name string, step long, value double")
+    return AR.forecast(AR.best_orders(filled, KEY), KEY, 12)
 
 
 # --- advice --------------------------------------------------------------------------------------
@@ -371,10 +368,14 @@ def g02(spark, d):
     return Q.predict_duration(asked, model, "sql").withColumn("seconds", F.round("seconds", 4))
 
 
-@query("n06_swarm")
+@query("n06_swarm", "WITH x AS (SELECT l_quantity / 50 AS u, l_extendedprice / (SELECT max(l_extendedprice) FROM lineitem) AS v FROM lineitem), f AS (SELECT regr_slope(v, u) AS a, regr_intercept(v, u) AS b FROM x) SELECT round(a, 2) AS setting, round(b, 2) AS base, round(avg((v - a * u - b) ** 2), 5) AS cost FROM x, f GROUP BY a, b")
 def n06(spark, d):
-    point, cost = A.swarm(lambda x: (x[0] - 3) ** 2 + (x[1] + 1) ** 2, [-10, -10], [10, 10])
-    return spark.createDataFrame([(round(point[0], 3), round(point[1], 3), cost < 1e-3)], "x double, y double, found boolean")
+    """The setting and base that explain the load of all rows best, found by a swarm; the SQL has them in closed form."""
+    l = table(spark, d, "lineitem")
+    most = l.agg(F.max("l_extendedprice").alias("most"))
+    load = l.crossJoin(F.broadcast(most)).select((F.col("l_quantity") / 50).alias("u"), (F.col("l_extendedprice") / F.col("most")).alias("v"))
+    (setting, base), cost = A.swarm(load, lambda x: (F.col("v") - x[0] * F.col("u") - x[1]) ** 2, [-1.0, -1.0], [2.0, 2.0], particles=16, rounds=45)
+    return spark.createDataFrame([(round(setting, 2) + 0.0, round(base, 2) + 0.0, round(cost, 5))], "setting double, base double, cost double")
 
 
 @query("q36_summary", f"WITH {SLOW} SELECT instance, count(*) AS n, count(DISTINCT template) AS templates, count(*) FILTER (kind = 'SELECT') AS reads, round(avg(duration), 4) AS mean, round(max(duration), 4) AS longest FROM slow GROUP BY instance")

@@ -248,7 +248,7 @@ def a11(spark, d):
 
 @query("a12_risk_levels", "SELECT count(*) FILTER (p_size >= 50) AS fatal, count(*) FILTER (p_size >= 40 AND p_size < 50) AS risky, count(*) FILTER (p_size >= 30 AND p_size < 40) AS warning, count(*) FILTER (p_size >= 20 AND p_size < 30) AS notice FROM part")
 def a12(spark, d):
-    return table(spark, d, "part").agg(*(F.count_if((F.col("p_size") >= low) & (F.col("p_size") < (low + 10 if low < 50 else 1000))).alias(name) for name, low in R.RISKS.items()))
+    return table(spark, d, "part").agg(*(F.count_if((F.col("p_size") >= low) & (F.col("p_size") < (low + 10 if low < 50 else float("inf")))).alias(name) for name, low in R.RISKS.items()))
 
 
 @query("a13_topology", "SELECT n_regionkey AS cluster, count(*) AS nodes, count(*) FILTER (n_nationkey % 2 = 0) AS primaries, CASE WHEN count(*) FILTER (n_nationkey % 7 = 0) > 0 THEN 'degraded' ELSE 'normal' END AS state FROM nation GROUP BY n_regionkey")

@@ -45,6 +45,42 @@ def c15(spark, d):
     return found.select("id", *(joined.get(n, F.col(n)).alias(n) for n in _PROBED))
 
 
+#: Statements of orders as they come and as they are standardised, by o_orderkey % 5.
+_LOOSE = (
+    ("'select  A , t.B' || chr(10) || ' from T' || x || ' t where a>=1 and B=@It@@s, Mine@ -- where C'", "'SELECT a, t.b FROM t' || x || ' t WHERE a >= 1 AND b = @It@@s, Mine@'"),
+    ("'update t set a=a+1,b = Lower( C ) where d in(' || x || ',2)'", "'UPDATE t SET a = a + 1, b = lower(c) WHERE d IN (' || x || ', 2)'"),
+    ("'insert into T values(' || x || ',@a ; b@) ;'", "'INSERT INTO t VALUES (' || x || ', @a ; b@);'"),
+    ("'select count( * ) from \"My Table\" /* by ' || x || ' */ order by 1 desc'", "'SELECT count(*) FROM \"My Table\" ORDER BY 1 DESC'"),
+    ("'delete   from t where exists(select 1 from U where U.a<>' || x || ')'", "'DELETE FROM t WHERE EXISTS (SELECT 1 FROM u WHERE u.a <> ' || x || ')'"),
+)
+#: Statements of orders with placeholders, and with these numbered, by o_orderkey % 4, and how many there are.
+_MARKED = (
+    ("'select a from t' || x || ' where b = ? and c = @?@ and d in (?,  ?)'", "'select a from t' || x || ' where b = $1 and c = @?@ and d in ($2,  $3)'", 3),
+    ("'select ' || x || ' from t where a = @x@ -- ?' || chr(10) || ' and b > ? ;'", "'select ' || x || ' from t where a = @x@ -- ?' || chr(10) || ' and b > $1 ;'", 1),
+    ("'delete from t' || x", "'delete from t' || x", 0),
+    ("'update \"t?\" set a=?,b=? /* ? */ where c in (' || x || ')'", "'update \"t?\" set a=$1,b=$2 /* ? */ where c in (' || x || ')'", 2),
+)
+
+
+def _of(shapes, place: int) -> str:
+    return f"replace(CASE k % {len(shapes)} " + " ".join(f"WHEN {i} THEN {s[place]}" for i, s in enumerate(shapes)) + " END, '@', chr(39))"
+
+
+@query("c16_standardised", f"SELECT k AS id, {_of(_LOOSE, 1)} AS standard FROM (SELECT o_orderkey AS k, o_custkey AS x FROM orders)")
+def c16(spark, d):
+    o = table(spark, d, "orders").selectExpr("o_orderkey AS k", "o_custkey AS x").selectExpr("k AS id", f"{_of(_LOOSE, 0)} AS sql")
+    return T.standardised(o, "id", "sql")
+
+
+@query("c17_prepared", f"""SELECT k AS id, numbered, marks, 'prepare p' || k || ' as ' || rtrim(numbered, ' ;') || '|explain execute p' || k || CASE marks WHEN 0 THEN '' WHEN 1 THEN '(NULL)' WHEN 2 THEN '(NULL,NULL)' ELSE '(NULL,NULL,NULL)' END || '|deallocate prepare p' || k AS statements
+ FROM (SELECT k, {_of(_MARKED, 1)} AS numbered, CASE k % 4 {' '.join(f'WHEN {i} THEN {n}' for i, (_, _, n) in enumerate(_MARKED))} END AS marks FROM (SELECT o_orderkey AS k, o_custkey AS x FROM orders))""")
+def c17(spark, d):
+    """Placeholders as numbers, but not those in texts, names and comments, and the statements that explain such a one."""
+    o = table(spark, d, "orders").selectExpr("o_orderkey AS k", "o_custkey AS x").selectExpr("k AS id", f"{_of(_MARKED, 0)} AS sql")
+    made = T.prepared(o, "id", "sql", F.concat(F.lit("p"), F.col("id").cast("string")))
+    return T.numbered(o, "id", "sql").join(made, "id").select("id", "numbered", "marks", F.array_join("statements", "|").alias("statements"))
+
+
 #: Pairs of statements of each part by p_partkey % 6, with the levels of the nodes that both have: clauses of the statement (0) and what stands in them (1), of a subquery (2, 3).
 _PAIRS = (
     ("'select a, b from t where c = ' || p_size", "'select a, b from t where c = ' || p_size", {0: 3, 1: 4}),

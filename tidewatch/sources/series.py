@@ -95,6 +95,13 @@ class Selector:
     start: int | None = None
     end: int | None = None
     bounds: tuple[float | None, float | None] = (None, None)
+    promoted: tuple[str, ...] = ()
+
+    @classmethod
+    def stored(cls, spark: SparkSession, folder: str) -> Selector:
+        """Selections of samples that write_samples() has stored: metric, promoted labels, times and values are compared by the scan."""
+        samples = spark.read.parquet(folder)
+        return cls(samples, promoted=tuple(c.removeprefix("label_") for c in samples.columns if c.startswith("label_")))
 
     def metric(self, name: str) -> Selector:
         return replace(self, name=name, source="instance" if name.startswith("node_") else "from_instance")
@@ -126,7 +133,8 @@ class Selector:
         if self.name is not None:
             df = df.where(F.col("name") == self.name)
         for key, value in self.exact.items():
-            df = df.where(matches("labels", key, "=", value))
+            # A label that is missing equals the empty text.
+            df = df.where(F.col(f"label_{key}") == value if key in self.promoted and value else matches("labels", key, "=", value))
         for key, value in self.like.items():
             df = df.where(matches("labels", key, "=~", value))
         if self.start is not None:

@@ -100,6 +100,35 @@ def retain(spark: SparkSession, folder: str, table: str, time: str, since: int)
     return kept
 
 
+# --- samples ---------------------------------------------------------------------------------------
+
+#: Labels that stored samples have as columns of their own, besides the map of all.
+PROMOTED = ("from_instance", "instance")
+
+
+def write_samples(samples: DataFrame, folder: str, promoted: tuple[str, ...] = PROMOTED, mode: str = "append") -> None:
+    """Samples (name, labels, ts_ms, value) in a folder for each metric, in files by series and time.
+
+    Rows are dealt into ranges of (metric, series, time), so a file's row groups have narrow bounds of
+    time and of the promoted labels, and a reader skips those that a selection cannot meet.
+    """
+    from tidewatch.sources.series import series_key
+
+    keyed = samples.select("name", "labels", series_key().alias("series"), "ts_ms", "value", *(F.col("labels")[k].alias(f"label_{k}") for k in promoted))
+    order = ["name", "series", "ts_ms"]
+    width = int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed.repartitionByRange(width, *order).sortWithinPartitions(*order).write.mode(mode).partitionBy("name").parquet(folder)
+
+
+def metric_names(spark: SparkSession, folder: str) -> list[str]:
+    """The metrics that a folder of samples has, by the names of its parts; no file is opened."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    plain = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
+    names = [x.getPath().getName() for x in found if x.isDirectory()]
+    return sorted(plain(n.removeprefix("name=")) for n in names if n.startswith("name="))
+
+
 # --- series cache --------------------------------------------------------------------------------
 
 

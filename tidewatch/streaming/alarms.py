@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable
 
 import pandas as pd
@@ -39,12 +40,18 @@ def bounded_seen(stream: DataFrame, group: str, identity: str, time_ms: str, mos
     def step(key, batches, state):
         ids, times = state.get if state.exists else ([], [])
         buffer = dict(zip(ids, times))
+        oldest = [(t, i) for i, t in buffer.items()]
+        heapq.heapify(oldest)
         for pdf in batches:
             fresh = []
             for i, t in sorted(zip(pdf[identity].astype(str), pdf[time_ms]), key=lambda x: (x[1], x[0])):
-                buffer = {k: v for k, v in buffer.items() if v > t - expiry_ms} if buffer and min(buffer.values()) <= t - expiry_ms else buffer
+                while oldest and oldest[0][0] <= t - expiry_ms:
+                    seen_at, gone = heapq.heappop(oldest)
+                    if buffer.get(gone) == seen_at:
+                        del buffer[gone]
                 if i not in buffer:
                     buffer[i] = int(t)
+                    heapq.heappush(oldest, (int(t), i))
                     fresh.append((key[0], i, int(t)))
                     while len(buffer) > most:
                         del buffer[next(iter(buffer))]
