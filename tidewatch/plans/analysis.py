@@ -381,7 +381,18 @@ def i06(spark, d):
     return _round(A.infer_benefit(_cost(spark, d), members), "cost", digits=2)
 
 
-@query("i07_greedy")
+def _rounds(n: int) -> str:
+    """What each of n rounds adds to those before it, a round after the other."""
+    parts, taken = ["n0 AS (SELECT query_id, cost AS now FROM cost WHERE config_id = 0)"], "0"
+    for k in range(1, n + 1):
+        parts.append(f"g{k} AS (SELECT c.config_id, sum(greatest(n.now - c.cost, 0) * c.freq) AS gain FROM cost c JOIN n{k - 1} n ON n.query_id = c.query_id WHERE c.config_id NOT IN ({taken}) GROUP BY 1)")
+        parts.append(f"b{k} AS (SELECT config_id FROM g{k} WHERE gain > 0 ORDER BY gain DESC, config_id LIMIT 1)")
+        parts.append(f"n{k} AS (SELECT n.query_id, least(n.now, coalesce(c.cost, n.now)) AS now FROM n{k - 1} n LEFT JOIN (SELECT query_id, cost FROM cost WHERE config_id = (SELECT config_id FROM b{k})) c ON c.query_id = n.query_id)")
+        taken += f", coalesce((SELECT config_id FROM b{k}), 0)"
+    return ", ".join(parts) + " " + " UNION ALL ".join(f"SELECT {k - 1} AS place, config_id FROM b{k}" for k in range(1, n + 1))
+
+
+@query("i07_greedy", f"WITH {_COST}, {_rounds(3)}")
 def i07(spark, d):
     chosen = A.greedy(_cost(spark, d), 3)
     return spark.createDataFrame(list(enumerate(chosen)), "place int, config_id int")
