@@ -68,3 +68,19 @@ def test_leak_metrics(samples):
 
 def test_leak_metrics_have_all_names(spark):
     assert len(L.leak_metrics(spark.range(1200).selectExpr("concat('m_', id) AS name"), "m_")) == 4 * 1200
+
+
+def test_families_are_of_all_metrics(spark, sf):
+    from tidewatch.plans.registry import QUERIES
+
+    names = {r[0] for r in spark.read.parquet(f"{sf}/events.parquet").select("event_type").distinct().collect()}
+    got = [r["metric"] for r in QUERIES["s17_families"](spark, sf).collect()]
+    assert len({n[0] for n in names}) > 1 and sorted(got) == sorted(f"{n}_{u}" for n in names for u in ("1m", "10m", "60m", "24h"))
+
+
+def test_families_of_odd_names(spark):
+    rows = spark.createDataFrame([("pa",), ("b",), ("",), (None,), ("b",)], "name string")
+    got = {(r["name"], r["metric"]) for r in L.families(rows).where("unit = '1m'").collect()}
+    assert got == {("pa", "pa_1m"), ("b", "b_1m"), ("", "_1m"), (None, None)}
+    assert {r["metric"] for r in L.families(rows, "p").collect()} == {f"pa_{u}" for u in L.LEAK_UNITS}
+    assert len(L.leak_metrics(rows, "")) == 3 * 4

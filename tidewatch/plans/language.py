@@ -309,16 +309,19 @@ def derived(db: str = "db") -> dict[str, str]:
 DERIVED = derived()
 
 
-def families(samples: DataFrame, prefix: str) -> DataFrame:
-    """(name, unit, metric): the metrics whose name begins with ``prefix``, and the metric derived from them for each time unit."""
-    names = samples.where(F.col("name").startswith(prefix)).select("name").distinct()
-    units = names.withColumn("unit", F.explode(F.array(*map(F.lit, LEAK_UNITS))))
-    return units.withColumn("metric", F.concat_ws("_", "name", "unit"))
+def families(samples: DataFrame, prefix: str = "") -> DataFrame:
+    """(name, unit, metric): the metrics whose name begins with ``prefix``, and the metric derived from them for each time unit.
+
+    Without a prefix all metrics; one without a name is derived into null.
+    """
+    chosen = samples.where(F.col("name").startswith(prefix)) if prefix else samples
+    units = chosen.select("name").distinct().withColumn("unit", F.explode(F.array(*map(F.lit, LEAK_UNITS))))
+    return units.withColumn("metric", F.concat("name", F.lit("_"), "unit"))
 
 
 def leak_metrics(samples: DataFrame, prefix: str) -> dict[str, str]:
     """Expressions for the metrics whose name begins with ``prefix``, for each time unit."""
-    found = families(samples, prefix).orderBy("name", "unit").collect()
+    found = families(samples, prefix).where("name is not null").orderBy("name", "unit").collect()
     return {r["metric"]: LEAK.format(r["name"], r["unit"]) for r in found}
 
 
