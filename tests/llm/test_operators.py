@@ -1,5 +1,6 @@
 import hashlib
 import math
+import os
 import random
 import re
 import time
@@ -211,6 +212,29 @@ def test_labels_of_the_held_out_fold_are_not_read(spark):
     assert toxicity.fit([]).document[2] < 0
 
 
+def test_the_model_is_fitted_off_the_driver(spark, tmp_path, monkeypatch):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(i, f"plain words {i % 7} and {'vileword' if i % 3 == 0 else 'more'} of row {i}") for i in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(200)], "doc_id long, toxic int")
+    want, sample = toxicity.fit(toxicity.training_rows(docs, labels)), toxicity.training_sample(docs, labels)
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    empty = toxicity.fit_sample(toxicity.training_sample(docs.limit(0), labels))
+    assert empty.weights == {} and empty.document.tolist() == toxicity.fit([]).document.tolist()
+    driver, fit = os.getpid(), toxicity.fit
+
+    def elsewhere(rows):
+        assert os.getpid() != driver
+        return fit(rows)
+
+    monkeypatch.setattr(toxicity, "fit", elsewhere)
+    monkeypatch.setattr(toxicity, "training_rows", None)
+    got = toxicity.fit_sample(sample)
+    assert got.weights == want.weights and got.bias == want.bias and got.document.tolist() == want.document.tolist()
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).collect()}
+    assert kept == {i for i in range(200) if i % 3}
+
+
 # --- 4 -------------------------------------------------------------------------------------------
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import re
 import uuid
 import zlib
@@ -210,7 +211,7 @@ def fit(labelled: Iterable[tuple[str | None, int]]) -> Model:
 
     Words of toxic texts are labelled toxic if one of their features tells of toxic texts; all
     other words, and all words of clean texts, are clean. Texts are held as word numbers. The sample is
-    bounded, so the rounds run on the driver: in tasks they took 39 s instead of 14 for 3,000 texts.
+    bounded, so the rounds run in one process: dealt to tasks they took 39 s instead of 14 for 3,000 texts.
     """
     types: dict[str, int] = {}
     docs: list[np.ndarray] = []
@@ -278,8 +279,8 @@ def fit(labelled: Iterable[tuple[str | None, int]]) -> Model:
     return model
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> list[tuple[str | None, int]]:
-    """At most ``bound`` labelled (text, toxic) rows whose id's checksum modulo 5 is not 0, and of those what SAMPLE_CHARS hold."""
+def training_sample(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> DataFrame:
+    """(text, toxic, order, id) of at most ``bound`` labelled rows whose id's checksum modulo 5 is not 0, and of those what SAMPLE_CHARS hold, in one partition by order and id."""
     chosen = (
         labels.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("_toxic"))
         .where("_id is not null and _toxic is not null and crc32(encode(cast(_id as string), 'UTF-8')) % 5 <> 0")
@@ -288,12 +289,28 @@ def training_rows(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> li
         .orderBy(F.md5(F.col("_id").cast("string")), "_id")
         .limit(bound)
     )
-    # The limit bounds what is broadcast and what the driver gets.
+    # The limit bounds what is broadcast and what one task gets.
     found = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).withColumn("_order", F.md5(F.col("_id").cast("string"))).orderBy("_order", "_id").limit(bound)
     # A window over as many rows as the bound.
     room = F.sum(F.coalesce(F.length("text"), F.lit(0))).over(Window.orderBy("_order", "_id").rowsBetween(Window.unboundedPreceding, 0))
-    found = found.withColumn("_room", room).where(F.col("_room") <= SAMPLE_CHARS).orderBy("_order", "_id")
-    return [(r["text"], r["_toxic"]) for r in found.select("text", "_toxic").collect()]
+    found = found.withColumn("_room", room).where(F.col("_room") <= SAMPLE_CHARS)
+    return found.select("text", F.col("_toxic").alias("toxic"), F.col("_order").alias("order"), F.col("_id").alias("id")).coalesce(1).sortWithinPartitions("order", "id")
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> list[tuple[str | None, int]]:
+    """The (text, toxic) rows of training_sample."""
+    return [(r["text"], r["toxic"]) for r in training_sample(docs, labels, bound).select("text", "toxic").collect()]
+
+
+def fit_sample(sample: DataFrame) -> Model:
+    """``fit`` of the rows of training_sample, in the task that has them: the driver gets the model alone, neither texts nor what fitting needs."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((t.as_py(), y.as_py()) for batch in batches for t, y in zip(batch.column(0), batch.column(1)))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(rows))], pa.binary())], ["model"])
+
+    found = sample.select("text", "toxic").mapInArrow(kernel, "model binary").collect()
+    return pickle.loads(found[0]["model"]) if found else fit([])
 
 
 def _scored(texts: list[str | None], model: Model, potentials: Potentials) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
