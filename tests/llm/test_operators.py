@@ -264,6 +264,13 @@ def test_pairs_and_groups_against_brute_force(spark):
     assert all(found.get(i, i) == want[i] for i in range(len(fps)))
 
 
+def test_variants_are_never_broadcast(spark):
+    """A few fingerprints are small, their variants are not: Spark sizes them alike, so it would broadcast them."""
+    pairs = simhash.near_pairs(spark.createDataFrame([(1 << i,) for i in range(60)], "fp long"))
+    assert len(pairs.collect()) == 60 * 59 // 2
+    assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+
+
 def test_long_chains_are_one_component(spark):
     n = 300
     links = spark.createDataFrame([(i, i + 1) for i in range(n)], "a long, b long").orderBy(F.rand(1))

@@ -90,7 +90,8 @@ def near_pairs(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     dealt = distinct.select("fp").repartition(shuffle_width(distinct.sparkSession))
     emitted = dealt.select(F.col("fp").alias("a"), F.explode(_variants(F.col("fp"))).alias("variant"))
     return (
-        emitted.join(emitted.withColumnRenamed("a", "b"), "variant")
+        # Spark sizes variants as their fingerprints, which are a 131st of them, so it must not choose to broadcast them.
+        emitted.join(emitted.withColumnRenamed("a", "b").hint("merge"), "variant")
         .where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius))
         .select("a", "b")
         .distinct()
