@@ -123,3 +123,11 @@ def test_branches_of_a_product(spark):
 
 def test_no_conditions(spark):
     assert P.value_sets(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_conditions_are_never_broadcast(spark):
+    """Nodes and branches come from an explode, which Spark sizes as the rows before it."""
+    tree = ("or", ("term", "a", ">", 1.0), ("not", ("and", ("term", "a", "<", 5.0), ("term", "b", "=", 2.0))))
+    sets = P.value_sets(spark.createDataFrame(rows_of(tree, 0), SCHEMA))
+    assert sets.collect()
+    assert "Broadcast" not in sets._jdf.queryExecution().executedPlan().toString()

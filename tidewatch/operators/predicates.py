@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.sources.store import cut
+from tidewatch.sources.store import cut, shuffled
 
 
 def conjunctions(terms: DataFrame) -> DataFrame:
@@ -38,7 +38,7 @@ def alternatives(branches: DataFrame) -> DataFrame:
     """
     keyed = branches.withColumn("rule", F.struct("rule", "branch"))
     bad = impossible(keyed)
-    return keyed.select("rule").distinct().join(bad, "rule", "left_anti").select("rule.*")
+    return keyed.select("rule").distinct().join(shuffled(bad), "rule", "left_anti").select("rule.*")
 
 
 # --- conditions with AND, OR and NOT -------------------------------------------------------------
@@ -64,7 +64,7 @@ def without_not(nodes: DataFrame) -> DataFrame:
     while not now.isEmpty():
         above = now.select("rule", F.col("node").alias("_up"), (F.col("_odd") != (F.col("kind") == "not")).alias("_odd"))
         level += 1
-        now = cut(children.join(above, ["rule", "_up"]).select(*nodes.columns, "_odd", F.lit(level).alias("level")))
+        now = cut(children.join(shuffled(above), ["rule", "_up"]).select(*nodes.columns, "_odd", F.lit(level).alias("level")))
         out = out.unionByName(now)
     kind = F.when(F.col("kind") == "not", "and").when(opposite & (F.col("kind") == "and"), "or").when(opposite & (F.col("kind") == "or"), "and").otherwise(F.col("kind"))
     op = F.when(opposite, _by(F.col("op"), _INVERSE)).otherwise(F.col("op"))
@@ -90,7 +90,7 @@ def branches_of(nodes: DataFrame) -> DataFrame:
         if below is None:
             here = here.withColumn("_all", F.lit(None).cast(f"array<{none}>"))
         else:
-            here = here.join(below, ["rule", "node"], "left")
+            here = here.join(shuffled(below), ["rule", "node"], "left")
         made = F.when(F.col("kind") == "term", F.col("_own")).when(F.col("kind") == "or", F.flatten(F.coalesce("_all", F.array().cast(f"array<{none}>"))))
         made = made.otherwise(F.aggregate(F.coalesce("_all", F.array().cast(f"array<{none}>")), F.array(F.array()).cast(none), each))
         done = here.select("rule", "parent", "node", F.array_distinct(made).alias("_made"))
@@ -112,8 +112,8 @@ def value_sets(nodes: DataFrame) -> DataFrame:
     columns = nodes.where("column is not null").select("rule", "column").distinct()
     each = conjunctions(all_branches.where("column is not null").withColumn("rule", F.struct("rule", "branch"))).select("rule.*", "column", "low", "high", "low_open", "high_open", "excluded", "possible")
     bad = each.where("not possible").select("rule", "branch").distinct()
-    good = all_branches.select("rule", "branch").distinct().join(bad, ["rule", "branch"], "left_anti")
-    on = good.join(columns, "rule").join(each.drop("possible"), ["rule", "branch", "column"], "left")
+    good = all_branches.select("rule", "branch").distinct().join(shuffled(bad), ["rule", "branch"], "left_anti")
+    on = good.join(shuffled(columns), "rule").join(shuffled(each.drop("possible")), ["rule", "branch", "column"], "left")
     inf = float("inf")
     low, high = F.coalesce("low", F.lit(-inf)), F.coalesce("high", F.lit(inf))
     # An end is a value and a shade: an open low end stands a shade above its value, an open high one a shade below.

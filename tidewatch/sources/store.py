@@ -33,6 +33,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that is never broadcast: Spark sizes what an explode makes as the rows it is made of."""
+    return df.hint("merge")
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a path is there, on whatever file system it names."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
