@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import time
 
 import numpy as np
 import pandas as pd
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions import kept
 from tidewatch.functions import numerics as N
 from tidewatch.operators import advisor as A
-from tidewatch.operators import arima, conditions, recurrence, similarity
+from tidewatch.operators import arima, causes, conditions, recurrence, similarity
 from tidewatch.operators import detectors as D
 from tidewatch.operators import predicates as P
 from tidewatch.operators import results as R
@@ -449,3 +450,29 @@ def test_swarm_over_rows(spark):
     point, cost = A.swarm(rows, lambda x: (F.col("v") - x[0] * F.col("u") - x[1]) ** 2, [-5, -5], [5, 5], particles=12, rounds=40, seed=1)
     assert point == pytest.approx([2.0, 0.5], abs=0.02) and cost < 1e-4
     assert A.swarm(rows.where("u < 0"), lambda x: F.col("v") * x[0], [0.0], [2.0]) == ([1.0], math.inf)
+
+def test_hosts_equal_each_sample_compared(spark):
+    """Ranges of a statement are looked up; a group that many ask is dealt to several tasks; NaN is largest, NULL none, and a row does not vanish."""
+    rng = random.Random(5)
+    samples = [(rng.randint(0, 1), rng.choice("ab"), rng.randint(0, 3000), rng.choice([None, math.nan, *(rng.random() for _ in range(8))])) for _ in range(400)]
+    asked = [(k, rng.randint(0, 2), rng.randint(0, 3000), rng.choice([0, 1, 50, 900, 2500])) for k in range(200)]
+    s = spark.createDataFrame(samples, "instance int, name string, ts_ms long, value double")
+    a = spark.createDataFrame([*asked, (None, 1, 5, 5), (900, None, 5, 5), (901, 1, None, 5)], "id long, instance int, start_ms long, duration_ms long")
+    got = {r["id"]: {k: str(v) for k, v in r["host"].items()} for r in causes.host_facts(a, s, bucket_ms=1000, asked_at_once=7).collect()}
+    largest = lambda found: str(max(found, key=lambda v: (math.isnan(v), v)))
+    want = {}
+    for k, instance, start, length in asked:
+        met = {n: [v for i, name, at, v in samples if (i, name) == (instance, n) and v is not None and start <= at <= start + length] for n in "ab"}
+        if any(met.values()):
+            want[k] = {n: largest(v) for n, v in met.items() if v}
+    assert got == want
+
+
+def test_hosts_take_no_row_for_each_pair(spark):
+    """2,000 statements that each meet all of 40,000 samples: 80 million pairs, of which none is made."""
+    s = spark.range(40_000).selectExpr("1 AS instance", "'a' AS name", "id AS ts_ms", "cast(id as double) AS value")
+    a = spark.range(2_000).selectExpr("id", "1 AS instance", "id AS start_ms", "50000L AS duration_ms")
+    began = time.time()
+    found = causes.host_facts(a, s)
+    assert found.where("host['a'] = 39999").count() == 2_000
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString().partition("CoGroup")[0] and time.time() - began < 60

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.operators import sqltext as Q
+from tidewatch.sources.store import shuffled
 
 #: Limits of the rules, by name.
 LIMITS = {
@@ -47,7 +50,7 @@ def table_facts(statements: DataFrame, tables: DataFrame, limits: dict = LIMITS)
     above = (many > at["tuple_number"]) | (t("size_mb") > at["table_total_size"])
     dead = t("dead_rate") >= at["dead_rate"]
     scanned = F.coalesce(F.array_contains(F.regexp_extract_all("plan", F.lit(r"Scan(?: using \S+)? on (\w+)"), F.lit(1)), t("table_name")), F.lit(False))
-    named = statement_tables(statements).join(statements.select("id", "db", "plan"), "id").join(tables, ["db", "table_name"])
+    named = statement_tables(statements).join(shuffled(statements.select("id", "db", "plan")), "id").join(tables, ["db", "table_name"])
     return named.groupBy("id").agg(
         F.count(F.lit(1)).alias("known_tables"),
         F.bool_or(large).alias("large"),
@@ -69,7 +72,7 @@ def plan_facts(statements: DataFrame) -> DataFrame:
     cost = lambda c: F.max(F.when(c, F.col("own_cost")))
     is_join = name.rlike("Nested Loop|Merge Join|Hash (Left |Right |Full |Anti |Semi |Right Semi )?Join")
     changed = lambda word: F.max(F.when(name.startswith(f"{word} on"), F.col("rows")))
-    facts = tree.join(sorted_below, ["id", "node"], "left").groupBy("id").agg(
+    facts = tree.join(shuffled(sorted_below), ["id", "node"], "left").groupBy("id").agg(
         whole.alias("whole"),
         cost(name.rlike("(Seq|Index|Heap) Scan|Index Only Scan")).alias("scan"),
         cost(name.isin("Sort", "Hash")).alias("sort"),
@@ -86,15 +89,60 @@ def plan_facts(statements: DataFrame) -> DataFrame:
     )
 
 
-def host_facts(statements: DataFrame, samples: DataFrame, bucket_ms: int = 3_600_000) -> DataFrame:
+#: Statements of an instance and time bucket that one task asks at once; where there are more, its samples go to several tasks.
+ASKED = 100_000
+
+
+def _largest_between(times: np.ndarray, values: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The largest of the values at times from each start to each end, and whether there is one; ``times`` ascend, NaN is largest.
+
+    A table has the largest of each 1, 2, 4, ... values that follow one another; a range is two entries of it that overlap.
+    """
+    first, last = np.searchsorted(times, start, "left"), np.searchsorted(times, end, "right")
+    out, width, best = np.full(len(start), np.nan), last - first, values
+    for power in range(max(int(width.max(initial=0)), 0).bit_length()):
+        here, reach = (width >= 1 << power) & (width < 2 << power), 1 << power
+        out[here] = np.maximum(best[first[here]], best[last[here] - reach])
+        best = np.maximum(best[:-reach], best[reach:])
+    return out, width > 0
+
+
+def _largest_hosts(asked: pa.Table, told: pa.Table) -> pa.Table:
+    """(id, host) of the asked statements that any of the samples meets."""
+    start, end = (asked[c].to_numpy() for c in ("start_ms", "end_ms"))
+    told = told.sort_by([("name", "ascending"), ("ts_ms", "ascending")])
+    names, at = np.unique(told["name"].to_numpy(), return_index=True)
+    times, values, ends = told["ts_ms"].to_numpy(), told["value"].to_numpy(), [*at[1:], told.num_rows]
+    found, met = np.empty((len(start), len(names))), np.empty((len(start), len(names)), dtype=bool)
+    for k, (a, b) in enumerate(zip(at, ends)):
+        found[:, k], met[:, k] = _largest_between(times[a:b], values[a:b], start, end)
+    rows = met.any(axis=1)
+    offsets = np.concatenate(([0], np.cumsum(met[rows].sum(axis=1)))).astype(np.int32)
+    keys = pa.array(names, pa.string()).take(pa.array(np.nonzero(met)[1]))
+    hosts = pa.MapArray.from_arrays(offsets, keys, pa.array(found[met], pa.float64()))
+    return pa.table({"id": asked["id"].filter(pa.array(rows)), "host": hosts})
+
+
+def host_facts(statements: DataFrame, samples: DataFrame, bucket_ms: int = 3_600_000, asked_at_once: int = ASKED) -> DataFrame:
     """(id, name to its largest value while the statement ran) from ``samples`` (instance, name, ts_ms, value).
 
-    Statements and samples meet on instance and time bucket, so the join has an equality to hash on.
+    Statements and samples are grouped on instance and time bucket. A group has the largest value of each name
+    and time; what a statement asks of them is looked up, and not compared with each of them. NULL values count as no sample.
     """
-    buckets = F.sequence(F.floor(F.col("start_ms") / bucket_ms), F.floor((F.col("start_ms") + F.col("duration_ms")) / bucket_ms))
-    asked = statements.select("id", "instance", "start_ms", (F.col("start_ms") + F.col("duration_ms")).alias("end_ms"), F.explode(buckets).alias("bucket"))
-    met = asked.join(samples.withColumn("bucket", F.floor(F.col("ts_ms") / bucket_ms)), ["instance", "bucket"]).where("ts_ms between start_ms and end_ms")
-    return met.groupBy("id", "name").agg(F.max("value").alias("value")).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("host"))
+    ends = F.col("start_ms") + F.col("duration_ms")
+    buckets = F.sequence(F.floor(F.col("start_ms") / bucket_ms), F.floor(ends / bucket_ms))
+    asked = statements.where("id is not null").select("id", "instance", F.col("start_ms").cast("long").alias("start_ms"), ends.cast("long").alias("end_ms"), F.explode(buckets).alias("bucket"))
+    told = samples.where("name is not null and value is not null").withColumn("bucket", F.floor(F.col("ts_ms") / bucket_ms))
+    told = told.groupBy("instance", "bucket", "name", "ts_ms").agg(F.max(F.col("value").cast("double")).alias("value"))
+    # A row for each group: where very many ask, they are dealt to several tasks, and the samples go to each.
+    parts = asked.groupBy("instance", "bucket").agg(F.ceil(F.count(F.lit(1)) / asked_at_once).cast("int").alias("parts"))
+    wanted = asked.join(shuffled(parts), ["instance", "bucket"]).withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int"))
+    dealt = told.join(shuffled(parts), ["instance", "bucket"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    by = lambda df, *columns: df.select("instance", "bucket", "part", *columns).groupBy("instance", "bucket", "part")
+    hosts = by(wanted, "id", "start_ms", "end_ms").cogroup(by(dealt, "name", "ts_ms", "value")).applyInArrow(_largest_hosts, f"id {dict(asked.dtypes)['id']}, host map<string,double>")
+    both = lambda a, b: F.map_zip_with(a, b, lambda _, x, y: F.greatest(x, y))
+    each = hosts.groupBy("id").agg(F.collect_list("host").alias("_h"))
+    return each.select("id", F.aggregate(F.slice("_h", F.lit(2), F.size("_h")), F.col("_h")[0], both).alias("host"))
 
 
 def gather(statements: DataFrame, tables: DataFrame, samples: DataFrame, settings: DataFrame, advice: DataFrame, limits: dict = LIMITS) -> DataFrame:
@@ -105,10 +153,10 @@ def gather(statements: DataFrame, tables: DataFrame, samples: DataFrame, setting
     """
     known = settings.groupBy("instance").agg(F.map_from_entries(F.collect_list(F.struct("name", "setting"))).alias("settings"))
     return (
-        statements.join(table_facts(statements, tables, limits), "id", "left")
-        .join(plan_facts(statements), "id", "left")
-        .join(host_facts(statements, samples), "id", "left")
-        .join(advice, "id", "left")
+        statements.join(shuffled(table_facts(statements, tables, limits)), "id", "left")
+        .join(shuffled(plan_facts(statements)), "id", "left")
+        .join(shuffled(host_facts(statements, samples)), "id", "left")
+        .join(shuffled(advice), "id", "left")
         .join(known, "instance", "left")
     )
 

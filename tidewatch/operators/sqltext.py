@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.operators.similarity import nearest
+from tidewatch.sources.store import shuffled
 
 KINDS = ("SELECT", "UPDATE", "DELETE", "INSERT")
 
@@ -183,7 +184,7 @@ def own_cost(tree: DataFrame, key: str) -> DataFrame:
     children = tree.where("parent is not null").groupBy(key, F.col("parent").alias("node")).agg(F.max("total_cost").alias("_total"), F.max("start_cost").alias("_start"))
     total, start = F.coalesce("_total", F.lit(0.0)), F.coalesce("_start", F.lit(0.0))
     below = F.when(F.col("start_cost") >= total, total).otherwise(start)
-    return tree.join(children, [key, "node"], "left").withColumn("own_cost", F.col("total_cost") - below).drop("_total", "_start")
+    return tree.join(shuffled(children), [key, "node"], "left").withColumn("own_cost", F.col("total_cost") - below).drop("_total", "_start")
 
 
 def sorted_operators(tree: DataFrame, key: str) -> DataFrame:
