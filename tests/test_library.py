@@ -476,3 +476,19 @@ def test_hosts_take_no_row_for_each_pair(spark):
     found = causes.host_facts(a, s)
     assert found.where("host['a'] = 39999").count() == 2_000
     assert "Join" not in found._jdf.queryExecution().executedPlan().toString().partition("CoGroup")[0] and time.time() - began < 60
+
+
+def test_causes_of_many_kinds_equal_each_pair(spark):
+    rng = np.random.default_rng(3)
+    kinds = [(k, rng.integers(0, 2, 6).tolist()) for k in range(40)] + [(900, [1, 1]), (901, None), (902, [1, None, 1, 1, 1, 1])]
+    library = [(int(rng.integers(0, 3)), rng.integers(0, 2, 6).tolist(), rng.random(6).round(3).tolist()) for _ in range(50)] + [(7, [1] * 6, [None] * 6), (8, [0, 1], [1.0, 0.5]), (9, None, None)]
+    asked = spark.createDataFrame(kinds, "kind int, features array<int>")
+    known = spark.createDataFrame(library, "label int, pattern array<int>, weight array<double>")
+    rows = lambda df: sorted((r["kind"], r["label"], round(r["probability"], 9)) for r in df.collect())
+    assert rows(A.kind_causes(asked, "kind", known, chunk=9)) == rows(A.nearest_causes(asked, "kind", known))
+
+
+def test_a_library_may_have_more_rows_than_a_broadcast_is_for(spark):
+    """10,001 patterns: nearest_causes() refuses them."""
+    known = spark.range(10_001).selectExpr("1 AS label", "array(cast(id as int), 1) AS pattern", "array(1.0D, 1.0D) AS weight")
+    assert [(r["label"], r["probability"]) for r in A.kind_causes(spark.createDataFrame([(1, [1, 0])], "kind int, features array<int>"), "kind", known).collect()] == [(1, 1.0)]

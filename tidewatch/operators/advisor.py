@@ -6,10 +6,12 @@ import math
 import random
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.sources.store import cut
+from tidewatch.sources.store import cut, shared_folder, shuffled
 
 
 def redundant_indexes(indexes: DataFrame, table: str = "table_name", columns: str = "columns", unique: str | None = None) -> DataFrame:
@@ -219,6 +221,44 @@ def nearest_causes(df: DataFrame, key: str, library: DataFrame, most: int = 10_0
     return best.select(key, "label", (F.col("_s") / F.sum("_s").over(Window.partitionBy(key))).alias("probability"))
 
 
+#: Kinds and patterns that one task compares.
+CHUNK = 2048
+
+
+def _best_scores(asked: pa.Table, told: pa.Table) -> pa.Table:
+    """(key, label, score): of each asked row and label the best score over the told patterns, where it is above zero."""
+    if not asked.num_rows or not told.num_rows:
+        return pa.table({"key": asked["key"].slice(0, 0), "label": told["label"].slice(0, 0), "score": pa.array([], pa.float64())})
+    table = lambda x: x.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(x), -1)
+    labels = told["label"].combine_chunks().dictionary_encode(null_encoding="encode")
+    order = np.argsort(codes := labels.indices.to_numpy(), kind="stable")
+    kinds, starts = np.unique(codes[order], return_index=True)
+    scores = table(asked["features"]) @ (table(told["pattern"]) * table(told["weight"]))[order].T
+    best = np.fmax.reduceat(scores, starts, axis=1)  # NaN, where a weight is missing, is no score
+    row, column = np.nonzero(best > 0)
+    return pa.table({"key": asked["key"].take(pa.array(row)), "label": labels.dictionary.take(pa.array(kinds[column])), "score": best[row, column]})
+
+
+def kind_causes(kinds: DataFrame, key: str, library: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """What nearest_causes() returns, for many different ``features`` and a library of any size.
+
+    Both are dealt into chunks of about ``chunk`` rows; each chunk of kinds meets each of the library in a task, as
+    matrices, and passes on the best score of a kind for each label. All pairs are scored, and no table is in one place.
+    """
+    kinds, library = cut(kinds.select(F.col(key).alias("key"), "features")), cut(library.select("label", "pattern", "weight"))
+    a, b = (max(1, -(-df.count() // chunk)) for df in (kinds, library))
+    deal = lambda by, n: F.pmod(F.xxhash64(by), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    # Arrays of unequal length have no score together.
+    asked = kinds.select("key", "features", F.size("features").alias("n"), deal("features", a).alias("a"), each(b).alias("b"))
+    told = library.where("size(pattern) = size(weight)").select("label", "pattern", "weight", F.size("pattern").alias("n"), deal("pattern", b).alias("b"), each(a).alias("a"))
+    met = asked.where("n > 0").groupBy("n", "a", "b").cogroup(told.where("n > 0").groupBy("n", "a", "b"))
+    types = dict(kinds.dtypes)["key"], dict(library.dtypes)["label"]
+    scored = met.applyInArrow(_best_scores, f"key {types[0]}, label {types[1]}, score double")
+    best = scored.groupBy("key", "label").agg(F.max("score").alias("_s"))
+    return best.select(F.col("key").alias(key), "label", (F.col("_s") / F.sum("_s").over(Window.partitionBy("key"))).alias("probability"))
+
+
 def label_weights(library: DataFrame) -> DataFrame:
     """(label, weight array<double>): how far each label's summed pattern lies from what the other labels suggest, as shares.
 
@@ -356,8 +396,6 @@ def redundant_existing(indexes: DataFrame) -> DataFrame:
 
 def advise(queries: DataFrame, predicates: DataFrame, storage_of: Column, most: int = 5, choose: int = 10, room: float = math.inf) -> DataFrame:
     """(table_name, columns, gain, storage): candidates are grown, priced, filtered, and chosen one by one by what each adds."""
-    from tidewatch.sources.store import shared_folder
-
     shared_folder(queries.sparkSession)
     number = F.row_number().over(Window.orderBy(F.col("gain").desc(), "table_name", "columns"))  # as many rows as candidates
     # Both are read many times over, so each is worked out once.
@@ -377,8 +415,6 @@ def swarm(rows: DataFrame, cost: Callable[[list[Column]], Column], low: list[flo
     sum for each particle. The driver holds the particles and nothing of the rows. A point whose cost
     is NULL (no rows) is never the best; if all are, the centre is returned with infinite cost.
     """
-    import numpy as np
-
     spark = rows.sparkSession
     rng = np.random.default_rng(seed)
     a, b = np.array(low, float), np.array(high, float)

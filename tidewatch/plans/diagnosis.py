@@ -149,8 +149,7 @@ def q31(spark, d):
     x = cut(C.features(context(spark, d)).select("id", (F.col("id") % 8).cast("int").alias("label"), bits.alias("features")))
     weights = A.label_weights(x.select("label", F.col("features").alias("pattern")))
     library = x.select("label", F.col("features").alias("pattern")).distinct().join(weights, "label")
-    # Statements with the same features get the same answer. Few kinds meet many patterns, so they are dealt to all tasks.
-    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    kinds = x.select("features").distinct().withColumn("kind", F.col("features")).repartition(spread)
-    causes = A.nearest_causes(kinds, "kind", library)
-    return x.join(causes.select(F.col("kind").alias("features"), F.col("label").alias("cause"), "probability"), "features").select("id", F.col("cause").alias("label"), F.round("probability", 6).alias("probability"))
+    # Statements with the same features get the same answer.
+    kinds = cut(x.select("features").distinct().withColumn("kind", F.monotonically_increasing_id()))
+    causes = A.kind_causes(kinds, "kind", library).select("kind", F.col("label").alias("cause"), "probability")
+    return x.join(kinds, "features").join(causes, "kind").select("id", F.col("cause").alias("label"), F.round("probability", 6).alias("probability"))
