@@ -492,3 +492,16 @@ def test_a_library_may_have_more_rows_than_a_broadcast_is_for(spark):
     """10,001 patterns: nearest_causes() refuses them."""
     known = spark.range(10_001).selectExpr("1 AS label", "array(cast(id as int), 1) AS pattern", "array(1.0D, 1.0D) AS weight")
     assert [(r["label"], r["probability"]) for r in A.kind_causes(spark.createDataFrame([(1, [1, 0])], "kind int, features array<int>"), "kind", known).collect()] == [(1, 1.0)]
+
+
+def test_coverage_prices_sets_without_the_workload(spark):
+    """However many queries, as many rows as orders of configurations occur; any set's savings equal the sum over all queries."""
+    rng = random.Random(11)
+    kinds = [[(c, rng.choice([100.0, 70.0, 70.0, 40.0, 120.0])) for c in rng.sample(range(1, 7), rng.randint(0, 4))] for _ in range(8)]
+    cost = [(q, 0, 100.0, q % 3 + 1) for q in range(3000)] + [(q, c, v, q % 3 + 1) for q in range(3000) for c, v in kinds[q % 8]]
+    df = spark.createDataFrame(cost, "query_id int, config_id int, cost double, freq int")
+    covers = A.coverage(df).collect()
+    assert len(covers) <= sum(map(len, kinds))
+    for s in itertools.chain.from_iterable(itertools.combinations(range(1, 7), k) for k in range(7)):
+        want = sum(max([0.0, *(100 - v for c, v in kinds[q % 8] if c in s)]) * (q % 3 + 1) for q in range(3000))
+        assert sum(r["saved"] for r in covers if set(r["any_of"]) & set(s)) == pytest.approx(want)

@@ -60,6 +60,26 @@ def infer_benefit(cost: DataFrame, members: DataFrame, origin: int = 0) -> DataF
     return saved.groupBy("set_id").agg(F.sum("_saved").alias("_saved")).crossJoin(F.broadcast(total)).select("set_id", (F.col("_all") - F.col("_saved")).alias("cost"))
 
 
+def coverage(cost: DataFrame, origin: int = 0) -> DataFrame:
+    """(any_of array, saved): what the workload saves once a set has one of ``any_of``; a set's savings are the sum over all that it meets.
+
+    A query with the savings s1 >= s2 >= ... of its configurations saves s1 - s2 if a set has the first of them,
+    s2 - s3 more if it has one of the first two, and so on: in all, the most that a member of the set saves.
+    Queries with the same order of configurations are summed up, so the table does not grow with the workload, but
+    with the number of orders that occur.
+    """
+    saved = F.struct(F.col("saved"), F.col("config_id").alias("id"))
+    plain = cost.where(F.col("config_id") == origin).select("query_id", "freq", F.col("cost").alias("_plain"))
+    each = cost.where(F.col("config_id") != origin).select("query_id", "config_id", "cost").join(plain, "query_id")
+    helps = each.select("query_id", "config_id", ((F.col("_plain") - F.col("cost")) * F.col("freq")).alias("saved")).where("saved > 0")
+    most = helps.groupBy("query_id", "config_id").agg(F.max("saved").alias("saved"))
+    ranked = most.groupBy("query_id").agg(F.sort_array(F.collect_list(saved), asc=False).alias("s"))
+    rest = lambda i: F.coalesce(F.try_element_at("s", i + 2)["saved"], F.lit(0.0))
+    first = lambda i: F.array_sort(F.transform(F.slice("s", F.lit(1), i + 1), lambda x: x["id"]))
+    steps = F.transform("s", lambda x, i: F.struct(first(i).alias("any_of"), (x["saved"] - rest(i)).alias("saved")))
+    return ranked.select(F.explode(steps).alias("x")).select("x.*").where("saved > 0").groupBy("any_of").agg(F.sum("saved").alias("saved"))
+
+
 def greedy(cost: DataFrame, most: int, storage: dict[int, float] | None = None, room: float = math.inf, origin: int = 0) -> list[int]:
     """Configurations chosen one after the other by what each adds; every round is one aggregate over the cost table."""
     chosen: list[int] = []
@@ -146,8 +166,8 @@ def search_sets(cost: DataFrame, size: dict[int, float], room: float, rounds: in
     """(configurations, benefit): the set within ``room`` that saves the workload most, by tree search with many walks at once.
 
     In each round ``walks`` rows, a seed each, walk down the tree of sets by its statistics so far;
-    the sets they reach are priced in one job by infer_benefit(), so configurations that help the
-    same statement do not add up. The driver keeps the tree's statistics (``rounds * walks`` sets at most)
+    the sets they reach are priced in one job by coverage(), which sums the workload up once, so configurations that
+    help the same statement do not add up. The driver keeps the tree's statistics (``rounds * walks`` sets at most)
     and nothing of the workload. A set below which all is seen is not entered again, and the search ends
     when that holds for the empty set: then the answer is exact. Of equal benefits the smaller set, then the first.
     """
@@ -159,6 +179,7 @@ def search_sets(cost: DataFrame, size: dict[int, float], room: float, rounds: in
     worth: dict[tuple, float] = {}
     seen: set[tuple] = set()
     scale = max(all_cost, 1e-9)
+    covers = cut(coverage(cost, origin).withColumn("any_of", F.col("any_of").cast("array<int>")))
 
     def fits(state: tuple) -> list[tuple]:
         left = room - sum(size[i] for i in state)
@@ -180,8 +201,11 @@ def search_sets(cost: DataFrame, size: dict[int, float], room: float, rounds: in
         ways = [([tuple(p) for p in r["path"]], tuple(r["last"])) for r in spark.range(walks).mapInPandas(walked, "path array<array<int>>, last array<int>").collect()]
         new = sorted({x for path, last in ways for x in (*path, last)} - set(gain))
         if new:
-            members = spark.createDataFrame([(list(x), i) for x in new for i in x], "set_id array<int>, config_id int")
-            gain |= {x: 0.0 for x in new} | {tuple(r["set_id"]): all_cost - r["cost"] for r in infer_benefit(cost, members, origin).collect()}
+            sets = spark.createDataFrame([(list(x),) for x in new], "set_id array<int>")  # as many rows as the round has reached sets
+            met = covers.join(F.broadcast(sets), F.arrays_overlap("any_of", "set_id"))
+            # Decimals add up alike in any order, so sets that save the same stay equal.
+            saved = met.groupBy("set_id").agg(F.sum(F.col("saved").cast("decimal(38,6)")).alias("saved"))
+            gain |= {x: 0.0 for x in new} | {tuple(r["set_id"]): float(r["saved"]) for r in saved.collect()}
         for path, last in ways:
             for p in path:
                 visits[p] = visits.get(p, 0) + 1
