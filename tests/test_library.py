@@ -530,3 +530,10 @@ def test_distances_to_many_texts_at_once(spark):
             d = {x: edits(t, x) for x in known if equal or x != t}
             kth = sorted(d.values())[min(k, len(d)) - 1]
             assert {r["known"]: r["distance"] for r in found if r["text"] == t} == {x: n for x, n in d.items() if n <= kth}
+
+
+def test_plan_facts_are_never_broadcast(spark):
+    """Operators of a plan come from an explode, which Spark sizes as the plans."""
+    facts = causes.plan_facts(spark.createDataFrame([(1, "Sort  (cost=1.00..2.00 rows=1 width=8)\n  ->  Seq Scan on a  (cost=0.00..1.00 rows=1 width=8)"), (2, None)], "id int, plan string"))
+    assert [r["id"] for r in facts.collect()] == [1]
+    assert "Broadcast" not in facts._jdf.queryExecution().executedPlan().toString()
