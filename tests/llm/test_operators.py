@@ -7,6 +7,7 @@ import time
 import zlib
 from collections import Counter, defaultdict
 
+import corpus_pipeline
 import duckdb
 import numpy as np
 import public_tokenizers
@@ -271,6 +272,13 @@ def test_variants_are_never_broadcast(spark):
     assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
 
 
+def test_the_stage_of_near_copies_asks_for_a_shuffle_of_variants(spark, odd, monkeypatch):
+    met, plain = [], simhash.near_pairs
+    monkeypatch.setattr(simhash, "near_pairs", lambda distinct: met.append(plain(distinct)) or met[-1])
+    corpus_pipeline.drop_near_copies(spark, odd, "").count()
+    assert met and "strategy=merge" in met[0]._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_long_chains_are_one_component(spark):
     n = 300
     links = spark.createDataFrame([(i, i + 1) for i in range(n)], "a long, b long").orderBy(F.rand(1))
